@@ -143,7 +143,7 @@ def replay(words: list[bytes], merges: Merges) -> list[bytes]:
 class Encoder:
     """Encodes slices of texts; lives once per Python worker. ``keep`` bounds the words that it remembers."""
 
-    def __init__(self, ranks_path: str, pattern: str, keep: int = 1_000_000):
+    def __init__(self, ranks_path: str, pattern: str, keep: int = 600_000):
         self.merges = merges_of(ranks_path)
         self.find, self.find_any = (re.compile(unfold(pattern, top)).findall for top in (0xFFFF, 0x10FFFF))
         self.keep = keep
@@ -226,7 +226,7 @@ def encoder(ranks_path: str, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 32 << 20) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 16 << 20) -> DataFrame:
     """``(id_col, n_tokens long, ids binary)``: ids as little-endian uint32. One row for each input row."""
 
     def run(rows):
@@ -253,7 +253,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 32 << 20) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 16 << 20) -> DataFrame:
     """Encode and decode in one pass: ``(id_col, n_tokens, ids_sha256, decoded_sha256)``, hashes as lowercase hex."""
 
     def run(rows):

@@ -31,6 +31,11 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     ]
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct ``_row``, so that helper columns clash with none of them; ``_row.*`` brings them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def batches(rows: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, text: int = 1) -> Iterator[pa.RecordBatch]:
     """Re-cut Arrow batches so that one holds about ``max_bytes`` of column ``text`` (a longer row stands alone).
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import as_bytes, batches, read, row_key
+from .common import as_bytes, batches, read, row_key, whole_row
 
 #: Word bytes: digits, letters (A-Z become a-z) and all bytes of non-ASCII characters; the rest are blanks.
 _TABLE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
@@ -233,8 +233,8 @@ def report(matches: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that have an exact occurrence of a test window; all columns are kept."""
     hit = match(docs, benchmark, n, 0, id_col, text_col).filter(F.size("hits") > 0).select("_k1", "_k2").distinct()
-    keyed = docs.select("*", *row_key(id_col, text_col))
-    return keyed.join(hit, ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
+    keyed = docs.select(whole_row(docs), *row_key(id_col, text_col))
+    return keyed.join(hit, ["_k1", "_k2"], "left_anti").select("_row.*")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import stage
-from .common import as_bytes, batches, read, row_key
+from .common import as_bytes, batches, read, row_key, whole_row
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------
 
@@ -237,8 +237,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     fps = stage(fingerprints(docs, id_col, text_col), "document-fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_k1", "_k2"))
     kept = fps.join(classes(fps), "fp").groupBy("root").agg(best.alias("s")).select("s._k1", "s._k2").distinct()
-    keyed = docs.select("*", *row_key(id_col, text_col))
-    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
+    keyed = docs.select(whole_row(docs), *row_key(id_col, text_col))
+    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_row.*")
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:

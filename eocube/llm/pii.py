@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import read, row_key
+from .common import read, row_key, whole_row
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Sr|Sra|Mme|MR|MRS|MS|HERR|FRAU|SRA|г-н|г-жа)\.? "
@@ -33,12 +33,12 @@ PATTERNS = {
     "ip": rf"(?<![0-9\p{{L}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9\p{{L}}]|\.[0-9])",
     "card": r"(?<![0-9\p{L}])(?:[0-9]{16}|(?:[0-9]{4}[ -]){3}[0-9]{4})(?![0-9\p{L}])",
     "key": r"(?<![0-9\p{L}])AKIA[0-9A-Z]{16}(?![0-9\p{L}])",
-    "secret": rf"(?<={_NAMED} ?[=:] ?[\"']?)[0-9A-Za-z_/+.-]{{8,128}}|(?<![0-9\p{{L}}])(?=[0-9]{{0,64}}[A-Fa-f])(?=[A-Fa-f]{{0,64}}[0-9])[0-9A-Fa-f]{{32,64}}(?![0-9\p{{L}}])",
+    "secret": rf"(?<={_NAMED} ?[=:] ?[\"']?)[0-9A-Za-z_/+.-]{{7,127}}[0-9A-Za-z_/+-]|(?<![0-9\p{{L}}])(?=[0-9]{{0,64}}[A-Fa-f])(?=[A-Fa-f]{{0,64}}[0-9])[0-9A-Fa-f]{{32,64}}(?![0-9\p{{L}}])",
     "name": rf"(?<!\p{{L}}){_TITLE}\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 PATTERN = "|".join(PATTERNS.values())
 #: Cheap and wider: a text that doesn't have this has no mention.
-MAYBE = rf"[0-9@]|{_NAMED} ?[=:]|{_TITLE}\p{{Lu}}"
+MAYBE = rf"[0-9@]|AKIA|{_NAMED} ?[=:]|{_TITLE}\p{{Lu}}"
 _SCRIPTS = {
     "[a-z]": "abcdefghijklmnopqrstuvwxyz",
     "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -201,14 +201,13 @@ def replace(docs: DataFrame, key: str = "eocube", id_col: str = "doc_id", text_c
     given = assign(found.select("kind", "canon").distinct(), key)
     rendered = found.join(given, ["kind", "canon"]).select("_k1", "_k2", F.struct("m", render(F.col("kind"), F.col("m"), F.col("surrogate")).alias("s")).alias("e"))
     maps = rendered.groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_list("e")).alias("_map"))
-    text = F.col(text_col)
-    has = F.coalesce(text.rlike(MAYBE), F.lit(False))
-    touched = docs.filter(has).select("*", *row_key(id_col, text_col)).join(maps, ["_k1", "_k2"], "left")
+    has = F.coalesce(F.col(text_col).rlike(MAYBE), F.lit(False))
+    touched = docs.filter(has).select(whole_row(docs), *row_key(id_col, text_col)).join(maps, ["_k1", "_k2"], "left")
+    text = F.col("_row").getField(text_col)
     pieces, marks = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     new = F.array_join(F.zip_with(pieces, marks, lambda p, m: F.concat(p, F.coalesce(F.element_at("_map", m), m, F.lit("")))), "")
-    changed = touched.withColumn("_new", F.when(F.col("_map").isNull(), text).otherwise(new))
-    out = [F.col("_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    changed = changed.select(*out, F.coalesce(F.size("_map"), F.lit(0)).alias("_entities"))
+    changed = touched.select("_row", F.when(F.col("_map").isNull(), text).otherwise(new).alias("_new"), F.coalesce(F.size("_map"), F.lit(0)).alias("_entities"))
+    changed = changed.select(*[F.col("_new").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns], "_entities")
     return changed.unionByName(docs.filter(~has).withColumn("_entities", F.lit(0)))
 
 

@@ -18,18 +18,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import new_path
-from .common import read, row_key
+from .common import read, row_key, whole_row
 
 
 def shuffle(docs: DataFrame, seed: int = 11, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """``docs`` with ``_place``, the record's place in one random order from 0 on; and the number of records."""
+    """``_row`` (all columns of ``docs``) and ``_place``, the record's place in one random order from 0 on; and the number of records."""
     spark = docs.sparkSession
     r = docs.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64)).first()
     rows, n = r[0], 1 + (r[1] or 0) // bucket_bytes
     k1, k2 = row_key(id_col, text_col)
-    keyed = docs.withColumn("_order", F.xxhash64(F.lit(seed), k1, k2)).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.lit(n)))
+    keyed = docs.select(whole_row(docs), F.xxhash64(F.lit(seed), k1, k2).alias("_order")).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_order"), F.lit(n)))
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
     # One row for each bucket of bucket_bytes: 1 TB has 65,536.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -47,22 +48,21 @@ def shuffle(docs: DataFrame, seed: int = 11, bucket_bytes: int = 32 << 20, id_co
         place[order] = np.arange(len(order))
         return t.drop_columns(["_order"]).append_column("_place", pa.array(place)).take(pa.array(order))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.drop("_order").schema)
-    mixed = keyed.groupBy("_bucket").applyInArrow(fisher_yates, f"{schema}, _place bigint")
+    schema = T.StructType([*keyed.drop("_order").schema.fields, T.StructField("_place", T.LongType())])
+    mixed = keyed.groupBy("_bucket").applyInArrow(fisher_yates, schema)
     placed = mixed.join(F.broadcast(offsets) if n <= 100_000 else offsets, "_bucket")
     return placed.withColumn("_place", F.col("_place") + F.col("_first")).drop("_first", "_bucket"), rows
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 11, bucket_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write ``docs`` to ``path`` (Parquet, a folder for each shard), with ``slot``, the place in the shard from 0 on."""
-    if clash := [c for c in docs.columns if c.lower() in ("shard", "slot") or c.startswith("_")]:
-        docs = docs.drop(*clash)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")])
     placed, rows = shuffle(docs, seed, bucket_bytes, id_col, text_col)
     # Shard s has the places from ceil(rows * s / shards) on.
     shard = F.expr(f"cast((_place * {shards}) div {max(rows, 1)} as int)")
     first = F.expr(f"({rows} * cast(shard as long) + {shards - 1}) div {shards}")
     out = placed.withColumn("shard", shard).withColumn("slot", F.col("_place") - first).drop("_place")
-    out.write.partitionBy("shard").parquet(path)
+    out.select("_row.*", "shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def read_shards(spark, path: str) -> DataFrame:

@@ -105,6 +105,7 @@ def replay(words: list[bytes], merges: Merges) -> list[bytes]:
         k = k[np.concatenate([[True], k[1:] != k[:-1]])] if len(k) else k
         if not len(k):
             continue
+        every = k
         if len(k) > 1 and (meets := nxt[k[:-1]] == k[1:]).any():  # overlapping places: every second one of a run
             start = np.concatenate([[True], ~meets])
             first = np.maximum.accumulate(np.where(start, np.arange(len(k)), 0))
@@ -113,14 +114,16 @@ def replay(words: list[bytes], merges: Merges) -> list[bytes]:
         if again:
             j = nxt[k]
             saved = sym[k], nxt[k], nxt[j], pair[j], prev[k]
+            side = np.flatnonzero(nxt[j[:-1]] == k[1:])  # places side by side: between their merges there is another pair
+            between = merges.rank(np.full(len(side), r), sym[k[1:][side]])
         t = apply(k, r)
-        if again and pair[t].min() <= r:  # a merge made an earlier pair: undo, and let each word's first place go alone
+        if again and min(pair[t].min(), between.min(initial=none)) <= r:  # a merge made an earlier pair: undo, and let each word's first place go alone
             sym[k], nxt[k], alive[j], pair[j], prev[k] = saved[0], saved[1], True, saved[3], saved[4]
             prev[saved[2][saved[2] >= 0]] = j[saved[2] >= 0]
             right = nxt[t]
             pair[t] = np.where(right >= 0, merges.rank(sym[t], sym[right]), none)
             one = np.concatenate([[True], word[k[1:]] != word[k[:-1]]])
-            index[r] = [k[~one]]
+            index[r] = [np.setdiff1d(every, k[one], assume_unique=True)]
             heappush(heap, r)
             t = apply(k[one], r)
         found = pair[t]

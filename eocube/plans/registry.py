@@ -1,4 +1,6 @@
-"""Queries over the supplied tables and the same in SQL."""
+"""Queries over the supplied tables, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import core, more  # noqa: F401
+from .base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

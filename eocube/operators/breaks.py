@@ -49,7 +49,10 @@ def segment_series(t: np.ndarray, v: np.ndarray, run: int = 6, least: int = 12)
     keep = np.ones(n, bool)
     noise = np.maximum(np.median(np.abs(np.diff(v, axis=0)), axis=0), 1e-6) if n > 1 else np.ones(v.shape[1])
     while i + least <= n:
-        stop, last, coefs, rmse, magnitude = i + least, None, None, None, None
+        # A start has a whole year, else the harmonics run wild beyond it.
+        stop, last, coefs, rmse, magnitude = max(i + least, int(np.searchsorted(t, t[i] + YEAR))), None, None, None, None
+        if stop > n:
+            break
         while True:  # a stable start: slope and ends inside of three times the error
             at = np.flatnonzero(keep[i:stop]) + i
             x = design(t[at], 4)
@@ -59,7 +62,7 @@ def segment_series(t: np.ndarray, v: np.ndarray, run: int = 6, least: int = 12)
             drift = np.abs(coefs[:, 1]) * (t[at[-1]] - t[at[0]]) / YEAR + np.abs(rest[0]) + np.abs(rest[-1])
             if (drift / (3 * rmse)).mean() < 1 or stop >= n:
                 break
-            i, stop = i + 1, stop + 1
+            i, stop = i + 1, min(n, max(stop + 1, i + 1 + least))
         broke = False
         while stop < n:
             size = stop - i

@@ -14,13 +14,18 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
+def _date(y, m, d):
+    """A date from its parts; null if there is none."""
+    return F.try_to_date(F.concat_ws("-", y.cast("string"), m.cast("string"), d.cast("string")), "y-M-d")
+
+
 def weather_files(spark: SparkSession, path: str) -> DataFrame:
     """Fixed columns between blanks; variable and month stand in the file's name (``..-VAR-..-yyyymm.TXT``)."""
     t = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("c"), F.input_file_name().alias("f")).filter(F.size("c") >= 8)
     at = lambda i: F.get("c", F.lit(i)).try_cast("int")
     return t.select(
         F.regexp_extract("f", r"-([A-Z]{3})-[^/]*$", 1).alias("var"), at(0).alias("station_id"), at(1).alias("lat_ddmm"), at(2).alias("lon_ddmm"), at(3).alias("alt_cm"),
-        F.make_date(at(4), at(5), at(6)).alias("date"), at(7).alias("v"),
+        _date(at(4), at(5), at(6)).alias("date"), at(7).alias("v"),
     )
 
 
@@ -53,7 +58,7 @@ def gauge_files(spark: SparkSession, path: str) -> DataFrame:
     rows = b.filter("not header").select("file", "block", F.split("text", ",").alias("c"))
     at = lambda i, t="double": F.get("c", F.lit(i)).try_cast(t)
     j = rows.join(heads, ["file", "block"])
-    return j.select(F.get("h", F.lit(0)).alias("station"), F.make_date(F.get("h", F.lit(1)).try_cast("int"), at(0, "int"), at(1, "int")).alias("date"), at(2).alias("flow"), at(3).alias("sed_conc"), at(4).alias("level"))
+    return j.select(F.get("h", F.lit(0)).alias("station"), _date(F.get("h", F.lit(1)).try_cast("int"), at(0, "int"), at(1, "int")).alias("date"), at(2).alias("flow"), at(3).alias("sed_conc"), at(4).alias("level"))
 
 
 def section_files(spark: SparkSession, path: str) -> DataFrame:

@@ -95,3 +95,85 @@ def feature_ranking(results: DataFrame, features: list[str]) -> DataFrame:
     e = results.select(F.posexplode("importance").alias("i", "share"))
     names = F.array(*map(F.lit, features))
     return e.groupBy(F.element_at(names, F.col("i") + 1).alias("feature")).agg(F.round(F.avg("share"), 9).alias("share")).orderBy(F.desc("share"), "feature")
+
+
+def link_environment(shots: DataFrame, env: DataFrame, method: str = "nearest", base: float = 0.0, diameter: float = 1.0) -> DataFrame:
+    """By shot: environment from the start of the shot's year to its date, over the cells it covers: accumulated over a
+    base, and max, min, mean and population std of the daily means. ``shots(shot, date, px, py)``, ``env(y, x, date, value)``.
+    """
+    c = weighted_cells(shots.select("shot", F.col("date").alias("_at"), "px", "py"), method, diameter).withColumn("_year", F.year("_at"))
+    j = c.join(env.withColumn("_year", F.year("date")), ["y", "x", "_year"]).filter(F.col("date") <= F.col("_at"))
+    day = j.groupBy("shot", "date").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("v"))
+    g = day.groupBy("shot").agg(F.sum(F.greatest(F.col("v") - base, F.lit(0.0))).alias("acc"), F.max("v").alias("vmax"), F.min("v").alias("vmin"), F.avg("v").alias("vmean"), F.stddev_pop("v").alias("vstd"), F.count("v").alias("n"))
+    return g.select("shot", "n", *[F.round(k, 6).alias(k) for k in ("acc", "vmax", "vmin", "vmean", "vstd")])
+
+
+def link_series(shots: DataFrame, obs: DataFrame, first: int, last: int) -> DataFrame:
+    """By shot: value at its date (as-of within its year) at its cell, and season statistics of that cell and year."""
+    from .temporal import stats_until, value_at
+
+    c = weighted_cells(shots.select("shot", "date", "px", "py"), "nearest").select("shot", F.col("date").alias("at"), "y", "x", F.year("date").alias("year"))
+    now = value_at(c.select("shot", "at", "y", "x"), obs, 60, ["y", "x"], same_year=True).select("shot", F.col("value").alias("at_date"))
+    season = c.join(stats_until(obs, ["y", "x"], first, last), ["y", "x", "year"], "left").select("shot", "vmax", "vmin", "vmean", "vstd")
+    return now.join(season, "shot")
+
+
+def feature_groups(columns: list[str], mode: int) -> list[str]:
+    """Columns of a feature mode: 0 all, 1 spectral, 2 phenology, 3 climate, 4 flood, 5 terrain, 6 all but climate (by name)."""
+    marks = {1: ("NDVI", "MNDWI", "OSAVI", "EVI"), 2: ("SOS", "EOS", "PEAK", "MAVI", "TSVI"), 3: ("TEM", "PRE", "RHU", "PRS", "WIN", "SSD", "PAR"), 4: ("INUN", "DUR", "DEPTH", "FLOOD"), 5: ("DEM", "SLOPE", "Z_")}
+    has = lambda c, m: any(k in c.upper() for k in marks[m])
+    if mode == 0:
+        return list(columns)
+    if mode == 6:
+        return [c for c in columns if not has(c, 3)]
+    return [c for c in columns if has(c, mode)]
+
+
+def fit_predict(train: DataFrame, rows: DataFrame, features: list[str], target: str, seed: int = 1, **params) -> DataFrame:
+    """Fit trees on ``train`` and add ``prediction`` to ``rows``; rows with an unknown feature get null."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    both = VectorAssembler(inputCols=features, outputCol="_f", handleInvalid="skip")
+    model = RandomForestRegressor(featuresCol="_f", labelCol=target, seed=seed, **params).fit(both.transform(train))
+    known = model.transform(both.transform(rows)).drop("_f")
+    unknown = rows.filter(" or ".join(f"`{c}` is null" for c in features)).withColumn("prediction", F.lit(None).cast("double"))
+    return known.unionByName(unknown)
+
+
+def permutation_loss(train: DataFrame, features: list[str], target: str, seed: int = 1, **params) -> DataFrame:
+    """Growth of the mean squared error when a feature's values change places between rows (by a seeded order), by feature."""
+    from .stats import ranked
+
+    base = train.select(F.xxhash64(*features, F.lit(seed)).alias("_k"), F.monotonically_increasing_id().alias("_i"), *features, target)
+    mse = lambda df: df.agg(F.avg(F.pow(F.col("prediction") - F.col(target), 2))).first()[0]
+    whole = fit_predict(base, base, features, target, seed, **params)
+    ranked_rows = ranked(base, "_i")
+    n = base.count()
+    out = []
+    for f in features:
+        other = ranked_rows.select((F.col("rank") % n + 1).alias("rank"), F.col(f).alias("_other"))
+        moved = ranked_rows.join(other, "rank").withColumn(f, F.col("_other")).select(*features, target)
+        out.append((f, float(mse(fit_predict(base, moved, features, target, seed, **params)) - mse(whole))))
+    return train.sparkSession.createDataFrame(out, "feature string, loss double").orderBy(F.desc("loss"), "feature")
+
+
+def parametric_fits(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Linear, power (log-log) and quadratic regression: ``(model, c0, c1, c2, r2)``, all from sums of one pass."""
+    import numpy as np
+
+    d = df.filter((F.col(x) > 0) & (F.col(y) > 0))
+    powers = [F.pow(F.col(x), F.lit(k)) for k in range(5)]
+    lx, ly = F.ln(x), F.ln(y)
+    r = d.agg(*[F.sum(p) for p in powers], *[F.sum(F.col(y) * p) for p in powers[:3]], F.sum(F.col(y) * F.col(y)), F.sum(lx), F.sum(ly), F.sum(lx * lx), F.sum(lx * ly), F.sum(ly * ly)).first()
+    s, t, yy, (a, b, aa, ab, bb) = r[:5], r[5:8], r[8], r[9:14]
+    n, rows = s[0], []
+    spread = yy - t[0] ** 2 / n
+    for name, k in (("linear", 2), ("quadratic", 3)):
+        m = np.array([[s[i + j] for j in range(k)] for i in range(k)])
+        c = np.linalg.solve(m, np.array(t[:k]))
+        rest = yy - 2 * c @ np.array(t[:k]) + c @ m @ c
+        rows.append((name, *map(float, c), *[0.0] * (3 - k), float(1 - rest / spread)))
+    slope = (ab - a * b / n) / (aa - a * a / n)
+    rows.append(("power", float(np.exp((b - slope * a) / n)), float(slope), 0.0, float((ab - a * b / n) ** 2 / ((aa - a * a / n) * (bb - b * b / n)))))
+    return df.sparkSession.createDataFrame(rows, "model string, c0 double, c1 double, c2 double, r2 double")

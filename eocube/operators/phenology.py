@@ -156,3 +156,18 @@ def recovery_time(ymax: Column, y0: Column, rate: Column, reached: float = 0.99)
 def preferred_curve(fits: DataFrame, keys: list[str]) -> DataFrame:
     """Of several models' fits ``(keys, model, r2)``, the best; of equals the first by name."""
     return fits.groupBy(*keys).agg(F.min_by("model", F.struct(-F.col("r2"), "model")).alias("model"), F.max("r2").alias("r2"))
+
+
+def index_fitness(obs: DataFrame) -> DataFrame:
+    """How well an index suits curve fitting: share of low values, and share of the dates whose spatial mean is within
+    25 % of a two-term Fourier curve through all dates, with the curve's R2. One row.
+    """
+    means = obs.filter("value is not null").groupBy("date").agg(F.avg("value").alias("value")).select(F.lit(0).alias("y"), F.lit(0).alias("x"), "date", "value")
+    fit = fit_fourier(means)
+    t = F.dayofyear("date").cast("double")
+    w = F.col("w")
+    j = means.join(F.broadcast(fit), ["y", "x"])  # one row
+    line = F.col("c0") + F.col("c1") * F.cos(w * t) + F.col("c2") * F.sin(w * t) + F.col("c3") * F.cos(2 * w * t) + F.col("c4") * F.sin(2 * w * t)
+    a = j.agg(F.round(F.first("r2"), 6).alias("r2"), F.round(F.count_if(F.abs(F.col("value") - line) <= 0.25 * F.abs(line)) / F.count(F.lit(1)), 6).alias("near_share"))
+    low = obs.filter("value is not null").agg(F.round(F.count_if(F.col("value") < 0.1) / F.count(F.lit(1)), 6).alias("low_share"))
+    return low.crossJoin(a)  # one row each

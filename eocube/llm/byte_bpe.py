@@ -16,7 +16,6 @@ import base64
 import gc
 import hashlib
 import re
-from collections.abc import Iterable
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -51,7 +50,7 @@ class Merges:
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair; ``size`` where the pair doesn't merge."""
-        key = a * self.size + b
+        key = a.astype(np.int64) * self.size + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], self.size)
 
@@ -64,16 +63,16 @@ def replay(words: list[bytes], merges: Merges) -> list[bytes]:
     """
     none = merges.size
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    sym = merges.byte[np.frombuffer(b"".join(words), np.uint8)]
+    sym = merges.byte.astype(np.int32)[np.frombuffer(b"".join(words), np.uint8)]
     n, ends = len(sym), np.cumsum(lengths)
     if not n:
         return [b""] * len(words)
-    word = np.repeat(np.arange(len(words)), lengths)
-    nxt, prev = np.arange(1, n + 1), np.arange(-1, n - 1)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    nxt, prev = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     nxt[ends[lengths > 0] - 1] = -1
     prev[(ends - lengths)[lengths > 0]] = -1
     alive = np.ones(n, bool)
-    pair = np.full(n, none)
+    pair = np.full(n, none, np.int32)
     at = np.flatnonzero(nxt >= 0)
     pair[at] = merges.rank(sym[at], sym[at + 1])
 
@@ -143,28 +142,39 @@ def replay(words: list[bytes], merges: Merges) -> list[bytes]:
     return [packed[i:j] for i, j in zip((ends - left * 4).tolist(), ends.tolist())]
 
 
+BLOCK = 100_000  # words that are replayed together
+
+
 class Encoder:
     """Encodes slices of texts; lives once per Python worker. ``keep`` bounds the words that it remembers."""
 
-    def __init__(self, ranks_path: str, pattern: str, keep: int = 600_000):
+    def __init__(self, ranks_path: str, pattern: str, keep: int = 400_000):
         self.merges = merges_of(ranks_path)
         self.find, self.find_any = (re.compile(unfold(pattern, top)).findall for top in (0xFFFF, 0x10FFFF))
         self.keep = keep
         self.words: dict[str, bytes] = {}  # match of the pattern -> its ids, packed
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+    def split(self, text: str | None) -> list[str]:
+        return (self.find_any if _ASTRAL(text) else self.find)(text) if text else []
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, packed as little-endian uint32."""
         gc.disable()  # millions of strings, no cycles
         try:
-            cut = [(self.find_any if _ASTRAL(t) else self.find)(t) if t else [] for t in texts]
-            seen = set().union(*cut)
-            new = seen.difference(self.words)
-            if len(self.words) + len(new) > self.keep:
-                self.words, new = {}, seen
-            new = list(new)
-            self.words.update(zip(new, replay([w.encode() for w in new], self.merges)))
+            # Texts are split twice, as the matches of a whole slice take many times its memory.
+            new: set[str] = set()
+            for t in texts:
+                new.update(self.split(t))
+            unknown = new.difference(self.words)
+            if len(self.words) + len(unknown) > self.keep:
+                self.words, unknown = {}, new
+            del new
+            unknown = list(unknown)
+            for i in range(0, len(unknown), BLOCK):
+                some = unknown[i : i + BLOCK]
+                self.words.update(zip(some, replay([w.encode() for w in some], self.merges)))
             get = self.words.__getitem__
-            return [b"".join(map(get, p)) for p in cut]
+            return [b"".join(map(get, self.split(t))) for t in texts]
         finally:
             gc.enable()
 

@@ -48,3 +48,18 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, codec
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of the application, once (``addPyFile``)."""
+    import shutil
+
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="eocube-ship-"), "eocube")
+        sc.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(here), os.path.basename(here)))
+        _SHIPPED.add(sc.applicationId)

@@ -148,7 +148,7 @@ BLOCK = 100_000  # words that are replayed together
 class Encoder:
     """Encodes slices of texts; lives once per Python worker. ``keep`` bounds the words that it remembers."""
 
-    def __init__(self, ranks_path: str, pattern: str, keep: int = 400_000):
+    def __init__(self, ranks_path: str, pattern: str, keep: int = 200_000):
         self.merges = merges_of(ranks_path)
         self.find, self.find_any = (re.compile(unfold(pattern, top)).findall for top in (0xFFFF, 0x10FFFF))
         self.keep = keep
@@ -174,7 +174,10 @@ class Encoder:
                 some = unknown[i : i + BLOCK]
                 self.words.update(zip(some, replay([w.encode() for w in some], self.merges)))
             get = self.words.__getitem__
-            return [b"".join(map(get, self.split(t))) for t in texts]
+            out = [b"".join(map(get, self.split(t))) for t in texts]
+            if len(self.words) > self.keep:  # an idle worker holds little
+                self.words = {}
+            return out
         finally:
             gc.enable()
 

@@ -113,7 +113,7 @@ def binomial_cdf(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
     return out
 
 
-def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """``(stratum, rule, cutoff, n_good, n_lost, p_value)``: a row for each stratum and rule that has a certified cutoff."""
     good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("_id"))
     known = stats.filter(~base_failed()).join(good, F.col("doc_id") == F.col("_id"))

@@ -18,6 +18,8 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from heapq import merge
 
 import numpy as np
@@ -40,22 +42,67 @@ class LibraryIds:
 
     A piece between ASCII blanks is encoded by the library itself. That equals encoding the whole text where the file's
     normalizer and splitter treat blanks as borders (NFC, blank runs to one blank, lower case; a splitter that drops
-    blanks). Texts with a special token's string are given to the library whole.
+    blanks); A-Z are lower-cased before, as the normalizer does. Texts with a special token's string, and all texts
+    under another kind of file, are given to the library whole.
+
+    New pieces go to the library many at a time, with blanks between them. In such a vocabulary the last token of a
+    word bears the suffix of word ends and no other does, so the ids fall apart into words by themselves; a piece gets
+    as many as the splitter's pattern finds in it. Where the numbers differ, each piece is encoded alone.
     """
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 450_000):
         import json
 
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
+        from .byte_bpe import unfold
+
+        self.lib, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.keep, self.pieces = keep, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        names = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"] or {"type": ""}])]
+        norm = spec["normalizer"] or {"type": ""}
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-        self.by_piece = set(names) <= {"NFC", "Replace", "Lowercase", ""} and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True and "\\s" in str(split.get("pattern"))
+        pattern = (split.get("pattern") or {}).get("Regex", "")
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_piece = (
+            {n["type"] for n in norm.get("normalizers", [norm])} == {"NFC", "Replace", "Lowercase"}
+            and (split.get("type"), split.get("behavior"), split.get("invert")) == ("Split", "Removed", True)
+            and "[^\\s" in pattern and bool(suffix)
+        )
+        if self.by_piece:
+            self.plain.normalizer = None  # for pieces that the normalizer would leave as they are
+            self.find = re.compile(unfold(pattern, 0x10FFFF)).findall
+            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+
+    def _alone(self, pieces: list[bytes]) -> None:
+        for k in range(0, len(pieces), 10_000):
+            some = pieces[k : k + 10_000]
+            got = self.lib.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
+            self.pieces.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(some, got))
+
+    def _together(self, pieces: list[bytes]) -> None:
+        text = [x.decode() for x in pieces]
+        simple = [t.isascii() or (t == t.lower() and unicodedata.is_normalized("NFC", t)) for t in text]
+        odd = [x for x, ok in zip(pieces, simple) if not ok]
+        if odd:
+            pieces, text = [x for x, ok in zip(pieces, simple) if ok], [t for t, ok in zip(text, simple) if ok]
+        # A word, a word with a stop, or what the pattern finds.
+        count = np.fromiter((1 if t.isalpha() else 2 if t[-1] in ".,;:!?" and t[:-1].isalpha() else len(self.find(t)) for t in text), np.int64, len(text))
+        for k in range(0, len(text), 2_000):
+            ids = np.array(self.plain.encode_batch_fast([" ".join(text[k : k + 2_000])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            n = count[k : k + 2_000]
+            words = np.cumsum(n)
+            if len(ends) and words[-1] == len(ends) and ends[-1] == len(ids) and n.min() > 0:
+                stop = (4 * ends[words - 1]).tolist()
+                packed = ids.tobytes()
+                self.pieces.update(zip(pieces[k : k + 2_000], [packed[i:j] for i, j in zip([0, *stop], stop)]))
+            else:
+                odd += pieces[k : k + 2_000]
+        self._alone(odd)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -66,16 +113,12 @@ class LibraryIds:
             elif not self.by_piece or any(s in t for s in self.special):
                 out[i] = np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u4")
             else:
-                cut[i] = t.encode().split()
+                cut[i] = t.encode().lower().split()
         seen = set().union(*cut.values())
         new = seen.difference(self.pieces)
         if len(self.pieces) + len(new) > self.keep:
             self.pieces, new = {}, seen
-        new = list(new)
-        for k in range(0, len(new), 50_000):
-            some = new[k : k + 50_000]
-            got = self.lib.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
-            self.pieces.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(some, got))
+        self._together(list(new))
         get = self.pieces.__getitem__
         for i, p in cut.items():
             out[i] = np.frombuffer(b"".join(map(get, p)), "<u4")
@@ -85,8 +128,11 @@ class LibraryIds:
 _LIBS: dict[str, LibraryIds] = {}
 
 
-def library_ids(docs: DataFrame, path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids binary)``: little-endian uint32 ids of each text, then ``end_id`` if given."""
+def library_ids(docs: DataFrame, path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """``(doc_id, ids binary)``: little-endian ids of ``width`` bytes of each text, then ``end_id`` if given.
+
+    ``width`` 2 halves what is moved, for vocabularies of up to 65,536 ids.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(rows):
@@ -95,9 +141,11 @@ def library_ids(docs: DataFrame, path: str, end_id: int | None = None, id_col: s
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path not in _LIBS:
             _LIBS[path] = LibraryIds(path)
-        end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
+        end = np.array([] if end_id is None else [end_id], f"<u{width}").tobytes()
+        if width == 2 and _LIBS[path].lib.get_vocab_size() > 1 << 16:
+            raise ValueError("ids need 4 bytes")
         for b in batches(rows):
-            ids = [x.tobytes() + end for x in _LIBS[path].encode(b.column(1).to_pylist())]
+            ids = [x.astype(f"<u{width}").tobytes() + end for x in _LIBS[path].encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, ids binary")
@@ -144,7 +192,7 @@ class Code:
         width = 1 << (self.max_bits - lens)
         at = np.cumsum(width) - width  # canonical words, left-aligned
         self.bits[ids], self.word[ids] = lens, at >> (self.max_bits - lens)
-        self.table = np.zeros(1 << self.max_bits, np.int64)  # id << 6 | bits
+        self.table = np.zeros(1 << self.max_bits, np.int32 if size < 1 << 25 else np.int64)  # id << 6 | bits
         used = int(width.sum())
         self.table[:used] = np.repeat(ids << 6 | lens, width)
 
@@ -172,7 +220,7 @@ class Code:
         base = np.cumsum(counts) - counts
         order = np.argsort(-counts, kind="stable")
         at, base, counts = checkpoints[order].astype(np.int64), base[order], counts[order]
-        raw = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.int64)
+        raw = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.uint32)
         peek = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
         down, mask = 32 - self.max_bits, (1 << self.max_bits) - 1
         live = np.searchsorted(-counts, -np.arange(STRIDE), "left")  # how many have more than k ids
@@ -186,13 +234,13 @@ class Code:
         return out
 
 
-def count_ids(encoded: DataFrame) -> DataFrame:
+def count_ids(encoded: DataFrame, width: int = 4) -> DataFrame:
     """Global counts ``(id, n)``; a task sends one row for each id that it has."""
 
     def run(rows):
         total = np.zeros(0, np.int64)
         for b in batches(rows):
-            flat = np.frombuffer(b"".join(x for x in b.column(1).to_pylist() if x), "<u4")
+            flat = np.frombuffer(b"".join(x for x in b.column(1).to_pylist() if x), f"<u{width}")
             got = np.bincount(flat)
             if len(got) > len(total):
                 got, total = total, got
@@ -208,13 +256,13 @@ def count_ids(encoded: DataFrame) -> DataFrame:
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
-def write(encoded: DataFrame, path: str, max_bits: int = 18, block_tokens: int = 1 << 18, max_ids: int = 1 << 20) -> None:
+def write(encoded: DataFrame, path: str, width: int = 4, max_bits: int = 16, block_tokens: int = 1 << 18, max_ids: int = 1 << 20) -> None:
     """Write ``(doc_id, ids)`` in the file format, in ascending doc_id order. ``encoded`` should be stored: it is read three times.
 
     The counts that the driver gets have a row for each id of the vocabulary at most (checked against ``max_ids``).
     """
     spark = encoded.sparkSession
-    counts = {r["id"]: r["n"] for r in count_ids(encoded).limit(max_ids + 1).collect()}
+    counts = {r["id"]: r["n"] for r in count_ids(encoded, width).limit(max_ids + 1).collect()}
     bounded(len(counts), max_ids, "ids in use")
     lengths = code_lengths(counts, min(24, max(max_bits, (max(1, len(counts)) - 1).bit_length())))
     spark.createDataFrame(sorted(lengths.items()), "id bigint, length int").coalesce(1).write.parquet(f"{path}/code")
@@ -224,10 +272,10 @@ def write(encoded: DataFrame, path: str, max_bits: int = 18, block_tokens: int =
     def pack(rows):
         """Code words by document, so that the sort moves coded bytes."""
         code = Code(shared.value)
-        for b in batches(rows, 4 << 20):
+        for b in batches(rows, (1 << 19) * width):
             got = b.column(1).to_pylist()
-            sizes = np.array([len(x) // 4 if x else 0 for x in got], np.int64)
-            words, checkpoints = code.encode(np.frombuffer(b"".join(x for x in got if x), "<u4").astype(np.int64), sizes)
+            sizes = np.array([len(x) // width if x else 0 for x in got], np.int64)
+            words, checkpoints = code.encode(np.frombuffer(b"".join(x for x in got if x), f"<u{width}").astype(np.int64), sizes)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(words, pa.binary()), pa.array(checkpoints, pa.list_(pa.int64()))], ["doc_id", "n", "words", "checkpoints"])
 
     def join(rows):
@@ -298,7 +346,7 @@ def with_crc(read_back: DataFrame) -> DataFrame:
 def op4_huffman(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ids = stage(library_ids(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1), "ids")
+    ids = stage(library_ids(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, width=2), "ids")
     path = new_path(spark, "huffman")
-    write(ids, path)
+    write(ids, path, width=2)
     return with_crc(read_files(spark, path))

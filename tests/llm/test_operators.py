@@ -163,9 +163,9 @@ def test_huffman(spark, docs, empty, tmp_path):
     lib = Tokenizer.from_file(WORDS)
     rows = [r for r in corpus() if r[0] is not None] + [(10**6, "a <|endoftext|> b", *[None] * 7), (-5, "İstanbul ΣΑΣ 't's", *[None] * 7)]
     frame = spark.createDataFrame(rows, DOCS).repartition(5)
-    encoded = stage(huffman.library_ids(frame, WORDS, end_id=1), "t")
-    for n, block in (("a", 1 << 18), ("b", 50)):
-        huffman.write(encoded, f"file://{tmp_path}/{n}", block_tokens=block)
+    for n, block, width in (("a", 1 << 18, 4), ("b", 50, 2)):
+        encoded = stage(huffman.library_ids(frame, WORDS, end_id=1, width=width), "t")
+        huffman.write(encoded, f"file://{tmp_path}/{n}", width=width, block_tokens=block)
         out = sorted(huffman.with_crc(huffman.read_files(spark, f"file://{tmp_path}/{n}")).collect(), key=lambda r: (r["doc_id"], r["start"]))
         at = 0
         for r, (d, text) in zip(out, sorted(((r[0], r[1] or "") for r in rows), key=lambda x: x[0])):
@@ -176,6 +176,16 @@ def test_huffman(spark, docs, empty, tmp_path):
     assert huffman.read_files(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_pieces_together():
+    """New pieces that go to the library together get the ids that they get alone, and in their text."""
+    from tokenizers import Tokenizer
+
+    lib, own, rng = Tokenizer.from_file(WORDS), huffman.LibraryIds(WORDS), random.Random(8)
+    alphabet = " \n\t\x1c\x85\u3000'sreldabcéñÉ中🙂١½İΣσςẞ\u0301\u200d!?.,-AB"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    assert own.by_piece and [x.tolist() for x in own.encode(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_code_lengths():
     rng = random.Random(1)
     for n, bits in ((1, 4), (2, 4), (16, 4), (9, 4), (500, 10), (500, 40)):

@@ -24,7 +24,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     if isinstance(v, (pd.Timestamp, datetime.datetime)):
         return v.strftime("%Y-%m-%d %H:%M:%S.%f").replace(" 00:00:00.000000", "")

@@ -400,6 +400,43 @@ def test_chain_of_links(spark):
     assert {r["component"] for r in connected_components(golay_dedup.links(nodes)).collect()} == {min(chain)}
 
 
+def test_similar_texts_in_the_pipeline(spark, docs, empty):
+    """The pipeline's stage links by five-word shingles: edited copies far over 3 bits go, texts under 0.8 stay."""
+    import corpus_pipeline
+
+    rng, texts = random.Random(11), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    for k in range(40):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 3)):
+            for _ in range(rng.randint(1, 8)):
+                base[rng.randrange(len(base))] = word()
+            texts.append(" ".join(base))
+    texts += [texts[0].upper(), texts[1], "a b", "A  b", "a b c", "", None, "one two three four five six", "six five"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert sum((brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).bit_count() > 3 for i, j in pairs) > 10
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup(spark, frame, "").collect()) == sorted(set(root))
+    kept = corpus_pipeline.dedup(spark, docs, "")
+    assert kept.columns == docs.columns and kept.count() < docs.count() and corpus_pipeline.dedup(spark, empty, "").count() == 0
+
+
+def test_jaccard_chain():
+    """A long chain: each set is linked with the next one only."""
+    sets = [np.arange(i, i + 10, dtype=np.uint64) for i in range(50)] + [np.arange(900, 910, dtype=np.uint64)]
+    got_edges = golay_dedup.jaccard_stars(np.arange(51), sets, 0.8)
+    assert sorted(got_edges[:, 0].tolist()) == list(range(1, 50)) and set(got_edges[:, 1].tolist()) == {0}
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------------
 
 

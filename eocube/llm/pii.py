@@ -4,7 +4,7 @@ Mentions are found by one pattern; a mention's type and canonical form name its
 of one entity (phone separators, upper case) corefer. Every distinct entity gets one surrogate: a keyed SHA-256 drives
 a type-consistent form (a valid address or card number, the same length, letters of the same script, a name of the same
 gender). Surrogates are checked over the whole corpus: one that equals another surrogate or any real entity is drawn
-again, until all are distinct. Mentions are rendered in their own format (separators, country code, title, case).
+again, until all are distinct; after a few rounds drawn forms get longer, so that no space runs out. Mentions are rendered in their own format (separators, country code, title, case).
 
 Types: email, phone, ssn, ip (octets up to 255), card (16 digits that pass the Luhn check), key, secret (long hex, or
 the value after "password=" and the like), name (with a title).
@@ -49,6 +49,15 @@ _SCRIPTS = {
     r"(?=\p{IsCyrillic})\p{Lu}": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЫЭЮЯ",
     r"(?=\p{IsGreek})\p{L}": "αβγδεζηθικλμνξοπρστυφχψω",
     r"\p{IsHan}": "安白成大方高海江金林明南平青山石天文小新",
+    r"(?=\p{IsArabic})\p{L}": "ابتجحدرزسشصطعفقكلمنهوي",
+    r"\p{IsHebrew}": "אבגדהוזחטיכלמנסעפצקרשת",
+    r"(?=\p{IsDevanagari})\p{L}": "अआइउएकखगचजटडतदनपबमयरलवसह",
+    r"\p{IsHiragana}": "あいうえおかきくけこさしすせそたちつてとなにぬねの",
+    r"\p{IsKatakana}": "アイウエオカキクケコサシスセソタチツテトナニヌネノ",
+    r"\p{IsHangul}": "가나다라마바사아자차카타파하고노도로모보",
+    # Of any other script.
+    r"\p{L}": "abcdefghijklmnopqrstuvwxyz",
+    r"\p{N}": "0123456789",
 }
 #: Syllables of made-up names: (script, beginnings, middles, endings by gender).
 _NAMES = {
@@ -72,12 +81,12 @@ def _pick(alphabet: str, n: Column) -> Column:
 
 
 def _alike(text: Column, h: Column) -> Column:
-    """Each letter and digit replaced by one of the same script, case and kind; other characters stay."""
+    """Each letter and digit replaced by one of the same script, case and kind (a Latin one for rare scripts); other characters stay."""
 
     def one(ch, i):
         # Each round of 32 characters shifts the stream, so that long texts don't repeat themselves.
         n = _number(h, i) + F.floor(i / 32).cast("int") * 7
-        out = F.when(ch.rlike(r"\p{L}"), F.lit("x")).otherwise(ch)
+        out = ch
         for pattern, alphabet in reversed(_SCRIPTS.items()):
             out = F.when(ch.rlike(pattern), _pick(alphabet, n)).otherwise(out)
         return out
@@ -96,16 +105,18 @@ def _card(canon: Column, h: Column) -> Column:
     return F.concat(body, F.pmod(10 - _luhn_sum(body) % 10, F.lit(10)).cast("string"))
 
 
-def _made_name(canon: Column, h: Column) -> Column:
-    """``gender:words`` -> made-up words in the same script with the ending of the gender."""
+def _made_name(canon: Column, h: Column, more: int = 0) -> Column:
+    """``gender:words`` -> made-up words in the same script with the ending of the gender; ``more`` syllables than usual."""
     gender = F.substring(canon, 1, 1)
+    longer = F.sha2(h, 256)
 
     def word(w, i):
         def of(script):
             begin, middle, ends = _NAMES[script]
             some = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), F.pmod(n, F.lit(len(xs))) + 1)
             n = lambda k: _number(h, i * 4 + k)
-            return F.initcap(F.concat(some(begin, n(0)), some(middle, n(1)), some(middle, n(2)), F.when(gender == "f", some(ends["f"], n(3))).otherwise(some(ends["m"], n(3)))))
+            further = [some(middle, _number(longer, i * more + k)) for k in range(more)]
+            return F.initcap(F.concat(some(begin, n(0)), some(middle, n(1)), some(middle, n(2)), *further, F.when(gender == "f", some(ends["f"], n(3))).otherwise(some(ends["m"], n(3)))))
 
         return F.when(w.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
@@ -134,26 +145,35 @@ def canonical(kind: Column, m: Column) -> Column:
     )
 
 
+#: From this attempt on surrogates are longer, by a syllable, a digit or two characters more each time.
+LONGER = 4
+
+
 def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
     """The canonical surrogate that this attempt gives."""
+    more = max(0, attempt - LONGER + 1)
     h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, F.lit(str(attempt))), 256)
     domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.element_at(F.split(canon, "@"), -1)), 256)
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(h, i) % F.when(i == 0, 223).otherwise(254) + 1).cast("string"))
     hexa = F.substring(F.concat(h, F.sha2(h, 256)), F.lit(1), F.length(canon))
+    tail = F.substring(F.sha2(F.concat(h, F.lit("+")), 256), 1, 2 * more)
+    port = F.concat(F.lit(":"), (F.conv(F.substring(tail, 1, 4), 16, 10).cast("int") + 1).cast("string")) if more else F.lit("")
     return (
-        F.when(kind == "email", F.concat(_alike(F.element_at(F.split(canon, "@"), 1), h), F.lit("@h"), F.substring(domain, 1, 8), F.lit(".example.net")))
-        .when(kind == "ip", F.array_join(octets, "."))
+        F.when(kind == "email", F.concat(_alike(F.element_at(F.split(canon, "@"), 1), h), F.lit("-" if more else ""), tail, F.lit("@h"), F.substring(domain, 1, 8), F.lit(".example.net")))
+        .when(kind == "ip", F.concat(F.array_join(octets, "."), port))
         .when(kind == "card", _card(canon, h))
         .when(kind == "key", F.concat(F.lit("AKIA"), _alike(F.substring(canon, 5, 16), h)))
-        .when(kind == "name", _made_name(canon, h))
-        .when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), hexa)
-        .otherwise(_alike(canon, h))
+        .when(kind == "name", _made_name(canon, h, more))
+        .when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), F.concat(hexa, tail))
+        .when(kind == "secret", F.concat(_alike(canon, h), tail))
+        .otherwise(F.concat(_alike(canon, h), _alike(F.lit("0" * more), F.sha2(h, 256)) if more else F.lit("")))
     )
 
 
 def render(kind: Column, m: Column, s: Column) -> Column:
     """The surrogate in the format of the mention."""
-    surplus = F.length(_digits(m)) - F.length(s)  # a country code stays
+    own = F.least(F.length(_digits(m)), F.when(kind == "phone", 10).otherwise(16))
+    surplus = F.length(_digits(m)) - own  # a country code stays
 
     def digit(ch, i):
         before = F.length(_digits(F.substring(m, F.lit(1), i))) - surplus
@@ -163,7 +183,7 @@ def render(kind: Column, m: Column, s: Column) -> Column:
     plain = F.when(kind == "name", F.substring(s, 3, 1 << 20)).otherwise(s)
     cased = F.when(loud & ~kind.isin("key"), F.upper(plain)).otherwise(plain)
     return (
-        F.when(kind.isin("phone", "ssn", "card"), F.array_join(F.transform(F.split(m, ""), digit), ""))
+        F.when(kind.isin("phone", "ssn", "card"), F.concat(F.array_join(F.transform(F.split(m, ""), digit), ""), F.substring(s, own + 1, F.length(s))))
         .when(kind == "name", F.concat(F.regexp_extract(m, "^" + _TITLE, 0), cased))
         .otherwise(cased)
     )
@@ -175,12 +195,13 @@ def assign(entities: DataFrame, key: str, max_attempts: int = 64) -> DataFrame:
     Each round draws for the entities that are left; of several that draw the same, the first keeps it.
     """
     pending, given = stage(entities, "entities"), None
-    every = pending.select("kind", F.col("canon").alias("surrogate"))
+    every = pending.select("kind", F.col("canon").alias("_real"))
+    like_real = (F.when(F.col("kind") == "name", F.lower("surrogate")).otherwise(F.col("surrogate"))).alias("_real")
     for attempt in range(max_attempts):
         drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), key, attempt))
         if given is not None:
             drawn = drawn.join(given.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        drawn = drawn.join(every, ["kind", "surrogate"], "left_anti")
+        drawn = drawn.select("*", like_real).join(every, ["kind", "_real"], "left_anti")
         won = stage(drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon")).select("kind", "canon", "surrogate"), "surrogates")
         given = won if given is None else given.unionByName(won)
         pending = stage(pending.join(won, ["kind", "canon"], "left_anti"), "entities")

@@ -296,6 +296,23 @@ def test_pii_collisions(spark):
     assert len(given) == len(names) == len({r["surrogate"] for r in given}) and not {r["surrogate"] for r in given} & set(names)
 
 
+def test_pii_small_spaces(spark):
+    """More entities of a form than the usual surrogates have values: longer ones, still all distinct."""
+    syllables = [a + b for a in "bcdfghjklmnpqrstvwxz" for b in "aeiou"]
+    rows = [("name", f"f:{a}{b}{c}") for a in syllables for b in syllables[:20] for c in ("na", "lo", "ki", "mu", "pe", "si", "ta", "vo", "ri")]
+    rows += [("email", f"{a}@mail.org") for a in "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿāăąćĉ"]
+    rows += [("email", f"{a}@mail.org") for a in ("سلام", "كتاب", "שלום", "ספרה", "नमक", "कमल", "さくら", "ひかり", "カメラ", "テレビ", "한국어", "김치국", "აბგ", "დევ", "กขค", "งจฉ", "١٢", "٣٤")]
+    rows += [("secret", x) for x in [*"0123456789abcdefghijklmnopqrstuvwxyz", "$", "%%"]]
+    assert len([r for r in rows if r[0] == "name"]) > 16 * 16 * 16 * 4
+    given = pii.assign(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()
+    assert len(given) == len(rows) == len({(r["kind"], r["surrogate"]) for r in given})
+    assert not {(r["kind"], r["surrogate"].lower()) for r in given} & set(rows)
+    by = {r["canon"]: r["surrogate"] for r in given}
+    assert re.match("[\u0621-\u064a]{4}[-@]", by["سلام@mail.org"]) and re.match("[\u3041-\u309f]{3}[-@]", by["さくら@mail.org"]) and "١" not in by["١٢@mail.org"]
+    digits = spark.createDataFrame([("+1 (212) 555-0199", "123456789077")], "m string, s string")
+    assert digits.select(pii.render(pii.F.lit("phone"), pii.F.col("m"), pii.F.col("s"))).first()[0] == "+1 (123) 456-789077"
+
+
 # --- 7 --------------------------------------------------------------------------------------------------------------
 
 

@@ -6,8 +6,10 @@ a type-consistent form (a valid address or card number, the same length, letters
 gender). Surrogates are checked over the whole corpus: one that equals another surrogate or any real entity is drawn
 again, until all are distinct; after a few rounds drawn forms get longer, so that no space runs out. Mentions are rendered in their own format (separators, country code, title, case).
 
-Types: email, phone, ssn, ip (octets up to 255), card (16 digits that pass the Luhn check), key, secret (long hex, or
-the value after "password=" and the like), name (with a title).
+Types: email, phone, ssn, ip (octets up to 255), card (16 digits that pass the Luhn check), key, secret (hex of 32 digits
+or more, or the value after "password=" and the like, of any length up to a blank or quote but for points and commas at
+its end), name (with a title). A named value's mention includes the name, which stays; the value is of its own type if
+it has one.
 
 Only rows with a mention take part in joins; all others pass as they are. Edge cases: null and empty texts pass
 unchanged; repeated rows are treated alike; a null id is an id of its own; numbers that fail their check stay; other
@@ -26,6 +28,9 @@ from .common import read, row_key, whole_row
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Sr|Sra|Mme|MR|MRS|MS|HERR|FRAU|SRA|г-н|г-жа)\.? "
 _NAMED = r"(?i:password|passwd|pwd|secret|token|api_key|apikey)"
+#: What stands before a named value, and the value.
+_BEFORE = rf"{_NAMED} ?[=:] ?[\"']?"
+_VALUE = r"[^\s\"']*[^\s\"'.,;]"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){1,8}",
     "phone": r"(?<![0-9\p{L}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9\p{L}(])\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}(?![0-9])|(?<![0-9\p{L}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
@@ -33,10 +38,11 @@ PATTERNS = {
     "ip": rf"(?<![0-9\p{{L}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9\p{{L}}]|\.[0-9])",
     "card": r"(?<![0-9\p{L}])(?:[0-9]{16}|(?:[0-9]{4}[ -]){3}[0-9]{4})(?![0-9\p{L}])",
     "key": r"(?<![0-9\p{L}])AKIA[0-9A-Z]{16}(?![0-9\p{L}])",
-    "secret": rf"(?<={_NAMED} ?[=:] ?[\"']?)[0-9A-Za-z_/+.-]{{7,127}}[0-9A-Za-z_/+-]|(?<![0-9\p{{L}}])(?=[0-9]{{0,64}}[A-Fa-f])(?=[A-Fa-f]{{0,64}}[0-9])[0-9A-Fa-f]{{32,64}}(?![0-9\p{{L}}])",
+    "secret": r"(?<![0-9\p{L}])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![0-9\p{L}])",
     "name": rf"(?<!\p{{L}}){_TITLE}\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
-PATTERN = "|".join(PATTERNS.values())
+#: The last is for a value whose name is the end of another mention.
+PATTERN = "|".join([f"{_BEFORE}{_VALUE}", *PATTERNS.values(), f"(?<={_BEFORE}){_VALUE}"])
 #: Cheap and wider: a text that doesn't have this has no mention.
 MAYBE = rf"[0-9@]|AKIA|{_NAMED} ?[=:]|{_TITLE}\p{{Lu}}"
 _SCRIPTS = {
@@ -123,15 +129,21 @@ def _made_name(canon: Column, h: Column, more: int = 0) -> Column:
     return F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(F.split(F.substring(canon, 3, 1 << 20), " "), word), " "))
 
 
+def _value(m: Column) -> Column:
+    return F.regexp_replace(m, f"^{_BEFORE}(?=.)", "")
+
+
 def entity_type(m: Column) -> Column:
-    """Type of a mention; null for a number that fails its check."""
+    """Type of a mention; null for a number that fails its check and has no name before it."""
+    named, m = m.rlike("^" + _BEFORE), _value(m)
     out = F.lit("secret")
     for t in ("name", "key", "card", "ip", "ssn", "phone", "email"):
         out = F.when(m.rlike("^(?:" + PATTERNS[t] + ")$"), F.lit(t)).otherwise(out)
-    return F.when((out == "card") & (_luhn_sum(_digits(m)) % 10 != 0), F.lit(None)).otherwise(out)
+    return F.when((out == "card") & (_luhn_sum(_digits(m)) % 10 != 0), F.when(named, F.lit("secret"))).otherwise(out)
 
 
 def canonical(kind: Column, m: Column) -> Column:
+    m = _value(m)
     words = F.lower(F.regexp_replace(m, "^" + _TITLE, ""))
     gender = F.when(m.rlike("^(?:Mrs|Ms|Miss|Frau|Sra|Mme|MRS|MS|FRAU|SRA|г-жа)"), F.lit("f:")).otherwise(F.lit("m:"))
     hexa = m.rlike("^[0-9A-Fa-f]+$")
@@ -155,7 +167,8 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
     h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, F.lit(str(attempt))), 256)
     domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.element_at(F.split(canon, "@"), -1)), 256)
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(h, i) % F.when(i == 0, 223).otherwise(254) + 1).cast("string"))
-    hexa = F.substring(F.concat(h, F.sha2(h, 256)), F.lit(1), F.length(canon))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(canon) - 1) / 64).cast("int")), lambda i: F.when(i == 0, h).otherwise(F.sha2(F.concat(h, i.cast("string")), 256)))
+    hexa = F.substring(F.array_join(blocks, ""), F.lit(1), F.length(canon))
     tail = F.substring(F.sha2(F.concat(h, F.lit("+")), 256), 1, 2 * more)
     port = F.concat(F.lit(":"), (F.conv(F.substring(tail, 1, 4), 16, 10).cast("int") + 1).cast("string")) if more else F.lit("")
     return (
@@ -172,21 +185,24 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
 
 def render(kind: Column, m: Column, s: Column) -> Column:
     """The surrogate in the format of the mention."""
+    whole, m = m, _value(m)
+    before = F.substring(whole, F.lit(1), F.length(whole) - F.length(m))
     own = F.least(F.length(_digits(m)), F.when(kind == "phone", 10).otherwise(16))
     surplus = F.length(_digits(m)) - own  # a country code stays
 
     def digit(ch, i):
-        before = F.length(_digits(F.substring(m, F.lit(1), i))) - surplus
-        return F.when(ch.rlike("[0-9]") & (before >= 0), F.substring(s, before + 1, F.lit(1))).otherwise(ch)
+        at = F.length(_digits(F.substring(m, F.lit(1), i))) - surplus
+        return F.when(ch.rlike("[0-9]") & (at >= 0), F.substring(s, at + 1, F.lit(1))).otherwise(ch)
 
     loud = (m == F.upper(m)) & (m != F.lower(m))
     plain = F.when(kind == "name", F.substring(s, 3, 1 << 20)).otherwise(s)
     cased = F.when(loud & ~kind.isin("key"), F.upper(plain)).otherwise(plain)
-    return (
+    new = (
         F.when(kind.isin("phone", "ssn", "card"), F.concat(F.array_join(F.transform(F.split(m, ""), digit), ""), F.substring(s, own + 1, F.length(s))))
         .when(kind == "name", F.concat(F.regexp_extract(m, "^" + _TITLE, 0), cased))
         .otherwise(cased)
     )
+    return F.concat(before, new)
 
 
 def assign(entities: DataFrame, key: str, max_attempts: int = 64) -> DataFrame:

@@ -313,6 +313,29 @@ def test_pii_small_spaces(spark):
     assert digits.select(pii.render(pii.F.lit("phone"), pii.F.col("m"), pii.F.col("s"))).first()[0] == "+1 (123) 456-789077"
 
 
+def test_pii_secrets_of_any_length(spark):
+    rng = random.Random(9)
+    hexa = lambda n: "1a" + "".join(rng.choice("0123456789abcdef") for _ in range(n - 2))
+    long, odd, text = hexa(128), hexa(300), "".join(rng.choice("abcXYZ_/+-012") for _ in range(199)) + "Q"
+    texts = [
+        f"key {long}, end", f"key {odd} end", f"token={text} end", "password=abc123 and pwd: x.", 'secret="p@ss#w0rd!" end', "api_key='a@b.example#more' end", "password=1234567812345678 but 1234567812345678",
+        "PASSWORD=10.0.0.1/abcd end", "secret: ... end", "mail a@b.example.password=hunter22 end", "token=é中ش end", "password=a@mail.org or a@mail.org", "g" + long, "password=$$$ end",
+    ]
+    new = [r["text"] for r in sorted(pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").collect())]
+    for i, n in ((0, 128), (1, 300)):
+        got_hex = re.fullmatch(r"key ([0-9a-f]+),? end", new[i])[1]
+        assert len(got_hex) == n and got_hex[:20] != texts[i][4:24] and got_hex[-20:] not in texts[i] and got_hex[:64] != got_hex[64:128]
+    assert re.fullmatch(r"token=[\w/+-]{200} end", new[2]) and not any(text[i : i + 20] in new[2] for i in range(180))
+    assert re.fullmatch(r"password=[0-9a-f]{6} and pwd: \w\.", new[3]) and "abc123" not in new[3] and not new[3].endswith("x.")
+    assert re.fullmatch(r'secret="\w@\w\w#\w\d\w\w!" end', new[4]) and "w0rd" not in new[4]
+    assert "a@b" not in new[5] and "more" not in new[5] and new[5].startswith("api_key='") and new[5].endswith("' end")
+    assert re.fullmatch(r"password=\w{16} but 1234567812345678", new[6]) and new[6] != texts[6]
+    assert "10.0.0.1" not in new[7] and "abcd" not in new[7].lower() and new[8] == texts[8] and "hunter22" not in new[9]
+    assert not set("é中ش") & set(new[10]) and len(new[10]) == len(texts[10])
+    a, b = re.fullmatch(r"password=(\S+) or (\S+)", new[11]).groups()
+    assert a == b != "a@mail.org" and new[12] == texts[12] and new[13] != texts[13]
+
+
 # --- 7 --------------------------------------------------------------------------------------------------------------
 
 

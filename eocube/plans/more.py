@@ -562,7 +562,7 @@ def m8(s, d):
 
 def curve_parameters(s, d):
     """Made from suppliers by year: something smooth to measure."""
-    p = A.table(s, d, "supplier").filter("s_suppkey < 400")
+    p = A.table(s, d, "supplier")
     k = c("s_suppkey")
     return p.select((k % 20).cast("int").alias("y"), F.floor(k / 20).cast("int").alias("x"), F.lit(2000).alias("year"), (0.1 + c("s_nationkey") / 200).alias("p0"), (0.5 + k % 7 / 20).alias("p1"), (110.0 + k % 30).alias("p2"), (8.0 + k % 5).alias("p3"), (260.0 + k % 40).alias("p4"), (9.0 + k % 4).alias("p5"), (k % 10 / 20000).alias("p6"))
 

@@ -407,3 +407,12 @@ def test_stream_of_readings(spark, tmp_path):
 def test_composites(spark):
     o = spark.createDataFrame([(0, 0, D("2020-01-03"), None), (0, 0, D("2020-01-05"), 2.0), (0, 0, D("2020-01-09"), 4.0)], "y int, x int, date date, value double")
     assert [composite.composite(o, "month", h).first()["value"] for h in ("first", "last", "mean", "max", "min")] == [2.0, 4.0, 3.0, 4.0, 2.0]
+
+
+def test_curves_of_all_suppliers(spark, tmp_path):
+    """Every supplier has a curve at its own pixel, however high its id."""
+    from eocube.plans.more import curve_parameters
+
+    spark.createDataFrame([(i, i % 25) for i in range(1, 1001)], "s_suppkey bigint, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = curve_parameters(spark, str(tmp_path)).select("y", "x").collect()
+    assert len(got) == len(set(got)) == 1000

@@ -19,7 +19,6 @@ are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-import unicodedata
 from heapq import merge
 
 import numpy as np
@@ -42,96 +41,128 @@ class LibraryIds:
 
     A piece between ASCII blanks is encoded by the library itself. That equals encoding the whole text where the file's
     normalizer and splitter treat blanks as borders (NFC, blank runs to one blank, lower case; a splitter that drops
-    blanks); A-Z are lower-cased before, as the normalizer does. Texts with a special token's string, and all texts
-    under another kind of file, are given to the library whole.
-
-    New pieces go to the library many at a time, with blanks between them. In such a vocabulary the last token of a
-    word bears the suffix of word ends and no other does, so the ids fall apart into words by themselves; a piece gets
-    as many as the splitter's pattern finds in it. Where the numbers differ, each piece is encoded alone.
+    blanks and takes runs of letters); A-Z are lower-cased before, as the normalizer does. Texts with a special token's
+    string, and all texts under another kind of file, are given to the library whole.
+
+    Most pieces are a word of letters, perhaps with punctuation behind it, and both parts are tokens by themselves for
+    the splitter. New words go to the library many at a time, with blanks between them: the last token of a word bears
+    the suffix of word ends and no other does, so the ids fall apart into words by themselves (checked by number). All
+    other pieces are encoded alone. Pieces are kept in two generations: what the older one has and is met again moves to
+    the younger, so that frequent pieces stay when the older is dropped.
     """
 
-    def __init__(self, path: str, keep: int = 450_000):
+    def __init__(self, path: str, width: int = 4, keep: int = 1_200_000):
         import json
 
-        from tokenizers import Tokenizer
-
-        from .byte_bpe import unfold
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.keep, self.pieces = keep, {}
+        self.width, self.keep = width, keep
+        self.pieces: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        if width == 2 and self.lib.get_vocab_size() > 1 << 16:
+            raise ValueError("ids need 4 bytes")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         norm = spec["normalizer"] or {"type": ""}
-        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        split, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         pattern = (split.get("pattern") or {}).get("Regex", "")
         suffix = spec["model"].get("end_of_word_suffix")
         self.by_piece = (
             {n["type"] for n in norm.get("normalizers", [norm])} == {"NFC", "Replace", "Lowercase"}
             and (split.get("type"), split.get("behavior"), split.get("invert")) == ("Split", "Removed", True)
-            and "[^\\s" in pattern and bool(suffix)
+            and {"[\\p{L}]+", "[^\\s\\p{L}\\p{N}]+"} <= set(pattern.split("|")) and [r["type"] for r in rest] == ["ByteLevel"] and bool(suffix)
         )
         if self.by_piece:
-            self.plain.normalizer = None  # for pieces that the normalizer would leave as they are
-            self.find = re.compile(unfold(pattern, 0x10FFFF)).findall
+            # For words that the normalizer would leave as they are and the splitter whole.
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
             self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
 
+    def _pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
+
     def _alone(self, pieces: list[bytes]) -> None:
         for k in range(0, len(pieces), 10_000):
             some = pieces[k : k + 10_000]
             got = self.lib.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
-            self.pieces.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(some, got))
-
-    def _together(self, pieces: list[bytes]) -> None:
-        text = [x.decode() for x in pieces]
-        simple = [t.isascii() or (t == t.lower() and unicodedata.is_normalized("NFC", t)) for t in text]
-        odd = [x for x, ok in zip(pieces, simple) if not ok]
-        if odd:
-            pieces, text = [x for x, ok in zip(pieces, simple) if ok], [t for t, ok in zip(text, simple) if ok]
-        # A word, a word with a stop, or what the pattern finds.
-        count = np.fromiter((1 if t.isalpha() else 2 if t[-1] in ".,;:!?" and t[:-1].isalpha() else len(self.find(t)) for t in text), np.int64, len(text))
-        for k in range(0, len(text), 2_000):
-            ids = np.array(self.plain.encode_batch_fast([" ".join(text[k : k + 2_000])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            n = count[k : k + 2_000]
-            words = np.cumsum(n)
-            if len(ends) and words[-1] == len(ends) and ends[-1] == len(ids) and n.min() > 0:
-                stop = (4 * ends[words - 1]).tolist()
-                packed = ids.tobytes()
-                self.pieces.update(zip(pieces[k : k + 2_000], [packed[i:j] for i, j in zip([0, *stop], stop)]))
+            self.pieces.update((x, self._pack(e.ids)) for x, e in zip(some, got))
+
+    def _words(self, words: list[bytes]) -> None:
+        """Words of letters, 200 at a time."""
+        w, odd = self.width, []
+        for k in range(0, len(words), 200):
+            some = words[k : k + 200]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, f"<u{w}")
+            stop = (w * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            packed = ids.tobytes()
+            if len(stop) == len(some) and stop[-1] == len(packed):
+                self.pieces.update(zip(some, [packed[i:j] for i, j in zip([0, *stop], stop)]))
             else:
-                odd += pieces[k : k + 2_000]
+                odd += some
         self._alone(odd)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
+    def _known(self, new: set[bytes]) -> set[bytes]:
+        """Those of ``new`` that the older generation has; they move to the younger one."""
+        known = self.older.keys() & new if self.older else set()
+        self.pieces.update(zip(known, map(self.older.__getitem__, known)))
+        return known
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Ids of pieces that the younger generation hasn't."""
+        new = new - self._known(new)
+        parts = _WORD.findall(b"\n".join(new))  # (word, punctuation behind it)
+        alone = new.difference(map(b"".join, parts))
+        alone.update(tail for _, tail in parts)
+        words = {word for word, _ in parts}.difference(self.pieces)
+        self._words(list(words - self._known(words)))
+        self._alone(list(alone.difference(self.pieces)))
+        get = self.pieces.__getitem__
+        self.pieces.update([(word + tail, get(word) + get(tail)) for word, tail in parts if tail])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, packed."""
+        out = [b""] * len(texts)
         cut: dict[int, list[bytes]] = {}
+        held = 0
         for i, t in enumerate(texts):
             if not t:
-                out[i] = np.empty(0, "<u4")
-            elif not self.by_piece or any(s in t for s in self.special):
-                out[i] = np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u4")
-            else:
-                cut[i] = t.encode().lower().split()
+                continue
+            if not self.by_piece or any(s in t for s in self.special):
+                out[i] = self._pack(self.lib.encode(t, add_special_tokens=False).ids)
+                continue
+            cut[i] = t.encode().lower().split()
+            held += len(t)
+            if held > 1 << 21:
+                self._flush(cut, out)
+                cut, held = {}, 0
+        self._flush(cut, out)
+        return out
+
+    def _flush(self, cut: dict[int, list[bytes]], out: list[bytes]) -> None:
         seen = set().union(*cut.values())
         new = seen.difference(self.pieces)
-        if len(self.pieces) + len(new) > self.keep:
-            self.pieces, new = {}, seen
-        self._together(list(new))
-        get = self.pieces.__getitem__
+        if len(self.pieces) + len(new) > self.keep // 2:
+            self.older, self.pieces, new = self.pieces, {}, seen
+        self._learn(new)
+        get = dict(zip(seen, map(self.pieces.__getitem__, seen))).__getitem__  # small, so it stays in the processor's cache
         for i, p in cut.items():
-            out[i] = np.frombuffer(b"".join(map(get, p)), "<u4")
-        return out
+            out[i] = b"".join(map(get, p))
 
 
-_LIBS: dict[str, LibraryIds] = {}
+#: A word in lower-case letters of ASCII, Latin-1 or Cyrillic (composed, and letters in every version of Unicode) and ASCII punctuation.
+_WORD = re.compile(rb"^((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]|\xd0[\xb0-\xbf]|\xd1[\x80-\x9f])+)([!-/:-@\[-`{-~]*)$", re.M)
+
+_LIBS: dict[tuple[str, int], LibraryIds] = {}
 
 
 def library_ids(docs: DataFrame, path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """``(doc_id, ids binary)``: little-endian ids of ``width`` bytes of each text, then ``end_id`` if given.
+    """``(doc_id, ids binary, counts binary)``: little-endian ids of ``width`` bytes of each text, then ``end_id`` if given.
 
-    ``width`` 2 halves what is moved, for vocabularies of up to 65,536 ids.
+    ``counts`` stands in the first row of each Arrow batch (null in the others): the batch's ids and how often each
+    occurs, as pairs of uint32. ``width`` 2 halves what is moved, for vocabularies of up to 65,536 ids.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -139,16 +170,17 @@ def library_ids(docs: DataFrame, path: str, end_id: int | None = None, id_col: s
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _LIBS:
-            _LIBS[path] = LibraryIds(path)
+        if (path, width) not in _LIBS:
+            _LIBS[path, width] = LibraryIds(path, width)
         end = np.array([] if end_id is None else [end_id], f"<u{width}").tobytes()
-        if width == 2 and _LIBS[path].lib.get_vocab_size() > 1 << 16:
-            raise ValueError("ids need 4 bytes")
         for b in batches(rows):
-            ids = [x.astype(f"<u{width}").tobytes() + end for x in _LIBS[path].encode(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids = [x + end for x in _LIBS[path, width].encode(b.column(1).to_pylist())]
+            total = np.bincount(np.frombuffer(b"".join(ids), f"<u{width}"))
+            used = np.flatnonzero(total)
+            counts = [np.stack([used, total[used]], axis=1).astype("<u4").tobytes(), *[None] * (len(ids) - 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "ids", "counts"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, ids binary")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, ids binary, counts binary")
 
 
 # --- code -----------------------------------------------------------------------------------------------------------
@@ -196,8 +228,8 @@ class Code:
         used = int(width.sum())
         self.table[:used] = np.repeat(ids << 6 | lens, width)
 
-    def encode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
-        """Code words and checkpoints of documents with ``sizes`` ids each; every document starts at a byte."""
+    def encode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Code words and checkpoints (bit offsets) of documents with ``sizes`` ids each; every document starts at a byte."""
         n = self.bits[ids]
         after = np.concatenate([[0], np.cumsum(n)])
         first = np.concatenate([[0], np.cumsum(sizes)])
@@ -207,12 +239,13 @@ class Code:
         start = after[:-1] + np.repeat(byte * 8 - after[first[:-1]], sizes)
         slot, shift = start >> 5, 64 - (start & 31) - n  # a word lies in two neighbouring 32-bit slots
         both = self.word[ids].astype(np.uint64) << shift.astype(np.uint64)
-        slots = int(size.sum()) // 4 + 3
+        total = int(size.sum())
+        slots = total // 4 + 3
         hi = np.bincount(slot, (both >> np.uint64(32)).astype(np.float64), slots)
         lo = np.bincount(slot + 1, (both & np.uint64(0xFFFFFFFF)).astype(np.float64), slots)
-        payload = (hi + lo).astype(np.uint64).astype(">u4").tobytes()
-        words = [payload[i : i + k] for i, k in zip(byte.tolist(), size.tolist())]
-        return words, [start[i:j:STRIDE] - 8 * k for i, j, k in zip(first.tolist(), first[1:].tolist(), byte.tolist())]
+        payload = (hi + lo).astype(np.uint64).astype(">u4").tobytes()[:total]
+        nth = np.arange(len(ids)) - np.repeat(first[:-1], sizes)
+        return payload, start[nth % STRIDE == 0]
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """All ids of a block. Each checkpoint is followed by ``counts`` ids; all advance together, the longest first."""
@@ -234,35 +267,35 @@ class Code:
         return out
 
 
-def count_ids(encoded: DataFrame, width: int = 4) -> DataFrame:
-    """Global counts ``(id, n)``; a task sends one row for each id that it has."""
+def count_ids(encoded: DataFrame) -> DataFrame:
+    """Global counts ``(id, n)`` from the batches' counts; a task sends one row for each id that it has."""
 
     def run(rows):
         total = np.zeros(0, np.int64)
-        for b in batches(rows):
-            flat = np.frombuffer(b"".join(x for x in b.column(1).to_pylist() if x), f"<u{width}")
-            got = np.bincount(flat)
-            if len(got) > len(total):
-                got, total = total, got
-            total = total.copy()
-            total[: len(got)] += got
+        for b in rows:
+            for x in b.column(0):
+                got = np.frombuffer(x.as_py(), "<u4").reshape(-1, 2).astype(np.int64)
+                if len(got) and got[-1, 0] >= len(total):
+                    total = np.concatenate([total, np.zeros(got[-1, 0] + 1 - len(total), np.int64)])
+                total[got[:, 0]] += got[:, 1]
         ids = np.flatnonzero(total)
         if len(ids):
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("counts").filter("counts is not null").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
 def write(encoded: DataFrame, path: str, width: int = 4, max_bits: int = 16, block_tokens: int = 1 << 18, max_ids: int = 1 << 20) -> None:
-    """Write ``(doc_id, ids)`` in the file format, in ascending doc_id order. ``encoded`` should be stored: it is read three times.
+    """Write ``(doc_id, ids, counts)`` in the file format, in ascending doc_id order. ``encoded`` should be stored: ids are read twice.
 
     The counts that the driver gets have a row for each id of the vocabulary at most (checked against ``max_ids``).
+    Documents are dealt by ranges of the stored ids and packed in order, so that packing runs once.
     """
     spark = encoded.sparkSession
-    counts = {r["id"]: r["n"] for r in count_ids(encoded, width).limit(max_ids + 1).collect()}
+    counts = {r["id"]: r["n"] for r in count_ids(encoded).limit(max_ids + 1).collect()}
     bounded(len(counts), max_ids, "ids in use")
     lengths = code_lengths(counts, min(24, max(max_bits, (max(1, len(counts)) - 1).bit_length())))
     spark.createDataFrame(sorted(lengths.items()), "id bigint, length int").coalesce(1).write.parquet(f"{path}/code")
@@ -270,41 +303,32 @@ def write(encoded: DataFrame, path: str, width: int = 4, max_bits: int = 16, blo
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def pack(rows):
-        """Code words by document, so that the sort moves coded bytes."""
-        code = Code(shared.value)
-        for b in batches(rows, (1 << 19) * width):
-            got = b.column(1).to_pylist()
-            sizes = np.array([len(x) // width if x else 0 for x in got], np.int64)
-            words, checkpoints = code.encode(np.frombuffer(b"".join(x for x in got if x), f"<u{width}").astype(np.int64), sizes)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(words, pa.binary()), pa.array(checkpoints, pa.list_(pa.int64()))], ["doc_id", "n", "words", "checkpoints"])
-
-    def join(rows):
-        """Documents in order -> blocks. A document over the size of a block has a block of its own."""
-        part, number, first, docs, held = TaskContext.get().partitionId(), 0, 0, [], 0
+        """Documents in order -> blocks. A document over the size of a block ends its block."""
+        code, part, number, first = Code(shared.value), TaskContext.get().partitionId(), 0, 0
+        ids, texts, held = [], [], 0
 
         def block():
-            ids, sizes, words, points = zip(*docs)
-            byte = np.cumsum([0, *map(len, words)])[:-1] * 8
-            marks = np.concatenate([np.asarray(c, np.int64) + o for c, o in zip(points, byte)])
-            cols = [part], [number], [first], [held], [b"".join(words)], [marks], [ids], [sizes]
+            sizes = np.array([len(x) // width for x in texts], np.int64)
+            payload, marks = code.encode(np.frombuffer(b"".join(texts), f"<u{width}").astype(np.int64), sizes)
+            cols = [part], [number], [first], [held], [payload], [marks], [ids], [sizes]
             kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(kind_of), pa.list_(pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["part", "block", "first", "n_tokens", "payload", "checkpoints", "doc_ids", "doc_tokens"])
 
         for b in rows:
             kind_of = b.schema.field(0).type
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                docs.append(row)
-                held += row[1]
-                if held >= block_tokens or len(docs) >= block_tokens:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                ids.append(doc)
+                texts.append(text.as_py() or b"")
+                held += len(texts[-1]) // width
+                if held >= block_tokens or len(ids) >= block_tokens:
                     yield block()
-                    number, first, docs, held = number + 1, first + held, [], 0
-        if docs:
+                    number, first, ids, texts, held = number + 1, first + held, [], [], 0
+        if ids:
             yield block()
 
-    packed = encoded.select("doc_id", "ids").mapInArrow(pack, f"doc_id {kind}, n bigint, words binary, checkpoints array<bigint>")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = packed.withColumn("_h", F.xxhash64("words")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
-    blocks = ordered.mapInArrow(join, f"part int, block int, first bigint, n_tokens bigint, payload binary, checkpoints array<bigint>, doc_ids array<{kind}>, doc_tokens array<bigint>")
+    ordered = encoded.select("doc_id", "ids", F.xxhash64("ids").alias("_h")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").drop("_h")
+    blocks = ordered.mapInArrow(pack, f"part int, block int, first bigint, n_tokens bigint, payload binary, checkpoints array<bigint>, doc_ids array<{kind}>, doc_tokens array<bigint>")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 

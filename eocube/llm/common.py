@@ -25,10 +25,8 @@ def as_bytes(c: str) -> Column:
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Identity of a row by content: rows equal in both parts get the same decision. Null-safe (no part is null)."""
-    return [
-        F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_k1"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit("\0null"))).alias("_k2"),
-    ]
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return [F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("null")).alias("_k1"), F.xxhash64(t.isNull(), t).alias("_k2")]
 
 
 def whole_row(df: DataFrame) -> Column:

@@ -1,15 +1,19 @@
 """PII surrogates, with DataFrame functions only.
 
-Mentions are found by one pattern; a mention's type and canonical form name its entity, so differently written mentions
-of one entity (phone separators, upper case) corefer. Every distinct entity gets one surrogate: a keyed SHA-256 drives
-a type-consistent form (a valid address or card number, the same length, letters of the same script, a name of the same
-gender). Surrogates are checked over the whole corpus: one that equals another surrogate or any real entity is drawn
-again, until all are distinct; after a few rounds drawn forms get longer, so that no space runs out. Mentions are rendered in their own format (separators, country code, title, case).
+Mentions are found by one pattern, in one pass over the text; a mention's type and canonical form name its entity, so
+differently written mentions of one entity (phone separators and country code, upper case) corefer. Every distinct
+entity gets one surrogate: a keyed SHA-256 drives a type-consistent form (a valid address, number or check digit, the
+same length, letters of the same script, a name of the same gender). Surrogates are checked over the whole corpus: one
+that equals another surrogate or any real entity is drawn again, until all are distinct; after a few rounds drawn forms
+get longer, so that no space runs out. Mentions are rendered in their own format (separators, country code, title, case).
 
-Types: email, phone, ssn, ip (octets up to 255), card (16 digits that pass the Luhn check), key, secret (hex of 32 digits
-or more, or the value after "password=" and the like, of any length up to a blank or quote but for points and commas at
-its end), name (with a title). A named value's mention includes the name, which stays; the value is of its own type if
-it has one.
+Names are entities by part: "Mr. John Smith" is a first name (with the title's gender) and a family name, so "Mr. Smith"
+and, in the same document, "John Smith" or "Smith" without a title get the same parts.
+
+Types: email, phone (its country code stays), ssn, ip (octets up to 255), card (15 or 16 digits that pass the Luhn
+check), iban (check number 97), key, secret (hex of 32 digits or more, or the value after "password=" and the like, of
+any length up to a blank or quote but for points and commas at its end), name (with a title). A named value's mention
+includes the name, which stays; the value is of its own type if it has one.
 
 Only rows with a mention take part in joins; all others pass as they are. Edge cases: null and empty texts pass
 unchanged; repeated rows are treated alike; a null id is an id of its own; numbers that fail their check stay; other
@@ -26,7 +30,7 @@ from ..session import stage
 from .common import read, row_key, whole_row
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_TITLE = r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Sr|Sra|Mme|MR|MRS|MS|HERR|FRAU|SRA|г-н|г-жа)\.? "
+_TITLE = r"(?:M(?:rs?|s|iss|me|RS?|S)|H(?:err|ERR)|F(?:rau|RAU)|S(?:ra?|RA)|г-(?:н|жа))\.? "
 _NAMED = r"(?i:password|passwd|pwd|secret|token|api_key|apikey)"
 #: What stands before a named value, and the value.
 _BEFORE = rf"{_NAMED} ?[=:] ?[\"']?"
@@ -36,15 +40,18 @@ PATTERNS = {
     "phone": r"(?<![0-9\p{L}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9\p{L}(])\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}(?![0-9])|(?<![0-9\p{L}.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9\p{L}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": rf"(?<![0-9\p{{L}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9\p{{L}}]|\.[0-9])",
-    "card": r"(?<![0-9\p{L}])(?:[0-9]{16}|(?:[0-9]{4}[ -]){3}[0-9]{4})(?![0-9\p{L}])",
+    "card": r"(?<![0-9\p{L}])(?:[0-9]{16}|(?:[0-9]{4}[ -]){3}[0-9]{4}|3[47][0-9]{2}(?:[0-9]{11}|[ -][0-9]{6}[ -][0-9]{5}))(?![0-9\p{L}])",
+    "iban": r"(?<![0-9\p{L}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9\p{L}])",
     "key": r"(?<![0-9\p{L}])AKIA[0-9A-Z]{16}(?![0-9\p{L}])",
     "secret": r"(?<![0-9\p{L}])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![0-9\p{L}])",
     "name": rf"(?<!\p{{L}}){_TITLE}\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 #: The last is for a value whose name is the end of another mention.
 PATTERN = "|".join([f"{_BEFORE}{_VALUE}", *PATTERNS.values(), f"(?<={_BEFORE}){_VALUE}"])
-#: Cheap and wider: a text that doesn't have this has no mention.
-MAYBE = rf"[0-9@]|AKIA|{_NAMED} ?[=:]|{_TITLE}\p{{Lu}}"
+#: Noncharacters that are put around mentions.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+#: Country codes of one and two digits (fixed values); all others have three.
+_COUNTRY = r"^(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _SCRIPTS = {
     "[a-z]": "abcdefghijklmnopqrstuvwxyz",
     "[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -65,10 +72,10 @@ _SCRIPTS = {
     r"\p{L}": "abcdefghijklmnopqrstuvwxyz",
     r"\p{N}": "0123456789",
 }
-#: Syllables of made-up names: (script, beginnings, middles, endings by gender).
+#: Syllables of made-up names: (beginnings, middles, endings by role: f and m first names, s family names, t and u those of women and men).
 _NAMES = {
-    "latin": (["ba", "do", "fe", "ga", "ka", "le", "mi", "no", "pe", "ra", "sa", "te", "vi", "wa", "ze", "lu"], ["bri", "dan", "lor", "mar", "nel", "ris", "son", "tor", "ven", "lin", "gar", "kel", "min", "pol", "ren", "sta"], {"f": ["a", "ia", "ina", "ela"], "m": ["o", "us", "an", "ert"]}),
-    "cyrillic": (["ба", "до", "ве", "га", "ка", "ле", "ми", "но", "пе", "ра", "са", "те", "ви", "за", "лу", "фе"], ["бри", "дан", "лор", "мар", "нел", "рис", "сон", "тор", "вен", "лин", "гар", "кел", "мин", "пол", "рен", "ста"], {"f": ["а", "ия", "ина", "ова"], "m": ["ов", "ин", "ей", "ан"]}),
+    "latin": (["ba", "do", "fe", "ga", "ka", "le", "mi", "no", "pe", "ra", "sa", "te", "vi", "wa", "ze", "lu"], ["bri", "dan", "lor", "mar", "nel", "ris", "son", "tor", "ven", "lin", "gar", "kel", "min", "pol", "ren", "sta"], {"f": ["a", "ia", "ina", "ela"], "m": ["o", "us", "an", "ert"], "s": ["er", "ley", "mann", "ford"]}),
+    "cyrillic": (["ба", "до", "ве", "га", "ка", "ле", "ми", "но", "пе", "ра", "са", "те", "ви", "за", "лу", "фе"], ["бри", "дан", "лор", "мар", "нел", "рис", "сон", "тор", "вен", "лин", "гар", "кел", "мин", "пол", "рен", "ста"], {"f": ["а", "ия", "ина", "ела"], "m": ["ей", "ан", "он", "ир"], "t": ["ова", "ина", "ева", "ская"], "u": ["ов", "ин", "ев", "ский"]}),
 }
 
 
@@ -101,32 +108,65 @@ def _alike(text: Column, h: Column) -> Column:
 
 
 def _luhn_sum(digits: Column) -> Column:
-    """Luhn sum of up to 16 digits, counted from the left of 16."""
-    d = F.transform(F.split(digits, ""), lambda c, i: F.when(i % 2 == 0, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int")))
+    """Luhn sum: from the right, every second digit counts double."""
+    d = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 1, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int")))
     return F.aggregate(d, F.lit(0), lambda a, x: a + x)
 
 
+def _random_digits(h: Column, n: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _pick("0123456789", _number(h, i))), "")
+
+
 def _card(canon: Column, h: Column) -> Column:
-    body = F.concat(F.substring(canon, 1, 1), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: _pick("0123456789", _number(h, i))), ""))
-    return F.concat(body, F.pmod(10 - _luhn_sum(body) % 10, F.lit(10)).cast("string"))
+    """The same length and issuer's digits, a valid check digit."""
+    head = F.when(F.length(canon) == 15, F.substring(canon, 1, 2)).otherwise(F.substring(canon, 1, 1))
+    body = F.concat(head, _random_digits(h, F.length(canon) - 1 - F.length(head)))
+    return F.concat(body, F.pmod(10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string"))
 
 
-def _made_name(canon: Column, h: Column, more: int = 0) -> Column:
-    """``gender:words`` -> made-up words in the same script with the ending of the gender; ``more`` syllables than usual."""
-    gender = F.substring(canon, 1, 1)
-    longer = F.sha2(h, 256)
+def _mod97(iban: Column) -> Column:
+    """Remainder of an IBAN (upper case, no blanks): its first four characters go to the end, letters count from 10."""
+    turned = F.concat(F.substring(iban, 5, 64), F.substring(iban, 1, 4))
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.split(turned, ""), F.lit(0), step)
+
 
-    def word(w, i):
-        def of(script):
-            begin, middle, ends = _NAMES[script]
-            some = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), F.pmod(n, F.lit(len(xs))) + 1)
-            n = lambda k: _number(h, i * 4 + k)
-            further = [some(middle, _number(longer, i * more + k)) for k in range(more)]
-            return F.initcap(F.concat(some(begin, n(0)), some(middle, n(1)), some(middle, n(2)), *further, F.when(gender == "f", some(ends["f"], n(3))).otherwise(some(ends["m"], n(3)))))
+def _iban(canon: Column, h: Column) -> Column:
+    country, account = F.substring(canon, 1, 2), _alike(F.substring(canon, 5, 64), h)
+    check = 98 - _mod97(F.concat(country, F.lit("00"), account))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
 
-        return F.when(w.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
-    return F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(F.split(F.substring(canon, 3, 1 << 20), " "), word), " "))
+def _phone(canon: Column, h: Column) -> Column:
+    """National digits: areas and exchanges start with 2 to 9."""
+    n = F.length(canon)
+    digit = lambda i: F.when((i == 0) | ((i == 3) & (n == 10)), _pick("23456789", _number(h, i))).otherwise(_pick("0123456789", _number(h, i)))
+    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), digit), "")
+
+
+def _ssn(h: Column) -> Column:
+    """Areas 001 to 899 without 666, groups from 01, serials from 0001."""
+    n = lambda at, k: F.conv(F.substring(h, at, 8), 16, 10).cast("long") % k + 1
+    area = n(1, 898)
+    area = area + F.when(area >= 666, 1).otherwise(0)
+    return F.concat(F.lpad(area.cast("string"), 3, "0"), F.lpad(n(9, 99).cast("string"), 2, "0"), F.lpad(n(17, 9999).cast("string"), 4, "0"))
+
+
+def _made_name(canon: Column, h: Column, more: int = 0) -> Column:
+    """``role:word`` -> a made-up word of the same script with the ending of the role; ``more`` syllables than usual."""
+    role, w, longer = F.substring(canon, 1, 1), F.substring(canon, 3, 1 << 20), F.sha2(h, 256)
+    some = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), F.pmod(n, F.lit(len(xs))) + 1)
+
+    def of(script):
+        begin, middle, ends = _NAMES[script]
+        further = [some(middle, _number(longer, k)) for k in range(more)]
+        end = F.lit("")
+        for r, xs in ends.items():
+            end = F.when(role == r, some(xs, _number(h, 3))).otherwise(end)
+        return F.concat(some(begin, _number(h, 0)), some(middle, _number(h, 1)), some(middle, _number(h, 2)), *further, end)
+
+    other = F.concat(_alike(w, h), _alike(F.repeat(F.substring(w, 1, 1), F.lit(more)), longer) if more else F.lit(""))
+    return F.initcap(F.when(w.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(w.rlike(r"\p{IsLatin}"), of("latin")).otherwise(other))
 
 
 def _value(m: Column) -> Column:
@@ -137,26 +177,38 @@ def entity_type(m: Column) -> Column:
     """Type of a mention; null for a number that fails its check and has no name before it."""
     named, m = m.rlike("^" + _BEFORE), _value(m)
     out = F.lit("secret")
-    for t in ("name", "key", "card", "ip", "ssn", "phone", "email"):
+    for t in ("name", "key", "card", "iban", "ip", "ssn", "phone", "email"):
         out = F.when(m.rlike("^(?:" + PATTERNS[t] + ")$"), F.lit(t)).otherwise(out)
-    return F.when((out == "card") & (_luhn_sum(_digits(m)) % 10 != 0), F.when(named, F.lit("secret"))).otherwise(out)
+    bad = ((out == "card") & (_luhn_sum(_digits(m)) % 10 != 0)) | ((out == "iban") & (_mod97(F.replace(m, F.lit(" "), F.lit(""))) != 1))
+    return F.when(bad, F.when(named, F.lit("secret"))).otherwise(out)
 
 
 def canonical(kind: Column, m: Column) -> Column:
+    """Canonical form of a mention (of a name: see ``name_parts``)."""
     m = _value(m)
-    words = F.lower(F.regexp_replace(m, "^" + _TITLE, ""))
-    gender = F.when(m.rlike("^(?:Mrs|Ms|Miss|Frau|Sra|Mme|MRS|MS|FRAU|SRA|г-жа)"), F.lit("f:")).otherwise(F.lit("m:"))
-    hexa = m.rlike("^[0-9A-Fa-f]+$")
+    # A phone number without country code and trunk zeros.
+    national = F.regexp_replace(F.when(m.startswith("+"), F.regexp_replace(_digits(m), _COUNTRY, "")).otherwise(_digits(m)), "^0+(?=.)", "")
     return (
         F.when(kind.isin("card", "ssn"), _digits(m))
-        .when(kind == "phone", F.substring(_digits(m), F.greatest(F.lit(1), F.length(_digits(m)) - 9), F.lit(10)))
+        .when(kind == "phone", national)
+        .when(kind == "iban", F.replace(m, F.lit(" "), F.lit("")))
         .when(kind == "email", F.lower(m))
-        .when(kind == "name", F.concat(gender, words))
-        .when((kind == "secret") & hexa, F.lower(m))
+        .when((kind == "secret") & m.rlike("^[0-9A-Fa-f]+$"), F.lower(m))
         .otherwise(m)
     )
 
 
+def name_parts(m: Column) -> Column:
+    """Canonical parts ``role:word`` of a name with its title: a first name by gender (where there are two words), a family name."""
+    m = _value(m)
+    words = F.split(F.lower(F.regexp_replace(m, "^" + _TITLE, "")), " ")
+    female = m.rlike("^(?:M(?:rs|s|iss|me|RS|S)|F(?:rau|RAU)|S(?:ra|RA)|г-жа)")
+    last = F.element_at(words, -1)
+    family = F.concat(F.when(last.rlike(r"\p{IsCyrillic}"), F.when(female, F.lit("t:")).otherwise(F.lit("u:"))).otherwise(F.lit("s:")), last)
+    first = F.concat(F.when(female, F.lit("f:")).otherwise(F.lit("m:")), F.element_at(words, 1))
+    return F.when(F.size(words) > 1, F.array(first, family)).otherwise(F.array(family))
+
+
 #: From this attempt on surrogates are longer, by a syllable, a digit or two characters more each time.
 LONGER = 4
 
@@ -175,6 +227,9 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
         F.when(kind == "email", F.concat(_alike(F.element_at(F.split(canon, "@"), 1), h), F.lit("-" if more else ""), tail, F.lit("@h"), F.substring(domain, 1, 8), F.lit(".example.net")))
         .when(kind == "ip", F.concat(F.array_join(octets, "."), port))
         .when(kind == "card", _card(canon, h))
+        .when(kind == "iban", _iban(canon, h))
+        .when(kind == "phone", F.concat(_phone(canon, h), _random_digits(F.sha2(h, 256), F.lit(more)) if more else F.lit("")))
+        .when(kind == "ssn", F.concat(_ssn(h), _random_digits(F.sha2(h, 256), F.lit(more)) if more else F.lit("")))
         .when(kind == "key", F.concat(F.lit("AKIA"), _alike(F.substring(canon, 5, 16), h)))
         .when(kind == "name", _made_name(canon, h, more))
         .when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), F.concat(hexa, tail))
@@ -184,35 +239,40 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
 
 
 def render(kind: Column, m: Column, s: Column) -> Column:
-    """The surrogate in the format of the mention."""
+    """The surrogate in the format of the mention (of a name: see ``render_name``)."""
     whole, m = m, _value(m)
     before = F.substring(whole, F.lit(1), F.length(whole) - F.length(m))
-    own = F.least(F.length(_digits(m)), F.when(kind == "phone", 10).otherwise(16))
-    surplus = F.length(_digits(m)) - own  # a country code stays
+    kept = F.when(kind == "iban", "[^0-9A-Z]").otherwise("[^0-9]")  # what stays as it is
+    plain = lambda x: F.regexp_replace(x, kept, F.lit(""))
+    own = F.length(canonical(kind, whole))
+    surplus = F.length(plain(m)) - own  # a country code and trunk zeros stay
 
-    def digit(ch, i):
-        at = F.length(_digits(F.substring(m, F.lit(1), i))) - surplus
-        return F.when(ch.rlike("[0-9]") & (at >= 0), F.substring(s, at + 1, F.lit(1))).otherwise(ch)
+    def one(ch, i):
+        at = F.length(plain(F.substring(m, F.lit(1), i))) - surplus
+        return F.when((F.length(plain(ch)) > 0) & (at >= 0), F.substring(s, at + 1, F.lit(1))).otherwise(ch)
 
     loud = (m == F.upper(m)) & (m != F.lower(m))
-    plain = F.when(kind == "name", F.substring(s, 3, 1 << 20)).otherwise(s)
-    cased = F.when(loud & ~kind.isin("key"), F.upper(plain)).otherwise(plain)
-    new = (
-        F.when(kind.isin("phone", "ssn", "card"), F.concat(F.array_join(F.transform(F.split(m, ""), digit), ""), F.substring(s, own + 1, F.length(s))))
-        .when(kind == "name", F.concat(F.regexp_extract(m, "^" + _TITLE, 0), cased))
-        .otherwise(cased)
-    )
+    new = F.when(kind.isin("phone", "ssn", "card", "iban"), F.concat(F.array_join(F.transform(F.split(m, ""), one), ""), F.substring(s, own + 1, F.length(s)))).otherwise(F.when(loud & (kind != "key"), F.upper(s)).otherwise(s))
     return F.concat(before, new)
 
 
+def render_name(m: Column, parts: Column) -> Column:
+    """Title, then the parts' surrogates in the case of the mention."""
+    whole, m = m, _value(m)
+    before = F.substring(whole, F.lit(1), F.length(whole) - F.length(m))
+    words = F.array_join(parts, " ")
+    return F.concat(before, F.regexp_extract(m, "^" + _TITLE, 0), F.when(m == F.upper(m), F.upper(words)).otherwise(words))
+
+
 def assign(entities: DataFrame, key: str, max_attempts: int = 64) -> DataFrame:
     """``(kind, canon, surrogate)`` for every distinct entity ``(kind, canon)``: distinct surrogates, none a real entity.
 
     Each round draws for the entities that are left; of several that draw the same, the first keeps it.
     """
     pending, given = stage(entities, "entities"), None
-    every = pending.select("kind", F.col("canon").alias("_real"))
-    like_real = (F.when(F.col("kind") == "name", F.lower("surrogate")).otherwise(F.col("surrogate"))).alias("_real")
+    is_name = F.col("kind") == "name"
+    every = pending.select("kind", F.when(is_name, F.substring("canon", 3, 1 << 20)).otherwise(F.col("canon")).alias("_real")).distinct()
+    like_real = F.when(is_name, F.lower("surrogate")).otherwise(F.col("surrogate")).alias("_real")
     for attempt in range(max_attempts):
         drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("canon"), key, attempt))
         if given is not None:
@@ -226,30 +286,74 @@ def assign(entities: DataFrame, key: str, max_attempts: int = 64) -> DataFrame:
     raise RuntimeError(f"no distinct surrogates in {max_attempts} attempts")
 
 
-def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(_k1, _k2, m, kind, canon)``: the distinct mentions of each distinct row."""
-    found = docs.filter(F.col(text_col).rlike(MAYBE)).select(*row_key(id_col, text_col), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)))).alias("m"))
-    return found.withColumn("kind", entity_type(F.col("m"))).filter("kind is not null").withColumn("canon", canonical(F.col("kind"), F.col("m")))
+def _maybe(text: Column) -> Column:
+    """Cheap and wider than the pattern: a text without this has no mention."""
+    named = (text.contains("=") | text.contains(":")) & text.rlike(rf"{_NAMED} ?[=:]")
+    return text.rlike("[0-9@]") | text.contains("AKIA") | named | text.rlike(rf"{_TITLE}\p{{Lu}}")
 
 
-def replace(docs: DataFrame, key: str = "eocube", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with surrogates in ``text_col`` and ``_entities``, the number of distinct mentions replaced in the row."""
-    found = stage(mentions(docs, id_col, text_col).distinct(), "mentions")
-    given = assign(found.select("kind", "canon").distinct(), key)
-    rendered = found.join(given, ["kind", "canon"]).select("_k1", "_k2", F.struct("m", render(F.col("kind"), F.col("m"), F.col("surrogate")).alias("s")).alias("e"))
-    maps = rendered.groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_list("e")).alias("_map"))
-    has = F.coalesce(F.col(text_col).rlike(MAYBE), F.lit(False))
-    touched = docs.filter(has).select(whole_row(docs), *row_key(id_col, text_col)).join(maps, ["_k1", "_k2"], "left")
-    text = F.col("_row").getField(text_col)
-    pieces, marks = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    new = F.array_join(F.zip_with(pieces, marks, lambda p, m: F.concat(p, F.coalesce(F.element_at("_map", m), m, F.lit("")))), "")
-    changed = touched.select("_row", F.when(F.col("_map").isNull(), text).otherwise(new).alias("_new"), F.coalesce(F.size("_map"), F.lit(0)).alias("_entities"))
-    changed = changed.select(*[F.col("_new").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns], "_entities")
-    return changed.unionByName(docs.filter(~has).withColumn("_entities", F.lit(0)))
+def _parts(text: Column) -> Column:
+    """Text and mentions by turns, from one pass over the text (two where it has the marks itself)."""
+    one = F.split(F.regexp_replace(text, PATTERN, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
+    two = F.flatten(F.zip_with(F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda p, m: F.array(p, F.coalesce(m, F.lit("")))))
+    return F.when(text.contains(_OPEN) | text.contains(_CLOSE), two).otherwise(one)
 
 
-def op6_pii_surrogates(spark, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace(docs).select("doc_id", "text", F.col("_entities").cast("long").alias("n_entities"))
+#: Mentions in more rows than that are sent to all tasks beside the join, if they are few.
+FREQUENT, MOST_FREQUENT = 10_000, 10_000
+
+
+def _by_mention(found: DataFrame, rendered: DataFrame) -> DataFrame:
+    """``found`` joined with ``rendered(m, n, ..)``; mentions found in very many rows are not gathered in one task."""
+    cols = [c for c in rendered.columns if c not in ("m", "n")]
+    often = rendered.filter(F.col("n") > FREQUENT)
+    many = often.limit(MOST_FREQUENT + 1).count()
+    if not many or many > MOST_FREQUENT:  # so many of them spread over the tasks by themselves
+        return found.join(rendered.drop("n"), "m")
+    near = found.join(F.broadcast(often.select("m", F.struct(*cols).alias("_r"))), "m", "left")
+    far = near.filter("_r is null").drop("_r").join(rendered.filter(F.col("n") <= FREQUENT).drop("n"), "m")
+    return far.unionByName(near.filter("_r is not null").select(*found.columns, "_r.*"))
+
 
+def replace(docs: DataFrame, key: str = "eocube", id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """``docs`` with surrogates in ``text_col``; with ``count_col``, also the number of distinct mentions replaced in the row."""
+    if count_col and count_col.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"there is a column {count_col}")
+    text = F.col(f"`{text_col}`")
+    seen = docs.select(whole_row(docs), *row_key(id_col, text_col), F.when(_maybe(text), _parts(text)).alias("_parts"))
+    # Texts stand in _parts or in _row.
+    slim = F.col("_row").withField(f"`{text_col}`", F.when(F.col("_parts").isNull(), F.col("_row").getField(text_col)))
+    seen = stage(seen.select(slim.alias("_row"), "_k1", "_k2", "_parts"), "pii-parts")
+    marks = F.array_distinct(F.filter("_parts", lambda p, i: (i % 2 == 1) & (p != "")))
+    found = stage(seen.filter("size(_parts) > 1").select("_k1", "_k2", F.explode(marks).alias("m")).distinct(), "mentions")
 
+    kinds = stage(found.groupBy("m").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", entity_type(F.col("m"))).filter("kind is not null"), "kinds")
+    canons = F.when(F.col("kind") == "name", name_parts(F.col("m"))).otherwise(F.array(canonical(F.col("kind"), F.col("m"))))
+    named = kinds.select("m", "n", "kind", F.posexplode(canons).alias("pos", "canon"))
+    given = assign(named.select("kind", "canon").distinct(), key)
+    own = named.join(given, ["kind", "canon"]).groupBy("m", "n", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))), lambda e: e["surrogate"]).alias("s"))
+    words = F.split(F.regexp_replace(_value(F.col("m")), "^" + _TITLE, ""), " ")
+    pairs = F.zip_with(words, "s", lambda w, x: F.struct(w.alias("w"), F.when(w == F.upper(w), F.upper(x)).otherwise(x).alias("s")))
+    is_name = F.col("kind") == "name"
+    rendered = stage(own.select("m", "n", F.when(is_name, render_name(F.col("m"), F.col("s"))).otherwise(render(F.col("kind"), F.col("m"), F.element_at("s", 1))).alias("s"), F.when(is_name, pairs).alias("w")), "rendered")
+
+    per_row = _by_mention(found, rendered).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("m", "s")).alias("_e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("_w"))
+    first = F.filter("_w", lambda e, i: (i == 0) | (F.get("_w", i - 1)["w"] != e["w"]))  # one surrogate by word
+    maps = per_row.select("_k1", "_k2", F.map_from_entries("_e").alias("_map"), F.when(F.size("_w") > 0, F.map_from_entries(first)).alias("_words"))
+    touched = seen.filter("_parts is not null").join(maps, ["_k1", "_k2"], "left")
+
+    def untitled(p):
+        return F.array_join(F.transform(F.split(p, r"(?<=[^\p{L}'-])|(?=[^\p{L}'-])"), lambda w: F.coalesce(F.element_at("_words", w), w)), "")
+
+    def changed(p, i):
+        return F.when(i % 2 == 1, F.coalesce(F.element_at("_map", p), p)).when(F.col("_words").isNotNull(), untitled(p)).otherwise(p)
+
+    new = F.array_join(F.when(F.col("_map").isNull(), F.col("_parts")).otherwise(F.transform("_parts", changed)), "")
+    both = touched.select("_row", new.alias("_new"), F.coalesce(F.size("_map"), F.lit(0)).alias("_n")).unionByName(seen.filter("_parts is null").select("_row", F.col("_row").getField(text_col).alias("_new"), F.lit(0).alias("_n")))
+    out = [F.col("_new").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    return both.select(*out, *([F.col("_n").cast("long").alias(count_col)] if count_col else []))
+
+
+def op6_pii_surrogates(spark, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace(docs, count_col="n_entities")

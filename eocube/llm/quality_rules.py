@@ -1,12 +1,16 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule compares a statistic of a document with a cutoff and rejects what is beyond it. Cutoffs are learnt from
-labelled documents: for every stratum (language) and rule, the candidate cutoffs are tested from the mildest on; a
-cutoff is taken if the exact binomial test rejects "more than ``alpha`` of the good documents are lost" at level
-``delta / (strata * rules)``, and testing stops at the first that fails (fixed sequence; Bonferroni over strata and
-rules). So with probability 1 - delta all stated limits hold at once. Strata with too few labels get no cutoff.
+labelled documents: for every stratum (language) and rule, the strictest cutoff is taken that loses at most ``k`` of the
+``n`` good documents, where ``k`` is the largest number with P(Binomial(n, alpha) <= k) <= delta / tests. As ``k`` depends
+on ``n`` alone, this is the exact binomial (order statistic) bound: with that confidence the rule rejects at most the
+share ``alpha`` of all good documents, whichever value the data put there. Tests are all strata and the pool, times all
+rules (Bonferroni), so with probability 1 - ``delta`` all stated limits hold at once. ``ALPHA`` spends the risk by rule;
+its sum bounds what all rules lose together. A stratum with too few labels for a rule takes the pool's cutoff (``level``
+says which: the bound is then one for good documents of all strata together); without enough labels in the pool there is
+none. Cutoffs never go under ``FLOOR``, so that a single sign rejects no document; a milder cutoff keeps the bound.
 
-Only counts by stratum, rule and cutoff are gathered: their number doesn't grow with the documents.
+Only counts by stratum, rule and step are gathered: their number doesn't grow with the documents.
 
 Edge cases: null and empty texts have no words (all counts 0; base_failed, as n_words < 20); a null stratum is a
 stratum of its own; repeated labels of a document count each; documents without labels don't count; without labels
@@ -37,8 +41,11 @@ RULES = {
     "same_words": "n_same_words / greatest(n_words, 1)",
     "dup_lines": "least(1, n_dup_lines / greatest(n_words, 1))",
 }
-#: Candidate cutoffs, mildest first: shares from 1 down.
-STEPS = 200
+#: Share of good documents that a rule may lose, and the least cutoff.
+ALPHA = {"symbols": 0.015, "repeats": 0.01, "bangs": 0.01, "caps": 0.005, "same_words": 0.005, "dup_lines": 0.005}
+FLOOR = {"symbols": 0.005, "repeats": 0.02, "bangs": 0.005, "caps": 0.05, "same_words": 0.02, "dup_lines": 0.01}
+#: Shares are counted by steps of this fineness.
+STEPS = 2_000
 _SYMBOLS = "#*$%&|<>"
 _BLANK = " \t\n\v\f\r"
 
@@ -100,60 +107,75 @@ def base_failed():
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def binomial_cdf(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
-    """P(Binomial(n, p) <= k), summed term by term; 1 where k is over the mean (no test passes there)."""
-    out = np.ones(len(k))
-    for i, (a, m) in enumerate(zip(k.tolist(), n.tolist())):
-        if a <= m * p:
-            x = np.arange(a + 1)
-            steps = np.concatenate([[m * math.log1p(-p)], np.log((m - x[:-1]) / (x[1:])) + math.log(p) - math.log1p(-p)])
-            terms = np.cumsum(steps)
-            top = terms.max()
-            out[i] = min(1.0, math.exp(top) * float(np.exp(terms - top).sum()))
-    return out
+def binomial_cdf(k: int, n: int, p: float) -> float:
+    """P(Binomial(n, p) <= k), summed term by term; terms far under the mean, which add nothing, are left out."""
+    if k >= n:
+        return 1.0
+    x = np.arange(max(0, k - int(60 * math.sqrt(n * p)) - 60), k + 1)
+    lead = math.lgamma(n + 1) - math.lgamma(x[0] + 1) - math.lgamma(n - x[0] + 1) + x[0] * math.log(p) + (n - x[0]) * math.log1p(-p)
+    steps = np.log(n - x[:-1]) - np.log(x[1:]) + math.log(p) - math.log1p(-p)
+    terms = lead + np.concatenate([[0.0], np.cumsum(steps)])
+    return min(1.0, float(np.exp(terms).sum()))
 
 
-def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """``(stratum, rule, cutoff, n_good, n_lost, p_value)``: a row for each stratum and rule that has a certified cutoff."""
+def most_lost(n: int, alpha: float, level: float) -> int:
+    """The largest k with P(Binomial(n, alpha) <= k) <= level; -1 if there is none."""
+    low, high = -1, int(n * alpha)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if binomial_cdf(mid, n, alpha) <= level else (low, mid - 1)
+    return low
+
+
+def cutoffs(stats: DataFrame, labels: DataFrame, alpha: dict[str, float] | None = None, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """``(level, stratum, rule, cutoff, alpha, n_good, n_lost, p_value)``: a row for each stratum and rule that has a certified
+    cutoff, and for the pool (level "all", stratum null). ``n_lost`` counts the good documents beyond the cutoff."""
+    alpha = alpha or ALPHA
     good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("_id"))
     known = stats.filter(~base_failed()).join(good, F.col("doc_id") == F.col("_id"))
-    cells = reduce(
-        DataFrame.unionByName,
-        [known.groupBy("stratum", F.lit(r).alias("rule"), F.ceil(F.expr(e) * STEPS).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("n")) for r, e in RULES.items()],
-    )
-    strata = cells.select("stratum").distinct()
-    tests = F.broadcast(strata.agg(F.count(F.lit(1)).alias("m")))
-    # Lost at cutoff s/STEPS: share > s/STEPS, that is step > s. The grid is 0..STEPS for each stratum and rule.
-    grid = cells.select("stratum", "rule").distinct().withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS))))
-    filled = grid.unionByName(cells, allowMissingColumns=True).groupBy("stratum", "rule", "step").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    down = Window.partitionBy("stratum", "rule").orderBy(F.desc("step"))
-    lost = filled.withColumns({
-        "n_lost": F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "n_good": F.sum("n").over(Window.partitionBy("stratum", "rule")),
-    })
+    steps = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.ceil(F.expr(e) * STEPS).cast("int").alias("step")) for r, e in RULES.items()]))
+    cells = stage(known.select("stratum", steps.alias("s")).groupBy("stratum", "s.rule", "s.step").agg(F.count(F.lit(1)).alias("n")), "rule-counts")
+    pool = cells.groupBy(F.lit("all").alias("level"), F.lit(None).cast("string").alias("stratum"), "rule", "step").agg(F.sum("n").alias("n"))
+    both = cells.select(F.lit("stratum").alias("level"), "stratum", "rule", "step", "n").unionByName(pool)
+    tests = F.broadcast(cells.select("stratum").distinct().agg((F.count(F.lit(1)) + 1).alias("m")))  # one row
+    group = Window.partitionBy("level", "stratum", "rule")  # STEPS + 1 rows at most
+    beyond = group.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = both.withColumns({"n_lost": F.coalesce(F.sum("n").over(beyond), F.lit(0)), "n_good": F.sum("n").over(group)})
+
+    @F.pandas_udf("long")
+    def bound(n, a, m):
+        import pandas as pd
+
+        return pd.Series([most_lost(int(x), float(y), delta / (int(z) * len(RULES))) for x, y, z in zip(n, a, m)])
 
     @F.pandas_udf("double")
-    def p_value(k, n):
+    def p_value(k, n, a):
         import pandas as pd
 
-        return pd.Series(binomial_cdf(k.to_numpy(), n.to_numpy(), alpha))
+        return pd.Series([binomial_cdf(int(x), int(y), float(z)) for x, y, z in zip(k, n, a)])
 
-    tested = lost.crossJoin(tests).withColumn("p_value", p_value("n_lost", "n_good"))
-    passed = tested.withColumn("ok", F.col("p_value") <= delta / (F.col("m") * len(RULES)))
-    sound = passed.withColumn("all", F.min("ok").over(down)).filter("all")  # fixed sequence: nothing beyond the first failure
-    return sound.groupBy("stratum", "rule").agg(F.min_by(F.struct((F.col("step") / STEPS).alias("cutoff"), "n_good", "n_lost", "p_value"), "step").alias("s")).select("stratum", "rule", "s.*")
+    by_rule = lambda d: F.element_at(F.create_map(*[F.lit(x) for r, v in d.items() for x in (r, float(v))]), F.col("rule"))
+    sizes = counted.select("level", "stratum", "rule", "n_good").distinct().crossJoin(tests).withColumn("alpha", by_rule(alpha))
+    sizes = sizes.withColumn("k", bound("n_good", "alpha", "m")).filter("k >= 0").select(*[F.col(c).alias(f"_{c}") for c in ("level", "stratum", "rule", "alpha", "k")])
+    same = (F.col("level") == F.col("_level")) & F.col("stratum").eqNullSafe(F.col("_stratum")) & (F.col("rule") == F.col("_rule"))
+    sound = counted.join(sizes, same).filter("n_lost <= _k")
+    best = sound.groupBy("level", "stratum", "rule", F.col("_alpha").alias("alpha"), "n_good").agg(F.min(F.struct("step", "n_lost")).alias("s"))
+    out = best.select("level", "stratum", "rule", F.greatest(F.col("s.step") / STEPS, by_rule(FLOOR)).alias("cutoff"), "alpha", "n_good", F.col("s.n_lost").alias("n_lost"))
+    return out.withColumn("p_value", p_value("n_lost", "n_good", "alpha"))
 
 
 def apply_rules(stats: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``stats`` with base_failed and kept. ``chosen`` has a row for each stratum and rule."""
-    wide = chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES])
-    left, right = stats.alias("l"), wide.alias("r")
-    joined = left.join(right, F.col("l.stratum").eqNullSafe(F.col("r.stratum")), "left").select("l.*", *[F.col(f"r._{r}") for r in RULES])
-    beyond = reduce(lambda a, b: a | b, [F.coalesce(F.ceil(F.expr(e) * STEPS) / STEPS > F.col(f"_{r}"), F.lit(False)) for r, e in RULES.items()])
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~beyond).drop(*[f"_{r}" for r in RULES])
+    """``stats`` with base_failed and kept: each document by its stratum's cutoff, or the pool's where that has none."""
+    wide = lambda df, *by: df.groupBy(*by).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES])
+    left, right = stats.alias("l"), wide(chosen.filter("level = 'stratum'"), "stratum").alias("r")
+    pool = wide(chosen.filter("level = 'all'")).select(*[F.col(f"_{r}").alias(f"_all_{r}") for r in RULES])  # one row
+    joined = left.join(right, F.col("l.stratum").eqNullSafe(F.col("r.stratum")), "left").crossJoin(F.broadcast(pool))
+    cut = {r: F.coalesce(F.col(f"r._{r}"), F.col(f"_all_{r}")) for r in RULES}
+    beyond = reduce(lambda a, b: a | b, [F.coalesce(F.ceil(F.expr(e) * STEPS) / STEPS > cut[r], F.lit(False)) for r, e in RULES.items()])
+    return joined.select("l.*", base_failed().alias("base_failed"), (~base_failed() & ~beyond).alias("kept"))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     stats = stage(statistics(read(spark, sf_dir, "documents")), "rule-statistics")
-    kept = apply_rules(stats, cutoffs(stats, read(spark, sf_dir, "labels")))
+    kept = apply_rules(stats, stage(cutoffs(stats, read(spark, sf_dir, "labels")), "cutoffs"))
     return kept.select("doc_id", *COUNTS, "base_failed", "kept")

@@ -183,7 +183,7 @@ def test_pieces_together():
     lib, own, rng = Tokenizer.from_file(WORDS), huffman.LibraryIds(WORDS), random.Random(8)
     alphabet = " \n\t\x1c\x85\u3000'sreldabcéñÉ中🙂١½İΣσςẞ\u0301\u200d!?.,-AB"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
-    assert own.by_piece and [x.tolist() for x in own.encode(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert own.by_piece and [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_code_lengths():
@@ -230,9 +230,45 @@ def test_rule_counts(docs, empty):
 def test_binomial():
     from math import comb
 
-    for k, n, p in ((0, 10, 0.1), (1, 40, 0.05), (3, 200, 0.02), (0, 0, 0.5), (7, 2000, 0.01)):
+    for k, n, p in ((0, 10, 0.1), (1, 40, 0.05), (3, 200, 0.02), (0, 0, 0.5), (7, 2000, 0.01), (150, 2000, 0.1)):
         exact = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
-        assert quality_rules.binomial_cdf(np.array([k]), np.array([n]), p)[0] == pytest.approx(exact)
+        assert quality_rules.binomial_cdf(k, n, p) == pytest.approx(exact)
+
+
+def assert_kept_as_by_hand(stats, labels, alpha, delta=0.05):
+    """``kept`` against a version with sorted lists and sums of binomial terms."""
+    from math import ceil, comb
+
+    q = quality_rules
+    rows = [r.asDict() for r in stats.collect()]
+    good_ids = [r["doc_id"] for r in labels.collect() if r["quality"] == 1]
+    by_id = {r["doc_id"]: r for r in rows}
+    value = lambda r, rule: {
+        "symbols": r["n_symbols"] / max(r["word_chars"], 1), "repeats": r["n_repeat_words"] / max(r["n_words"], 1), "bangs": r["n_bangs"] / max(r["word_chars"], 1),
+        "caps": r["n_caps"] / max(r["word_chars"], 1), "same_words": r["n_same_words"] / max(r["n_words"], 1), "dup_lines": min(1, r["n_dup_lines"] / max(r["n_words"], 1)),
+    }[rule]
+    step = lambda r, rule: ceil(value(r, rule) * q.STEPS)
+    failed = lambda r: r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+    good = [by_id[i] for i in good_ids if i in by_id and not failed(by_id[i])]
+    strata = {r["stratum"] for r in good}
+    level = delta / ((len(strata) + 1) * len(q.RULES))
+    cut = {}
+    for s in [*strata, "*"]:
+        some = [r for r in good if s == "*" or r["stratum"] == s]
+        for rule in q.RULES:
+            total, k, a = 0.0, -1, alpha[rule]
+            for x in range(len(some) + 1):
+                total += float(comb(len(some), x) * a**x * (1 - a) ** (len(some) - x)) if x < 200 else 1
+                if total > level:
+                    break
+                k = x
+            if k >= 0:
+                cut[s, rule] = max(sorted((step(r, rule) for r in some), reverse=True)[k] / q.STEPS, q.FLOOR[rule])
+    want = {}
+    for r in rows:
+        c = {rule: cut.get((r["stratum"], rule), cut.get(("*", rule))) for rule in q.RULES}
+        want[r["doc_id"]] = not failed(r) and not any(c[rule] is not None and step(r, rule) / q.STEPS > c[rule] for rule in q.RULES)
+    assert {r["doc_id"]: r["kept"] for r in q.apply_rules(stats, q.cutoffs(stats, labels, alpha, delta)).collect()} == want
 
 
 def test_certified_cutoffs(spark):
@@ -247,10 +283,14 @@ def test_certified_cutoffs(spark):
     docs = spark.createDataFrame(rows, DOCS).repartition(4)
     stats = quality_rules.statistics(docs).cache()
     lab = spark.createDataFrame(labels, "doc_id int, quality int")
-    chosen = quality_rules.cutoffs(stats, lab, alpha=0.02).cache()
-    assert all(r["n_lost"] <= 0.02 * r["n_good"] for r in chosen.collect())
+    chosen = quality_rules.cutoffs(stats, lab, alpha=dict.fromkeys(quality_rules.RULES, 0.01)).cache()
+    assert all(r["n_lost"] <= 0.01 * r["n_good"] for r in chosen.collect()) and {(r["level"], r["stratum"]) for r in chosen.collect()} == {("all", None), ("stratum", None), ("stratum", "en")}
     kept = {r["doc_id"] for r in quality_rules.apply_rules(stats, chosen).filter("kept").collect()}
     assert len([i for i, g in labels if g and i in kept]) >= 0.95 * 3000 and not any(i in kept for i, g in labels if not g)
+    assert_kept_as_by_hand(stats, lab, dict.fromkeys(quality_rules.RULES, 0.01))
+    part = lab.filter("doc_id % 2 = 1 or doc_id < 100")  # the null stratum has too few labels
+    assert {(r["level"], r["stratum"]) for r in quality_rules.cutoffs(stats, part).collect()} == {("all", None), ("stratum", "en")}
+    assert_kept_as_by_hand(stats, part, quality_rules.ALPHA)
     few = quality_rules.cutoffs(stats, lab.filter("doc_id < 40"))
     assert few.count() == 0 and quality_rules.apply_rules(stats, few).filter("kept").count() == 4000
     assert quality_rules.cutoffs(stats, lab.limit(0)).count() == 0
@@ -284,8 +324,8 @@ def test_pii(spark, docs, empty):
     m = re.fullmatch(r"Mrs\. (\w+) (\w+) met г-н ([а-яА-Я]+) and Herr (\w+)", new[7])
     assert m and m[1].endswith("a") and not {"Anna", "Schmidt", "Иванов", "Maier"} & set(m.groups())
     assert re.fullmatch(r"ssn \d{3}-\d{2}-\d{4}", new[8]) and "123-45" not in new[8]
-    other = pii.replace(docs, "k")
-    assert other.columns == [*docs.columns, "_entities"] and other.count() == docs.count()
+    other = pii.replace(docs, "k", count_col="n")
+    assert other.columns == [*docs.columns, "n"] and other.count() == docs.count()
     assert pii.replace(empty).count() == 0
 
 
@@ -484,8 +524,9 @@ def test_sharding(spark, docs, empty, tmp_path):
     outs = []
     for i, parts in enumerate((1, 4)):
         path = f"file://{tmp_path}/s{i}"
-        sharding.write_shards(docs.repartition(parts), path, bucket_bytes=2000)
-        back = sharding.read_shards(spark, path)
+        schema = sharding.write_shards(docs.repartition(parts), path, bucket_bytes=2000)
+        back = sharding.read_shards(spark, path, schema)
+        assert {"shard_", "slot"} <= set(back.columns) and {r["shard_"] for r in back.collect()} == {"clash", None}
         outs.append(got(sharding.digest(back), "doc_id", "size", "text_crc32", "shard"))
         by = {}
         for r in back.collect():
@@ -494,5 +535,27 @@ def test_sharding(spark, docs, empty, tmp_path):
         assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert outs[0] == outs[1]  # the order is that of the records, not of partitions
     assert Counter(k[:3] for k in outs[0].elements()) == expected(lambda r: (r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())))
-    sharding.write_shards(empty, f"file://{tmp_path}/e")
-    assert not any((tmp_path / "e").rglob("*.parquet")) or sharding.digest(sharding.read_shards(spark, f"file://{tmp_path}/e")).count() == 0
+    schema = sharding.write_shards(empty, f"file://{tmp_path}/e")
+    assert sharding.digest(sharding.read_shards(spark, f"file://{tmp_path}/e", schema)).count() == 0
+
+
+def test_shuffle_is_uniform(spark):
+    """Each place gets each record about equally often, over seeds; every order is a permutation."""
+    frame = spark.createDataFrame([(i, "x" * 40) for i in range(12)], "doc_id int, text string").coalesce(1).cache()
+    seen, rounds = np.zeros((12, 12)), 24
+    for seed in range(rounds):
+        placed, rows = sharding.shuffle(frame, seed, bucket_bytes=400)
+        at = {r["_row"]["doc_id"]: r["_place"] for r in placed.collect()}
+        assert rows == 12 and sorted(at.values()) == list(range(12))
+        for i, k in at.items():
+            seen[i, k] += 1
+    chi = ((seen - rounds / 12) ** 2 / (rounds / 12)).sum()
+    assert chi < 121 + 5 * (2 * 121) ** 0.5
+
+
+def test_many_equal_rows_are_dealt_on(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "same text of some length")] * 900 + [(i, str(i)) for i in range(100)], "doc_id int, text string").repartition(3)
+    placed, rows = sharding.shuffle(frame, 3, bucket_bytes=4000)
+    assert rows == 1000 and sorted(r["_place"] for r in placed.collect()) == list(range(1000))
+    sizes = [len(x) for x in placed.rdd.glom().collect()]
+    assert max(sizes) < 300

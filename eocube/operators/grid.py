@@ -40,13 +40,14 @@ def drop_sole(cells: DataFrame, keys: list[str], half: int = 1) -> DataFrame:
     return cells.join(neighbours(cells, keys, half, []).distinct(), [*keys, "y", "x"], "left_semi")
 
 
-def edge_status(levels: DataFrame, river: DataFrame) -> DataFrame:
-    """-1 next to the river, 1 where a 3x3 neighbour is missing or higher, else 0; ``levels(y, x, level)``."""
-    n = neighbours(levels, [], 1, ["level"]).groupBy("y", "x").agg(F.count(F.lit(1)).alias("n"), F.max("_level").alias("hi"))
+def edge_status(levels: DataFrame, river: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """-1 next to the river, 1 where a 3x3 neighbour is missing or higher, else 0; ``levels(keys, y, x, level)``."""
+    keys = keys or []
+    n = neighbours(levels, keys, 1, ["level"]).groupBy(*keys, "y", "x").agg(F.count(F.lit(1)).alias("n"), F.max("_level").alias("hi"))
     r = neighbours(river.select("y", "x"), [], 1, [], centre=True).distinct().withColumn("_river", F.lit(True))
-    j = levels.join(n, ["y", "x"], "left").join(r, ["y", "x"], "left")
+    j = levels.join(n, [*keys, "y", "x"], "left").join(r, ["y", "x"], "left")
     up = (F.coalesce("n", F.lit(0)) < 8) | (F.col("hi") > F.col("level"))
-    return j.select("y", "x", "level", F.when(F.col("_river"), -1).when(up, 1).otherwise(0).alias("status"))
+    return j.select(*keys, "y", "x", "level", F.when(F.col("_river"), -1).when(up, 1).otherwise(0).alias("status"))
 
 
 def window_mean(cells: DataFrame, points: DataFrame, keys: list[str], half: int) -> DataFrame:

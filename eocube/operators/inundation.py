@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import edge_status, neighbours, offsets, regions, touching
@@ -50,7 +50,9 @@ def repair_depressions(levels: DataFrame, flooded: DataFrame, next_level: DataFr
     ``levels(y, x, level)``, ``flooded(y, x)``, ``next_level(y, x, level)``: the pixel's next higher level seen wet.
     """
     inside = levels.join(flooded.select("y", "x"), ["y", "x"], "left_semi")
-    keyed = inside.withColumn("_k", F.dense_rank().over(_by_level()))
+    # A row for each distinct level.
+    numbers = inside.select("level").distinct().withColumn("_k", F.row_number().over(Window.orderBy("level")))
+    keyed = inside.join(numbers, "level")
     r = regions(keyed, "_k")
     low = neighbours(levels, [], 1, ["level"]).groupBy("y", "x").agg(F.min("_level").alias("_low"))
     border = r.join(low, ["y", "x"], "left").groupBy("region").agg(F.min("_low").alias("_low"), F.first("level").alias("_level"))
@@ -61,12 +63,6 @@ def repair_depressions(levels: DataFrame, flooded: DataFrame, next_level: DataFr
     return fixed.unionByName(rest)
 
 
-def _by_level():
-    from pyspark.sql import Window
-
-    return Window.orderBy("level")  # levels of one area; a key for each distinct one
-
-
 def connected_inundation(dem: DataFrame, levels: DataFrame, river: DataFrame) -> DataFrame:
     """Bathtub with connectivity: by day only wet regions that touch the river count; duration and depths by pixel and year."""
     wet = dem.join(levels, F.col("level") > F.col("z")).select("y", "x", "date", (F.col("level") - F.col("z")).alias("depth"))

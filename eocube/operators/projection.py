@@ -24,6 +24,15 @@ INDICES = {
     "EVI2": "2.5D * (nir - red) / nullif(nir + 2.4D * red + 1, 0D)",
     "GNDVI": "(nir - green) / nullif(nir + green, 0D)",
     "NDWI": "(green - nir) / nullif(green + nir, 0D)",
+    "SVVI": "sqrt((pow(blue - (blue + green + red + nir + swir + swir2) / 6, 2) + pow(green - (blue + green + red + nir + swir + swir2) / 6, 2) + pow(red - (blue + green + red + nir + swir + swir2) / 6, 2) + pow(nir - (blue + green + red + nir + swir + swir2) / 6, 2) + pow(swir - (blue + green + red + nir + swir + swir2) / 6, 2) + pow(swir2 - (blue + green + red + nir + swir + swir2) / 6, 2)) / 6)"
+    " - sqrt((pow(nir - (nir + swir + swir2) / 3, 2) + pow(swir - (nir + swir + swir2) / 3, 2) + pow(swir2 - (nir + swir + swir2) / 3, 2)) / 3)",
+    "TCGREENESS": "-0.1603D * blue - 0.2819D * green - 0.4934D * red + 0.7940D * nir - 0.0002D * swir - 0.1446D * swir2",
+    # With red-edge bands re1, re2, re3 and the narrow near infrared nir20.
+    "NDVI_20m": "(nir20 - red) / nullif(nir20 + red, 0D)",
+    "OSAVI_20m": "1.16D * (nir20 - red) / nullif(nir20 + red + 0.16D, 0D)",
+    "NDVI_RE": "(re3 - re1) / nullif(re3 + re1, 0D)",
+    "NDVI_RE2": "(nir - re1) / nullif(nir + re1, 0D)",
+    "IEI": "1.5D * (nir - red) / nullif(nir + red + 0.5D, 0D)",
 }
 
 
@@ -169,8 +178,9 @@ def biomass(temperature: Column, par: Column, static: float = 15.0) -> Column:
 
 
 def water_quality(bands: DataFrame) -> DataFrame:
-    """Band ratios for chlorophyll: NIR/RED, BLUE/GREEN, NDCI and fluorescence line height over red, nir and swir."""
+    """Band ratios for chlorophyll: D05 (over red-edge bands re1, re2), NIR/RED, BLUE/GREEN, NDCI and fluorescence line height over red, nir and swir."""
     return bands.withColumns({
+        "d05": F.col("re2") * (ratio(F.lit(1.0), F.col("red")) - ratio(F.lit(1.0), F.col("re1"))),
         "nir_red": ratio(F.col("nir"), F.col("red")), "blue_green": ratio(F.col("blue"), F.col("green")), "ndci": ratio(F.col("nir") - F.col("red"), F.col("nir") + F.col("red")),
         "flh": F.col("nir") - (F.col("red") + F.col("swir")) / 2,
     })

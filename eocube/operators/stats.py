@@ -170,7 +170,7 @@ def ranked(df: DataFrame, key: str, block: int = 1024) -> DataFrame:
 def stratified_folds(df: DataFrame, value: str, key: str, strata: int, k: int, by: list[str]) -> DataFrame:
     """Fold of each row: quantile strata of the value, then seeded shuffled folds in each (within groups ``by``)."""
     s = df.withColumn("stratum", F.ntile(strata).over(Window.partitionBy(*by).orderBy(value, key)))
-    return s.withColumn("fold", F.ntile(k).over(Window.partitionBy(*by, "stratum").orderBy(F.xxhash64(F.col(key), F.lit(7)))))
+    return s.withColumn("fold", F.ntile(k).over(Window.partitionBy(*by, "stratum").orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(":7"))))))
 
 
 def robust_outliers(df: DataFrame, by: list[str], value: str, limit: float = 3.5) -> DataFrame:

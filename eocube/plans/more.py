@@ -176,7 +176,9 @@ def a50(s, d):
     return S.correlation_matrix(A.raw_bands(s, d), ["green", "nir", "swir"]).withColumn("r", F.round("r", 6))
 
 
-@query("w7_stratified_folds")
+@query("w7_stratified_folds", """
+WITH s AS (SELECT shot, year(date) AS year, CAST(ntile(20) OVER (PARTITION BY year(date) ORDER BY rh100, shot) AS INT) AS stratum FROM footprints)
+SELECT shot, year, stratum, CAST(ntile(4) OVER (PARTITION BY year, stratum ORDER BY md5(CAST(shot AS VARCHAR) || ':7')) AS INT) AS fold FROM s""")
 def w7(s, d):
     f = A.footprints(s, d).withColumn("year", F.year("date"))
     return S.stratified_folds(f, "rh100", "shot", 20, 4, ["year"]).select("shot", "year", "stratum", "fold")
@@ -221,18 +223,18 @@ def u1(s, d):
     return g.filter("station < 3").unionByName(g.filter("station > 1")).distinct()
 
 
-@query("u2_v15_append_layers", "SELECT y, x, date, idx, value FROM obs WHERE year(date) < 1997 UNION ALL SELECT y, x, date, 'NDVI_COPY', value FROM obs WHERE idx = 'NDVI' AND year(date) = 1997")
+@query("u2_v15_append_layers", "SELECT y, x, date, idx, value FROM obs UNION ALL SELECT y, x, date, 'NDVI_COPY', value FROM obs WHERE idx = 'NDVI'")
 def u2(s, d):
     o = A.obs(s, d)
-    return o.filter(F.year("date") < 1997).unionByName(o.filter((c("idx") == "NDVI") & (F.year("date") == 1997)).withColumn("idx", F.lit("NDVI_COPY")))
+    return o.unionByName(o.filter(c("idx") == "NDVI").withColumn("idx", F.lit("NDVI_COPY")))
 
 
 @query("u3_harmonise_dates", """
-WITH l AS (SELECT DISTINCT d.date, i.idx FROM (SELECT DISTINCT date FROM obs) d, (SELECT DISTINCT idx FROM obs) i), n AS (SELECT date, idx, count(*) AS n FROM obs WHERE y = 0 GROUP BY 1, 2) SELECT date, idx, coalesce(n, 0) AS n FROM l LEFT JOIN n USING (date, idx)""")
+WITH l AS (SELECT DISTINCT d.date, i.idx FROM (SELECT DISTINCT date FROM obs) d, (SELECT DISTINCT idx FROM obs) i), n AS (SELECT date, idx, count(*) AS n FROM obs GROUP BY 1, 2) SELECT date, idx, coalesce(n, 0) AS n FROM l LEFT JOIN n USING (date, idx)""")
 def u3(s, d):
     o = A.obs(s, d)
     layers = o.select("date").distinct().crossJoin(o.select("idx").distinct())  # dates by a few indices
-    return layers.join(o.filter("y = 0").groupBy("date", "idx").agg(F.count(F.lit(1)).alias("n")), ["date", "idx"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return layers.join(o.groupBy("date", "idx").agg(F.count(F.lit(1)).alias("n")), ["date", "idx"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query("o1_o3_nearest_stations", """
@@ -269,18 +271,19 @@ def n3(s, d):
 
 
 @query("n4_edge_status", """
-WITH l AS (SELECT y, x, z AS level FROM dem JOIN roi USING (y, x)), n AS (SELECT a.y, a.x, a.level, count(b.level) AS n, max(b.level) AS hi FROM l a LEFT JOIN l b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x) GROUP BY ALL)
-SELECT y, x, level, CASE WHEN abs(y - 5) <= 1 THEN -1 WHEN n < 8 OR hi > level THEN 1 ELSE 0 END AS status FROM n""")
+WITH l AS (SELECT y, x, year(f.date) AS year, min(level) FILTER (WHERE cls = 2) AS level FROM flood f JOIN levels l ON f.date = l.date GROUP BY ALL HAVING min(level) FILTER (WHERE cls = 2) IS NOT NULL),
+n AS (SELECT a.y, a.x, a.year, a.level, count(b.level) AS n, max(b.level) AS hi FROM l a LEFT JOIN l b ON a.year = b.year AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x) GROUP BY ALL)
+SELECT y, x, year, level, CASE WHEN abs(y - 5) <= 1 THEN -1 WHEN n < 8 OR hi > level THEN 1 ELSE 0 END AS status FROM n""")
 def n4(s, d):
-    lv = A.dem(s).join(A.roi(s), ["y", "x"]).withColumnRenamed("z", "level")
-    return N.edge_status(lv, A.grid(s).filter("y = 5"))
+    lv = FL.boundary_levels(A.flood(s, d), A.levels(s, d)).filter("min_wet is not null").select("y", "x", "year", c("min_wet").alias("level"))
+    return N.edge_status(lv, A.grid(s).filter("y = 5"), ["year"])
 
 
 def wet_cells(s, d):
-    return A.flood(s, d).filter((c("cls") == 2) & (F.year("date") == 1997) & (F.month("date") == 6)).select("y", "x", "date")
+    return A.flood(s, d).filter(c("cls") == 2).select("y", "x", "date")
 
 
-_REG = """RECURSIVE w AS (SELECT y, x, date FROM flood WHERE cls = 2 AND year(date) = 1997 AND month(date) = 6),
+_REG = """RECURSIVE w AS (SELECT y, x, date FROM flood WHERE cls = 2),
 r AS (SELECT y, x, date, CAST(epoch(date) / 86400 AS BIGINT) * 1099511627776 + CAST(y AS BIGINT) * 1048576 + x AS id FROM w UNION SELECT w.y, w.x, w.date, r.id FROM r JOIN w ON w.date = r.date AND abs(w.y - r.y) <= 1 AND abs(w.x - r.x) <= 1),
 g AS (SELECT y, x, date, min(id) AS region FROM r GROUP BY ALL)"""
 
@@ -311,12 +314,17 @@ def n10(s, d):
     return N.extremes(r, ["date"], "width")
 
 
-@query("n11_seeded_fill")
+@query("n11_seeded_fill", """
+WITH RECURSIVE w AS (SELECT y, x, date, level - z AS depth FROM dem JOIN levels ON level > z), r AS (SELECT y, x, date FROM w WHERE y = 0 AND x = 0 UNION SELECT w.y, w.x, w.date FROM r JOIN w ON w.date = r.date AND abs(w.y - r.y) <= 1 AND abs(w.x - r.x) <= 1)
+SELECT w.y, w.x, w.date, round(depth, 9) AS depth FROM w JOIN r ON w.y = r.y AND w.x = r.x AND w.date = r.date""")
 def n11(s, d):
-    return N.seeded_fill(A.dem(s), A.levels(s, d).filter((F.year("date") == 1997) & (F.month("date") <= 2)), (0, 0))
+    return N.seeded_fill(A.dem(s), A.levels(s, d), (0, 0))
 
 
-@query("n14_numbered_floods")
+@query("n14_numbered_floods", """
+WITH RECURSIVE q AS (SELECT y, x, count(*) FILTER (WHERE cls = 2) / CAST(count(*) AS DOUBLE) AS f FROM flood GROUP BY y, x), w AS (SELECT y, x, y * 1048576 + x AS id FROM q WHERE round(f, 9) > 0.37), p AS (SELECT y, x FROM q WHERE round(f, 9) > 0.41),
+r AS (SELECT y, x, id FROM w UNION SELECT w.y, w.x, r.id FROM r JOIN w ON abs(w.y - r.y) <= 1 AND abs(w.x - r.x) <= 1), g AS (SELECT y, x, min(id) AS region FROM r GROUP BY y, x),
+h AS (SELECT region, row_number() OVER (ORDER BY region) AS k FROM (SELECT DISTINCT region FROM g JOIN p USING (y, x))) SELECT y, x, CAST(coalesce(k, 0) AS INT) AS flood_id FROM g LEFT JOIN h USING (region)""")
 def n14(s, d):
     wet = FL.frequency(A.flood(s, d))
     return N.numbered_floods(N.regions(wet.filter("frequency > 0.37").select("y", "x")), wet.filter("frequency > 0.41").select("y", "x"), 900.0)
@@ -449,7 +457,7 @@ def k5(s, d):
     return H.boundary_table(A.gauge(s, d), 0, 4, profiles(s, d).filter("d = 0"), "1995-01-01")
 
 
-@query("k6_section_profiles")
+@query("k6_section_profiles", f"WITH {_PR} SELECT cs, CAST(count(*) AS INT) AS n, string_agg(CAST(round(d, 3) AS VARCHAR) || ':' || CAST(round(z, 3) AS VARCHAR), ' ' ORDER BY d, z) AS profile FROM pr GROUP BY cs")
 def k6(s, d):
     return H.gather_profiles(profiles(s, d))
 
@@ -567,7 +575,7 @@ def curve_parameters(s, d):
     return p.select((k % 20).cast("int").alias("y"), F.floor(k / 20).cast("int").alias("x"), F.lit(2000).alias("year"), (0.1 + c("s_nationkey") / 200).alias("p0"), (0.5 + k % 7 / 20).alias("p1"), (110.0 + k % 30).alias("p2"), (8.0 + k % 5).alias("p3"), (260.0 + k % 40).alias("p4"), (9.0 + k % 4).alias("p5"), (k % 10 / 20000).alias("p6"))
 
 
-_CP = """cp AS (SELECT CAST(s_suppkey % 20 AS INT) AS y, CAST(s_suppkey // 20 AS INT) AS x, 2000 AS year, CAST(0.1 AS DOUBLE) + s_nationkey / CAST(200 AS DOUBLE) AS p0, CAST(0.5 AS DOUBLE) + (s_suppkey % 7) / CAST(20 AS DOUBLE) AS p1, CAST(110 + s_suppkey % 30 AS DOUBLE) AS p2, CAST(8 + s_suppkey % 5 AS DOUBLE) AS p3, CAST(260 + s_suppkey % 40 AS DOUBLE) AS p4, CAST(9 + s_suppkey % 4 AS DOUBLE) AS p5, (s_suppkey % 10) / CAST(20000 AS DOUBLE) AS p6 FROM supplier WHERE s_suppkey < 400),
+_CP = """cp AS (SELECT CAST(s_suppkey % 20 AS INT) AS y, CAST(s_suppkey // 20 AS INT) AS x, 2000 AS year, CAST(0.1 AS DOUBLE) + s_nationkey / CAST(200 AS DOUBLE) AS p0, CAST(0.5 AS DOUBLE) + (s_suppkey % 7) / CAST(20 AS DOUBLE) AS p1, CAST(110 + s_suppkey % 30 AS DOUBLE) AS p2, CAST(8 + s_suppkey % 5 AS DOUBLE) AS p3, CAST(260 + s_suppkey % 40 AS DOUBLE) AS p4, CAST(9 + s_suppkey % 4 AS DOUBLE) AS p5, (s_suppkey % 10) / CAST(20000 AS DOUBLE) AS p6 FROM supplier),
 cv AS (SELECT cp.*, CAST(t AS INT) AS t, round(p0 + (p1 - p6 * t) * (1 / (1 + exp((p2 - t) / p3)) - 1 / (1 + exp((p4 - t) / p5))), 6) AS v FROM cp, range(1, 366) r(t))"""
 
 
@@ -623,7 +631,9 @@ def k1(s, d):
     return back.groupBy("idx", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
-@query("k4_station_lines")
+@query("k4_station_lines", """
+WITH g AS (SELECT station, CAST(ts AS DATE) AS date, round(avg(value), 9) AS a, max(value) AS b, min(value) AS e, round(sum(value), 4) AS t FROM weather GROUP BY ALL)
+SELECT concat_ws(' ', station, year(date), month(date), day(date), CAST(round(a * 10) AS INT), CAST(round(b * 10) AS INT), CAST(round(e * 10) AS INT), CAST(round(t * 10) AS INT)) AS value FROM g""")
 def k4(s, d):
     from ..operators.temporal import hourly_to_daily
 

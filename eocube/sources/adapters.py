@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,12 @@ def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mosaic_mean(raw_bands(spark, sf_dir), ["blue", "green", "red", "nir", "swir", "swir2"])
 
 
+def red_edge(b: DataFrame) -> DataFrame:
+    """``b`` with stand-ins for the red-edge bands and the narrow near infrared, between red and near infrared."""
+    red, nir = F.col("red"), F.col("nir")
+    return b.withColumns({"re1": red * 0.75 + nir * 0.25, "re2": red * 0.5 + nir * 0.5, "re3": red * 0.25 + nir * 0.75, "nir20": nir * 0.96 + 0.01})
+
+
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(y, x, date, idx, value)`` of MNDWI and NDVI; no-data rows are absent."""
     from ..operators.projection import spectral_indices, to_long
@@ -102,6 +109,7 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "raw_bands": f"SELECT l_orderkey AS scene_id, l_returnflag AS sensor, CAST(l_suppkey % {G} AS INT) AS y, CAST(l_partkey % {G} AS INT) AS x, CAST(l_shipdate AS DATE) AS date, l_linenumber / CAST(10 AS DOUBLE) AS blue, l_quantity / 100 AS green, l_discount AS red, l_tax AS nir, l_extendedprice / 200000 AS swir, (l_orderkey % 97) / CAST(100 AS DOUBLE) AS swir2, CAST(l_orderkey * 7 % 65536 AS INT) AS qa FROM lineitem",
     "bands": "SELECT y, x, date, min(sensor) AS sensor, min(qa) AS qa, round(avg(blue), 9) AS blue, round(avg(green), 9) AS green, round(avg(red), 9) AS red, round(avg(nir), 9) AS nir, round(avg(swir), 9) AS swir, round(avg(swir2), 9) AS swir2 FROM raw_bands GROUP BY y, x, date",
+    "edged": "SELECT *, red * CAST(0.75 AS DOUBLE) + nir * CAST(0.25 AS DOUBLE) AS re1, red * CAST(0.5 AS DOUBLE) + nir * CAST(0.5 AS DOUBLE) AS re2, red * CAST(0.25 AS DOUBLE) + nir * CAST(0.75 AS DOUBLE) AS re3, nir * CAST(0.96 AS DOUBLE) + CAST(0.01 AS DOUBLE) AS nir20 FROM bands",
     "obs": "SELECT y, x, date, 'MNDWI' AS idx, round((green - swir) / nullif(green + swir, 0), 6) AS value FROM bands WHERE green + swir <> 0 UNION ALL SELECT y, x, date, 'NDVI', round((nir - red) / nullif(nir + red, 0), 6) FROM bands WHERE nir + red <> 0",
     "mndwi": "SELECT y, x, date, value FROM obs WHERE idx = 'MNDWI'",
     "ndvi": "SELECT y, x, date, value FROM obs WHERE idx = 'NDVI'",
@@ -117,8 +125,12 @@ SQL = {
 }
 
 
+#: Those that a query reads more than once, or inside of a recursion.
+SHARED = {"bands", "obs", "flood", "levels", "gauge", "footprints"}
+
+
 def sql(query: str) -> str:
-    """``query`` with the tables above in front of it."""
+    """``query`` with the tables above that it uses in front of it."""
     head, rest = "WITH ", query
     for start in ("WITH RECURSIVE ", "WITH "):
         if query.startswith(start):
@@ -126,4 +138,10 @@ def sql(query: str) -> str:
             break
     else:
         rest = " " + query
-    return head + ", ".join(f"{k} AS ({v})" for k, v in SQL.items()) + rest
+    used: set[str] = set()
+    for k in reversed(SQL):  # a table is used by the query or by a later table that is
+        if any(re.search(rf"\b{k}\b", text) for text in (query, *[SQL[u] for u in used])):
+            used.add(k)
+    if not used:
+        return query
+    return head + ", ".join(f"{k} AS {'MATERIALIZED ' if k in SHARED else ''}({v})" for k, v in SQL.items() if k in used) + rest

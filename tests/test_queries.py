@@ -35,7 +35,7 @@ def plain(v):
 
 def same(a, b) -> bool:
     if isinstance(a, float) and isinstance(b, float):
-        return math.isclose(a, b, rel_tol=1e-6, abs_tol=2e-5)
+        return math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-9)
     return a == b
 
 

@@ -1,13 +1,18 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The documents are cut into segments of bounded size. A segment's inverted index has a row for each term of the test
-set that stands in it: the term and its word positions (documents of a segment follow each other with a gap, so a
-position names document and word, and no phrase runs over a border). The index is a stored table. A test phrase (10
-consecutive item words) is looked up by its terms from the rarest on: the rarest term's list, moved back by its offset,
-is intersected with the next term's moved list, and so on; what is left are exact occurrences. Lists of a frequent term
-are spread over segments, so no task holds a whole list.
+The documents are cut into segments of bounded size. A row of the index is a segment: all its terms, and for each term
+the list of its word positions (documents of a segment follow each other with a gap, so a position names document and
+word, and no phrase runs over a border), with the table of its documents. The index is a stored table of all terms: any
+test set is looked up in it, and nothing is shuffled, as a segment is searched where it is read.
 
-The test set is taken in blocks of bounded size (``block_words``): a block is what is sent to all tasks.
+A test phrase (10 consecutive item words) is looked up by its terms from the rarest on (by counts over all segments;
+of equals the first by bytes): the rarest term's list, moved back by its offset, is intersected with the next term's
+moved list, and so on; what is left are exact occurrences. A proximity match is a place of the rarest term that has all
+other terms of the phrase at most ``near`` words away, in one document. Lists of a frequent term are spread over
+segments, so no task holds a whole list.
+
+The test set is taken in blocks of bounded size (``block_words``): a block is what is sent to all tasks. Items longer
+than a part of a block are cut into pieces that overlap by a phrase less a word.
 
 Edge cases: null and empty texts have no words (n_words 0, not hit); items without words have no windows; a null
 item_id counts as the empty string; repeated item_ids count once; a null doc_id is carried through; every input row
@@ -16,8 +21,8 @@ gives one result row; other columns are ignored, whatever their names; empty tab
 
 from __future__ import annotations
 
-import hashlib
-from itertools import repeat
+from collections import defaultdict
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,57 +60,50 @@ class TestSet:
         Windows with a term that the documents don't have can't occur and are left out.
         """
         out: dict[int, list] = {}
+        text = list(self.terms)
         for k, w in enumerate(self.windows):
             if all(t in counts for t in w):
-                order = sorted(((t, i) for i, t in enumerate(w)), key=lambda x: (counts[x[0]], x))
+                order = sorted(((t, i) for i, t in enumerate(w)), key=lambda x: (counts[x[0]], text[x[0]], x[1]))
                 out.setdefault(order[0][0], []).append((k, order))
         return out
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 8 << 20) -> DataFrame:
-    """The positional index: ``(segment, term, positions, _k1, _k2, doc_id, n_words)``.
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 8 << 20) -> DataFrame:
+    """The positional index, a row for each segment: ``(segment, doc_ids, k1, k2, n_words, terms, sizes, positions)``.
 
-    Rows with a term hold its positions in the segment. Rows of term -1 hold a document: its first position and length.
+    ``terms`` are joined by blanks, ``sizes`` are the lengths of their lists, and ``positions`` the lists one after
+    another, each as its first position and the steps to the next ones (all int32).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(rows):
-        get = shared.value.get
         seg = TaskContext.get().partitionId() << 32
         for b in batches(rows, segment_bytes):
-            n, ids = [], []
+            number: dict[bytes, int] = defaultdict(count().__next__)
+            n, codes, gap = [], [], np.array([-1], np.int32)
             for t in b.column(1).to_pylist():
                 w = words(t)
                 n.append(len(w))
-                ids.append(np.fromiter(map(get, w, repeat(-1)), np.int32, len(w)))
-                ids.append(np.array([-1], np.int32))  # the gap
-            flat, n = np.concatenate(ids), np.array(n, np.int64)
-            starts = np.cumsum(n + 1) - (n + 1)
-            at = np.flatnonzero(flat >= 0).astype(np.int32)
-            at = at[np.argsort(flat[at], kind="stable")]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(flat[at])) + 1, [len(at)]]) if len(at) else np.array([0])
-            found = flat[at[cuts[:-1]]]
-            d, m = b.num_rows, len(found)
-            offsets = np.concatenate([np.arange(d), d + cuts]).astype(np.int32)
-            positions = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([starts.astype(np.int32), at])))
-            tail = lambda c, t: pa.concat_arrays([c.cast(t), pa.nulls(m, t)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(d + m, seg)),
-                    pa.array(np.concatenate([np.full(d, -1, np.int32), found.astype(np.int32)])),
-                    positions,
-                    tail(b.column(0), b.column(0).type),
-                    tail(b.column(2), pa.string()),
-                    tail(b.column(3), pa.int64()),
-                    pa.array(np.concatenate([n, np.zeros(m, np.int64)])),
-                ],
-                ["segment", "term", "positions", "doc_id", "_k1", "_k2", "n_words"],
-            )
+                codes += [np.fromiter(map(number.__getitem__, w), np.int32, len(w)), gap]
+            flat = np.concatenate(codes)
+            at = np.argsort(flat, kind="stable")[len(n) :].astype(np.int32)  # the gaps come first
+            sizes = np.bincount(flat[at], minlength=len(number)).astype(np.int32)
+            steps = np.diff(at, prepend=np.int32(0))
+            first = (np.cumsum(sizes) - sizes)[sizes > 0]
+            steps[first] = at[first]
+            blobs = [pa.array([x], pa.binary()) for x in (b" ".join(number), sizes.tobytes(), steps.astype(np.int32).tobytes())]
+            lists = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), c) for c in (b.column(0), b.column(2).cast(pa.string()), b.column(3), pa.array(n, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([seg]), *lists, *blobs], ["segment", "doc_ids", "k1", "k2", "n_words", "terms", "sizes", "positions"])
             seg += 1
 
-    source = docs.select(F.col(id_col).alias("doc_id"), as_bytes(text_col).alias("t"), *row_key(id_col, text_col))
-    return source.mapInArrow(run, f"segment bigint, term int, positions array<int>, doc_id {kind}, _k1 string, _k2 bigint, n_words bigint")
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(text_col).alias("t"), *row_key(id_col, text_col))
+    return source.mapInArrow(run, f"segment bigint, doc_ids array<{kind}>, k1 array<string>, k2 array<bigint>, n_words array<bigint>, terms binary, sizes binary, positions binary")
+
+
+def _numbers(terms: bytes, known: dict[bytes, int]) -> np.ndarray:
+    """Number of each term of a segment in the test set; -1 for others."""
+    w = terms.split()
+    return np.fromiter(map(known.get, w, repeat(-1)), np.int64, len(w))
 
 
 def _chain(start: np.ndarray, order: list[tuple[int, int]], lists: dict[int, np.ndarray]) -> np.ndarray:
@@ -122,7 +120,7 @@ def _chain(start: np.ndarray, order: list[tuple[int, int]], lists: dict[int, np.
 
 def _near(at: np.ndarray, order: list[tuple[int, int]], lists: dict[int, np.ndarray], starts: np.ndarray, within: int) -> np.ndarray:
     """Places of the rarest term that have every other term of the window at most ``within`` words away, in one document."""
-    for term in {t for t, _ in order[1:]} - {order[0][0]}:
+    for term in dict.fromkeys(t for t, _ in order if t != order[0][0]):
         p = lists.get(term)
         if p is None or not len(at):
             return at[:0]
@@ -137,25 +135,34 @@ def _near(at: np.ndarray, order: list[tuple[int, int]], lists: dict[int, np.ndar
 def search(index: DataFrame, test: TestSet, n: int, near: int) -> DataFrame:
     """Exact and proximity matches: ``(doc_id, _k1, _k2, n_words, hits array<int>, items array<string>, near_items array<string>)``.
 
-    One row for each document; hits are the word positions inside occurrences.
+    One row for each document; hits are the word positions inside occurrences. ``near`` 0 looks for no proximity matches.
     """
-    counts = index.filter("term >= 0").groupBy("term").agg(F.sum(F.size("positions")).alias("n")).collect()  # a row for each term of the block at most
+    known = index.sparkSession.sparkContext.broadcast(test.terms)
+
+    def count_terms(rows):
+        for b in rows:
+            for terms, sizes in zip(*(c.to_pylist() for c in b.columns)):
+                number = _numbers(terms, known.value)
+                ours = np.flatnonzero(number >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(number[ours]), pa.array(np.frombuffer(sizes, np.int32)[ours].astype(np.int64))], ["term", "n"])
+
+    # A row for each term of the block at most.
+    counts = index.select("terms", "sizes").mapInArrow(count_terms, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     shared = index.sparkSession.sparkContext.broadcast((test.plan({r["term"]: r["n"] for r in counts}), test.items))
-    kind = index.schema["doc_id"].dataType.simpleString()
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
 
-    def run(t: pa.Table) -> pa.Table:
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        """The documents of a segment."""
         plan, names = shared.value
-        term = t.column("term").to_numpy()
-        docs = t.filter(pa.array(term < 0))
-        first = docs.column("positions").combine_chunks().flatten().to_numpy().astype(np.int64)
-        docs, first = docs.take(pa.array(np.argsort(first))), np.sort(first)
-        n_words = docs.column("n_words").to_numpy()
-        rows = t.filter(pa.array(term >= 0))
-        column = rows.column("positions").combine_chunks()
-        flat, offs = column.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths()))]).astype(int)
-        lists = {k: flat[i:j] for k, i, j in zip(rows.column("term").to_pylist(), offs, offs[1:])}
-        size = int((first + n_words + 1).max()) if len(first) else 0
-        cover = np.zeros(size + n + 1, np.int32)
+        number = _numbers(b.column("terms")[0].as_py(), known.value)
+        sizes = np.frombuffer(b.column("sizes")[0].as_py(), np.int32).astype(np.int64)
+        steps = np.frombuffer(b.column("positions")[0].as_py(), np.int32)
+        stop = np.cumsum(sizes)
+        ours = np.flatnonzero(number >= 0)
+        lists = {k: np.cumsum(steps[i:j], dtype=np.int64) for k, i, j in zip(number[ours].tolist(), (stop - sizes)[ours].tolist(), stop[ours].tolist())}
+        n_words = b.column("n_words").flatten().to_numpy()
+        first = np.cumsum(n_words + 1) - (n_words + 1)
+        cover = np.zeros(int((n_words + 1).sum()) + n + 1, np.int32)
         exact: dict[int, set[int]] = {}
         loose: dict[int, set[int]] = {}
         for rarest in lists.keys() & plan.keys():
@@ -170,39 +177,50 @@ def search(index: DataFrame, test: TestSet, n: int, near: int) -> DataFrame:
                 if near and len(at := _near(p, order, lists, first, near)):
                     for d in np.unique(np.searchsorted(first, at, "right") - 1).tolist():
                         loose.setdefault(d, set()).add(k)
-        hit = np.flatnonzero(np.cumsum(cover[:size]) > 0)
+        hit = np.flatnonzero(np.cumsum(cover) > 0)
         which = np.searchsorted(first, hit, "right") - 1
         ends = np.searchsorted(which, np.arange(len(first) + 1))
         inside = (hit - first[which]).astype(np.int32) if len(hit) else hit.astype(np.int32)
         listed = lambda found: pa.array([sorted({x for k in found.get(d, ()) for x in names[k]}) for d in range(len(first))], pa.list_(pa.string()))
-        return pa.table(
-            {
-                "doc_id": docs.column("doc_id"),
-                "_k1": docs.column("_k1"),
-                "_k2": docs.column("_k2"),
-                "n_words": docs.column("n_words"),
-                "hits": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(inside)),
-                "items": listed(exact),
-                "near_items": listed(loose),
-            }
-        )
+        cols = [*(b.column(c).flatten() for c in ("doc_ids", "k1", "k2", "n_words")), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(inside)), listed(exact), listed(loose)]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "_k1", "_k2", "n_words", "hits", "items", "near_items"])
+
+    def run(rows):
+        for b in rows:
+            for i in range(b.num_rows):
+                yield one(b.slice(i, 1))
+
+    return index.mapInArrow(run, f"doc_id {kind}, _k1 string, _k2 bigint, n_words bigint, hits array<int>, items array<string>, near_items array<string>")
+
+
+def _pieces(items: DataFrame, n: int, most: int) -> DataFrame:
+    """Items ``(item, t)`` as pieces of at most ``most`` words (and n - 1 more), which have the same windows."""
+
+    def run(rows):
+        for b in rows:
+            out = []
+            for item, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = words(t)
+                out += [(item, b" ".join(w[i : i + most + n - 1])) for i in range(0, max(1, len(w) - n + 1), most)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], ["item", "t"])
 
-    return index.groupBy("segment").applyInArrow(run, f"doc_id {kind}, _k1 string, _k2 bigint, n_words bigint, hits array<int>, items array<string>, near_items array<string>")
+    return items.mapInArrow(run, "item string, t binary")
 
 
 def match(docs: DataFrame, benchmark: DataFrame, n: int = 10, near: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 2_000_000) -> DataFrame:
     """Matches of every document row against the whole test set, in blocks of at most about ``block_words`` words.
 
-    With one block (the usual case) the documents are read once; more blocks add a pass each and are merged by row.
+    The index is built once. With one block (the usual case) it is searched once; more blocks are merged by row.
     """
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), as_bytes(item_text_col).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    pieces = stage(_pieces(items, n, max(1, block_words // 8)), "test-set")
+    total = pieces.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_blocks = 1 + total // (4 * block_words)
+    index = stage(build_index(docs, id_col, text_col), "postings")
     parts = []
     for k in range(n_blocks):
-        mine = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("t", "item"), F.lit(n_blocks)) == k)
-        test = TestSet([(r[0], bytes(r[1]) if r[1] is not None else None) for r in mine.collect()], n)  # bounded by block_words
-        index = stage(build_index(docs, test.terms, id_col, text_col), "postings")
+        mine = pieces if n_blocks == 1 else pieces.filter(F.pmod(F.xxhash64("t", "item"), F.lit(n_blocks)) == k)
+        test = TestSet([(r[0], bytes(r[1])) for r in mine.collect()], n)  # bounded by block_words
         parts.append(search(index, test, n, near))
     if n_blocks == 1:
         return parts[0]
@@ -238,7 +256,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
-    return report(match(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), near=0)).drop("n_near_items")
+    return report(match(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
 ORACLE_OP2 = r"""
@@ -251,8 +269,14 @@ ns AS (SELECT DISTINCT n FROM iw),
 dg AS (SELECT rid, p, n, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, ns WHERE len(w) >= n)),
 h AS (SELECT rid, p, dg.n, item FROM dg JOIN iw USING (n, g)),
 hits AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM h) GROUP BY rid),
-its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid),
+dw AS (SELECT rid, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d), tc AS (SELECT t, count(*) AS c FROM dw GROUP BY t),
+wt AS (SELECT DISTINCT g, unnest(string_split(g, ' ')) AS t FROM iw), wc AS (SELECT g, t, c FROM wt LEFT JOIN tc USING (t)),
+ra AS (SELECT g, first(t ORDER BY c, encode(t)) AS t, count(*) AS m FROM wc GROUP BY g HAVING count(c) = count(*)),
+ca AS (SELECT ra.g, ra.m, dw.rid, dw.p FROM ra JOIN dw ON ra.t = dw.t),
+ne AS (SELECT ca.g, ca.rid, ca.p FROM ca JOIN wt ON ca.g = wt.g JOIN dw ON dw.rid = ca.rid AND dw.t = wt.t AND abs(dw.p - ca.p) <= 20 GROUP BY ca.g, ca.rid, ca.p, ca.m HAVING count(DISTINCT wt.t) = ca.m),
+ni AS (SELECT rid, count(DISTINCT item) AS n_near FROM ne JOIN iw USING (g) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid)
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items
+FROM d LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid) LEFT JOIN ni USING (rid)
 """

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.skew import join_counted
 from ..session import stage
 from .common import as_bytes, batches, read, row_key, whole_row
 
@@ -159,25 +160,41 @@ def bucket_stars(f: np.ndarray, within: int = 3) -> np.ndarray:
     return np.stack([f[far], f[root[far]]], axis=1)
 
 
+PLACES = 1 << 23  # places that are held at once
+
+
 def _neighbours(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of a graph with the same components: x and y at up to 3 bits meet as x^(<=1 bit) = y^(<=2 bits).
 
     Fingerprints that share a one-bit neighbour are at 2 bits at most, so one of them stands for all at that place.
+    Places are taken by their remainder, so many at a time.
     """
-    m, bit = len(f), np.concatenate([[0], 1 << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
-    place = (f.astype(np.uint64)[:, None] ^ bit).reshape(-1)
-    owner = np.repeat(np.arange(m), 65)
-    order = np.argsort(place, kind="stable")
-    place, owner = place[order], owner[order]
-    same = np.flatnonzero(place[1:] == place[:-1])
-    left, right = [owner[same]], [owner[same + 1]]
-    for k, x in enumerate(bit[1:]):
-        for y in bit[k + 2 :]:
-            want = f ^ (x | y)
-            at = np.minimum(np.searchsorted(place, want), len(place) - 1)
-            hit = place[at] == want
-            left.append(np.flatnonzero(hit))
-            right.append(owner[at[hit]])
+    bit = np.concatenate([[0], 1 << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
+    turns = np.uint64(1 + 65 * len(f) // PLACES)
+    left, right = [], []
+    for turn in range(int(turns)):
+        mine = lambda x: np.flatnonzero(x % turns == turn) if turns > 1 else np.arange(len(x))  # noqa: E731, B023
+        place, owner = [], []
+        for x in bit:
+            at = mine(f ^ x)
+            place.append((f ^ x)[at])
+            owner.append(at)
+        place, owner = np.concatenate(place), np.concatenate(owner)
+        order = np.argsort(place, kind="stable")
+        place, owner = place[order], owner[order]
+        if not len(place):
+            continue
+        same = np.flatnonzero(place[1:] == place[:-1])
+        left.append(owner[same])
+        right.append(owner[same + 1])
+        for k, x in enumerate(bit[1:]):
+            for y in bit[k + 2 :]:
+                want = f ^ (x | y)
+                ask = mine(want)
+                at = np.minimum(np.searchsorted(place, want[ask]), len(place) - 1)
+                hit = place[at] == want[ask]
+                left.append(ask[hit])
+                right.append(owner[at[hit]])
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -194,7 +211,7 @@ def links(nodes: DataFrame) -> DataFrame:
 
     def verify(rows):
         """Rows come sorted by key: buckets are runs. A run may go over batches."""
-        held_key, held_fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the last bucket so far
 
         def stars(key, fp):
             cut = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
@@ -207,14 +224,23 @@ def links(nodes: DataFrame) -> DataFrame:
             if len(got):
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["u", "v"])
 
+        def joined():
+            return (np.concatenate([h[k] for h in held]) for k in (0, 1))
+
         for b in rows:
-            key, fp = (np.concatenate([h, c.to_numpy()]) for h, c in zip((held_key, held_fp), b.columns))
-            done = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            if done:
-                yield from stars(key[:done], fp[:done])
-            held_key, held_fp = key[done:], fp[done:]
-        if len(held_key):
-            yield from stars(held_key, held_fp)
+            key, fp = (c.to_numpy() for c in b.columns)
+            if not len(key):
+                continue
+            last = int(np.searchsorted(key, key[-1]))  # where the batch's last bucket begins
+            if held and (last or key[0] != held[-1][0][-1]):
+                held.append((key[:last], fp[:last]))
+                yield from stars(*joined())
+                held = []
+            elif last:
+                yield from stars(key[:last], fp[:last])
+            held.append((key[last:], fp[last:]))
+        if held:
+            yield from stars(*joined())
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = nodes.select("fp").mapInArrow(emit, "key bigint, fp bigint").repartition(n, "key").sortWithinPartitions("key", "fp")
@@ -222,16 +248,16 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def classes(fps: DataFrame) -> DataFrame:
-    """``(fp, root, component_id)`` for every distinct fingerprint of a stored table ``(doc_id, fp)``."""
-    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    """``(fp, root, component_id, d)`` for every distinct fingerprint of a stored table ``(doc_id, fp)``; ``d`` rows have it."""
+    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("d")), "fingerprints")
     return _classes(nodes, links(nodes))
 
 
 def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     roots = connected_components(edges)
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return stage(named.join(least, "root").select("fp", "root", "component_id"), "classes")
+    named = stage(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "d", F.coalesce("component", "fp").alias("root")), "roots")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return stage(join_counted(named, least, "root", named.count(), "n").select("fp", "root", "component_id", "d"), "classes")
 
 
 # --- links by Jaccard -----------------------------------------------------------------------------------------------
@@ -338,7 +364,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part, but are never a component_id unless nothing else is in the class. Repeated rows stay.
     """
     fps = stage(fingerprints(docs, id_col, text_col), "document-fingerprints")
-    return fps.join(classes(fps), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_counted(fps, classes(fps), "fp", fps.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, similarity: float | None = None) -> DataFrame:
@@ -351,10 +377,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         of = classes(fps)
     else:
         fps = stage(_shingle_nodes(docs, id_col, text_col, size), "document-shingles")
-        nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("_k1", "_k2")).alias("rep"), F.first("keys").alias("keys")), "shingle-sets")
-        of = _classes(nodes.select("fp", "least"), jaccard_links(nodes, docs, id_col, text_col, size, similarity))
+        nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("d"), F.min(F.struct("_k1", "_k2")).alias("rep"), F.first("keys").alias("keys")), "shingle-sets")
+        of = _classes(nodes.select("fp", "least", "d"), jaccard_links(nodes, docs, id_col, text_col, size, similarity))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_k1", "_k2"))
-    kept = fps.join(of, "fp").groupBy("root").agg(best.alias("s")).select("s._k1", "s._k2").distinct()
+    kept = join_counted(fps, of, "fp", fps.count()).groupBy("root").agg(best.alias("s")).select("s._k1", "s._k2").distinct()
     keyed = docs.select(whole_row(docs), *row_key(id_col, text_col))
     return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_row.*")
 

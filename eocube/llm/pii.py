@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_counted
 from ..session import stage
 from .common import read, row_key, whole_row
 
@@ -299,22 +300,6 @@ def _parts(text: Column) -> Column:
     return F.when(text.contains(_OPEN) | text.contains(_CLOSE), two).otherwise(one)
 
 
-#: Mentions in more rows than that are sent to all tasks beside the join, if they are few.
-FREQUENT, MOST_FREQUENT = 10_000, 10_000
-
-
-def _by_mention(found: DataFrame, rendered: DataFrame) -> DataFrame:
-    """``found`` joined with ``rendered(m, n, ..)``; mentions found in very many rows are not gathered in one task."""
-    cols = [c for c in rendered.columns if c not in ("m", "n")]
-    often = rendered.filter(F.col("n") > FREQUENT)
-    many = often.limit(MOST_FREQUENT + 1).count()
-    if not many or many > MOST_FREQUENT:  # so many of them spread over the tasks by themselves
-        return found.join(rendered.drop("n"), "m")
-    near = found.join(F.broadcast(often.select("m", F.struct(*cols).alias("_r"))), "m", "left")
-    far = near.filter("_r is null").drop("_r").join(rendered.filter(F.col("n") <= FREQUENT).drop("n"), "m")
-    return far.unionByName(near.filter("_r is not null").select(*found.columns, "_r.*"))
-
-
 def replace(docs: DataFrame, key: str = "eocube", id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text_col``; with ``count_col``, also the number of distinct mentions replaced in the row."""
     if count_col and count_col.lower() in map(str.lower, docs.columns):
@@ -337,7 +322,7 @@ def replace(docs: DataFrame, key: str = "eocube", id_col: str = "doc_id", text_c
     is_name = F.col("kind") == "name"
     rendered = stage(own.select("m", "n", F.when(is_name, render_name(F.col("m"), F.col("s"))).otherwise(render(F.col("kind"), F.col("m"), F.element_at("s", 1))).alias("s"), F.when(is_name, pairs).alias("w")), "rendered")
 
-    per_row = _by_mention(found, rendered).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("m", "s")).alias("_e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("_w"))
+    per_row = join_counted(found, rendered, "m", found.count(), "n").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("m", "s")).alias("_e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("_w"))
     first = F.filter("_w", lambda e, i: (i == 0) | (F.get("_w", i - 1)["w"] != e["w"]))  # one surrogate by word
     maps = per_row.select("_k1", "_k2", F.map_from_entries("_e").alias("_map"), F.when(F.size("_w") > 0, F.map_from_entries(first)).alias("_words"))
     touched = seen.filter("_parts is not null").join(maps, ["_k1", "_k2"], "left")

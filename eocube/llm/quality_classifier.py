@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ FEATURES = 256
 LENGTH = 5.0  # of the kernel, in standard deviations
 RIDGE = 1e-3
 BINS = 4096
+FAN_IN = 1024  # sums that are added up in one group
 
 
 def describe(text: bytes | None) -> np.ndarray:
@@ -112,16 +114,22 @@ def _normal_equations(rows: DataFrame, model: Model) -> np.ndarray:
             y = b.column(1).to_numpy().astype(float)
             total += z.T @ np.concatenate([z, y[:, None]], axis=1)
         if total[-1, -2]:  # the number of rows
-            yield pa.RecordBatch.from_arrays([pa.array(range(FEATURES + 1), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["i", "sum"])
+            g = pa.array(np.full(FEATURES + 1, TaskContext.get().partitionId() // FAN_IN), pa.int32())
+            yield pa.RecordBatch.from_arrays([g, pa.array(range(FEATURES + 1), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["g", "i", "sum"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x) for x in t.column("sum").to_pylist()], axis=0)
-        return pa.table({"i": t.column("i").slice(0, 1), "sum": pa.array([total.tobytes()], pa.binary())})
-
-    sums = rows.select("stats", "y").mapInArrow(part, "i int, sum binary").groupBy("i").applyInArrow(add, "i int, sum binary")
+        total = np.zeros(FEATURES + 2)
+        for x in t.column("sum"):
+            total += np.frombuffer(x.as_buffer())
+        return pa.table({"g": pa.array([t.column("g")[0].as_py() // FAN_IN], pa.int32()), "i": t.column("i").slice(0, 1), "sum": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "g int, i int, sum binary"
+    sums = rows.select("stats", "y").mapInArrow(part, kind)
+    for _ in range(2):  # FAN_IN squared tasks
+        sums = sums.groupBy("g", "i").applyInArrow(add, kind)
     out = np.zeros((FEATURES + 1, FEATURES + 2))
     for r in sums.collect():  # FEATURES + 1 rows
-        out[r["i"]] = np.frombuffer(bytes(r["sum"]))
+        out[r["i"]] += np.frombuffer(bytes(r["sum"]))
     return out
 
 
@@ -189,9 +197,18 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score(described, fit(described, labels, id_col), threshold)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that score under the threshold; rows are scored where they stand, without a join."""
-    described = stage(describe_documents(docs, id_col, text_col), "statistics")
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, most_labels: int = 500_000) -> DataFrame:
+    """``docs`` without the rows that score under the threshold; rows are scored where they stand, without a join.
+
+    The model is fitted on at most about ``most_labels`` labelled rows (by a hash of their ids), so that only these are
+    described beforehand, and found by sending their ids to all tasks.
+    """
+    ids = labels.select(F.col(id_col).alias("_label"))
+    total = ids.count()
+    if total > most_labels:
+        ids = ids.filter(F.pmod(F.xxhash64("_label"), F.lit(1_000_000)) < 1_000_000 * most_labels // total)
+    labelled = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("_label"), "left_semi")
+    described = stage(describe_documents(labelled), "statistics")
     shared = docs.sparkSession.sparkContext.broadcast(fit(described, labels, id_col))
     at = docs.columns.index(text_col)
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_texts
 from .common import read, row_key
 
 #: Equivalent spellings (fixed values): each left form becomes the right one. Applied in this order on lower case.
@@ -27,27 +28,7 @@ SPELLINGS = [
 #: Lines that state a copyright: they name years and holders, which differ between copies of one license.
 COPYRIGHT = r"(?m)^[^\n]*(copyright|©|\(c\))[ \t]+(\(c\)|©|[0-9]{4}|the |by |<|\[)[^\n]*$"
 
-#: Known notices and texts (fixed values): (license, class, text).
-KNOWN = [
-    ("GPL-3.0", "copyleft", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "noncommercial", "Licensed under CC BY-NC 4.0."),
-    ("MIT", "permissive", "Released under the MIT License."),
-    ("Apache-2.0", "permissive", "Licensed under the Apache License, Version 2.0."),
-    ("LicenseRef-All-Rights-Reserved", "proprietary", "All rights reserved."),
-    ("MIT", "permissive", "SPDX-License-Identifier: MIT"),
-    ("Apache-2.0", "permissive", "SPDX-License-Identifier: Apache-2.0"),
-    ("GPL-3.0", "copyleft", "SPDX-License-Identifier: GPL-3.0-only"),
-    (
-        "MIT",
-        "permissive",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
-    ),
-    (
-        "ISC",
-        "permissive",
-        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
-    ),
-]
+KNOWN = license_texts.known()
 
 
 def _lines(text: Column) -> Column:
@@ -84,9 +65,8 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     whole = F.struct(_whole(F.col("c")).alias("c"), F.lit(True).alias("all"))
     lines = F.transform(F.split("c", "\n"), lambda x: F.struct(F.trim(x).alias("c"), F.lit(False).alias("all")))
     units = c.select("_k1", "_k2", F.explode(F.concat(F.array(whole), lines)).alias("u")).filter("u.c <> ''")
-    lengths = [r[0] for r in known.select("length").distinct().limit(1_001).collect()]  # 1,001 numbers at most
-    if len(lengths) <= 1_000:
-        units = units.filter(F.length("u.c").isin(lengths))
+    # Distinct lengths are at most as many as the longest known text has characters: Spark sends them to all tasks.
+    units = units.join(known.select("length").distinct(), F.length("u.c") == F.col("length"), "left_semi")
     digests = units.select("_k1", "_k2", "u.all", F.sha2("u.c", 256).alias("digest")).distinct()
     found = digests.join(known.select("digest", "license", "class"), "digest").groupBy("_k1", "_k2").agg(
         F.min(F.when(F.col("all"), F.col("license"))).alias("whole"),

@@ -106,6 +106,7 @@ def detect_breaks(wide: DataFrame, names: list[str], least: int = 20) -> DataFra
         return pa.Table.from_pylist([{"y": y, "x": x, "seg": k, **s} for k, s in enumerate(found)], schema=kind)
 
     rows = wide.select("y", "x", F.unix_date("date").alias("t"), *names).na.drop().groupBy("y", "x", "t").agg(*[F.avg(c).alias(c) for c in names])
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "y", "x")  # by number: fits take long
     return rows.groupBy("y", "x").applyInArrow(run, "y int, x int, seg int, t_start int, t_end int, t_break int, num_obs int, rmse array<double>, magnitude array<double>, coefs array<array<double>>")
 
 

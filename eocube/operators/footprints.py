@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grid import offsets
@@ -18,8 +20,8 @@ def good_shots(shots: DataFrame, low: float, high: float, ring: list[tuple[float
 def weighted_cells(shots: DataFrame, method: str, diameter: float = 1.0) -> DataFrame:
     """``shots`` with a row for each cell they cover: ``y, x, w``.
 
-    nearest: the cell they are in; focal: its 3x3 neighbourhood; area: cells by the share of the circle's area, from an
-    8x8 grid of points in the circle.
+    nearest: the cell they are in; focal: its 3x3 neighbourhood; area: all cells that the circle overlaps, by the exact
+    share of its area.
     """
     cy, cx = F.floor("py").cast("int"), F.floor("px").cast("int")
     if method == "nearest":
@@ -27,13 +29,28 @@ def weighted_cells(shots: DataFrame, method: str, diameter: float = 1.0) -> Data
     if method == "focal":
         o = shots.withColumn("_o", F.explode(offsets(1, True)))
         return o.select(*shots.columns, (cy + F.col("_o.dy")).alias("y"), (cx + F.col("_o.dx")).alias("x"), F.lit(1.0).alias("w"))
-    n, r = 8, diameter / 2
-    inside = [(-r + (i + 0.5) * diameter / n, -r + (j + 0.5) * diameter / n) for i in range(n) for j in range(n)]
-    inside = [(a, b) for a, b in inside if a * a + b * b <= r * r]
-    pts = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in inside])
-    o = shots.withColumn("_o", F.explode(pts))
-    o = o.select(*shots.columns, F.floor(F.col("py") + F.col("_o.dy")).cast("int").alias("y"), F.floor(F.col("px") + F.col("_o.dx")).cast("int").alias("x"))
-    return o.groupBy(*shots.columns, "y", "x").agg((F.count(F.lit(1)) / len(inside)).alias("w"))
+    r = diameter / 2
+    o = shots.withColumn("_o", F.explode(offsets(math.ceil(r), True))).select(*shots.columns, (cy + F.col("_o.dy")).alias("y"), (cx + F.col("_o.dx")).alias("x"))
+    w = circle_share(F.col("x") - F.col("px"), F.col("y") - F.col("py"), r)
+    return o.withColumn("w", F.round(w, 12)).filter("w > 0")
+
+
+def circle_share(left: Column, low: Column, r: float) -> Column:
+    """Share of a circle around 0 that lies in the unit cell with this left and lower edge.
+
+    From the area in a quadrant's rectangle: all of it inside of the arc; else a part under the arc, by its integral.
+    """
+
+    def arc(t):
+        return (t * F.sqrt(F.greatest(F.lit(0.0), r * r - t * t)) + r * r * F.asin(F.least(F.lit(1.0), t / r))) / 2
+
+    def corner(x, y):
+        a, b = F.least(F.abs(x), F.lit(r)), F.least(F.abs(y), F.lit(r))
+        meet = F.sqrt(F.greatest(F.lit(0.0), r * r - b * b))
+        return F.signum(x) * F.signum(y) * F.when(a <= meet, a * b).otherwise(b * meet + arc(a) - arc(meet))
+
+    x, y = left + 1.0, low + 1.0
+    return (corner(x, y) - corner(left, y) - corner(x, low) + corner(left, low)) / (math.pi * r * r)
 
 
 def link(shots: DataFrame, cells: DataFrame, method: str, keys: list[str], value: str = "value", diameter: float = 1.0) -> DataFrame:
@@ -158,6 +175,15 @@ def permutation_loss(train: DataFrame, features: list[str], target: str, seed: i
     return train.sparkSession.createDataFrame(out, "feature string, loss double").orderBy(F.desc("loss"), "feature")
 
 
+def group_refits(train: DataFrame, groups: dict[str, list[str]], target: str, seed: int = 1, **params) -> DataFrame:
+    """Growth of the mean squared error when the model is fitted without a group of features, by group."""
+    mse = lambda df: float(df.agg(F.avg(F.pow(F.col("prediction") - F.col(target), 2))).first()[0])
+    every = [f for fs in groups.values() for f in fs]
+    whole = mse(fit_predict(train, train, every, target, seed, **params))
+    out = [(g, mse(fit_predict(train, train, [f for f in every if f not in fs], target, seed, **params)) - whole) for g, fs in groups.items()]
+    return train.sparkSession.createDataFrame(out, "features string, loss double").orderBy(F.desc("loss"), "features")
+
+
 def parametric_fits(df: DataFrame, x: str, y: str) -> DataFrame:
     """Linear, power (log-log) and quadratic regression: ``(model, c0, c1, c2, r2)``, all from sums of one pass."""
     import numpy as np

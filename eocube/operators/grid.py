@@ -5,7 +5,7 @@ Neighbours come by exploding the fixed offsets and one equality join; regions by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -23,10 +23,17 @@ def neighbours(cells: DataFrame, keys: list[str], half: int, columns: list[str],
 
 
 def flip_isolated(flood: DataFrame, half: int = 2) -> DataFrame:
-    """A pixel whose whole window (of valid cells) is of the other class takes that class."""
-    near = neighbours(flood, ["date"], half, ["cls"]).groupBy("date", "y", "x").agg(F.min("_cls").alias("lo"), F.max("_cls").alias("hi"))
-    j = flood.join(near, ["date", "y", "x"], "left")
-    return j.select("date", "y", "x", F.when((F.col("lo") == F.col("hi")) & (F.col("lo") != F.col("cls")), F.col("lo")).otherwise(F.col("cls")).alias("cls"))
+    """A pixel whose whole window (of valid cells) is of the other class takes that class.
+
+    Cells with one of their own class near them in their row or column stay; only the others look at their whole window.
+    """
+    along = lambda a, b: F.count(F.lit(1)).over(Window.partitionBy("date", a, "cls").orderBy(b).rangeBetween(-half, half))
+    alone = flood.withColumns({"_r": along("y", "x"), "_c": along("x", "y")}).filter("_r = 1 and _c = 1").select("date", "y", "x", F.col("cls").alias("_own"))
+    around = alone.select("*", F.explode(offsets(half)).alias("o")).select("date", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.struct("y", "x").alias("_at"), "_own")
+    met = around.join(flood.select("date", "y", "x", F.col("cls").alias("_near")), ["date", "y", "x"])
+    flips = met.groupBy("date", F.col("_at.y").alias("y"), F.col("_at.x").alias("x")).agg(F.max(F.col("_near") == F.col("_own")).alias("_same"), F.min("_near").alias("lo"), F.max("_near").alias("hi"))
+    flips = flips.filter("not _same and lo = hi").select("date", "y", "x", F.col("lo").alias("_new"))
+    return flood.join(flips, ["date", "y", "x"], "left").select("date", "y", "x", F.coalesce("_new", "cls").alias("cls"))
 
 
 def neighbour_sum(cells: DataFrame, keys: list[str], value: str, half: int) -> DataFrame:
@@ -114,8 +121,6 @@ def seeded_fill(dem: DataFrame, levels: DataFrame, seed: tuple[int, int]) -> Dat
 
 def numbered_floods(labelled: DataFrame, water: DataFrame, least_area: float, cell_area: float = 900.0) -> DataFrame:
     """``(y, x, flood_id)``: regions that touch permanent-water regions of at least ``least_area`` are numbered from 1, others get 0."""
-    from pyspark.sql import Window
-
     lakes = regions(water.select("y", "x"))
     lakes = lakes.join(region_sizes(lakes, [], cell_area).filter(F.col("area") >= least_area).select("region"), "region", "left_semi")
     hit = touching(labelled, [], lakes).select("region").distinct()

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_STATIONS = 50_000  # what is sent to every task
-
+from ..session import stage
 
 def annual_load(gauge: DataFrame) -> DataFrame:
     """Runoff (1e8 m3) and sediment load (1e8 kg) by station and year, whole and from May to October; zero years go."""
@@ -47,17 +46,22 @@ def levels_between(bracketed: DataFrame, gauge: DataFrame) -> DataFrame:
     return j.select("place", "date", F.round(F.col("_a") + (F.col("_b") - F.col("_a")) * w, 9).alias("level"))
 
 
-def level_at_frequency(pixels: DataFrame, levels: DataFrame) -> DataFrame:
+def level_at_frequency(pixels: DataFrame, levels: DataFrame, cuts: int = 1000) -> DataFrame:
     """Ground level of each pixel from its flood frequency: the level exceeded that share of the days, linear between ranks.
 
-    ``pixels(y, x, frequency)``. Distinct levels are few; they become one array of (share, level).
+    ``pixels(y, x, frequency)``. Shares are summed in two levels, by blocks of levels and inside of them; a pixel meets
+    the steps of its frequency by slices of it, so nothing is sent to all tasks.
     """
-    w = Window.orderBy(F.desc("level"))
-    counted = levels.groupBy("level").agg(F.count(F.lit(1)).alias("n"))  # distinct levels of one gauge
-    up = counted.select("level", (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("share"))
-    steps = up.select("level", "share", F.lag("level").over(w).alias("l0"), F.lag("share").over(w).alias("s0"))
-    j = pixels.filter("frequency > 0 and frequency <= 1").join(F.broadcast(steps), (F.col("frequency") <= F.col("share")) & (F.col("frequency") > F.coalesce("s0", F.lit(0.0))))
-    level = F.col("level") + (F.coalesce("l0", "level") - F.col("level")) * (F.col("share") - F.col("frequency")) / (F.col("share") - F.coalesce("s0", F.lit(0.0)))
+    counted = levels.groupBy("level").agg(F.count(F.lit(1)).alias("n")).withColumn("_b", F.floor(F.col("level") * 10))
+    top = Window.orderBy(F.desc("_b"))  # a row for each block
+    blocks = counted.groupBy("_b").agg(F.sum("n").alias("_n"), F.min("level").alias("_low"))
+    blocks = blocks.select("_b", F.coalesce(F.sum("_n").over(top.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_over"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"), F.lag("_low").over(top).alias("_above"))
+    w = Window.partitionBy("_b").orderBy(F.desc("level"))
+    upto = F.col("_over") + F.sum("n").over(w)
+    steps = counted.join(blocks, "_b").select("level", (upto / F.col("_all")).alias("share"), ((upto - F.col("n")) / F.col("_all")).alias("s0"), F.coalesce(F.lag("level").over(w), "_above", "level").alias("l0"))
+    sliced = steps.withColumn("_s", F.explode(F.sequence(F.floor(F.col("s0") * cuts), F.floor(F.col("share") * cuts))))
+    j = pixels.filter("frequency > 0 and frequency <= 1").withColumn("_s", F.floor(F.col("frequency") * cuts)).join(sliced, "_s").filter("frequency <= share and frequency > s0")
+    level = F.col("level") + (F.col("l0") - F.col("level")) * (F.col("share") - F.col("frequency")) / (F.col("share") - F.col("s0"))
     return j.select("y", "x", F.round(level, 5).alias("z"))
 
 
@@ -101,24 +105,53 @@ def profile_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select("cs", "d", F.round("za", 9).alias("za"), F.round("zb", 9).alias("zb"), F.round(F.col("zb") - F.col("za"), 9).alias("diff"))
 
 
-def idw(cells: DataFrame, stations: DataFrame, nearest: int = 5, power: int = 2, by: list[str] | None = None) -> DataFrame:
-    """Inverse-distance mean of the ``nearest`` stations at each cell's centre; a station at the centre gives its value.
+def nearest_stations(cells: DataFrame, stations: DataFrame, k: int, by: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """``(by, y, x, n)``: the ``k`` nearest stations of each cell's centre as an array of ``(_d, station_id, columns..)``, ``_d`` the squared distance.
 
-    Stations number thousands and cells millions. Their table is joined to every cell (by ``by``, as the date, where
-    given), and a cell keeps its nearest in the same task; without ``by`` the bound on stations is checked.
+    Stations are laid into tiles that hold some ``k`` on average. A cell looks into its tile and those around it; where
+    the last of the k is farther than the searched ring reaches, or k are not found, the ring is doubled. So results
+    are exact and no cell meets all stations. Of equal distances the smaller station_id comes first.
     """
+    by, columns = by or [], columns or []
+    s = stations.select(*by, "station_id", F.col("px").alias("_px"), F.col("py").alias("_py"), *columns)
+    r = s.agg(F.min("_px"), F.max("_px"), F.min("_py"), F.max("_py"), F.count(F.lit(1)), F.countDistinct(*by) if by else F.lit(1)).first()
+    left = cells.select(*by, "y", "x").distinct()
+    if not r[4]:
+        return left.limit(0).select(*by, "y", "x", F.array(F.struct(F.lit(0.0).alias("_d"), *[F.lit(None).cast(s.schema[c].dataType).alias(c) for c in ("station_id", *columns)])).alias("n"))
+    per = max(1.0, r[4] / max(1, r[5]))
+    side = max(1.0, (max(1.0, r[1] - r[0]) * max(1.0, r[3] - r[2]) * k / per) ** 0.5)
+    widest = max(r[1] - r[0], r[3] - r[2]) + 2 * side
+    c = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if c[0] is not None:
+        widest += max(abs(r[0] - c[0]), abs(r[1] - c[1]), abs(r[2] - c[2]), abs(r[3] - c[3]))
+    tile = lambda v: F.floor(v / side).cast("long")
+    tiles = s.withColumns({"_tx": tile(F.col("_px")), "_ty": tile(F.col("_py"))})
+    px, py = F.col("x") + 0.5, F.col("y") + 0.5
+    done, ring = None, 1
+    while True:
+        last = ring * side >= widest
+        near = F.sequence(F.lit(-ring), F.lit(ring))
+        looked = left.withColumns({"_ox": F.explode(near)}).withColumn("_oy", F.explode(near)).select(*by, "y", "x", (tile(px) + F.col("_ox")).alias("_tx"), (tile(py) + F.col("_oy")).alias("_ty"))
+        d = F.round(F.pow(px - F.col("_px"), 2) + F.pow(py - F.col("_py"), 2), 9)
+        found = looked.join(tiles, [*by, "_tx", "_ty"]).groupBy(*by, "y", "x").agg(F.slice(F.array_sort(F.collect_list(F.struct(d.alias("_d"), "station_id", *columns))), 1, k).alias("n"))
+        sure = F.lit(True) if last else (F.size("n") >= k) & (F.element_at("n", -1)["_d"] <= (ring * side) ** 2)
+        found = stage(found.filter(sure), "nearest")
+        done = found if done is None else done.unionByName(found)
+        left = stage(left.join(found, [*by, "y", "x"], "left_anti"), "cells-left")
+        if last or left.isEmpty():
+            return done
+        ring *= 2
+
+
+def idw(cells: DataFrame, stations: DataFrame, nearest: int = 5, power: int = 2, by: list[str] | None = None) -> DataFrame:
+    """Inverse-distance mean of the ``nearest`` stations at each cell's centre; a station at the centre gives its value."""
     by = by or []
-    s = stations.filter("value is not null").select(*by, F.col("station_id"), F.col("px").alias("_px"), F.col("py").alias("_py"), F.col("value").alias("_v"))
-    d = F.pow(F.col("x") + 0.5 - F.col("_px"), 2) + F.pow(F.col("y") + 0.5 - F.col("_py"), 2)
-    if s.limit(MOST_STATIONS + 1).count() > MOST_STATIONS and not by:
-        raise ValueError(f"over {MOST_STATIONS} stations: give the rows a key such as the date, or tile them")
-    j = cells.join(s, how="cross").withColumn("_d", F.round(d, 9))
-    near = j.groupBy(*by, "y", "x").agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "station_id", "_v"))), 1, nearest).alias("n"))
+    near = nearest_stations(cells, stations.filter("value is not null"), nearest, by, ["value"])
     hit = F.element_at("n", 1)
     w = lambda e: 1 / F.pow(F.sqrt(F.nullif(e["_d"], F.lit(0.0))), F.lit(power))
-    top = F.aggregate("n", F.lit(0.0), lambda a, e: a + F.coalesce(w(e) * e["_v"], F.lit(0.0)))
+    top = F.aggregate("n", F.lit(0.0), lambda a, e: a + F.coalesce(w(e) * e["value"], F.lit(0.0)))
     low = F.aggregate("n", F.lit(0.0), lambda a, e: a + F.coalesce(w(e), F.lit(0.0)))
-    return near.select(*by, "y", "x", F.round(F.when(hit["_d"] == 0, hit["_v"]).otherwise(top / low), 5).alias("value"))
+    return near.select(*by, "y", "x", F.round(F.when(hit["_d"] == 0, hit["value"]).otherwise(top / low), 5).alias("value"))
 
 
 def swing(lines: DataFrame) -> DataFrame:
@@ -157,6 +190,30 @@ def points_along(sections: DataFrame, n: int) -> DataFrame:
     return k.select("cs", "k", F.round(F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("k") / n, 9).alias("px"), F.round(F.col("ay") + (F.col("by") - F.col("ay")) * F.col("k") / n, 9).alias("py"))
 
 
+def sample_profile(profile: DataFrame, sections: DataFrame, grid: DataFrame) -> DataFrame:
+    """``profile(cs, d, z)`` with ``z_grid``, the grid's value at each surveyed distance along its section; null off the grid.
+
+    ``sections(cs, ax, ay, bx, by)`` start at distance 0; ``grid(y, x, z)``.
+    """
+    j = profile.join(sections, "cs")
+    length = F.nullif(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")), F.lit(0.0))
+    at = lambda a, b: F.floor(F.round(F.col(a) + (F.col(b) - F.col(a)) * F.col("d") / length, 9)).cast("int")
+    p = j.select("cs", "d", "z", at("ay", "by").alias("y"), at("ax", "bx").alias("x"))
+    return p.join(grid.select("y", "x", F.col("z").alias("z_grid")), ["y", "x"], "left").select("cs", "d", "z", "z_grid")
+
+
+def along_line(line: DataFrame, by: list[str], grid: DataFrame, half: int, step: float, order: str = "seq") -> DataFrame:
+    """The grid in coordinates of a line: ``(by, station, offset, value)`` for ``half`` steps to each side of every vertex.
+
+    Offsets stand at right angles to the segment that starts at the vertex, the left positive; cells without a value are null.
+    """
+    d = directions(line, by, order).join(line.select(*by, order, F.col("x").alias("_px"), F.col("y").alias("_py")), [*by, order])
+    o = d.withColumn("offset", F.explode(F.sequence(F.lit(-half), F.lit(half))))
+    cell = lambda p, u, side: F.floor(F.round(F.col(p) + side * F.col(u) * F.col("offset") * step, 6)).cast("int")
+    p = o.select(*by, F.col(order).alias("station"), "offset", cell("_py", "ux", 1).alias("y"), cell("_px", "uy", -1).alias("x"))
+    return p.join(grid.select("y", "x", "value"), ["y", "x"], "left").select(*by, "station", "offset", "value")
+
+
 def transect(cells: DataFrame, segment: tuple[float, float, float, float], step: float, reach: float) -> DataFrame:
     """Mean of the cells by bins of signed distance to a line (left positive), within ``reach`` and beside the segment."""
     ax, ay, bx, by = segment

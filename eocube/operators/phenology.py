@@ -50,6 +50,15 @@ def _model(t: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p[0] + (p[1] - p[6] * t) * (a - b)
 
 
+def _slopes(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Derivatives of the curve by its parameters."""
+    u, w = (t - p[2]) / p[3], (t - p[4]) / p[5]
+    a, b = 1 / (1 + np.exp(-np.clip(u, -60, 60))), 1 / (1 + np.exp(-np.clip(w, -60, 60)))
+    height = p[1] - p[6] * t
+    up, down = height * a * (1 - a) / p[3], height * b * (1 - b) / p[5]
+    return np.stack([np.ones(len(t)), a - b, -up, -up * u, down, down * w, -t * (a - b)], axis=1)
+
+
 LOW = np.array([-0.2, 0.05, 30.0, 3.0, 180.0, 3.0, 0.0])
 HIGH = np.array([0.6, 1.2, 180.0, 40.0, 340.0, 40.0, 0.005])
 
@@ -62,8 +71,7 @@ def fit_double_logistic(t: np.ndarray, v: np.ndarray, low=LOW, high=HIGH, rounds
         p[0], p[1] = np.clip([np.quantile(v, 0.1), np.ptp(v)], low[:2], high[:2])
         r = v - _model(t, p)
         for _ in range(rounds):
-            h = np.maximum(np.abs(p), 1e-3) * 1e-5
-            j = np.stack([(_model(t, p + h * e) - _model(t, p - h * e)) / (2 * h[i]) for i, e in enumerate(np.eye(7))], axis=1)
+            j = _slopes(t, p)
             a = j.T @ j
             free = ~(((p <= low) & (j.T @ r < 0)) | ((p >= high) & (j.T @ r > 0)))
             if not free.any():
@@ -74,7 +82,7 @@ def fit_double_logistic(t: np.ndarray, v: np.ndarray, low=LOW, high=HIGH, rounds
             new = np.clip(p + step, low, high)
             s = v - _model(t, new)
             if s @ s < r @ r:
-                done = (r @ r - s @ s) < 1e-12 * max(1e-9, r @ r)
+                done = (r @ r - s @ s) < 1e-9 * max(1e-9, r @ r)
                 p, r, damp = new, s, max(damp / 4, 1e-9)
                 if done:
                     break
@@ -113,38 +121,52 @@ def fit_curves(obs: DataFrame, least: int = 7) -> DataFrame:
         return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
     o = obs.filter("value is not null").select("y", "x", F.year("date").alias("year"), F.dayofyear("date").alias("doy"), "value")
+    # A fit takes far longer than its rows take room: pixels are dealt by number, not by bytes.
+    o = o.repartition(int(o.sparkSession.conf.get("spark.sql.shuffle.partitions")), "y", "x")
     return o.groupBy("y", "x").applyInArrow(run, "y int, x int, year int, " + ", ".join(f"{p} double" for p in P) + ", r2 double, n bigint")
 
 
-def fit_fourier(obs: DataFrame, frequencies=(0.015, 0.016, 0.017, 0.018, 0.019)) -> DataFrame:
-    """Two-term Fourier fit by pixel: for each frequency the normal equations are sums that Spark adds up; the best R2 stays.
+def fit_fourier(obs: DataFrame, frequencies=(0.015, 0.016, 0.017, 0.018, 0.019), by: list[str] | None = None) -> DataFrame:
+    """Two-term Fourier fit by pixel (or ``by`` other keys): for each frequency the normal equations are sums that Spark
+    adds up; the best R2 stays.
 
     ``(y, x, w, c0..c4, r2, n)`` for c0 + c1 cos wt + c2 sin wt + c3 cos 2wt + c4 sin 2wt.
     """
     import pyarrow as pa
 
-    o = obs.filter("value is not null").select("y", "x", F.dayofyear("date").cast("double").alias("t"), "value").withColumn("w", F.explode(F.array(*map(F.lit, frequencies))))
+    by = by or ["y", "x"]
+    o = obs.filter("value is not null").select(*by, F.dayofyear("date").cast("double").alias("t"), "value").withColumn("w", F.explode(F.array(*map(F.lit, frequencies))))
     terms = [F.lit(1.0), F.cos(F.col("w") * F.col("t")), F.sin(F.col("w") * F.col("t")), F.cos(2 * F.col("w") * F.col("t")), F.sin(2 * F.col("w") * F.col("t")), F.col("value")]
     o = o.withColumns({f"b{i}": c for i, c in enumerate(terms)})
     pairs = [(i, j) for i in range(6) for j in range(i, 6)]
-    sums = o.groupBy("y", "x", "w").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col(f"b{i}") * F.col(f"b{j}")) for i, j in pairs]).alias("s"))
+    sums = o.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col(f"b{i}") * F.col(f"b{j}")) for i, j in pairs]).alias("s"))
+    names = [*[f"c{i}" for i in range(5)], "r2"]
 
     def solve(rows):
         for b in rows:
             out = []
-            for y, x, w, n, s in zip(*(c.to_pylist() for c in b.columns)):
+            for n, sums_of in zip(b.column(len(by) + 1).to_pylist(), b.column(len(by) + 2).to_pylist()):
                 m = np.zeros((6, 6))
-                for (i, j), v in zip(pairs, s):
+                for (i, j), v in zip(pairs, sums_of):
                     m[i, j] = m[j, i] = v
                 c = np.linalg.lstsq(m[:5, :5] + 1e-9 * np.eye(5), m[:5, 5], rcond=None)[0]
                 spread = m[5, 5] - m[0, 5] ** 2 / n
                 rest = m[5, 5] - 2 * c @ m[:5, 5] + c @ m[:5, :5] @ c
-                out.append((y, x, w, *map(float, c), float(1 - rest / spread) if spread > 1e-12 else 0.0, n))
-            yield pa.RecordBatch.from_pylist([dict(zip(["y", "x", "w", "c0", "c1", "c2", "c3", "c4", "r2", "n"], r)) for r in out], schema=pa.schema([("y", pa.int32()), ("x", pa.int32()), ("w", pa.float64()), *[(f"c{i}", pa.float64()) for i in range(5)], ("r2", pa.float64()), ("n", pa.int64())]))
+                out.append([*c, 1 - rest / spread if spread > 1e-12 else 0.0])
+            cols = np.array(out).reshape(-1, 6).T
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(by) + 2], *map(pa.array, cols)], [*by, "w", "n", *names])
+
+    keys = ", ".join(f"{k} {sums.schema[k].dataType.simpleString()}" for k in by)
+    fits = sums.mapInArrow(solve, f"{keys}, w double, n bigint, " + ", ".join(f"{c} double" for c in names)).select(*by, "w", *names, "n")
+    best = F.max_by(F.struct(*[c for c in fits.columns if c not in by]), F.struct("r2", -F.col("w")))
+    return fits.groupBy(*by).agg(best.alias("s")).select(*by, "s.*")
+
 
-    fits = sums.mapInArrow(solve, "y int, x int, w double, c0 double, c1 double, c2 double, c3 double, c4 double, r2 double, n bigint")
-    best = F.max_by(F.struct(*[c for c in fits.columns if c not in ("y", "x")]), F.struct("r2", -F.col("w")))
-    return fits.groupBy("y", "x").agg(best.alias("s")).select("y", "x", "s.*")
+def both_fits(obs: DataFrame) -> DataFrame:
+    """``(y, x, year, model, r2)`` of the double logistic and of the two-term Fourier curve by pixel and year; years that have both."""
+    logistic = fit_curves(obs).select("y", "x", "year", F.round("r2", 6).alias("r2"))
+    fourier = fit_fourier(obs.withColumn("year", F.year("date")), by=["y", "x", "year"]).join(logistic.select("y", "x", "year"), ["y", "x", "year"]).select("y", "x", "year", F.round("r2", 6).alias("r2"))
+    return logistic.withColumn("model", F.lit("double_logistic")).unionByName(fourier.withColumn("model", F.lit("fourier")))
 
 
 def recovery_time(ymax: Column, y0: Column, rate: Column, reached: float = 0.99) -> Column:
@@ -158,16 +180,27 @@ def preferred_curve(fits: DataFrame, keys: list[str]) -> DataFrame:
     return fits.groupBy(*keys).agg(F.min_by("model", F.struct(-F.col("r2"), "model")).alias("model"), F.max("r2").alias("r2"))
 
 
-def index_fitness(obs: DataFrame) -> DataFrame:
+def index_fitness(obs: DataFrame, low: float = 0.1) -> DataFrame:
     """How well an index suits curve fitting: share of low values, and share of the dates whose spatial mean is within
-    25 % of a two-term Fourier curve through all dates, with the curve's R2. One row.
+    25 % of the seven-parameter curve through all dates, with the curve's R2. One row.
+
+    The curve is fitted to the means by day of the year, weighted by their dates: 366 rows at most.
     """
-    means = obs.filter("value is not null").groupBy("date").agg(F.avg("value").alias("value")).select(F.lit(0).alias("y"), F.lit(0).alias("x"), "date", "value")
-    fit = fit_fourier(means)
-    t = F.dayofyear("date").cast("double")
-    w = F.col("w")
-    j = means.join(F.broadcast(fit), ["y", "x"])  # one row
-    line = F.col("c0") + F.col("c1") * F.cos(w * t) + F.col("c2") * F.sin(w * t) + F.col("c3") * F.cos(2 * w * t) + F.col("c4") * F.sin(2 * w * t)
-    a = j.agg(F.round(F.first("r2"), 6).alias("r2"), F.round(F.count_if(F.abs(F.col("value") - line) <= 0.25 * F.abs(line)) / F.count(F.lit(1)), 6).alias("near_share"))
-    low = obs.filter("value is not null").agg(F.round(F.count_if(F.col("value") < 0.1) / F.count(F.lit(1)), 6).alias("low_share"))
-    return low.crossJoin(a)  # one row each
+    import pyarrow as pa
+
+    means = obs.filter("value is not null").groupBy("date").agg(F.avg("value").alias("value")).withColumn("doy", F.dayofyear("date"))
+
+    def run(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("doy").to_numpy())
+        day, v, n = (t.column(c).to_numpy().astype(float)[order] for c in ("doy", "value", "n"))
+        p, _ = fit_double_logistic(np.repeat(day, n.astype(int)), np.repeat(v, n.astype(int)))
+        return pa.table({k: pa.array([float(x)]) for k, x in zip(P, p)})
+
+    by_day = means.groupBy("doy").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    fit = by_day.groupBy().applyInArrow(run, ", ".join(f"{p} double" for p in P))
+    j = means.withColumn("t", F.col("doy").cast("double")).crossJoin(F.broadcast(fit))  # one row
+    gap = F.col("value") - curve(F.col("t"))
+    spread = F.var_pop("value") * F.count(F.lit(1))
+    a = j.agg(F.round(1 - F.sum(gap * gap) / F.nullif(spread, F.lit(0.0)), 6).alias("r2"), F.round(F.count_if(F.abs(gap) <= 0.25 * F.abs(curve(F.col("t")))) / F.count(F.lit(1)), 6).alias("near_share"))
+    share = obs.filter("value is not null").agg(F.round(F.count_if(F.col("value") < low) / F.count(F.lit(1)), 6).alias("low_share"))
+    return share.crossJoin(a)  # one row each

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def most_common(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -28,6 +30,12 @@ def accuracy(matrix: DataFrame) -> DataFrame:
     return j.select("cls", F.round("omission", 9).alias("omission"), F.round("commission", 9).alias("commission"), F.round("overall", 9).alias("overall"))
 
 
+def errors(df: DataFrame, real: str, predicted: str, by: list[str]) -> DataFrame:
+    """How many rows are classed, and how many wrongly, by pixel or by date."""
+    known = df.filter(F.col(real).isNotNull() & F.col(predicted).isNotNull())
+    return known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(real) != F.col(predicted)).alias("n_errors"))
+
+
 def goodness_of_fit(df: DataFrame, real: str, fitted: str, by: list[str] | None = None) -> DataFrame:
     """R2, RMSE, MAE, MSE and mean error, in one pass over sums."""
     e = F.col(fitted) - F.col(real)
@@ -64,17 +72,74 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return r.groupBy(*by).agg(F.round(F.corr("_rx", "_ry"), 9).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
-def kendall(df: DataFrame, x: str, y: str, key: str, by: list[str]) -> DataFrame:
-    """Kendall tau-a by (small) group: concordant less discordant pairs over all pairs."""
-    a = df.select(*by, F.col(key).alias("_k"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    b = df.select(*by, F.col(key).alias("_k2"), F.col(x).alias("_x2"), F.col(y).alias("_y2"))
-    j = a.join(b, by).filter("_k < _k2")
-    s = F.signum(F.col("_x") - F.col("_x2")) * F.signum(F.col("_y") - F.col("_y2"))
-    return j.groupBy(*by).agg(F.round(F.sum(s) / F.count(F.lit(1)), 9).alias("tau"), F.count(F.lit(1)).alias("pairs"))
+def _score(x: np.ndarray, y: np.ndarray) -> int:
+    """Sum of sign(dx) sign(dy) over all pairs, by merging: each level compares the halves of blocks that are sorted by x."""
+    order = np.lexsort((y, x))
+    rank = np.unique(y[order], return_inverse=True)[1].astype(np.int64)
+    total, width, n = 0, 1, len(rank)
+    top = int(rank.max(initial=0)) + 1
+    while width < n:
+        block = np.arange(n) // (2 * width)
+        left = np.arange(n) % (2 * width) < width
+        key = np.sort(block[left] * top + rank[left])
+        ask = block[~left] * top
+        first, end = np.searchsorted(key, ask), np.searchsorted(key, ask + top)
+        below, upto = np.searchsorted(key, ask + rank[~left]), np.searchsorted(key, ask + rank[~left], "right")
+        total += int(((below - first) - (end - upto)).sum())
+        width *= 2
+    # Pairs of equal x stood in the order of y and don't count.
+    _, runs = np.unique(x, return_counts=True)
+    _, same = np.unique(np.stack([x, y]), axis=1, return_counts=True) if n else (0, np.array([0]))
+    return total - int((runs * (runs - 1) // 2).sum() - (same * (same - 1) // 2).sum())
+
+
+def kendall(df: DataFrame, x: str, y: str, key: str, by: list[str], bins: int = 64) -> DataFrame:
+    """Kendall tau-a by group: concordant less discordant pairs over all pairs, without making pairs.
+
+    Values are laid into ``bins`` by approximate quantiles of the group. Pairs in different bins of both x and y are
+    counted from the grid of bins; pairs in one bin of x, and those in one bin of y but not of x, inside of that bin.
+    The result doesn't depend on where the bins lie; equal values always fall into one.
+    """
+    import pyarrow as pa
+
+    rows = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).na.drop(subset=["_x", "_y"])
+    share = [i / bins for i in range(1, bins)]
+    cuts = rows.groupBy(*by).agg(F.percentile_approx("_x", share).alias("_cx"), F.percentile_approx("_y", share).alias("_cy"), F.count(F.lit(1)).alias("_n"))
+    same_group = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by]
+    placed = rows.alias("a").join(cuts.alias("b"), same_group("a", "b")).select("a.*", F.size(F.filter("_cx", lambda c: c < F.col("_x"))).alias("_bx"), F.size(F.filter("_cy", lambda c: c < F.col("_y"))).alias("_by"))
+    # Over the whole grid of bins: points below on the left and above on the left, of bins apart in both.
+    grid = cuts.select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("_bx")).withColumn("_by", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("n", F.lit(0).cast("long"))
+    cells = placed.groupBy(*by, "_bx", "_by").agg(F.count(F.lit(1)).alias("n")).unionByName(grid).groupBy(*by, "_bx", "_by").agg(F.sum("n").alias("n"))
+    before = Window.unboundedPreceding, -1
+    cells = cells.withColumn("l", F.coalesce(F.sum("n").over(Window.partitionBy(*by, "_by").orderBy("_bx").rowsBetween(*before)), F.lit(0)))
+    column = Window.partitionBy(*by, "_bx").orderBy("_by")
+    under = F.coalesce(F.sum("l").over(column.rowsBetween(*before)), F.lit(0))
+    over = F.coalesce(F.sum("l").over(column.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    apart = cells.withColumns({"_u": under, "_o": over}).groupBy(*by).agg(F.sum(F.col("n") * (F.col("_u") - F.col("_o"))).cast("long").alias("s"))
+
+    head = [rows.schema[k] for k in by]
+    schema = T.StructType([*head, T.StructField("s", T.LongType())])
+
+    def inside(across: bool):
+        def run(t: pa.Table) -> pa.Table:
+            a, b, other = t.column("_x").to_numpy(), t.column("_y").to_numpy(), t.column("_bx").to_numpy()
+            total = _score(a, b)
+            if across:  # less the pairs of one bin of x
+                order = np.argsort(other, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(other[order])) + 1):
+                    total -= _score(a[part], b[part])
+            return t.slice(0, 1).select(by).append_column("s", pa.array([total], pa.int64()))
+
+        return run
+
+    parts = [apart, placed.groupBy(*by, "_bx").applyInArrow(inside(False), schema), placed.groupBy(*by, "_by").applyInArrow(inside(True), schema)]
+    score = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*by).agg(F.sum("s").alias("s"))
+    pairs = (F.col("b._n") * (F.col("b._n") - 1) / 2).cast("long")
+    return score.alias("a").join(cuts.alias("b"), same_group("a", "b")).filter(pairs > 0).select(*[F.col(f"a.{k}") for k in by], F.round(F.col("a.s") / pairs, 9).alias("tau"), pairs.alias("pairs"))
 
 
 def two_sample_distances(df: DataFrame, cls: str, value: str, reference) -> DataFrame:
-    """Kolmogorov-Smirnov and Wasserstein-1 distance of each class to the reference class, from counts by distinct value."""
+    """Kolmogorov-Smirnov, Wasserstein-1 and Cramer-von Mises distance of each class to the reference class, from counts by distinct value."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(cls).alias("cls"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     ref = counted.filter(F.col("cls") == reference)
     others = counted.filter(F.col("cls") != reference)
@@ -82,8 +147,10 @@ def two_sample_distances(df: DataFrame, cls: str, value: str, reference) -> Data
     both = others.select("cls", "v", "n", F.lit(0).alias("m")).unionByName(ref.select("v", F.col("n").alias("m")).join(others.select("cls").distinct(), how="cross").select("cls", "v", F.lit(0).alias("n"), "m"))
     both = both.groupBy("cls", "v").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     w, up = Window.partitionBy("cls").orderBy("v"), Window.partitionBy("cls")
-    both = both.select("cls", "v", (F.sum("n").over(w) / F.sum("n").over(up) - F.sum("m").over(w) / F.sum("m").over(up)).alias("gap"), (F.lead("v").over(w) - F.col("v")).alias("step"))
-    return both.groupBy("cls").agg(F.round(F.max(F.abs("gap")), 9).alias("ks"), F.round(F.sum(F.abs("gap") * F.col("step")), 5).alias("wasserstein"))
+    all_n, all_m = F.sum("n").over(up), F.sum("m").over(up)
+    both = both.select("cls", (F.sum("n").over(w) / all_n - F.sum("m").over(w) / all_m).alias("gap"), (F.lead("v").over(w) - F.col("v")).alias("step"), (F.col("n") + F.col("m")).alias("k"), (all_n * all_m / F.pow(all_n + all_m, 2)).alias("f"))
+    # Cramer-von Mises: squared gaps over the pooled values.
+    return both.groupBy("cls").agg(F.round(F.max(F.abs("gap")), 9).alias("ks"), F.round(F.sum(F.abs("gap") * F.col("step")), 5).alias("wasserstein"), F.round(F.sum(F.col("gap") * F.col("gap") * F.col("k") * F.col("f")), 6).alias("cvm"))
 
 
 def positional_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import flood as FL
 from ..operators import footprints as FP
+from ..operators import hydro as H
 from ..operators import inundation as I
 from ..operators import phenology as PH
 from ..operators import projection as P
@@ -102,6 +103,12 @@ def m12(s, d):
     return FP.parametric_fits(df, "l_quantity", "v").select("model", F.round("c0", 5).alias("c0"), F.round("c1", 5).alias("c1"), F.round("c2", 7).alias("c2"), F.round("r2", 6).alias("r2"))
 
 
+@query("m11_group_refits")
+def m11g(s, d):
+    f = A.footprints(s, d).withColumns({"alt": c("px") * c("py"), "even": (c("shot") % 2).cast("double")})
+    return FP.group_refits(f, {"place": ["px", "py"], "terrain": ["alt"], "other": ["even"]}, "rh100", numTrees=3, maxDepth=3)
+
+
 @query("o4_feature_ranking")
 def o4(s, d):
     from .more import m8
@@ -109,11 +116,10 @@ def o4(s, d):
     return FP.feature_ranking(m8(s, d), ["px", "py"])
 
 
-@query("t10_preferred_curve", """
-WITH f AS (SELECT y, x, 'a' AS model, round(avg(value), 6) AS r2 FROM ndvi GROUP BY y, x UNION ALL SELECT y, x, 'b', round(avg(value), 6) FROM mndwi GROUP BY y, x), k AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY r2 DESC, model) AS r FROM f) SELECT y, x, model, r2 FROM k WHERE r = 1""")
+@query("t10_preferred_curve")
 def t10(s, d):
-    a, b = (A.index(s, d, i).groupBy("y", "x").agg(F.round(F.avg("value"), 6).alias("r2")).withColumn("model", F.lit(m)) for i, m in (("NDVI", "a"), ("MNDWI", "b")))
-    return PH.preferred_curve(a.unionByName(b), ["y", "x"])
+    """Of the double logistic and the Fourier curve, the one with the better R2, by pixel and year."""
+    return PH.preferred_curve(PH.both_fits(A.index(s, d, "NDVI")), ["y", "x", "year"])
 
 
 @query("t13_index_fitness")
@@ -159,13 +165,33 @@ def h10(s, d):
     return I.connected_inundation(A.dem(s), A.levels(s, d), A.grid(s).filter("y = 0"))
 
 
-@query("h11_section_comparison", "SELECT CAST(shot % 5 AS INT) AS cs, count(*) AS n, round(avg(abs(rh100 - z)), 6) AS mae, round(avg(rh100 - z), 6) AS mean_error FROM footprints JOIN dem ON y = CAST(floor(py) AS INT) AND x = CAST(floor(px) AS INT) GROUP BY 1")
+_SECT = f"""pr AS (SELECT CAST(p_partkey % 20 AS INT) AS cs, p_partkey // 20 % {4 * A.G} / CAST(4 AS DOUBLE) AS d, 10 + p_retailprice % 17 AS z FROM part),
+sc AS (SELECT CAST(i AS INT) AS cs, CAST(i % {A.G} AS DOUBLE) AS ax, CAST(0 AS DOUBLE) AS ay, CAST(i * 7 % {A.G} AS DOUBLE) AS bx, CAST({A.G} AS DOUBLE) AS by FROM range(20) t(i)),
+sp AS (SELECT cs, d, z, CAST(floor(round(ay + (sc.by - ay) * d / sqrt(pow(bx - ax, 2) + pow(sc.by - ay, 2)), 9)) AS INT) AS y, CAST(floor(round(ax + (bx - ax) * d / sqrt(pow(bx - ax, 2) + pow(sc.by - ay, 2)), 9)) AS INT) AS x FROM pr JOIN sc USING (cs))"""
+
+
+@query("h11_section_comparison", f"WITH {_SECT} SELECT cs, count(*) AS n, round(avg(abs(dem.z - sp.z)), 6) AS mae, round(avg(dem.z - sp.z), 6) AS mean_error FROM sp JOIN dem USING (y, x) GROUP BY cs")
 def h11(s, d):
-    p = FP.weighted_cells(A.footprints(s, d), "nearest").join(A.dem(s), ["y", "x"]).withColumn("cs", (c("shot") % 5).cast("int"))
-    g = S.goodness_of_fit(p, "z", "rh100", ["cs"])
+    """Surveyed elevations against the terrain grid, sampled at the same distances along each section."""
+    k = c("p_partkey")
+    surveyed = A.table(s, d, "part").select((k % 20).cast("int").alias("cs"), (F.floor(k / 20) % (4 * A.G) / 4).alias("d"), (10 + c("p_retailprice") % 17).alias("z"))
+    i = c("id")
+    sections = s.range(20).select(i.cast("int").alias("cs"), (i % A.G).cast("double").alias("ax"), F.lit(0.0).alias("ay"), (i * 7 % A.G).cast("double").alias("bx"), F.lit(float(A.G)).alias("by"))
+    g = S.goodness_of_fit(H.sample_profile(surveyed, sections, A.dem(s)), "z", "z_grid", ["cs"])
     return g.select("cs", "n", F.round("mae", 6).alias("mae"), F.round("mean_error", 6).alias("mean_error"))
 
 
+@query("h17_along_line", f"""
+WITH ln AS (SELECT CAST(s_nationkey % 5 AS INT) AS cs, s_suppkey AS seq, s_suppkey * 7 % {A.G} + CAST(0.3 AS DOUBLE) AS x, s_suppkey * 3 % {A.G} + CAST(0.6 AS DOUBLE) AS y FROM supplier),
+k AS (SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM ln WINDOW w AS (PARTITION BY cs ORDER BY seq)), u AS (SELECT cs, seq, x, y, round(dx / nullif(sqrt(dx * dx + dy * dy), 0), 9) AS ux, round(dy / nullif(sqrt(dx * dx + dy * dy), 0), 9) AS uy FROM k WHERE dx IS NOT NULL),
+p AS (SELECT cs, seq AS station, CAST(o AS INT) AS "offset", CAST(floor(round(y + ux * o * CAST(0.5 AS DOUBLE), 6)) AS INT) AS y, CAST(floor(round(x - uy * o * CAST(0.5 AS DOUBLE), 6)) AS INT) AS x FROM u, range(-3, 4) t(o)),
+m AS (SELECT y, x, round(avg(value), 9) AS value FROM ndvi GROUP BY y, x) SELECT cs, station, "offset", value FROM p LEFT JOIN m USING (y, x)""")
+def h17g(s, d):
+    k = c("s_suppkey")
+    line = A.table(s, d, "supplier").select((c("s_nationkey") % 5).cast("int").alias("cs"), k.alias("seq"), (k * 7 % A.G + 0.3).alias("x"), (k * 3 % A.G + 0.6).alias("y"))
+    return H.along_line(line, ["cs"], A.index(s, d, "NDVI").groupBy("y", "x").agg(F.round(F.avg("value"), 9).alias("value")), 3, 0.5)
+
+
 @query("h15_simulated_shots", "SELECT y, x, CAST(y * 10 + x AS BIGINT) AS shot, x + CAST(0.5 AS DOUBLE) AS px, y + CAST(0.5 AS DOUBLE) AS py, first(date ORDER BY value DESC, date) AS date FROM roi LEFT JOIN ndvi USING (y, x) GROUP BY y, x")
 def h15(s, d):
     """Every cell of the region as a shot at its peak date."""
@@ -253,3 +279,83 @@ def x3(s, d):
     q = streams.daily(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return s.read.schema("station bigint, date date, vmean double, vmax double, vmin double, total double, first_half double, last_half double").parquet(f"{path}/out").select("station", "date", F.round("total", 4).alias("total"))
+
+
+# --- file readers and cube storage, on files that are written from the tables ----------------------------------------
+
+
+@query("s7_daily_station_csvs", "SELECT station, year(date) AS year, count(*) AS n, count(CASE WHEN year(date) % 2 = 0 THEN flow END) AS n_flow, count(CASE WHEN year(date) % 2 = 1 THEN level END) AS n_level FROM gauge GROUP BY ALL")
+def s7(s, d):
+    """Yearly files, of which the even ones have a flow and the odd ones a level."""
+    from ..session import new_path
+    from ..sources import tables as TB
+
+    g, path = A.gauge(s, d).withColumn("odd", F.year("date") % 2), new_path(s, "stations")
+    for odd, col in ((0, "flow"), (1, "level")):
+        TB.save_csv(g.filter(c("odd") == odd).select("station", "date", col), f"{path}/{odd}")
+    t = TB.daily_station_csvs(s, [f"{path}/0", f"{path}/1"])
+    return t.groupBy(c("station").cast("int").alias("station"), F.year(c("date").cast("date")).alias("year")).agg(F.count(F.lit(1)).alias("n"), F.count("flow").alias("n_flow"), F.count("level").alias("n_level"))
+
+
+@query("s8_gauge_files", "SELECT CAST(station AS VARCHAR) AS station, date, round(flow, 6) AS flow, round(level, 6) AS level FROM gauge")
+def s8(s, d):
+    """A header line for each station and year, daily lines below it."""
+    from ..session import new_path
+    from ..sources import tables as TB
+
+    path = new_path(s, "gauges")
+    line = F.concat_ws(",", F.month("date"), F.dayofmonth("date"), *[F.format_string("%.6f", k) for k in ("flow", "sed_conc", "level")])
+    b = A.gauge(s, d).groupBy("station", F.year("date").alias("year")).agg(F.array_sort(F.collect_list(F.struct("date", line.alias("line")))).alias("l"))
+    b.select(F.concat_ws("\n", F.concat(F.lit("#"), c("station").cast("string"), F.lit(","), c("year").cast("string")), F.transform("l", lambda e: e["line"])).alias("value")).write.text(path)
+    return TB.gauge_files(s, path).select("station", "date", F.round("flow", 6).alias("flow"), F.round("level", 6).alias("level"))
+
+
+@query("s10_footprint_tables", "SELECT shot, round(rh100, 6) AS rh100, quality FROM footprints")
+def s10(s, d):
+    from ..session import new_path
+    from ..sources import tables as TB
+
+    f, path = A.footprints(s, d), new_path(s, "footprints")
+    TB.save_csv(f.select("shot", F.round("rh100", 6).alias("rh100")), f"{path}/a")
+    TB.save_csv(f.select("shot", "quality"), f"{path}/b")
+    t = TB.footprint_tables(s, [f"{path}/a", f"{path}/b"], ["shot", "rh100", "quality"])
+    return t.select(c("shot").cast("bigint").alias("shot"), c("rh100").cast("double").alias("rh100"), c("quality").cast("int").alias("quality"))
+
+
+@query("s11_section_files", "SELECT CAST(p_partkey % 20 AS VARCHAR) AS cs, CAST(p_partkey // 20 AS DOUBLE) AS d, round(p_retailprice % 37, 3) AS z FROM part")
+def s11(s, d):
+    """A header line for each section, points below it."""
+    from ..session import new_path
+    from ..sources import tables as TB
+    from .more import profiles
+
+    path = new_path(s, "sections")
+    line = F.concat_ws(",", c("d").cast("string"), F.round("z", 3).cast("string"))
+    b = profiles(s, d).groupBy("cs").agg(F.array_sort(F.collect_list(F.struct("d", line.alias("line")))).alias("l"))
+    b.select(F.concat_ws("\n", F.concat(F.lit("name,"), c("cs").cast("string")), F.transform("l", lambda e: e["line"])).alias("value")).write.text(path)
+    return TB.section_files(s, path).select("cs", "d", "z")
+
+
+@query("k2_keep_existing", "SELECT idx, year(date) AS year, count(*) AS n, round(sum(CASE WHEN idx = 'NDVI' THEN value + 1 ELSE value END), 6) AS total FROM obs GROUP BY ALL")
+def k2(s, d):
+    """Saved again without overwriting, years that are there stay; then one index is overwritten."""
+    from ..session import new_path
+    from ..sources import tables as TB
+
+    path, o = new_path(s, "cube"), A.obs(s, d)
+    more = o.withColumn("value", c("value") + 1)
+    TB.save_cube(o, path)
+    TB.save_cube(more, path)
+    TB.save_cube(more.filter("idx = 'NDVI'"), path, overwrite=True)
+    return TB.load_cube(s, path).groupBy("idx", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query("m6_feature_groups", "SELECT y, x, round(avg(value) FILTER (WHERE idx = 'NDVI'), 9) AS NDVI_MEAN, round(avg(value) FILTER (WHERE idx = 'MNDWI'), 9) AS MNDWI_MEAN FROM obs GROUP BY y, x")
+def m6(s, d):
+    """The spectral columns of a feature table, found by their names."""
+    v, i = c("value"), c("idx")
+    t = A.obs(s, d).groupBy("y", "x").agg(
+        F.round(F.avg(F.when(i == "NDVI", v)), 9).alias("NDVI_MEAN"), F.round(F.avg(F.when(i == "MNDWI", v)), 9).alias("MNDWI_MEAN"),
+        F.max_by(F.dayofyear("date"), F.when(i == "NDVI", v)).alias("PEAK_DAY"), F.count_if((i == "MNDWI") & (v >= 0.1)).alias("FLOOD_DAYS"),
+    )
+    return t.select("y", "x", *FP.feature_groups([k for k in t.columns if k not in ("y", "x")], 1))

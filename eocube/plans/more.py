@@ -48,6 +48,25 @@ def a26(s, d):
     return S.accuracy(a25(s, d))
 
 
+_CLS = "cl AS (SELECT y, x, date, CASE WHEN value >= 0.1 THEN 2 ELSE 1 END AS r, CASE WHEN value >= 0.16 THEN 2 ELSE 1 END AS p FROM mndwi)"
+
+
+def classed(s, d):
+    """Flood classes by two thresholds."""
+    v = c("value")
+    return A.index(s, d, "MNDWI").select("y", "x", "date", F.when(v >= 0.1, 2).otherwise(1).alias("r"), F.when(v >= 0.16, 2).otherwise(1).alias("p"))
+
+
+@query("a26_errors_by_pixel", f"WITH {_CLS} SELECT y, x, count(*) AS n, count(*) FILTER (WHERE r <> p) AS n_errors FROM cl GROUP BY y, x")
+def a26p(s, d):
+    return S.errors(classed(s, d), "r", "p", ["y", "x"])
+
+
+@query("a26_errors_by_date", f"WITH {_CLS} SELECT date, count(*) AS n, count(*) FILTER (WHERE r <> p) AS n_errors FROM cl GROUP BY date")
+def a26d(s, d):
+    return S.errors(classed(s, d), "r", "p", ["date"])
+
+
 @query("a28_annual_load", """
 SELECT station, year, runoff, load, wet_runoff, wet_load FROM (SELECT station, year(date) AS year, round(sum(flow) * 86400 / 1e8, 9) AS runoff, round(sum(flow * sed_conc) * 86400 / 1e11, 9) AS load, round(sum(flow) FILTER (WHERE month(date) BETWEEN 5 AND 10) * 86400 / 1e8, 9) AS wet_runoff,
  round(sum(flow * sed_conc) FILTER (WHERE month(date) BETWEEN 5 AND 10) * 86400 / 1e11, 9) AS wet_load FROM gauge GROUP BY ALL) WHERE runoff <> 0""")
@@ -86,8 +105,8 @@ def a35k(s, d):
 @query("a37_two_sample_distances", """
 WITH k AS (SELECT sensor AS cls, round(green, 2) AS v, count(*) AS n FROM raw_bands GROUP BY 1, 2), ref AS (SELECT v, n AS m FROM k WHERE cls = 'A'),
 b AS (SELECT cls, v, sum(n) AS n, sum(m) AS m FROM (SELECT cls, v, n, 0 AS m FROM k WHERE cls <> 'A' UNION ALL SELECT o.cls, v, 0, m FROM ref, (SELECT DISTINCT cls FROM k WHERE cls <> 'A') o) GROUP BY 1, 2),
-e AS (SELECT cls, sum(n) OVER w / CAST(sum(n) OVER u AS DOUBLE) - sum(m) OVER w / CAST(sum(m) OVER u AS DOUBLE) AS gap, lead(v) OVER w - v AS step FROM b WINDOW w AS (PARTITION BY cls ORDER BY v), u AS (PARTITION BY cls))
-SELECT cls, round(max(abs(gap)), 9) AS ks, round(sum(abs(gap) * step), 5) AS wasserstein FROM e GROUP BY cls""")
+e AS (SELECT cls, sum(n) OVER w / CAST(sum(n) OVER u AS DOUBLE) - sum(m) OVER w / CAST(sum(m) OVER u AS DOUBLE) AS gap, lead(v) OVER w - v AS step, n + m AS k, sum(n) OVER u * sum(m) OVER u / pow(sum(n) OVER u + sum(m) OVER u, 2) AS f FROM b WINDOW w AS (PARTITION BY cls ORDER BY v), u AS (PARTITION BY cls))
+SELECT cls, round(max(abs(gap)), 9) AS ks, round(sum(abs(gap) * step), 5) AS wasserstein, round(sum(gap * gap * k * f), 6) AS cvm FROM e GROUP BY cls""")
 def a37(s, d):
     return S.two_sample_distances(A.raw_bands(s, d).withColumn("green", F.round("green", 2)), "sensor", "green", "A")
 
@@ -240,11 +259,8 @@ def u3(s, d):
 @query("o1_o3_nearest_stations", """
 WITH k AS (SELECT y, x, station_id, row_number() OVER (PARTITION BY y, x ORDER BY round(pow(x + CAST(0.5 AS DOUBLE) - px, 2) + pow(y + CAST(0.5 AS DOUBLE) - py, 2), 9), station_id) AS r FROM grid, stations) SELECT y, x, station_id, r FROM k WHERE r <= 4""")
 def o3(s, d):
-    from pyspark.sql import Window
-
-    dist = F.round(F.pow(c("x") + 0.5 - c("px"), 2) + F.pow(c("y") + 0.5 - c("py"), 2), 9)
-    j = A.grid(s).crossJoin(A.stations(s, d)).withColumn("_d", dist)
-    return j.withColumn("r", F.row_number().over(Window.partitionBy("y", "x").orderBy("_d", "station_id"))).filter("r <= 4").select("y", "x", "station_id", F.col("r").cast("long").alias("r"))
+    near = H.nearest_stations(A.grid(s), A.stations(s, d), 4)
+    return near.select("y", "x", F.posexplode(F.transform("n", lambda e: e["station_id"])).alias("r", "station_id")).select("y", "x", "station_id", (c("r") + 1).cast("long").alias("r"))
 
 
 # --- neighbourhoods and regions -------------------------------------------------------------------------------------
@@ -257,12 +273,12 @@ def n1(s, d):
 
 
 @query("n2_neighbour_sum", """
-WITH m AS (SELECT y, x, round(avg(value), 6) AS value FROM mndwi JOIN roi USING (y, x) GROUP BY y, x) SELECT a.y, a.x, a.value, round(coalesce(sum(b.value), 0), 9) AS near_sum, count(b.value) AS n_near FROM m a LEFT JOIN m b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x) GROUP BY ALL""")
+WITH m AS (SELECT y, x, avg(value) AS value FROM mndwi JOIN roi USING (y, x) GROUP BY y, x) SELECT a.y, a.x, round(a.value, 10) AS value, round(coalesce(sum(b.value), 0), 9) AS near_sum, count(b.value) AS n_near FROM m a LEFT JOIN m b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x) GROUP BY ALL""")
 def n2(s, d):
     from ..operators.projection import within_roi
 
-    m = within_roi(A.index(s, d, "MNDWI"), A.roi(s)).groupBy("y", "x").agg(F.round(F.avg("value"), 6).alias("value"))
-    return N.neighbour_sum(m, [], "value", 1)
+    m = within_roi(A.index(s, d, "MNDWI"), A.roi(s)).groupBy("y", "x").agg(F.avg("value").alias("value"))
+    return N.neighbour_sum(m, [], "value", 1).withColumn("value", F.round("value", 10))
 
 
 @query("n3_drop_sole", "SELECT y, x, date FROM mndwi a WHERE EXISTS (SELECT 1 FROM mndwi b WHERE a.date = b.date AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x))")
@@ -525,6 +541,21 @@ def s14(s, d):
 # --- footprints, curves, breaks -------------------------------------------------------------------------------------
 
 
+def _area_sql(r: float = 0.75) -> str:
+    """Exact overlap of circles of radius ``r`` with cells, as in ``circle_share``."""
+    arc = lambda t: f"(({t}) * sqrt(greatest(0, {r * r} - ({t}) * ({t}))) + {r * r} * asin(least(1, ({t}) / {r}))) / 2"
+
+    def corner(x, y):
+        a, b = f"least(abs({x}), {r})", f"least(abs({y}), {r})"
+        meet = f"sqrt(greatest(0, {r * r} - {b} * {b}))"
+        return f"(sign({x}) * sign({y}) * CASE WHEN {a} <= {meet} THEN {a} * {b} ELSE {b} * {meet} + {arc(a)} - {arc(meet)} END)"
+
+    w = f"({corner('l + 1', 'b + 1')} - {corner('l', 'b + 1')} - {corner('l + 1', 'b')} + {corner('l', 'b')}) / (pi() * {r * r})"
+    return f"""WITH m AS (SELECT y, x, max(value) AS v FROM ndvi JOIN roi USING (y, x) GROUP BY y, x), f AS (SELECT shot, px, py, CAST(floor(py) AS INT) + dy AS y, CAST(floor(px) AS INT) + dx AS x FROM footprints, range(-1, 2) a(dy), range(-1, 2) b(dx)),
+o AS (SELECT shot, y, x, CAST(x AS DOUBLE) - px AS l, CAST(y AS DOUBLE) - py AS b FROM f), w AS (SELECT shot, y, x, round({w}, 12) AS w FROM o)
+SELECT shot, round(sum(v * w) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0), 9) AS value, round(coalesce(sum(CASE WHEN v IS NOT NULL THEN w END), 0) / sum(w), 9) AS reliability FROM w LEFT JOIN m USING (y, x) WHERE w > 0 GROUP BY shot"""
+
+
 @query("m1_link_nearest", "WITH m AS (SELECT y, x, max(value) AS v FROM ndvi JOIN roi USING (y, x) GROUP BY y, x) SELECT shot, round(v, 9) AS value, CASE WHEN v IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS reliability FROM footprints LEFT JOIN m ON y = CAST(floor(py) AS INT) AND x = CAST(floor(px) AS INT)")
 def m1(s, d):
     return FP.link(A.footprints(s, d), region_max(s, d), "nearest", [])
@@ -543,7 +574,7 @@ def m1f(s, d):
     return FP.link(A.footprints(s, d), region_max(s, d), "focal", [])
 
 
-@query("m1_link_area")
+@query("m1_link_area", _area_sql())
 def m1a(s, d):
     return FP.link(A.footprints(s, d), region_max(s, d), "area", [], diameter=1.5)
 

@@ -46,7 +46,10 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str, idx: str) -> DataFrame:
-    return obs(spark, sf_dir).filter(F.col("idx") == idx).drop("idx")
+    """``(y, x, date, value)`` of one index; no-data rows are absent."""
+    from ..operators.projection import spectral_indices
+
+    return spectral_indices(bands(spark, sf_dir), [idx]).select("y", "x", "date", F.col(idx).alias("value")).filter("value is not null")
 
 
 def flood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,9 @@ def footprint_tables(spark: SparkSession, paths: list[str], required: list[str])
     return require_columns(merge_tables(t, shared), required)
 
 
+BLOCK = 256  # side of the cells that one file has
+
+
 def load_cube(spark: SparkSession, path: str) -> DataFrame:
     """A stored cube without the layers that its manifest lists but the files lack, and the other way round."""
     obs, manifest = spark.read.parquet(f"{path}/layers"), spark.read.parquet(f"{path}/manifest")
@@ -106,7 +109,8 @@ def save_cube(obs: DataFrame, path: str, overwrite: bool = False) -> None:
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    rows.repartition("idx", "year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("idx", "year").parquet(f"{path}/layers")
+    # A file for each index, year and block of cells.
+    rows.repartition("idx", "year", F.floor(F.col("y") / BLOCK), F.floor(F.col("x") / BLOCK)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("idx", "year").parquet(f"{path}/layers")
     layers = spark.read.parquet(f"{path}/layers").groupBy("idx", "date").agg(F.count("value").alias("n_valid"))
     layers.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 

@@ -416,3 +416,94 @@ def test_curves_of_all_suppliers(spark, tmp_path):
     spark.createDataFrame([(i, i % 25) for i in range(1, 1001)], "s_suppkey bigint, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     got = curve_parameters(spark, str(tmp_path)).select("y", "x").collect()
     assert len(got) == len(set(got)) == 1000
+
+
+# --- exactness of the forms that avoid pairs, cross joins and samples -------------------------------------------------
+
+
+@pytest.mark.parametrize("values", [3, 40, 10**6])
+def test_kendall_by_pairs(spark, values):
+    import random
+
+    rng = random.Random(values)
+    data = [(g, i, float(rng.randrange(values)), float(rng.randrange(values))) for g in ("a", None) for i in range(300)] + [("one", 0, 1.0, 1.0), ("b", 0, None, 1.0)]
+    got = {r["g"]: (r["tau"], r["pairs"]) for r in stats.kendall(spark.createDataFrame(data, "g string, k int, x double, y double"), "x", "y", "k", ["g"], bins=8).collect()}
+    sign = lambda v: (v > 0) - (v < 0)
+    assert set(got) == {"a", None}
+    for g in got:
+        p = [(x, y) for h, _, x, y in data if h == g]
+        s = sum(sign(a[0] - b[0]) * sign(a[1] - b[1]) for i, a in enumerate(p) for b in p[:i])
+        assert got[g] == (pytest.approx(s / 44850, abs=1e-8), 44850)
+
+
+def test_circle_shares(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    shots = [(i, rng.uniform(3, 5), rng.uniform(3, 5)) for i in range(20)] + [(20, 4.0, 4.0), (21, 4.5, 4.5)]
+    for d in (0.6, 1.5, 3.2):
+        w = footprints.weighted_cells(spark.createDataFrame(shots, "shot int, px double, py double"), "area", d).collect()
+        by = {}
+        for r in w:
+            by.setdefault(r["shot"], {})[r["y"], r["x"]] = r["w"]
+        for i, px, py in shots:
+            assert sum(by[i].values()) == pytest.approx(1)
+            for (y, x), share in by[i].items():  # strips of the circle
+                n, total = 4000, 0.0
+                for k in range(n):
+                    t = x + (k + 0.5) / n - px
+                    if abs(t) < d / 2:
+                        h = math.sqrt(d * d / 4 - t * t)
+                        total += max(0.0, min(y + 1, py + h) - max(y, py - h)) / n
+                assert share == pytest.approx(total / (math.pi * d * d / 4), abs=2e-3)
+
+
+def test_nearest_stations_by_hand(spark):
+    import random
+
+    rng = random.Random(1)
+    st = [(i, rng.gauss(5, 1), rng.gauss(5, 1), float(i)) for i in range(60)] + [(60, 90.0, -40.0, 1.0), (61, 5.0, 5.0, 2.0), (62, 5.0, 5.0, 3.0)]
+    cells = [(y, x) for y in range(0, 40, 7) for x in range(-20, 100, 13)]
+    frame = spark.createDataFrame(st, "station_id int, px double, py double, value double")
+    got = {(r["y"], r["x"]): [e["station_id"] for e in r["n"]] for r in hydro.nearest_stations(spark.createDataFrame(cells, "y int, x int"), frame, 4).collect()}
+    for y, x in cells:
+        assert got[y, x] == [i for _, i in sorted((round((x + 0.5 - a) ** 2 + (y + 0.5 - b) ** 2, 9), i) for i, a, b, _ in st)[:4]]
+    assert hydro.nearest_stations(spark.createDataFrame(cells, "y int, x int"), frame.limit(0), 4).count() == 0
+
+
+def test_frequent_keys(spark):
+    from eocube.operators.skew import join_counted
+
+    left = spark.range(3000).selectExpr("id", "if(id < 2000, 1, id % 50) AS k")
+    right = left.groupBy("k").count().selectExpr("k", "count AS d", "k * 10 AS v")
+    out = join_counted(left, right, "k", 3000).collect()
+    assert len(out) == 3000 and all(r["v"] == 10 * r["k"] for r in out) and len({r["id"] for r in out}) == 3000
+
+
+def test_flip_and_repair(spark):
+    d0 = D("2020-01-01")
+    f = [(d0, y, x, 2 if (y, x) in ((2, 2), (9, 9), (9, 10)) else 1) for y in range(12) for x in range(12)] + [(D("2020-01-02"), 0, 0, 2)]
+    out = {(r["date"], r["y"], r["x"]): r["cls"] for r in grid.flip_isolated(spark.createDataFrame(f, "date date, y int, x int, cls int")).collect()}
+    assert len(out) == len(f) and out[d0, 2, 2] == 1 and out[d0, 9, 9] == 2 and out[d0, 9, 10] == 2 and out[D("2020-01-02"), 0, 0] == 2
+
+
+def test_two_sample_distance_of_squares(spark):
+    data = [("r", v) for v in (1.0, 2.0, 3.0, 4.0)] + [("s", v) for v in (2.5, 5.0)]
+    got = stats.two_sample_distances(spark.createDataFrame(data, "c string, v double"), "c", "v", "r").first()
+    gaps = [0 - 0.25, 0 - 0.5, 0.5 - 0.5, 0.5 - 0.75, 0.5 - 1.0, 0.0]
+    assert got["cvm"] == pytest.approx(sum(g * g for g in gaps) * 8 / 36, abs=1e-6) and got["ks"] == 0.5
+
+
+def test_weaker_curve_is_not_preferred(spark):
+    """A double logistic curve is better fitted by its own form, a two-harmonic one by Fourier terms."""
+    import math
+
+    t = range(5, 366, 10)
+    curve = lambda k: 0.1 + 0.6 * (1 / (1 + math.exp((120 - k) / 6)) - 1 / (1 + math.exp((270 - k) / 8)))
+    wave = lambda k: 0.4 + 0.2 * math.cos(0.017 * k) + 0.15 * math.sin(0.034 * k)
+    rows_ = [(y, 0, dt.date(2019, 1, 1) + dt.timedelta(k - 1), f(k)) for y, f in ((0, curve), (1, wave)) for k in t]
+    best = {r["y"]: r["model"] for r in phenology.preferred_curve(phenology.both_fits(spark.createDataFrame(rows_, "y int, x int, date date, value double")), ["y", "x", "year"]).collect()}
+    assert best == {0: "double_logistic", 1: "fourier"}
+    fit = phenology.index_fitness(spark.createDataFrame([r for r in rows_ if r[0] == 0], "y int, x int, date date, value double")).first()
+    assert fit["r2"] > 0.99 and fit["near_share"] > 0.9

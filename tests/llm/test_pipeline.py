@@ -11,7 +11,7 @@ import corpus_pipeline
 from eocube.llm import byte_bpe, pii
 from eocube.llm.common import read
 
-from .test_operators import brute_fingerprint, brute_hits
+from .test_operators import brute_hits
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
@@ -47,17 +47,23 @@ def test_quality_stage(spark, stages):
 
 
 def test_dedup_stage(stages):
+    """One document of each class stays, classes by all pairs of five-word shingle sets with a Jaccard of 0.8 or more."""
     _, before, _, after = stages["simhash_dedup"]
-    fp = {r["doc_id"]: brute_fingerprint(r["text"]) for r in before}
-    ids = sorted(fp)
+    sets = {}
+    for r in before:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets)
     root = {d: d for d in ids}
+    linked = [(a, b) for a in ids for b in ids if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
     changed = True
     while changed:
         changed = False
-        for a in ids:
-            for b in ids:
-                if root[b] > root[a] and (fp[a] ^ fp[b]).bit_count() <= 3:
-                    root[b], changed = root[a], True
+        for a, b in linked:
+            low = min(root[a], root[b])
+            if root[a] != low or root[b] != low:
+                root[a] = root[b] = low
+                changed = True
     assert sorted(r["doc_id"] for r in after) == sorted(set(root.values()))
 
 

@@ -27,7 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     for key in ("spark.checkpoint.dir", "spark.eocube.shared.dir"):
         if base := spark.conf.get(key, None):
             return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = "file://" + tempfile.mkdtemp(prefix="eocube-", dir=os.environ.get("TMPDIR"))
     spark.conf.set("spark.eocube.shared.dir", base)
@@ -35,8 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/eocube-{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses. What is written there goes when the application ends."""
+    base = f"{shared_dir(spark)}/eocube-{name}-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{base}/t"
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str = "zstd") -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def mosaic_mean(bands: DataFrame, names: list[str]) -> DataFrame:
-    """Scenes of one date as one: mean of valid values by pixel and date (rounded to 9 digits); first sensor, lowest qa."""
-    return bands.groupBy("y", "x", "date").agg(F.min("sensor").alias("sensor"), F.min("qa").alias("qa"), *[F.round(F.avg(n), 9).alias(n) for n in names])
+    """Scenes of one date as one: mean of valid values by pixel and date (rounded to 12 digits); first sensor, lowest qa."""
+    return bands.groupBy("y", "x", "date").agg(F.min("sensor").alias("sensor"), F.min("qa").alias("qa"), *[F.round(F.avg(n), 12).alias(n) for n in names])
 
 
 def mosaic_max(obs: DataFrame, by: list[str], value: str = "value") -> DataFrame:

@@ -111,7 +111,7 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same tables in SQL, as common table expressions in the order of use.
 SQL = {
     "raw_bands": f"SELECT l_orderkey AS scene_id, l_returnflag AS sensor, CAST(l_suppkey % {G} AS INT) AS y, CAST(l_partkey % {G} AS INT) AS x, CAST(l_shipdate AS DATE) AS date, l_linenumber / CAST(10 AS DOUBLE) AS blue, l_quantity / 100 AS green, l_discount AS red, l_tax AS nir, l_extendedprice / 200000 AS swir, (l_orderkey % 97) / CAST(100 AS DOUBLE) AS swir2, CAST(l_orderkey * 7 % 65536 AS INT) AS qa FROM lineitem",
-    "bands": "SELECT y, x, date, min(sensor) AS sensor, min(qa) AS qa, round(avg(blue), 9) AS blue, round(avg(green), 9) AS green, round(avg(red), 9) AS red, round(avg(nir), 9) AS nir, round(avg(swir), 9) AS swir, round(avg(swir2), 9) AS swir2 FROM raw_bands GROUP BY y, x, date",
+    "bands": "SELECT y, x, date, min(sensor) AS sensor, min(qa) AS qa, round(avg(blue), 12) AS blue, round(avg(green), 12) AS green, round(avg(red), 12) AS red, round(avg(nir), 12) AS nir, round(avg(swir), 12) AS swir, round(avg(swir2), 12) AS swir2 FROM raw_bands GROUP BY y, x, date",
     "edged": "SELECT *, red * CAST(0.75 AS DOUBLE) + nir * CAST(0.25 AS DOUBLE) AS re1, red * CAST(0.5 AS DOUBLE) + nir * CAST(0.5 AS DOUBLE) AS re2, red * CAST(0.25 AS DOUBLE) + nir * CAST(0.75 AS DOUBLE) AS re3, nir * CAST(0.96 AS DOUBLE) + CAST(0.01 AS DOUBLE) AS nir20 FROM bands",
     "obs": "SELECT y, x, date, 'MNDWI' AS idx, round((green - swir) / nullif(green + swir, 0), 6) AS value FROM bands WHERE green + swir <> 0 UNION ALL SELECT y, x, date, 'NDVI', round((nir - red) / nullif(nir + red, 0), 6) FROM bands WHERE nir + red <> 0",
     "mndwi": "SELECT y, x, date, value FROM obs WHERE idx = 'MNDWI'",

@@ -197,7 +197,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score(described, fit(described, labels, id_col), threshold)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, most_labels: int = 500_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, most_labels: int = 50_000) -> DataFrame:
     """``docs`` without the rows that score under the threshold; rows are scored where they stand, without a join.
 
     The model is fitted on at most about ``most_labels`` labelled rows (by a hash of their ids), so that only these are

@@ -42,7 +42,7 @@ RULES = {
     "dup_lines": "least(1, n_dup_lines / greatest(n_words, 1))",
 }
 #: Share of good documents that a rule may lose, and the least cutoff.
-ALPHA = {"symbols": 0.015, "repeats": 0.01, "bangs": 0.01, "caps": 0.005, "same_words": 0.005, "dup_lines": 0.005}
+ALPHA = {"symbols": 0.02, "repeats": 0.01, "bangs": 0.01, "caps": 0.005, "same_words": 0.005, "dup_lines": 0.005}
 FLOOR = {"symbols": 0.005, "repeats": 0.02, "bangs": 0.005, "caps": 0.05, "same_words": 0.02, "dup_lines": 0.01}
 #: Shares are counted by steps of this fineness.
 STEPS = 2_000

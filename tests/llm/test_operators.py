@@ -721,3 +721,52 @@ def plain(piece, names):
     import regex
 
     return "".join("[^ .,]+" if w in names else re.escape(w) for w in regex.split(r"(?V1)(?<=[^\p{L}'-])|(?=[^\p{L}'-])", piece))
+
+
+# --- recall on the tables: ids divisible by 50 against all rows ------------------------------------------------------
+
+MIDDLE = "/root/testdata/sf0.1"
+
+
+def queries_of(rows):
+    import os
+
+    if not os.path.isdir(MIDDLE):
+        pytest.skip("no tables here")
+    return [r for r in rows if r % 50 == 0]
+
+
+def test_recall_of_fingerprints(spark):
+    out = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in golay_dedup.op9_near_duplicates(spark, MIDDLE).collect()}
+    ids = np.array(list(out))
+    fp = np.array([out[i][0] for i in ids], np.uint64)
+    component = np.array([out[i][1] for i in ids])
+    found = 0
+    for q in queries_of(out):
+        near = np.bitwise_count(fp ^ np.uint64(out[q][0])) <= 3
+        assert (component[near] == out[q][1]).all()
+        found += int(near.sum()) - 1
+    assert found > 0
+
+
+def test_recall_of_similar_texts(spark):
+    """Of two documents with a Jaccard of 0.8 or more, the pipeline's stage keeps one at most."""
+    import corpus_pipeline
+
+    frame = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in frame.select("doc_id", "text").collect()}
+    sets, having = {}, {}
+    for d, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[d] = {hash(tuple(w[i : i + 5])) for i in range(max(1, len(w) - 4))} if w else set()
+        for g in sets[d]:
+            having.setdefault(g, []).append(d)
+    kept = {r["doc_id"] for r in corpus_pipeline.dedup(spark, frame, MIDDLE).collect()}
+    pairs = 0
+    for q in queries_of(texts):
+        both = Counter(d for g in sets[q] for d in having[g] if d != q)
+        for d, n in both.items():
+            if n >= 0.8 * (len(sets[q]) + len(sets[d]) - n):
+                pairs += 1
+                assert not (q in kept and d in kept), (q, d)
+    assert pairs > 0

@@ -65,8 +65,8 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     whole = F.struct(_whole(F.col("c")).alias("c"), F.lit(True).alias("all"))
     lines = F.transform(F.split("c", "\n"), lambda x: F.struct(F.trim(x).alias("c"), F.lit(False).alias("all")))
     units = c.select("_k1", "_k2", F.explode(F.concat(F.array(whole), lines)).alias("u")).filter("u.c <> ''")
-    # Distinct lengths are at most as many as the longest known text has characters: Spark sends them to all tasks.
-    units = units.join(known.select("length").distinct(), F.length("u.c") == F.col("length"), "left_semi")
+    # Distinct lengths are whole numbers up to that of the longest known text, so this broadcast is bounded by one text.
+    units = units.join(F.broadcast(known.select("length").distinct()), F.length("u.c") == F.col("length"), "left_semi")
     digests = units.select("_k1", "_k2", "u.all", F.sha2("u.c", 256).alias("digest")).distinct()
     found = digests.join(known.select("digest", "license", "class"), "digest").groupBy("_k1", "_k2").agg(
         F.min(F.when(F.col("all"), F.col("license"))).alias("whole"),

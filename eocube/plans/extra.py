@@ -127,7 +127,12 @@ def t13(s, d):
     return PH.index_fitness(A.index(s, d, "NDVI"))
 
 
-@query("n5_refine_levels")
+@query("n5_refine_levels", """
+WITH bl AS (SELECT y, x, year(f.date) AS yr, min(level) FILTER (WHERE cls = 2) AS lo FROM flood f JOIN levels l ON f.date = l.date GROUP BY ALL), lv AS (SELECT y, x, round(avg(lo), 1) AS level FROM bl GROUP BY y, x HAVING avg(lo) IS NOT NULL),
+st AS (SELECT a.y, a.x, any_value(a.level) AS level, CASE WHEN abs(a.y - 5) <= 1 THEN -1 WHEN count(b.level) < 8 OR max(b.level) > any_value(a.level) THEN 1 ELSE 0 END AS status FROM lv a LEFT JOIN lv b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x) GROUP BY a.y, a.x),
+nb AS (SELECT a.y, a.x, b.level, pow(a.y - b.y, 2) + pow(a.x - b.x, 2) AS d, b.level < a.level AS under, row_number() OVER (PARTITION BY a.y, a.x, b.level < a.level ORDER BY pow(a.y - b.y, 2) + pow(a.x - b.x, 2), b.y, b.x) AS k FROM st a JOIN lv b ON abs(a.y - b.y) <= 5 AND abs(a.x - b.x) <= 5 AND a.level <> b.level WHERE a.status = 0),
+sm AS (SELECT y, x, round(sum(level / d) / sum(1 / d), 6) AS v FROM nb WHERE k <= 10 GROUP BY y, x HAVING count(*) FILTER (WHERE under) > 0 AND count(*) FILTER (WHERE NOT under) > 0)
+SELECT y, x, status, coalesce(v, level) AS level FROM st LEFT JOIN sm USING (y, x)""")
 def n5(s, d):
     lv = FL.boundary_levels(A.flood(s, d), A.levels(s, d)).groupBy("y", "x").agg(F.round(F.avg("min_wet"), 1).alias("level")).filter("level is not null")
     return I.refine_levels(lv, A.grid(s).filter("y = 5"))
@@ -241,7 +246,20 @@ def k3(s, d):
     return s.read.csv(path, header=True, schema="station int, date date, flow double, sed_conc double, level double").groupBy("station").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("v28_projection")
+_E2 = 0.00669437999014
+
+
+def _utm_sql() -> str:
+    """The sixth-order series of ``utm`` in SQL (zone 49)."""
+    e2, ep2, d = _E2, _E2 / (1 - _E2), lambda v: f"CAST({v!r} AS DOUBLE)"
+    m = f"(6378137 * ({d(1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256)} * p - {d(3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024)} * sin(2 * p) + {d(15 * e2**2 / 256 + 45 * e2**3 / 1024)} * sin(4 * p) - {d(35 * e2**3 / 3072)} * sin(6 * p)))"
+    return f"""WITH f AS (SELECT shot, radians(py + 25) AS p, radians(px + 110 - 111) AS lam FROM footprints),
+g AS (SELECT shot, p, 6378137 / sqrt(1 - {d(e2)} * pow(sin(p), 2)) AS nu, pow(tan(p), 2) AS t, {d(ep2)} * pow(cos(p), 2) AS c, cos(p) * lam AS b FROM f)
+SELECT shot, round(500000 + {d(0.9996)} * nu * (b + (1 - t + c) * pow(b, 3) / 6 + (5 - 18 * t + t * t + 72 * c - {d(58 * ep2)}) * pow(b, 5) / 120), 2) AS east,
+ round({d(0.9996)} * ({m} + nu * tan(p) * (b * b / 2 + (5 - t + 9 * c + 4 * c * c) * pow(b, 4) / 24 + (61 - 58 * t + t * t + 600 * c - {d(330 * ep2)}) * pow(b, 6) / 720)), 2) AS north FROM g"""
+
+
+@query("v28_projection", _utm_sql())
 def v28(s, d):
     f = A.footprints(s, d).select("shot", (c("px") + 110).alias("lon"), (c("py") + 25).alias("lat"))
     e, n = P.utm(c("lon"), c("lat"), 49)

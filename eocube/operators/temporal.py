@@ -80,13 +80,13 @@ def growing_degrees(env: DataFrame, bounds: DataFrame, keys: list[str], base: fl
 def stats_until(obs: DataFrame, keys: list[str], first: int, last: int) -> DataFrame:
     """Max, min, mean and population std by key and year between two days of the year."""
     o = obs.filter(F.dayofyear("date").between(first, last))
-    return o.groupBy(*keys, F.year("date").alias("year")).agg(F.max("value").alias("vmax"), F.min("value").alias("vmin"), F.round(F.avg("value"), 9).alias("vmean"), F.round(F.stddev_pop("value"), 5).alias("vstd"))
+    return o.groupBy(*keys, F.year("date").alias("year")).agg(F.max("value").alias("vmax"), F.min("value").alias("vmin"), F.round(F.avg("value"), 9).alias("vmean"), F.round(F.stddev_pop("value"), 7).alias("vstd"))
 
 
 def year_on_year(metric: DataFrame, keys: list[str]) -> DataFrame:
     """Change to the next year: absolute, and relative to the earlier year."""
     nxt = metric.select(*keys, (F.col("year") - 1).alias("year"), F.col("value").alias("_next"))
-    return metric.join(nxt, [*keys, "year"]).select(*keys, "year", F.round(F.col("_next") - F.col("value"), 9).alias("change"), F.round((F.col("_next") - F.col("value")) / F.nullif(F.col("value"), F.lit(0.0)), 5).alias("relative"))
+    return metric.join(nxt, [*keys, "year"]).select(*keys, "year", F.round(F.col("_next") - F.col("value"), 9).alias("change"), F.round((F.col("_next") - F.col("value")) / F.nullif(F.col("value"), F.lit(0.0)), 10).alias("relative"))
 
 
 def between_floods(obs: DataFrame, flood: DataFrame) -> DataFrame:

@@ -329,7 +329,7 @@ def a19(s, d):
     return T.growing_degrees(g, b, ["station"], 15.0)
 
 
-@query("a20_a21_season_stats", "SELECT y, x, year(date) AS year, max(value) AS vmax, min(value) AS vmin, round(avg(value), 9) AS vmean, round(stddev_pop(value), 5) AS vstd FROM ndvi WHERE dayofyear(date) BETWEEN 90 AND 240 GROUP BY ALL")
+@query("a20_a21_season_stats", "SELECT y, x, year(date) AS year, max(value) AS vmax, min(value) AS vmin, round(avg(value), 9) AS vmean, round(stddev_pop(value), 7) AS vstd FROM ndvi WHERE dayofyear(date) BETWEEN 90 AND 240 GROUP BY ALL")
 def a20(s, d):
     return T.stats_until(A.index(s, d, "NDVI"), ["y", "x"], 90, 240)
 
@@ -449,7 +449,7 @@ def j14(s, d):
 
 
 @query("j19_year_on_year", """
-WITH m AS (SELECT y, x, year(date) AS year, max(value) AS value FROM ndvi GROUP BY ALL) SELECT a.y, a.x, a.year, round(b.value - a.value, 9) AS change, round((b.value - a.value) / nullif(a.value, 0), 5) AS relative FROM m a JOIN m b ON a.y = b.y AND a.x = b.x AND b.year = a.year + 1""")
+WITH m AS (SELECT y, x, year(date) AS year, max(value) AS value FROM ndvi GROUP BY ALL) SELECT a.y, a.x, a.year, round(b.value - a.value, 9) AS change, round((b.value - a.value) / nullif(a.value, 0), 10) AS relative FROM m a JOIN m b ON a.y = b.y AND a.x = b.x AND b.year = a.year + 1""")
 def j19(s, d):
     m = A.index(s, d, "NDVI").groupBy("y", "x", F.year("date").alias("year")).agg(F.max("value").alias("value"))
     return T.year_on_year(m, ["y", "x"])

@@ -66,7 +66,7 @@ def w5(s, d):
 @query("j9_m3_link_series", """
 WITH f AS (SELECT shot, date AS at_, CAST(floor(py) AS INT) AS y, CAST(floor(px) AS INT) AS x, year(date) AS year FROM footprints WHERE date IS NOT NULL),
 b AS (SELECT shot, at_, max(n.date) FILTER (WHERE n.date <= at_) AS d0, min(n.date) FILTER (WHERE n.date >= at_) AS d1, any_value(f.y) AS y, any_value(f.x) AS x, any_value(year) AS year FROM f LEFT JOIN ndvi n ON n.y = f.y AND n.x = f.x AND abs(datediff('day', n.date, at_)) <= 60 AND year(n.date) = year GROUP BY shot, at_),
-st AS (SELECT y, x, year(date) AS year, max(value) AS vmax, min(value) AS vmin, round(avg(value), 9) AS vmean, round(stddev_pop(value), 5) AS vstd FROM ndvi WHERE dayofyear(date) BETWEEN 90 AND 240 GROUP BY ALL)
+st AS (SELECT y, x, year(date) AS year, max(value) AS vmax, min(value) AS vmin, round(avg(value), 9) AS vmean, round(stddev_pop(value), 7) AS vstd FROM ndvi WHERE dayofyear(date) BETWEEN 90 AND 240 GROUP BY ALL)
 SELECT shot, round(CASE WHEN d0 = d1 THEN p.value ELSE p.value + (q.value - p.value) * datediff('day', d0, at_) / datediff('day', d0, d1) END, 9) AS at_date, vmax, vmin, vmean, vstd
 FROM b LEFT JOIN ndvi p ON p.y = b.y AND p.x = b.x AND p.date = d0 LEFT JOIN ndvi q ON q.y = b.y AND q.x = b.x AND q.date = d1 LEFT JOIN st ON st.y = b.y AND st.x = b.x AND st.year = b.year""")
 def m3(s, d):

@@ -250,10 +250,10 @@ def links(nodes: DataFrame) -> DataFrame:
 def classes(fps: DataFrame) -> DataFrame:
     """``(fp, root, component_id, d)`` for every distinct fingerprint of a stored table ``(doc_id, fp)``; ``d`` rows have it."""
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("d")), "fingerprints")
-    return _classes(nodes, links(nodes))
+    return classes_of(nodes, links(nodes))
 
 
-def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def classes_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     roots = connected_components(edges)
     named = stage(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "d", F.coalesce("component", "fp").alias("root")), "roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
@@ -378,7 +378,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     else:
         fps = stage(_shingle_nodes(docs, id_col, text_col, size), "document-shingles")
         nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("d"), F.min(F.struct("_k1", "_k2")).alias("rep"), F.first("keys").alias("keys")), "shingle-sets")
-        of = _classes(nodes.select("fp", "least", "d"), jaccard_links(nodes, docs, id_col, text_col, size, similarity))
+        of = classes_of(nodes.select("fp", "least", "d"), jaccard_links(nodes, docs, id_col, text_col, size, similarity))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_k1", "_k2"))
     kept = join_counted(fps, of, "fp", fps.count()).groupBy("root").agg(best.alias("s")).select("s._k1", "s._k2").distinct()
     keyed = docs.select(whole_row(docs), *row_key(id_col, text_col))

@@ -28,6 +28,7 @@ import gc
 import hashlib
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,23 +82,24 @@ class Pair:
         self.by_unit = not any("▁" in p.lstrip("▁") for p in pieces)
         self.a_size, self.b_size = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         self.spell = [f"{i}{end}" for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for end in ends for i in range(n)]
+        self.spell_size = np.array(list(map(len, self.spell)))
         self.units: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
 
     def align(self, texts: list[str]) -> list[tuple | None]:
-        """``(groups, pairs, sums)`` of each text: the groups as text with an end mark each, linked ids as uint32
-        ``b << 16 | a``, and the numbers of A tokens, B tokens and groups. None where the bytes differ."""
+        """``(groups, pairs, n_a)`` of each text: the groups as text with an end mark each, linked ids as uint32
+        ``b << 16 | a``, and the number of A tokens. None where the bytes differ."""
         a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
+        want = [(" " + t).encode() for t in texts]
         out: list[tuple | None] = [None] * len(texts)
-        ok = []
-        for i, t in enumerate(texts):
-            want = (" " + t).encode()
-            if a[i] and b[i] and b"".join(map(self.a_bytes.__getitem__, a[i])) == want and b"".join(map(self.b_bytes.__getitem__, b[i])) == want:
-                ok.append(i)
+        ok = [i for i, w in enumerate(want) if a[i] and b[i]]
+        if len(ok) < len(want) or not all(self._spells(size, of, ids, want) for size, of, ids in ((self.a_size, self.a_bytes, a), (self.b_size, self.b_bytes, b))):
+            ok = [i for i in ok if b"".join(map(self.a_bytes.__getitem__, a[i])) == want[i] and b"".join(map(self.b_bytes.__getitem__, b[i])) == want[i]]
         if not ok:
             return out
-        ida, idb = (np.array([x for i in ok for x in side[i]], np.int64) for side in (a, b))
+        na, nb = (np.cumsum([len(side[i]) for i in ok]) for side in (a, b))
+        ida, idb = (np.fromiter(chain.from_iterable([side[i] for i in ok]), np.int64, n[-1]) for side, n in ((a, na), (b, nb)))
         ea, eb = np.cumsum(self.a_size[ida]), np.cumsum(self.b_size[idb])
         both = np.intersect1d(ea, eb, assume_unique=True)
         # Links: the B tokens from the one that ends after an A token's start to the one that covers its end.
@@ -112,46 +114,55 @@ class Pair:
         spelled = np.empty(len(ida) + len(idb), np.int64)
         spelled[np.arange(len(ida)) + np.where(ga > 0, upto_b[ga - 1], 0)] = ida + len(self.a_bytes) * (both[ga] == ea)
         spelled[np.arange(len(idb)) + upto_a[gb]] = 2 * len(self.a_bytes) + idb + len(self.b_bytes) * (both[gb] == eb)
-        words = list(map(self.spell.__getitem__, spelled.tolist()))
-        na, nb = (np.cumsum([len(side[i]) for i in ok]) for side in (a, b))
-        ng, nl = np.searchsorted(both, ea[na - 1], "right"), 4 * link[na - 1]
-        ends = zip(ok, na.tolist(), nb.tolist(), ng.tolist(), nl.tolist())
-        pa_, pb, pg, pl = 0, 0, 0, 0
-        for i, qa, qb, qg, ql in ends:
-            out[i] = "".join(words[pa_ + pb : qa + qb]), pairs[pl:ql], (qa - pa_) << 80 | (qb - pb) << 40 | (qg - pg)
-            pa_, pb, pg, pl = qa, qb, qg, ql
+        groups = "".join(map(self.spell.__getitem__, spelled.tolist()))
+        ends = np.cumsum(self.spell_size[spelled])[na + nb - 1].tolist()
+        cuts = (4 * link[na - 1]).tolist()
+        for i, g0, g1, p0, p1, k in zip(ok, [0, *ends], ends, [0, *cuts], cuts, np.diff(na, prepend=0).tolist()):
+            out[i] = groups[g0:g1], pairs[p0:p1], k
         return out
 
-    def split(self, text: str) -> list[str]:
-        if not self.by_unit:
-            return [text]
-        return _APART.split(text) if _ODD(text) else text.split(" ")
+    @staticmethod
+    def _spells(size: np.ndarray, of: list[bytes], ids: list[list[int]], want: list[bytes]) -> bool:
+        """Whether the ids of each text spell it; all texts are compared at once."""
+        n = [len(x) for x in ids]
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(n))
+        ends = np.cumsum(size[flat])[np.cumsum(n) - 1]
+        return bool((np.diff(ends, prepend=0) == [len(w) for w in want]).all()) and b"".join(map(of.__getitem__, flat.tolist())) == b"".join(want)
 
     def documents(self, texts: list[str | None]) -> list[tuple]:
-        """``(groups, pairs, sums)`` of each text; empty where there are no tokens."""
-        cut = [self.split(t) if t else [] for t in texts]
+        """``(groups, pairs, n_a)`` of each text; empty where there are no tokens."""
+        cut = [(t.split(" ") if self.by_unit else [t]) if t else [] for t in texts]
         seen = set().union(*cut)
         if len(self.units) + len(seen) > KEEP:
             self.older, self.units = self.units, {}
         new = seen.difference(self.units)
         known = new.intersection(self.older)
         self.units.update((u, self.older[u]) for u in known)
-        new = list(new - known)
+        new -= known
+        beside = [u for u in new if not u or u[0].isspace() or u[-1].isspace()] if self.by_unit else []
+        self.units.update(dict.fromkeys(beside))
+        new = list(new.difference(beside))
         for i in range(0, len(new), 5000):
             self.units.update(zip(new[i : i + 5000], self.align(new[i : i + 5000])))
         out = []
+        get = self.units.__getitem__
         for t, units in zip(texts, cut):
-            got = [self.units[u] for u in units]
-            if None in got:  # the bytes may still be equal as a whole
-                got = self.align([t])
-            out.append(("".join([x[0] for x in got])[:-1], b"".join([x[1] for x in got]), sum([x[2] for x in got])) if got and got[0] else _NOTHING)
+            got = list(map(get, units))
+            if None in got:  # white space beside a blank; or the bytes may still be equal as a whole
+                got = self.align(_APART.split(t)) if self.by_unit else got
+                got = self.align([t]) if None in got else got
+            if got and got[0]:
+                groups, pairs, n_a = zip(*got)
+                out.append(("".join(groups)[:-1], b"".join(pairs), sum(n_a)))
+            else:
+                out.append(_NOTHING)
         if len(seen) > KEEP:
             self.units = {}
         return out
 
 
 _NOTHING = ("", b"", 0)
-_ODD, _APART = re.compile(r"^\s|\s$|\s | \s").search, re.compile(r"(?<=\S) (?=\S)")
+_APART = re.compile(r"(?<=\S) (?=\S)")
 _PAIRS: dict[tuple[str, str], Pair] = {}
 
 
@@ -243,10 +254,11 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: s
                     links += len(got[stop][1]) // 4
                     stop += 1
                 part, first = got[start:stop], len(held) - (stop - start)
-                sums = [g[2] for g in part]
+                n_a = [g[2] for g in part]
+                tokens, groups = [1 + sum(map(g[0].count, ",|;")) if g[0] else 0 for g in part], [g[0].count("|") for g in part]
                 yield table(
                     len(part), run=pa.array([number] * len(part), pa.int64()), place=pa.array(range(first, len(held)), pa.int32()), id=b.column(0)[start:stop],
-                    n_a=pa.array([s >> 80 for s in sums], pa.int64()), n_b=pa.array([s >> 40 & (1 << 40) - 1 for s in sums], pa.int64()), n_groups=pa.array([s & (1 << 40) - 1 for s in sums], pa.int64()),
+                    n_a=pa.array(n_a, pa.int64()), n_b=pa.array([t - a for t, a in zip(tokens, n_a)], pa.int64()), n_groups=pa.array(groups, pa.int64()),
                     n_links=pa.array([len(g[1]) // 4 for g in part], pa.int64()), groups_sha256=pa.array([hashlib.sha256(g[0].encode()).hexdigest() if g[0] else "" for g in part], pa.string()),
                 )
                 start = stop

@@ -47,14 +47,42 @@ def boundary_levels(flood: DataFrame, levels: DataFrame) -> DataFrame:
     )
 
 
-def days_over(thresholds: DataFrame, levels: DataFrame, keys: list[str]) -> DataFrame:
-    """Days with a level over each row's threshold. Equal levels are counted first, then compared once.
+SLICE = 0.1  # width of a slice of levels
+
+
+def over_levels(thresholds: DataFrame, levels: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``thresholds`` with what lies over each row's ``threshold``, for each value of ``by`` (columns of ``levels``):
+    ``_n`` days, ``_sum`` of their levels and ``_top``, the highest.
 
-    Distinct levels are bounded by the days of the record and the gauge's resolution, not by pixels.
+    Levels are counted by value and laid into slices, with the totals of all higher slices beside the few levels of
+    their own. A threshold meets one slice by equality, so rows don't meet days.
     """
-    counted = levels.groupBy("level").agg(F.count(F.lit(1)).alias("_days"))
-    j = thresholds.join(counted, F.col("level") > F.col("threshold"), "left")
-    return j.groupBy(*keys).agg(F.coalesce(F.sum("_days"), F.lit(0)).alias("days"), F.max("level").alias("top"), F.round(F.sum((F.col("level") - F.col("threshold")) * F.col("_days")) / F.sum("_days"), 9).alias("mean_depth"))
+    by = by or []
+    value = F.floor(F.col("level") / SLICE).cast("long")
+    counted = levels.groupBy(*by, "level").agg(F.count(F.lit(1)).alias("_k")).withColumn("_s", value)
+    own = counted.groupBy(*by, "_s").agg(F.array_sort(F.collect_list(F.struct("level", "_k"))).alias("_own"), F.sum("_k").alias("_nk"), F.sum(F.col("level") * F.col("_k")).alias("_sk"), F.max("level").alias("_mk"))
+    ends = counted.agg((F.min("_s") - 1).alias("_from"), (F.max("_s") + 1).alias("_to"))  # one row
+    every = (counted.select(*by).distinct() if by else ends.select()).crossJoin(F.broadcast(ends)).withColumn("_s", F.explode(F.sequence("_from", "_to"))).select(*by, "_s")
+    above = Window.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
+    total = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    table = every.join(own, [*by, "_s"], "left").select(*by, "_s", "_own", total("_nk").alias("_na"), total("_sk").alias("_sa"), F.max("_mk").over(above).alias("_ma"))
+    at = F.least(F.greatest(F.floor(F.col("threshold") / SLICE).cast("long"), F.col("_from")), F.col("_to"))
+    j = thresholds.crossJoin(F.broadcast(ends)).withColumn("_s", at).drop("_from", "_to").join(table, "_s")
+    over = F.filter(F.coalesce("_own", F.array().cast(own.schema["_own"].dataType)), lambda e: e["level"] > F.col("threshold"))
+    add = lambda start, f: F.aggregate("_over", start, f)
+    return j.withColumn("_over", over).select(
+        *thresholds.columns, *by,
+        (F.col("_na") + add(F.lit(0).cast("bigint"), lambda a, e: a + e["_k"])).alias("_n"),
+        (F.col("_sa") + add(F.lit(0.0), lambda a, e: a + e["level"] * e["_k"])).alias("_sum"),
+        F.coalesce("_ma", F.try_element_at("_over", F.lit(-1))["level"]).alias("_top"),
+    )
+
+
+def days_over(thresholds: DataFrame, levels: DataFrame, keys: list[str]) -> DataFrame:
+    """Days with a level over each row's threshold, the highest level and the mean depth of these days."""
+    o = over_levels(thresholds, levels)
+    depth = F.sum(F.col("_sum") - F.col("_n") * F.col("threshold"))
+    return o.groupBy(*keys).agg(F.sum("_n").alias("days"), F.max("_top").alias("top"), F.round(depth / F.nullif(F.sum("_n"), F.lit(0)), 7).alias("mean_depth"))
 
 
 def inundation_indicators(flood: DataFrame, levels: DataFrame) -> DataFrame:
@@ -80,10 +108,13 @@ def duration_by_fraction(pixels: DataFrame, levels: DataFrame, n: int = 4) -> Da
 
 def bathtub(dem: DataFrame, levels: DataFrame) -> DataFrame:
     """Duration and depths of each cell under daily levels, by year: wet when the level is over the ground."""
-    counted = levels.groupBy(F.year("date").alias("year"), "level").agg(F.count(F.lit(1)).alias("_days"))
-    j = dem.join(counted, F.col("level") > F.col("z"))
-    depth = F.col("level") - F.col("z")
-    return j.groupBy("y", "x", "year").agg(F.sum("_days").alias("duration"), F.round(F.sum(depth * F.col("_days")) / F.sum("_days"), 9).alias("mean_depth"), F.round(F.max(depth), 9).alias("max_depth"))
+    return year_depths(dem.withColumn("threshold", F.col("z")), levels)
+
+
+def year_depths(ground: DataFrame, levels: DataFrame) -> DataFrame:
+    """``(y, x, year, duration, mean_depth, max_depth)`` over ``ground(y, x, z, threshold)`` on the days over ``threshold``."""
+    o = over_levels(ground, levels.select(F.year("date").alias("year"), "level"), ["year"]).filter("_n > 0")
+    return o.select("y", "x", "year", F.col("_n").alias("duration"), F.round(F.col("_sum") / F.col("_n") - F.col("z"), 7).alias("mean_depth"), F.round(F.col("_top") - F.col("z"), 9).alias("max_depth"))
 
 
 def dynamic_map(obs: DataFrame, thresholds: DataFrame, forced: float = 0.16) -> DataFrame:

@@ -112,13 +112,6 @@ def extremes(labelled: DataFrame, key: list[str], width: str) -> DataFrame:
     return labelled.groupBy(*key, "region").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(width), 9).alias("width"), F.min_by(cell, F.struct("x", "y")).alias("l"), F.max_by(cell, F.struct(F.col("x"), -F.col("y"))).alias("r")).select(*key, "region", "n", "width", F.col("l.y").alias("left_y"), F.col("l.x").alias("left_x"), F.col("r.y").alias("right_y"), F.col("r.x").alias("right_x"))
 
 
-def seeded_fill(dem: DataFrame, levels: DataFrame, seed: tuple[int, int]) -> DataFrame:
-    """By day: the wet cells (level over ground) connected with the seed cell, and their depth."""
-    wet = dem.join(levels, F.col("level") > F.col("z")).select("y", "x", "date", F.round(F.col("level") - F.col("z"), 9).alias("depth"))
-    start = dem.filter((F.col("y") == seed[0]) & (F.col("x") == seed[1])).select("y", "x")
-    return touching(regions(wet, "date"), ["date"], start).drop("region")
-
-
 def numbered_floods(labelled: DataFrame, water: DataFrame, least_area: float, cell_area: float = 900.0) -> DataFrame:
     """``(y, x, flood_id)``: regions that touch permanent-water regions of at least ``least_area`` are numbered from 1, others get 0."""
     lakes = regions(water.select("y", "x"))

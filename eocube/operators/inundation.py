@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+from .bottleneck import bottleneck_levels
+from .flood import year_depths
 from .grid import edge_status, neighbours, offsets, regions, touching
 
 
@@ -30,44 +33,86 @@ def refine_levels(levels: DataFrame, river: DataFrame, radius: int = 5, nearest:
 
 
 def complete_annual(seasons: DataFrame, dem: DataFrame) -> DataFrame:
-    """Annual flood cells completed over no-data: a region also takes the no-data cells that are connected with it over
-    cells at or below its highest ground. ``seasons(y, x, year, cls)`` with 1 or 2; cells without a row have no data.
+    """Annual flood cells completed over no-data: each wet region grows over connected no-data cells in rising terrain
+    order, up to its own highest ground, until it meets another region. ``seasons(y, x, year, cls)`` with 1 or 2; cells
+    without a row have no data. ``region`` is the smallest cell id of the wet region that a cell belongs to.
+
+    A no-data cell is of the region that reaches it at the lowest level; a region meets another at the lowest level at
+    which their cells are neighbours, and grows over what it reaches below that.
     """
     cls = seasons.groupBy("y", "x", "year").agg(F.max("cls").alias("cls"))
     years = cls.select("year").distinct()
     cells = dem.crossJoin(F.broadcast(years)).join(cls, ["y", "x", "year"], "left")  # a row for each year
-    wet = regions(cells.filter("cls = 2").select("y", "x", "year", "z"), "year")
-    top = wet.groupBy("year").agg(F.max("z").alias("_top"))
-    open_cells = cells.filter("cls is null or cls = 2").join(top, "year").filter("z <= _top").select("y", "x", "year", "z", "cls")
-    joined = regions(open_cells, "year")
-    lid = joined.filter("cls = 2").groupBy("year", "region").agg(F.max("z").alias("_lid"))
-    return joined.join(lid, ["year", "region"]).filter("z <= _lid").select("y", "x", "year", F.coalesce("cls", F.lit(2)).alias("cls"), F.col("cls").isNull().alias("completed"))
-
-
-def repair_depressions(levels: DataFrame, flooded: DataFrame, next_level: DataFrame) -> DataFrame:
-    """Equal-level regions inside of a flood region without any lower neighbour take the next wet level.
-
-    ``levels(y, x, level)``, ``flooded(y, x)``, ``next_level(y, x, level)``: the pixel's next higher level seen wet.
+    wet = stage(regions(cells.filter("cls = 2").select("y", "x", "year", "z"), "year"), "wet-regions")
+    dry_less = cells.filter("cls is null").select("y", "x", "year", "z")
+    beside = neighbours(wet, ["year"], 1, ["region"]).join(dry_less, ["year", "y", "x"], "left_semi")
+    reached = bottleneck_levels(dry_less, beside.select("year", "y", "x", F.lit(float("-inf")).alias("start"), F.col("_region").alias("label")), "year")
+    owned = stage(reached.select("year", "y", "x", "level", F.col("label").alias("region")).unionByName(wet.select(F.col("year").cast("long").alias("year"), "y", "x", F.lit(float("-inf")).alias("level"), "region")), "reached")
+    met = neighbours(owned, ["year"], 1, ["region", "level"]).join(owned, ["year", "y", "x"]).filter("region <> _region")
+    meets = met.groupBy("year", "region").agg(F.min(F.greatest("level", "_level")).alias("_meets"))
+    lid = wet.groupBy("year", "region").agg(F.max("z").alias("_lid"))
+    grown = owned.join(lid, ["year", "region"]).join(meets, ["year", "region"], "left").filter("level <= _lid and (_meets is null or level < _meets)")
+    done = F.col("level") > float("-inf")
+    return grown.select("y", "x", F.col("year").cast(cls.schema["year"].dataType).alias("year"), F.lit(2).alias("cls"), "region", done.alias("completed"))
+
+
+def wet_levels(flood: DataFrame, levels: DataFrame) -> DataFrame:
+    """``(y, x, year, seen)``: by pixel and year the distinct levels at which it was seen wet, rising."""
+    wet = flood.filter("cls = 2").join(levels, "date")
+    return wet.groupBy("y", "x", F.year("date").cast("long").alias("year")).agg(F.array_sort(F.collect_set("level")).alias("seen"))
+
+
+def repair_depressions(seen: DataFrame, water: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """Lowest wet levels by year, without depressions: ``(y, x, year, min_wet, level, repaired)``.
+
+    A region of equal level without a lower neighbour, in a flood that touches the water, is sunk: its cells take the
+    next level at which they were seen wet, until no region is sunk; a cell without a further level gets null. That is
+    the least rise after which each cell has a way to the water that never goes up, so the bottleneck level from the
+    water replaces the regions: each round a cell takes its first wet level that isn't under it.
+    ``seen`` as in ``wet_levels``; ``water(y, x)`` is permanent, below all levels.
+    """
+    river = water.select("y", "x").distinct()
+    own = seen.join(river, ["y", "x"], "left_anti").withColumn("at", F.lit(0))
+    years = seen.select("year").distinct()
+    base = river.crossJoin(F.broadcast(years)).withColumn("z", F.lit(-1e300))  # a row for each year
+    level = F.try_element_at("seen", F.col("at") + 1)
+    state, first = stage(own, "wet-levels"), True
+    for _ in range(max_rounds):
+        ground = state.select("y", "x", "year", level.alias("z")).filter("z is not null").unionByName(base)
+        way = bottleneck_levels(ground, base.select("y", "x", "year", F.col("z").alias("start"), F.lit(0).alias("label")), "year").select("y", "x", "year", F.col("level").alias("_way"))
+        j = state.join(way, ["y", "x", "year"], "left")
+        if first:  # what no water reaches from the start stays as it is
+            j = j.withColumn("fixed", F.col("_way").isNull())
+        under = F.when(F.col("_way").isNull(), F.size("seen")).otherwise(F.size(F.filter("seen", lambda v: v < F.col("_way"))))
+        at = F.when(F.col("fixed") | (F.col("at") >= F.size("seen")), F.col("at")).otherwise(F.greatest(F.col("at"), under))
+        new = stage(j.select("y", "x", "year", "seen", at.alias("at"), "fixed", (at != F.col("at")).alias("moved")), "wet-levels")
+        state, first = new.drop("moved"), False
+        if new.filter("moved").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"levels did not settle in {max_rounds} rounds")
+    return state.select("y", "x", "year", F.element_at("seen", 1).alias("min_wet"), level.alias("level"), (F.col("at") > 0).alias("repaired"))
+
+
+def connection_levels(dem: DataFrame, river: DataFrame) -> DataFrame:
+    """``(y, x, z, threshold)``: the level over which a cell is joined to the river over wet cells, once for all days."""
+    source = river.select("y", "x", F.lit(float("-inf")).alias("start"), F.lit(0).alias("label"))
+    return dem.join(bottleneck_levels(dem, source).select("y", "x", F.col("level").alias("threshold")), ["y", "x"])
+
+
+def seeded_fill(dem: DataFrame, levels: DataFrame, seed: tuple[int, int]) -> DataFrame:
+    """By day: the wet cells (level over ground) connected with the seed cell, and their depth.
+
+    A day is a comparison with the level from which a cell is connected; the rows are the result's own.
     """
-    inside = levels.join(flooded.select("y", "x"), ["y", "x"], "left_semi")
-    # A row for each distinct level.
-    numbers = inside.select("level").distinct().withColumn("_k", F.row_number().over(Window.orderBy("level")))
-    keyed = inside.join(numbers, "level")
-    r = regions(keyed, "_k")
-    low = neighbours(levels, [], 1, ["level"]).groupBy("y", "x").agg(F.min("_level").alias("_low"))
-    border = r.join(low, ["y", "x"], "left").groupBy("region").agg(F.min("_low").alias("_low"), F.first("level").alias("_level"))
-    sunk = border.filter("_low is null or _low >= _level").select("region", F.lit(True).alias("_sunk"))
-    out = r.join(sunk, "region", "left").join(next_level.select("y", "x", F.col("level").alias("_next")), ["y", "x"], "left")
-    fixed = out.select("y", "x", F.when(F.col("_sunk"), F.coalesce("_next", "level")).otherwise(F.col("level")).alias("level"), F.coalesce("_sunk", F.lit(False)).alias("repaired"))
-    rest = levels.join(flooded.select("y", "x"), ["y", "x"], "left_anti").select("y", "x", "level", F.lit(False).alias("repaired"))
-    return fixed.unionByName(rest)
+    start = dem.filter((F.col("y") == seed[0]) & (F.col("x") == seed[1]))
+    j = connection_levels(dem, start).join(levels, F.col("level") > F.col("threshold"))
+    return j.select("y", "x", "date", F.round(F.col("level") - F.col("z"), 9).alias("depth"))
 
 
 def connected_inundation(dem: DataFrame, levels: DataFrame, river: DataFrame) -> DataFrame:
-    """Bathtub with connectivity: by day only wet regions that touch the river count; duration and depths by pixel and year."""
-    wet = dem.join(levels, F.col("level") > F.col("z")).select("y", "x", "date", (F.col("level") - F.col("z")).alias("depth"))
-    kept = touching(regions(wet, "date"), ["date"], river)
-    return kept.groupBy("y", "x", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("duration"), F.round(F.avg("depth"), 9).alias("mean_depth"), F.round(F.max("depth"), 9).alias("max_depth"))
+    """Bathtub with connectivity: by day only wet cells connected with the river count; duration and depths by pixel and year."""
+    return year_depths(connection_levels(dem, river), levels)
 
 
 def refine_topography(wet: DataFrame, dem: DataFrame, river: DataFrame) -> DataFrame:

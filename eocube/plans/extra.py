@@ -138,7 +138,16 @@ def n5(s, d):
     return I.refine_levels(lv, A.grid(s).filter("y = 5"))
 
 
-@query("n12_complete_annual")
+@query("n12_complete_annual", """
+WITH RECURSIVE wk AS (SELECT y, x, CAST(year(date) AS INT) * 100 + CAST(week(date) AS INT) AS year, max(cls) AS cls FROM flood GROUP BY ALL), yr AS (SELECT DISTINCT year FROM wk),
+ce AS (SELECT dem.y, dem.x, yr.year, z, cls FROM dem CROSS JOIN yr LEFT JOIN wk ON wk.y = dem.y AND wk.x = dem.x AND wk.year = yr.year),
+wt AS (SELECT y, x, year, z, year * CAST(1099511627776 AS BIGINT) + y * 1048576 + x AS id FROM ce WHERE cls = 2),
+rg AS (SELECT y, x, year, id FROM wt UNION SELECT w.y, w.x, w.year, r.id FROM rg r JOIN wt w ON w.year = r.year AND abs(w.y - r.y) <= 1 AND abs(w.x - r.x) <= 1),
+re AS (SELECT y, x, year, min(id) AS region FROM rg GROUP BY y, x, year), li AS (SELECT region, max(z) AS lid FROM re JOIN wt USING (y, x, year) GROUP BY region),
+gr AS (SELECT c.y, c.x, c.year, r.region, c.z AS cost FROM re r JOIN li USING (region) JOIN ce c ON c.year = r.year AND c.cls IS NULL AND abs(c.y - r.y) <= 1 AND abs(c.x - r.x) <= 1 AND c.z <= lid
+  UNION SELECT c.y, c.x, c.year, g.region, greatest(g.cost, c.z) FROM gr g JOIN li USING (region) JOIN ce c ON c.year = g.year AND c.cls IS NULL AND abs(c.y - g.y) <= 1 AND abs(c.x - g.x) <= 1 AND c.z <= lid),
+de AS (SELECT y, x, year, region, min(cost) AS cost FROM gr GROUP BY y, x, year, region), me AS (SELECT d.region, min(d.cost) AS meets FROM de d JOIN re r ON r.year = d.year AND abs(r.y - d.y) <= 1 AND abs(r.x - d.x) <= 1 AND r.region <> d.region GROUP BY d.region)
+SELECT y, x, year, 2 AS cls, region, FALSE AS completed FROM re UNION ALL SELECT y, x, year, 2, region, TRUE FROM de LEFT JOIN me USING (region) WHERE meets IS NULL OR cost < meets""")
 def n12(s, d):
     """Maps of all weeks of the record; cells without a scene in a week have no data there."""
     f = A.flood(s, d).select("y", "x", (F.year("date") * 100 + F.weekofyear("date")).alias("year"), "cls")
@@ -147,9 +156,9 @@ def n12(s, d):
 
 @query("n13_repair_depressions")
 def n13(s, d):
-    """Levels and flooded cells from the record: the mean level at which a cell was first wet, in whole metres."""
-    lv = FL.boundary_levels(A.flood(s, d), A.levels(s, d)).filter("min_wet is not null").groupBy("y", "x").agg(F.round(F.avg("min_wet"), 1).alias("level"))
-    return I.repair_depressions(lv, FL.frequency(A.flood(s, d)).filter("frequency > 0.3").select("y", "x"), lv.withColumn("level", F.round(c("level") + 1, 1)))
+    """Lowest wet levels of each year against the record's wet levels; cells wet in over 40 % of all scenes are the water."""
+    flood = A.flood(s, d)
+    return I.repair_depressions(I.wet_levels(flood, A.levels(s, d)), FL.permanent_water(flood, 0.4))
 
 
 @query("h9_refine_topography", """
@@ -165,7 +174,7 @@ def h9(s, d):
 @query("h10_connected_inundation", """
 WITH RECURSIVE w AS (SELECT y, x, date, level - z AS depth FROM dem JOIN levels ON level > z),
 r AS (SELECT y, x, date FROM w WHERE y = 0 UNION SELECT w.y, w.x, w.date FROM r JOIN w ON w.date = r.date AND abs(w.y - r.y) <= 1 AND abs(w.x - r.x) <= 1)
-SELECT y, x, year(date) AS year, count(*) AS duration, round(avg(depth), 9) AS mean_depth, round(max(depth), 9) AS max_depth FROM r JOIN w USING (y, x, date) GROUP BY ALL""")
+SELECT y, x, year(date) AS year, count(*) AS duration, round(avg(depth), 7) AS mean_depth, round(max(depth), 9) AS max_depth FROM r JOIN w USING (y, x, date) GROUP BY ALL""")
 def h10(s, d):
     return I.connected_inundation(A.dem(s), A.levels(s, d), A.grid(s).filter("y = 0"))
 

@@ -9,6 +9,7 @@ from ..operators import flood as FL
 from ..operators import footprints as FP
 from ..operators import grid as N
 from ..operators import hydro as H
+from ..operators import inundation as I
 from ..operators import phenology as PH
 from ..operators import stats as S
 from ..sources import adapters as A
@@ -334,7 +335,7 @@ def n10(s, d):
 WITH RECURSIVE w AS (SELECT y, x, date, level - z AS depth FROM dem JOIN levels ON level > z), r AS (SELECT y, x, date FROM w WHERE y = 0 AND x = 0 UNION SELECT w.y, w.x, w.date FROM r JOIN w ON w.date = r.date AND abs(w.y - r.y) <= 1 AND abs(w.x - r.x) <= 1)
 SELECT w.y, w.x, w.date, round(depth, 9) AS depth FROM w JOIN r ON w.y = r.y AND w.x = r.x AND w.date = r.date""")
 def n11(s, d):
-    return N.seeded_fill(A.dem(s), A.levels(s, d), (0, 0))
+    return I.seeded_fill(A.dem(s), A.levels(s, d), (0, 0))
 
 
 @query("n14_numbered_floods", """

@@ -122,7 +122,7 @@ def link_environment(shots: DataFrame, env: DataFrame, method: str = "nearest",
     j = c.join(env.withColumn("_year", F.year("date")), ["y", "x", "_year"]).filter(F.col("date") <= F.col("_at"))
     day = j.groupBy("shot", "date").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("v"))
     g = day.groupBy("shot").agg(F.sum(F.greatest(F.col("v") - base, F.lit(0.0))).alias("acc"), F.max("v").alias("vmax"), F.min("v").alias("vmin"), F.avg("v").alias("vmean"), F.stddev_pop("v").alias("vstd"), F.count("v").alias("n"))
-    return g.select("shot", "n", *[F.round(k, 10).alias(k) for k in ("acc", "vmax", "vmin", "vmean")], F.round("vstd", 6).alias("vstd"))
+    return g.select("shot", "n", *[F.round(k, 10).alias(k) for k in ("acc", "vmax", "vmin")], F.round("vmean", 12).alias("vmean"), F.round("vstd", 8).alias("vstd"))
 
 
 def link_series(shots: DataFrame, obs: DataFrame, first: int, last: int) -> DataFrame:

@@ -366,7 +366,7 @@ def a45(s, d):
 # --- joins ----------------------------------------------------------------------------------------------------------
 
 
-@query("j1_remove_inundated", "SELECT n.y, n.x, n.date, n.value FROM ndvi n JOIN flood f ON n.y = f.y AND n.x = f.x AND n.date = f.date WHERE cls = 1")
+@query("j1_remove_inundated", "SELECT y, x, date, round((nir - red) / nullif(nir + red, 0), 6) AS value FROM bands WHERE nir + red <> 0 AND green + swir <> 0 AND round((green - swir) / nullif(green + swir, 0), 6) < 0.1")
 def j1(s, d):
     return FL.remove_inundated(A.index(s, d, "NDVI"), A.flood(s, d)).select("y", "x", "date", "value")
 

@@ -75,7 +75,7 @@ def m3(s, d):
 
 @query("m2_link_environment", """
 WITH f AS (SELECT shot, date AS at_, CAST(floor(py) AS INT) AS y, CAST(floor(px) AS INT) AS x FROM footprints)
-SELECT shot, count(value) AS n, round(sum(greatest(value - CAST(0.1 AS DOUBLE), 0)), 10) AS acc, round(max(value), 10) AS vmax, round(min(value), 10) AS vmin, round(avg(value) + 0, 10) AS vmean, round(stddev_pop(value), 6) AS vstd FROM f JOIN mndwi m ON m.y = f.y AND m.x = f.x AND m.date <= at_ AND year(m.date) = year(at_) GROUP BY shot""")
+SELECT shot, count(value) AS n, round(sum(greatest(value - CAST(0.1 AS DOUBLE), 0)), 10) AS acc, round(max(value), 10) AS vmax, round(min(value), 10) AS vmin, round(avg(value) + 0, 12) AS vmean, round(stddev_pop(value), 8) AS vstd FROM f JOIN mndwi m ON m.y = f.y AND m.x = f.x AND m.date <= at_ AND year(m.date) = year(at_) GROUP BY shot""")
 def m2(s, d):
     return FP.link_environment(A.footprints(s, d), A.index(s, d, "MNDWI"), base=0.1)
 

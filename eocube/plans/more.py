@@ -10,6 +10,7 @@ from ..operators import footprints as FP
 from ..operators import grid as N
 from ..operators import hydro as H
 from ..operators import inundation as I
+from ..operators import linear as L
 from ..operators import phenology as PH
 from ..operators import stats as S
 from ..sources import adapters as A
@@ -388,6 +389,84 @@ def h5(s, d):
     return H.levels_between(j18(s, d), A.gauge(s, d))
 
 
+_SEG = """k AS (SELECT line, seq AS seg, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM thalweg WINDOW w AS (PARTITION BY line ORDER BY seq)),
+sg AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS len, coalesce(sum(sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2))) OVER (PARTITION BY line ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM k WHERE bx IS NOT NULL)"""
+
+
+def _located(name: str, key: str, points: str) -> str:
+    """SQL of the nearest place on the line of every one of ``points(key, px, py)``."""
+    t = "greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / (len * len)))"
+    d = f"round(sqrt(pow(px - ax - {t} * (bx - ax), 2) + pow(py - ay - {t} * (by_ - ay), 2)), 9)"
+    side = "CAST(sign(round((bx - ax) * (py - ay) - (by_ - ay) * (px - ax), 9)) AS INT)"
+    return f"""{name} AS (SELECT {key}, line, seg, chainage, distance, side FROM (SELECT {key}, line, seg, round(at_ + {t} * len, 6) AS chainage, {d} AS distance, {side} AS side, row_number() OVER (PARTITION BY {key} ORDER BY {d}, line, seg) AS rk FROM {points}, sg) WHERE rk = 1)"""
+
+
+_PIX = f"{_SEG}, ce AS (SELECT y, x, x + CAST(0.5 AS DOUBLE) AS px, y + CAST(0.5 AS DOUBLE) AS py FROM grid), " + _located("pl", "y, x", "ce")
+_RIV = f"""{_PIX}, {_located("gl", "station", "gauge_sites")}, gy AS (SELECT DISTINCT g.station, gl.chainage AS c, year(date) AS year FROM gauge g JOIN gl ON gl.station = g.station WHERE NOT (g.station = 2 AND year(date) = 1997)),
+ra AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY c) AS k, count(*) OVER (PARTITION BY year) AS m FROM gy), pk AS (SELECT y, x, chainage, year, greatest(1, least(count(*) FILTER (WHERE c <= chainage), max(m) - 1)) AS k FROM pl, ra GROUP BY y, x, chainage, year),
+br AS (SELECT y, x, chainage, pk.year, a.station AS lower, a.c AS lower_at, b.station AS upper, b.c AS upper_at FROM pk JOIN ra a ON a.year = pk.year AND a.k = pk.k JOIN ra b ON b.year = pk.year AND b.k = pk.k + 1),
+lv AS (SELECT y, x, g.date, g.level + (h.level - g.level) * ((chainage - lower_at) / (upper_at - lower_at)) AS level FROM br JOIN gauge g ON g.station = lower AND year(g.date) = br.year JOIN gauge h ON h.station = upper AND h.date = g.date)"""
+
+
+def pixel_places(s, d):
+    """Every pixel's centre on the river."""
+    cells = A.grid(s).select("y", "x", (c("x") + 0.5).alias("px"), (c("y") + 0.5).alias("py"))
+    return L.locate(cells, L.segments(A.thalweg(s, d)))
+
+
+def river_gauges(s, d):
+    """``(station, chainage, year)``: the gauges where they stand on the river, in the years that they have data (one lacks a year)."""
+    at = L.locate(A.gauge_sites(s, d), L.segments(A.thalweg(s, d))).select("station", "chainage")
+    years = A.gauge(s, d).select("station", F.year("date").alias("year")).distinct().filter(~((c("station") == 2) & (c("year") == 1997)))
+    return at.join(years, "station").select("station", "chainage", "year")
+
+
+@query("w14_positions", f"WITH {_PIX} SELECT y, x, line, seg, chainage, distance, side FROM pl")
+def w14p(s, d):
+    return pixel_places(s, d).select("y", "x", "line", "seg", "chainage", "distance", "side")
+
+
+@query("w14_distance_along", f"WITH {_SEG}, {_located('gl', 'station', 'gauge_sites')} SELECT p.station AS a, q.station AS b, round(abs(p.chainage - q.chainage), 6) AS distance FROM gl p JOIN gl q ON p.station < q.station")
+def w14d(s, d):
+    """Distance along the river between every two of the gauges."""
+    at = L.locate(A.gauge_sites(s, d), L.segments(A.thalweg(s, d)))
+    n = at.select("station")
+    pairs = n.withColumnRenamed("station", "a").join(n.withColumnRenamed("station", "b"), F.col("a") < F.col("b"))  # five gauges
+    return L.along(pairs, at, "station")
+
+
+@query("w14_point_at", f"""WITH {_SEG}, e AS (SELECT line, max(at_ + len) AS total FROM sg GROUP BY line), pc AS (SELECT CAST(i AS INT) AS k, line, total * i / CAST(40 AS DOUBLE) AS chainage FROM e, range(41) t(i))
+SELECT k, line, round(chainage, 6) AS chainage, px, py FROM (SELECT k, pc.line, chainage, round(ax + (bx - ax) * ((chainage - at_) / len), 6) AS px, round(ay + (by_ - ay) * ((chainage - at_) / len), 6) AS py, row_number() OVER (PARTITION BY k, pc.line ORDER BY seg) AS rk FROM pc JOIN sg ON sg.line = pc.line AND len > 0 AND chainage >= at_ AND chainage <= at_ + len) WHERE rk = 1""")
+def w14a(s, d):
+    """Points at equal steps of chainage along the river."""
+    segs = L.segments(A.thalweg(s, d))
+    total = segs.groupBy("line").agg(F.max(c("at") + F.hypot(c("bx") - c("ax"), c("by_") - c("ay"))).alias("total"))
+    places = total.select("line", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("k"), "total").select("k", "line", (c("total") * c("k") / 40).alias("chainage"))
+    return L.point_at(segs, places).withColumn("chainage", F.round("chainage", 6))
+
+
+@query("j18_pixel_gauges", f"WITH {_RIV} SELECT y, x, year, lower, upper FROM br")
+def j18p(s, d):
+    """The two gauges of every pixel by year."""
+    g = river_gauges(s, d)
+    return L.reach_of(pixel_places(s, d).select("y", "x", "chainage"), g).join(L.reaches(g), "reach").select("y", "x", "year", "lower", "upper")
+
+
+@query("h6_pixel_levels", f"WITH {_RIV} SELECT y, x, date, round(level, 9) AS level FROM lv")
+def h6(s, d):
+    """Daily level at every pixel between the gauges assigned to it."""
+    return L.pixel_levels(pixel_places(s, d).select("y", "x", "chainage"), river_gauges(s, d), A.gauge(s, d)).select("y", "x", "date", "level")
+
+
+@query("h8_ground_between_gauges", f"""WITH {_RIV}, q AS (SELECT y, x, count(*) FILTER (WHERE cls = 2) AS wet, count(*) AS n FROM flood GROUP BY y, x), o AS (SELECT y, x, level, row_number() OVER (PARTITION BY y, x ORDER BY level) - 1 AS k, count(*) OVER (PARTITION BY y, x) AS days FROM lv)
+SELECT y, x, round(level, 6) AS z FROM o JOIN q USING (y, x) WHERE wet < n AND wet > 0 AND k = days * (n - wet) // n""")
+def h8g(s, d):
+    """Ground of every pixel from its flood frequency and its own two gauges by year."""
+    wet = A.flood(s, d).groupBy("y", "x").agg(F.count_if(c("cls") == 2).alias("n_wet"), F.count(F.lit(1)).alias("n"))
+    p = pixel_places(s, d).select("y", "x", "chainage").join(wet, ["y", "x"])
+    return L.ground_from_frequency(p, river_gauges(s, d), A.gauge(s, d)).select("y", "x", F.round("z", 6).alias("z"))
+
+
 @query("h7_gauge_datum", "SELECT station, date, round(level - CASE station WHEN 1 THEN 1.5 WHEN 3 THEN -0.25 ELSE 0 END, 9) AS level FROM gauge")
 def h7(s, d):
     meta = s.createDataFrame([(1, 1.5), (3, -0.25)], "station int, level_offset double")

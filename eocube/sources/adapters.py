@@ -85,6 +85,20 @@ def gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def thalweg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(line, seq, x, y)``: a river across the grid, with a vertex for each supplier."""
+    s = table(spark, sf_dir, "supplier")
+    last = s.agg(F.max("s_suppkey").alias("_m"))  # one row
+    k = F.col("s_suppkey")
+    return s.crossJoin(F.broadcast(last)).select(F.lit(1).alias("line"), k.alias("seq"), F.round(F.lit(float(G)) * k / F.col("_m"), 6).alias("x"), (F.lit(G / 2) + (k * 7 % 11 - 5) * 0.2).alias("y"))
+
+
+def gauge_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(station, px, py)`` beside the river, for each station of ``gauge``."""
+    n = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 5).cast("int").alias("station")).distinct()
+    return n.select("station", ((F.col("station") + 0.5) * (G / 5)).alias("px"), (F.lit(G / 2) + F.col("station") % 2 * 0.3).alias("py"))
+
+
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     return s.select(
@@ -122,6 +136,8 @@ SQL = {
     "dem": "SELECT y, x, CAST(10 AS DOUBLE) + y + CAST(0.5 AS DOUBLE) * x + (y * x % 7) * CAST(0.3 AS DOUBLE) AS z FROM grid",
     "levels": "SELECT CAST(o_orderdate AS DATE) AS date, round(10 + 20 * avg(o_totalprice) / 500000, 9) AS level FROM orders GROUP BY 1",
     "gauge": "SELECT CAST(c_nationkey % 5 AS INT) AS station, CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice) / 10, 7) AS flow, round(greatest(avg(c_acctbal) / 10000, 0), 9) AS sed_conc, round(10 + avg(o_totalprice) / 25000, 9) AS level FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
+    "thalweg": f"SELECT 1 AS line, s_suppkey AS seq, round(CAST({G} AS DOUBLE) * s_suppkey / (SELECT max(s_suppkey) FROM supplier), 6) AS x, CAST({G / 2} AS DOUBLE) + (s_suppkey * 7 % 11 - 5) * CAST(0.2 AS DOUBLE) AS y FROM supplier",
+    "gauge_sites": f"SELECT DISTINCT CAST(c_nationkey % 5 AS INT) AS station, (CAST(c_nationkey % 5 AS INT) + CAST(0.5 AS DOUBLE)) * CAST({G / 5} AS DOUBLE) AS px, CAST({G / 2} AS DOUBLE) + CAST(c_nationkey % 5 AS INT) % 2 * CAST(0.3 AS DOUBLE) AS py FROM customer",
     "stations": f"SELECT CAST(s_suppkey AS INT) AS station_id, s_suppkey % {G} + CAST(0.25 AS DOUBLE) AS px, s_suppkey // {G} % {G} + CAST(0.75 AS DOUBLE) AS py, s_acctbal / 10 AS alt, round(s_acctbal / 100, 7) AS value FROM supplier",
     "footprints": f"SELECT c_custkey AS shot, f.date, c_custkey * 37 % 1000 / CAST(1000 AS DOUBLE) * {G} AS px, c_custkey * 91 % 1000 / CAST(1000 AS DOUBLE) * {G} AS py, round(2 + abs(c_acctbal) / 3000, 9) AS rh100, CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END AS quality FROM customer JOIN (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS date FROM orders GROUP BY 1) f ON c_custkey = o_custkey",
     "weather": "SELECT user_id AS station, ts, event_type AS var, value FROM events",

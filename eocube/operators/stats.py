@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import stage
+from .ranks import medians, ranks, select_positions, sign_score, tile_of
 
 
 def most_common(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -72,70 +73,10 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return r.groupBy(*by).agg(F.round(F.corr("_rx", "_ry"), 9).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
-def _score(x: np.ndarray, y: np.ndarray) -> int:
-    """Sum of sign(dx) sign(dy) over all pairs, by merging: each level compares the halves of blocks that are sorted by x."""
-    order = np.lexsort((y, x))
-    rank = np.unique(y[order], return_inverse=True)[1].astype(np.int64)
-    total, width, n = 0, 1, len(rank)
-    top = int(rank.max(initial=0)) + 1
-    while width < n:
-        block = np.arange(n) // (2 * width)
-        left = np.arange(n) % (2 * width) < width
-        key = np.sort(block[left] * top + rank[left])
-        ask = block[~left] * top
-        first, end = np.searchsorted(key, ask), np.searchsorted(key, ask + top)
-        below, upto = np.searchsorted(key, ask + rank[~left]), np.searchsorted(key, ask + rank[~left], "right")
-        total += int(((below - first) - (end - upto)).sum())
-        width *= 2
-    # Pairs of equal x stood in the order of y and don't count.
-    _, runs = np.unique(x, return_counts=True)
-    _, same = np.unique(np.stack([x, y]), axis=1, return_counts=True) if n else (0, np.array([0]))
-    return total - int((runs * (runs - 1) // 2).sum() - (same * (same - 1) // 2).sum())
-
-
-def kendall(df: DataFrame, x: str, y: str, key: str, by: list[str], bins: int = 64) -> DataFrame:
-    """Kendall tau-a by group: concordant less discordant pairs over all pairs, without making pairs.
-
-    Values are laid into ``bins`` by approximate quantiles of the group. Pairs in different bins of both x and y are
-    counted from the grid of bins; pairs in one bin of x, and those in one bin of y but not of x, inside of that bin.
-    The result doesn't depend on where the bins lie; equal values always fall into one.
-    """
-    import pyarrow as pa
-
-    rows = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).na.drop(subset=["_x", "_y"])
-    share = [i / bins for i in range(1, bins)]
-    cuts = rows.groupBy(*by).agg(F.percentile_approx("_x", share).alias("_cx"), F.percentile_approx("_y", share).alias("_cy"), F.count(F.lit(1)).alias("_n"))
-    same_group = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by]
-    placed = rows.alias("a").join(cuts.alias("b"), same_group("a", "b")).select("a.*", F.size(F.filter("_cx", lambda c: c < F.col("_x"))).alias("_bx"), F.size(F.filter("_cy", lambda c: c < F.col("_y"))).alias("_by"))
-    # Over the whole grid of bins: points below on the left and above on the left, of bins apart in both.
-    grid = cuts.select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("_bx")).withColumn("_by", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("n", F.lit(0).cast("long"))
-    cells = placed.groupBy(*by, "_bx", "_by").agg(F.count(F.lit(1)).alias("n")).unionByName(grid).groupBy(*by, "_bx", "_by").agg(F.sum("n").alias("n"))
-    before = Window.unboundedPreceding, -1
-    cells = cells.withColumn("l", F.coalesce(F.sum("n").over(Window.partitionBy(*by, "_by").orderBy("_bx").rowsBetween(*before)), F.lit(0)))
-    column = Window.partitionBy(*by, "_bx").orderBy("_by")
-    under = F.coalesce(F.sum("l").over(column.rowsBetween(*before)), F.lit(0))
-    over = F.coalesce(F.sum("l").over(column.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-    apart = cells.withColumns({"_u": under, "_o": over}).groupBy(*by).agg(F.sum(F.col("n") * (F.col("_u") - F.col("_o"))).cast("long").alias("s"))
-
-    head = [rows.schema[k] for k in by]
-    schema = T.StructType([*head, T.StructField("s", T.LongType())])
-
-    def inside(across: bool):
-        def run(t: pa.Table) -> pa.Table:
-            a, b, other = t.column("_x").to_numpy(), t.column("_y").to_numpy(), t.column("_bx").to_numpy()
-            total = _score(a, b)
-            if across:  # less the pairs of one bin of x
-                order = np.argsort(other, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(other[order])) + 1):
-                    total -= _score(a[part], b[part])
-            return t.slice(0, 1).select(by).append_column("s", pa.array([total], pa.int64()))
-
-        return run
-
-    parts = [apart, placed.groupBy(*by, "_bx").applyInArrow(inside(False), schema), placed.groupBy(*by, "_by").applyInArrow(inside(True), schema)]
-    score = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*by).agg(F.sum("s").alias("s"))
-    pairs = (F.col("b._n") * (F.col("b._n") - 1) / 2).cast("long")
-    return score.alias("a").join(cuts.alias("b"), same_group("a", "b")).filter(pairs > 0).select(*[F.col(f"a.{k}") for k in by], F.round(F.col("a.s") / pairs, 9).alias("tau"), pairs.alias("pairs"))
+def kendall(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """Kendall tau-a by group: concordant less discordant pairs over all pairs, without making pairs."""
+    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    return sign_score(df, x, y, by).filter("n > 1").select(*by, F.round(F.col("score") / pairs, 9).alias("tau"), pairs.alias("pairs"))
 
 
 def two_sample_distances(df: DataFrame, cls: str, value: str, reference) -> DataFrame:
@@ -163,14 +104,14 @@ def positional_quantiles(df: DataFrame, by: list[str], value: str, shares: list[
 def bin_means(df: DataFrame, by_value: str, value: str, width: float) -> DataFrame:
     """Mean by bins of fixed width, with positional 30 % and 70 % bounds."""
     b = df.filter(F.col(by_value).isNotNull() & F.col(value).isNotNull()).withColumn("bin", F.floor(F.col(by_value) / width).cast("int"))
-    return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 9).alias("mean_value")).join(positional_quantiles(b, ["bin"], value, [0.3, 0.7]), "bin")
+    bounds = select_positions(b, ["bin"], value, {f"q{round(100 * q)}": F.floor(F.col("_count") * q) for q in (0.3, 0.7)}).drop("_count")
+    return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 9).alias("mean_value")).join(bounds, "bin")
 
 
 def trimmed(df: DataFrame, by: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """Count and mean between two positional shares of each group."""
-    w, up = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
-    r = df.filter(F.col(value).isNotNull()).select(*by, value, (F.row_number().over(w) - 1).alias("_i"), F.count(F.lit(1)).over(up).alias("_n"))
-    kept = r.filter((F.col("_i") >= F.floor(F.col("_n") * low)) & (F.col("_i") < F.ceil(F.col("_n") * high)))
+    """Count and mean between two positional shares of each group, of any size."""
+    r = ranks(df.filter(F.col(value).isNotNull()).select(*by, value), by, [value])
+    kept = r.filter((F.col("_rank") >= F.floor(F.col("_count") * low)) & (F.col("_rank") < F.ceil(F.col("_count") * high)))
     return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 9).alias("mean_value"))
 
 
@@ -236,17 +177,19 @@ def ranked(df: DataFrame, key: str, block: int = 1024) -> DataFrame:
 
 def stratified_folds(df: DataFrame, value: str, key: str, strata: int, k: int, by: list[str]) -> DataFrame:
     """Fold of each row: quantile strata of the value, then seeded shuffled folds in each (within groups ``by``)."""
-    s = df.withColumn("stratum", F.ntile(strata).over(Window.partitionBy(*by).orderBy(value, key)))
-    return s.withColumn("fold", F.ntile(k).over(Window.partitionBy(*by, "stratum").orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(":7"))))))
-
-
-def robust_outliers(df: DataFrame, by: list[str], value: str, limit: float = 3.5) -> DataFrame:
-    """Rows within ``limit`` robust z-scores (median and median absolute deviation) of their group."""
-    m = df.groupBy(*by).agg(F.median(value).alias("_m"))
-    d = df.join(m, by).withColumn("_a", F.abs(F.col(value) - F.col("_m")))
-    mad = d.groupBy(*by).agg(F.median("_a").alias("_mad"))
-    z = 0.6745 * F.col("_a") / F.nullif(F.col("_mad"), F.lit(0.0))
-    return d.join(mad, by).filter(F.coalesce(z, F.lit(0.0)) <= limit).drop("_m", "_a", "_mad")
+    s = ranks(df, by, [value, key]).withColumn("stratum", tile_of(F.col("_rank"), F.col("_count"), strata)).drop("_rank", "_count")
+    s = ranks(s.withColumn("_deal", F.md5(F.concat(F.col(key).cast("string"), F.lit(":7")))), [*by, "stratum"], ["_deal"])
+    return s.withColumn("fold", tile_of(F.col("_rank"), F.col("_count"), k)).drop("_deal", "_rank", "_count")
+
+
+def robust_outliers(df: DataFrame, by: list[str], value: str, share: float = 0.01) -> DataFrame:
+    """Rows less the ``share`` of them that lie farthest out: by robust z-score (median and median absolute deviation of
+    their group). Rows tied with the last that stays stay as well. Groups are few and may be of any size."""
+    d = df.join(medians(df, by, value, "_m"), by).withColumn("_a", F.abs(F.col(value) - F.col("_m")))
+    z = F.round(F.coalesce(0.6745 * F.col("_a") / F.nullif(F.col("_mad"), F.lit(0.0)), F.lit(0.0)), 9)
+    d = stage(d.join(medians(d, by, "_a", "_mad"), by).withColumn("_z", z).drop("_m", "_a", "_mad"), "scores")
+    last = select_positions(d, [], "_z", {"_last": F.ceil(F.col("_count") * (1 - share)) - 1}).select("_last")
+    return d.crossJoin(F.broadcast(last)).filter("_z <= _last").drop("_z", "_last")  # one row
 
 
 def weighted_mae(df: DataFrame, real: str, fitted: str, centre: float = 3.0) -> DataFrame:

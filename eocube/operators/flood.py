@@ -47,6 +47,13 @@ def boundary_levels(flood: DataFrame, levels: DataFrame) -> DataFrame:
     )
 
 
+def with_trend(boundary: DataFrame, levels: DataFrame) -> DataFrame:
+    """Boundary levels with the level's trend on the dates of the lowest wet and the highest dry level."""
+    trend = level_trend(levels).select("date", "trend")
+    at = lambda n: trend.select(F.col("date").alias(f"{n}_date"), F.col("trend").alias(f"{n}_trend"))
+    return boundary.join(at("min_wet"), "min_wet_date", "left").join(at("max_dry"), "max_dry_date", "left").select(*boundary.columns, "min_wet_trend", "max_dry_trend")
+
+
 SLICE = 0.1  # width of a slice of levels
 
 
@@ -139,6 +146,13 @@ def radar_flood_index(obs: DataFrame) -> DataFrame:
     return s.select("y", "x", F.round((F.col("d") - low) / F.nullif(F.col("d") + low, F.lit(0.0)), 5).alias("flood_index"), F.round((F.col("wmax") - F.col("d")) / F.nullif(F.col("wmax") + F.col("d"), F.lit(0.0)), 5).alias("vegetated_index"))
 
 
+def radar_flood_maps(index: DataFrame, flood: tuple[float, float], vegetated: tuple[float, float], steps: int) -> DataFrame:
+    """Class 2 where an index is over its threshold, for ``steps`` thresholds from a first one on; ``(first, step)`` for both."""
+    k = F.col("step")
+    over = lambda c, t: F.when(F.col(c) > F.lit(t[0]) + k * F.lit(t[1]), 2).when(F.col(c).isNotNull(), 1)
+    return index.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long")))).select("y", "x", "step", over("flood_index", flood).alias("flood"), over("vegetated_index", vegetated).alias("vegetated"))
+
+
 def bimodal_threshold(obs: DataFrame, start: float = 0.1, fallback: float = 0.123, least: int = 5, rounds: int = 100) -> DataFrame:
     """Threshold by pixel: the fixed point of the mean of the two class means, from ``start``; ``fallback`` without one.
 

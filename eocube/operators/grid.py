@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .ranks import ranks
 
 
 def offsets(half: int, centre: bool = False, four: bool = False) -> Column:
@@ -42,6 +43,21 @@ def neighbour_sum(cells: DataFrame, keys: list[str], value: str, half: int) -> D
     return cells.join(s, [*keys, "y", "x"], "left").select(*keys, "y", "x", value, F.round(F.coalesce("s", F.lit(0.0)), 9).alias("near_sum"), F.coalesce("n", F.lit(0)).alias("n_near"))
 
 
+def window_count(cells: DataFrame, keys: list[str], flag: str, half: int, name: str) -> DataFrame:
+    """``cells`` with the number of flagged cells in the window around each, without itself.
+
+    Flagged cells are added up along y, then along x by running sums: two passes for any window. Only flagged cells are
+    copied, and only along one side of the window. ``cells`` has each (keys, y, x) once.
+    """
+    spread = cells.filter(flag).withColumn("_d", F.explode(F.sequence(F.lit(-half), F.lit(half)))).select(*keys, (F.col("y") + F.col("_d")).alias("y"), "x", F.lit(1).alias("_n"))
+    sums = spread.groupBy(*keys, "y", "x").agg(F.sum("_n").alias("_n"))
+    row = F.struct(*[F.col(c) for c in cells.columns]).alias("_row")
+    both = cells.select(*keys, "y", "x", row, F.lit(0).cast("bigint").alias("_n")).unionByName(sums, allowMissingColumns=True)
+    along = Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(-half, half)  # a row of the grid
+    got = both.withColumn("_s", F.sum("_n").over(along)).filter("_row is not null")
+    return got.select("_row.*", (F.col("_s") - F.col(f"_row.{flag}").cast("int")).alias(name))
+
+
 def drop_sole(cells: DataFrame, keys: list[str], half: int = 1) -> DataFrame:
     """Cells without any other cell in their window go."""
     return cells.join(neighbours(cells, keys, half, []).distinct(), [*keys, "y", "x"], "left_semi")
@@ -117,7 +133,7 @@ def numbered_floods(labelled: DataFrame, water: DataFrame, least_area: float, ce
     lakes = regions(water.select("y", "x"))
     lakes = lakes.join(region_sizes(lakes, [], cell_area).filter(F.col("area") >= least_area).select("region"), "region", "left_semi")
     hit = touching(labelled, [], lakes).select("region").distinct()
-    ids = hit.select("region", F.dense_rank().over(Window.orderBy("region")).alias("flood_id"))  # a row for each region that counts
+    ids = ranks(hit, [], ["region"]).select("region", (F.col("_rank") + 1).cast("int").alias("flood_id"))
     return labelled.join(ids, "region", "left").select("y", "x", F.coalesce("flood_id", F.lit(0)).alias("flood_id"))
 
 

@@ -231,6 +231,15 @@ def attach_profiles(sampled: DataFrame, surveyed: DataFrame) -> DataFrame:
     return a.join(surveyed.select("cs", "pos", F.col("d").alias("d_surveyed"), F.col("z").alias("z_surveyed")), ["cs", "pos"], "full")
 
 
+def section_issues(sampled: DataFrame, surveyed: DataFrame) -> DataFrame:
+    """``(cs, issue)``: sections that are "missing" in the survey, that the survey has without a sample ("redundant"), and
+    that it has more than once at a position ("duplicated")."""
+    a, b = sampled.select("cs").distinct(), surveyed.select("cs").distinct()
+    twice = surveyed.groupBy("cs", "pos").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("cs").distinct()
+    named = lambda df, issue: df.select("cs", F.lit(issue).alias("issue"))
+    return named(a.join(b, "cs", "left_anti"), "missing").unionByName(named(b.join(a, "cs", "left_anti"), "redundant")).unionByName(named(twice, "duplicated"))
+
+
 def station_units(raw: DataFrame) -> DataFrame:
     """Station files to units: DDMM to degrees, cm to m, 0.1 steps, 32766 as missing (fixed code), mixed rain codes as 0."""
     deg = lambda c: F.round(F.floor(F.col(c) / 100) + F.col(c) % 100 / 60, 9)

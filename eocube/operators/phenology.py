@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 P = ["p0", "p1", "p2", "p3", "p4", "p5", "p6"]
 
 
@@ -175,6 +177,44 @@ def recovery_time(ymax: Column, y0: Column, rate: Column, reached: float = 0.99)
     return F.when((rest > 0) & (rest < 1) & (rate > 0), -F.ln(rest) / rate)
 
 
+def fit_recovery(series: DataFrame, keys: list[str], low: float = 1e-4, high: float = 1e2, rates: int = 16, rounds: int = 12) -> DataFrame:
+    """``(keys, ymax, y0, rate, sse, n)``: the recovery curve ymax - (ymax - y0) e^(-rate t) of least squares by group.
+
+    Variable projection: for a rate both linear parameters follow from sums, which Spark adds up; so only the rate is
+    searched, between ``low`` and ``high``, ``rates`` at a time, each round between the neighbours of the best. Values are
+    summed by time first. ``series(keys, t, value)``; groups with fewer than three times have no curve.
+    """
+    at = series.filter("value is not null and t is not null").groupBy(*keys, F.col("t").cast("double").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    at = stage(at, "recovery")
+    e = F.exp(-F.col("rate") * F.col("t"))
+    bounds = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter("_m > 2").select(*keys, F.lit(float(np.log(low))).alias("_lo"), F.lit(float(np.log(high))).alias("_hi"))
+    for _ in range(rounds):
+        step = (F.col("_hi") - F.col("_lo")) / (rates - 1)
+        tried = bounds.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(rates - 1)))).select(*keys, "_lo", "_hi", "_k", F.exp(F.col("_lo") + step * F.col("_k")).alias("rate"))
+        g = at.join(tried, keys).groupBy(*keys, "_lo", "_hi", "_k", "rate").agg(F.sum("n").alias("n"), F.sum(F.col("n") * e).alias("se"), F.sum(F.col("n") * e * e).alias("see"), F.sum("s").alias("sy"), F.sum(F.col("s") * e).alias("sye"), F.sum("q").alias("q"))
+        slope = (F.col("n") * F.col("sye") - F.col("se") * F.col("sy")) / F.nullif(F.col("n") * F.col("see") - F.col("se") * F.col("se"), F.lit(0.0))
+        g = g.withColumn("_b", slope).withColumn("ymax", (F.col("sy") - F.col("_b") * F.col("se")) / F.col("n"))
+        g = g.withColumn("sse", F.col("q") - F.col("ymax") * F.col("sy") - F.col("_b") * F.col("sye")).filter("sse is not null")
+        best = g.groupBy(*keys).agg(F.min(F.struct("sse", "_k", "rate", "ymax", "_b", "n", "_lo", "_hi")).alias("_m"))
+        step = (F.col("_m._hi") - F.col("_m._lo")) / (rates - 1)
+        near = lambda o: F.col("_m._lo") + step * F.least(F.greatest(F.col("_m._k") + o, F.lit(0)), F.lit(rates - 1))
+        best = stage(best.select(*keys, "_m", near(-1).alias("_lo"), near(1).alias("_hi")), "recovery")
+        bounds = best.select(*keys, "_lo", "_hi")
+    m = F.col("_m")
+    return best.select(*keys, m["ymax"].alias("ymax"), (m["ymax"] + m["_b"]).alias("y0"), m["rate"].alias("rate"), F.greatest(m["sse"], F.lit(0.0)).alias("sse"), m["n"].alias("n"))
+
+
+def resistance(series: DataFrame, keys: list[str], change: float, second: float) -> DataFrame:
+    """Three ratios (highest - lowest) / highest by group: before ``change``; after it, with the lowest until ``second``; and
+    with the lowest from ``second`` on. ``series(keys, t, value)``."""
+    v, t = F.col("value"), F.col("t")
+    pre, post = F.max(F.when(t < change, v)), F.max(F.when(t >= change, v))
+    ratio = lambda top, low, name: F.round((top - low) / F.nullif(top, F.lit(0.0)), 9).alias(name)
+    return series.groupBy(*keys).agg(
+        ratio(pre, F.min(F.when(t < change, v)), "resistance1"), ratio(post, F.min(F.when((t >= change) & (t < second), v)), "resistance2"), ratio(post, F.min(F.when(t >= second, v)), "resistance3")
+    )
+
+
 def preferred_curve(fits: DataFrame, keys: list[str]) -> DataFrame:
     """Of several models' fits ``(keys, model, r2)``, the best; of equals the first by name."""
     return fits.groupBy(*keys).agg(F.min_by("model", F.struct(-F.col("r2"), "model")).alias("model"), F.max("r2").alias("r2"))

@@ -114,6 +114,26 @@ def clear_by_qa(qa: Column, cutoff: int = 22000) -> Column:
     return (qa < cutoff) & (qa % 128).isin(0, 2, 64, 66)
 
 
+#: By sensor family, fixed values: highest high byte of a usable quality word, and the clear words that count as cloud near clouds.
+QUALITY_LIMITS = {"LC09": (86, (22080, 22208)), "LC08": (86, (22080, 22208)), "LE07": (21, (5696, 5760)), "LT05": (21, (5696, 5760)), "LT04": (21, (5696, 5760))}
+
+
+def quality_mask(scenes: DataFrame, keys: list[str], half: int = 3, most: int = 3) -> DataFrame:
+    """``scenes(keys.., sensor, y, x, qa)`` with ``clear``, by the limits of the sensor's family.
+
+    A word over the limit is cloud. Doubtful words (see ``QUALITY_LIMITS``) are cloud too where more than ``most`` of the
+    cells around them, up to ``half`` away, are. Of the rest, words with one of four low-seven-bit codes are clear (fixed
+    values). Fill (1) counts as cloud, a cell without a row doesn't. Sensors without limits have no clear words.
+    """
+    from .grid import window_count
+
+    family = lambda f: F.coalesce(*[F.when(F.col("sensor") == name, f(v)) for name, v in QUALITY_LIMITS.items()], F.lit(False))
+    cloud = (F.col("qa") == 1) | ~family(lambda v: F.floor(F.col("qa") / 256) <= v[0])
+    s = window_count(scenes.withColumn("_cloud", cloud), keys, "_cloud", half, "_near")
+    doubt = family(lambda v: F.col("qa").isin(*v[1])) & (F.col("_near") > most)
+    return s.withColumn("clear", ~F.col("_cloud") & ~doubt & (F.col("qa") % 128).isin(0, 2, 64, 66)).drop("_cloud", "_near")
+
+
 def water_by_qa(qa: Column) -> Column:
     """Bit 7 of the quality word."""
     return F.floor(qa % 256 / 128) == 1

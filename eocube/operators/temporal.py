@@ -90,6 +90,18 @@ def year_on_year(metric: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def between_floods(obs: DataFrame, flood: DataFrame) -> DataFrame:
+    """Count, mean and maximum of each span of ``rebuilt_series``, values of any sign."""
+    j = spans_between(obs, flood)
+    return j.groupBy("y", "x", "year").agg(F.count("value").alias("n"), F.round(F.avg("value"), 9).alias("mean_value"), F.round(F.max("value"), 9).alias("max_value"))
+
+
+def rebuilt_series(obs: DataFrame, flood: DataFrame) -> DataFrame:
+    """``(y, x, year, date, day, value)``: the series outside of inundation, positive values only. A span runs from the
+    last wet date of one year with floods to the first of the next; it bears that next year, and ``day`` counts from its start."""
+    return spans_between(obs, flood).filter("value > 0").select("y", "x", "year", "date", F.datediff("date", "since").alias("day"), "value")
+
+
+def spans_between(obs: DataFrame, flood: DataFrame) -> DataFrame:
     """Values of a pixel after its last wet date before the year's first wet date (the series outside of inundation)."""
     wet = flood.filter("cls = 2").select("y", "x", F.col("date").alias("_wet")).withColumn("year", F.year("_wet"))
     first = wet.groupBy("y", "x", "year").agg(F.min("_wet").alias("until"), F.max("_wet").alias("_last"))
@@ -98,8 +110,7 @@ def between_floods(obs: DataFrame, flood: DataFrame) -> DataFrame:
     o = obs.withColumn("_year", F.year("date"))
     # A span covers the rest of one year and the start of the next: two equalities, no range join.
     s = spans.withColumn("_year", F.explode(F.sequence(F.year("since"), F.col("year"))))
-    j = o.join(s, ["y", "x", "_year"]).filter((F.col("date") > F.col("since")) & (F.col("date") < F.col("until")))
-    return j.groupBy("y", "x", "year").agg(F.count("value").alias("n"), F.round(F.avg("value"), 9).alias("mean_value"), F.round(F.max("value"), 9).alias("max_value"))
+    return o.join(s, ["y", "x", "_year"]).filter((F.col("date") > F.col("since")) & (F.col("date") < F.col("until")))
 
 
 def annual_peak(obs: DataFrame, first: int = 90, last: int = 210, least: float = 0.5) -> DataFrame:
@@ -113,15 +124,37 @@ def annual_peak(obs: DataFrame, first: int = 90, last: int = 210, least: float =
 
 def peak_to_flood(obs: DataFrame, flood: DataFrame) -> DataFrame:
     """Mean value from a year's peak to the first wet date after it (or the end of the year)."""
-    peak = annual_peak(obs).filter("peak_date is not null")
-    wet = flood.filter("cls = 2").select("y", "x", F.col("date").alias("_wet"), F.year("date").alias("year"))
-    p = peak.join(wet, ["y", "x", "year"], "left")
-    p = p.groupBy("y", "x", "year", "peak_date").agg(F.min(F.when(F.col("_wet") > F.col("peak_date"), F.col("_wet"))).alias("flooded"))
+    p = peaks_and_floods(obs, flood)
     o = obs.withColumn("year", F.year("date"))
     j = o.join(p, ["y", "x", "year"]).filter((F.col("date") >= F.col("peak_date")) & (F.col("flooded").isNull() | (F.col("date") < F.col("flooded"))))
     return j.groupBy("y", "x", "year").agg(F.count("value").alias("n"), F.round(F.avg("value"), 9).alias("mean_value"))
 
 
+def peaks_and_floods(obs: DataFrame, flood: DataFrame) -> DataFrame:
+    """``(y, x, year, peak_date, flooded)``: a year's peak and the first wet date after it in the year, if any."""
+    peak = annual_peak(obs).filter("peak_date is not null")
+    wet = flood.filter("cls = 2").select("y", "x", F.col("date").alias("_wet"), F.year("date").alias("year"))
+    p = peak.join(wet, ["y", "x", "year"], "left")
+    return p.groupBy("y", "x", "year", "peak_date").agg(F.min(F.when(F.col("_wet") > F.col("peak_date"), F.col("_wet"))).alias("flooded"))
+
+
+def matched_peak_to_flood(obs: DataFrame, flood: DataFrame) -> DataFrame:
+    """``(y, x, year, duration, mean_this, mean_next, change)``: mean values of two following years from their peaks on,
+    both over the days of the shorter season (365 where a year has no flood after its peak; one of the two must have one).
+    """
+    p = peaks_and_floods(obs, flood).withColumn("_d", F.datediff("flooded", "peak_date"))
+    nxt = p.select("y", "x", (F.col("year") - 1).alias("year"), F.col("peak_date").alias("_peak1"), F.col("_d").alias("_d1"))
+    m = p.join(nxt, ["y", "x", "year"]).filter("_d is not null or _d1 is not null")
+    m = m.withColumn("duration", F.least(F.coalesce("_d", F.lit(365)), F.coalesce("_d1", F.lit(365))))
+    # A season meets its own year's values: one equality for each of the two.
+    sides = F.explode(F.array(F.struct(F.col("year").alias("_year"), F.col("peak_date").alias("_from"), F.lit(0).alias("_side")), F.struct((F.col("year") + 1).alias("_year"), F.col("_peak1").alias("_from"), F.lit(1).alias("_side"))))
+    s = m.select("y", "x", "year", "duration", sides.alias("_s")).select("y", "x", "year", "duration", "_s.*")
+    j = obs.withColumn("_year", F.year("date")).join(s, ["y", "x", "_year"]).filter(F.datediff("date", "_from").between(0, F.col("duration") - 1))
+    mean = lambda k: F.avg(F.when(F.col("_side") == k, F.col("value")))
+    g = j.groupBy("y", "x", "year", "duration").agg(mean(0).alias("a"), mean(1).alias("b"))
+    return g.select("y", "x", "year", "duration", F.round("a", 11).alias("mean_this"), F.round("b", 11).alias("mean_next"), F.round(F.col("b") - F.col("a"), 11).alias("change"))
+
+
 def exceedance(series: DataFrame, keys: list[str], limit: float, n: int = 6) -> DataFrame:
     """Rows from which on the next ``n`` magnitudes are all over ``limit``."""
     w = Window.partitionBy(*keys).orderBy("date").rowsBetween(1, n)

@@ -79,6 +79,22 @@ def v9(s, d):
     return A.raw_bands(s, d).groupBy("sensor").agg(F.count_if(P.clear_by_qa(c("qa"))).alias("n_clear"), F.count_if(P.water_by_qa(c("qa"))).alias("n_water"), F.count(F.lit(1)).alias("n"))
 
 
+_CODES = [21824, 22080, 21952, 22208, 5440, 5696, 5760, 23888, 1, 5504, 22018]
+
+_QA = f"""q AS (SELECT y, x, date, CASE sensor WHEN 'A' THEN 'LC08' WHEN 'N' THEN 'LE07' ELSE 'LT05' END AS sensor, [{", ".join(map(str, _CODES))}][qa % {len(_CODES)} + 1] AS qa FROM bands),
+k AS (SELECT *, qa = 1 OR qa // 256 > CASE sensor WHEN 'LC08' THEN 86 ELSE 21 END AS cloud FROM q),
+m AS (SELECT a.y, a.x, a.date, any_value(a.sensor) AS sensor, any_value(a.qa) AS qa, any_value(a.cloud) AS cloud, count(*) FILTER (WHERE b.cloud AND (a.y <> b.y OR a.x <> b.x)) AS near FROM k a JOIN k b ON a.date = b.date AND a.sensor = b.sensor AND abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 3 GROUP BY a.y, a.x, a.date)"""
+
+
+@query("v9_dilated_quality_mask", f"WITH {_QA} SELECT y, x, date, sensor, qa, NOT cloud AND NOT (near > 3 AND CASE sensor WHEN 'LC08' THEN qa IN (22080, 22208) ELSE qa IN (5696, 5760) END) AND qa % 128 IN (0, 2, 64, 66) AS clear FROM m")
+def v9d(s, d):
+    """Quality words of each date and sensor, with the sensor's cutoffs and doubtful words near clouds."""
+    word = F.element_at(F.array(*map(F.lit, _CODES)), c("qa") % len(_CODES) + 1)
+    sensor = F.when(c("sensor") == "A", "LC08").when(c("sensor") == "N", "LE07").otherwise("LT05")
+    q = A.bands(s, d).select("y", "x", "date", sensor.alias("sensor"), word.alias("qa"))
+    return P.quality_mask(q, ["date", "sensor"]).select("y", "x", "date", "sensor", "qa", "clear")
+
+
 @query("v11_scene_class_mask", "SELECT y, x, date, CASE WHEN qa % 12 NOT IN (0, 1, 2, 3, 8, 9, 10, 11, 255) THEN round(nir, 6) END AS nir FROM bands")
 def v11(s, d):
     return A.bands(s, d).select("y", "x", "date", P.mask_scene_classes(F.round("nir", 6), c("qa") % 12).alias("nir"))
@@ -284,6 +300,19 @@ def a14(s, d):
     return FL.boundary_levels(A.flood(s, d), A.levels(s, d))
 
 
+_W1 = """a1 AS (SELECT date, level, year(date) AS year, sign(level - lag(level) OVER w) AS step FROM levels WINDOW w AS (PARTITION BY year(date) ORDER BY date)),
+b1 AS (SELECT *, lead(step) OVER (PARTITION BY year ORDER BY date) AS nxt FROM a1), e1 AS (SELECT *, CASE WHEN step IS NULL OR nxt IS NULL OR step <> nxt OR step = 0 THEN 0 ELSE CAST(step AS INT) END AS sg FROM b1),
+f1 AS (SELECT *, CASE WHEN sg = lag(sg) OVER (PARTITION BY year ORDER BY date) THEN 0 ELSE 1 END AS new FROM e1), g1 AS (SELECT *, sum(new) OVER (PARTITION BY year ORDER BY date) AS run FROM f1),
+tr AS (SELECT date, CAST(sg * row_number() OVER (PARTITION BY year, run ORDER BY date) AS INT) AS trend FROM g1)"""
+
+
+@query("a14_level_trend", f"WITH {_LOW}, {_W1} SELECT y, x, bl.year, min_wet, max_dry, min_wet_date, max_dry_date, p.trend AS min_wet_trend, q.trend AS max_dry_trend FROM bl LEFT JOIN tr p ON p.date = min_wet_date LEFT JOIN tr q ON q.date = max_dry_date")
+def a14t(s, d):
+    """Boundary levels with the trend of the level on their dates."""
+    levels = A.levels(s, d)
+    return FL.with_trend(FL.boundary_levels(A.flood(s, d), levels), levels)
+
+
 @query("a15_inundation_indicators", f"""WITH {_LOW}
 SELECT y, x, bl.year, CAST(count(*) AS BIGINT) AS duration, round(max(level - min_wet), 9) AS max_height, round(avg(level - min_wet), 9) AS mean_depth FROM bl JOIN levels l ON year(l.date) = bl.year AND level >= min_wet WHERE min_wet IS NOT NULL GROUP BY ALL""")
 def a15(s, d):
@@ -437,6 +466,14 @@ def j12(s, d):
     return T.between_floods(A.index(s, d, "NDVI"), A.flood(s, d))
 
 
+@query("t17_rebuilt_series", """
+WITH w AS (SELECT y, x, year(date) AS year, min(date) AS until, max(date) AS last FROM flood WHERE cls = 2 GROUP BY ALL), sp AS (SELECT y, x, year, until, lag(last) OVER (PARTITION BY y, x ORDER BY year) AS since FROM w)
+SELECT n.y, n.x, sp.year, n.date, CAST(datediff('day', since, n.date) AS INT) AS day, value FROM sp JOIN ndvi n ON n.y = sp.y AND n.x = sp.x AND n.date > since AND n.date < until WHERE value > 0""")
+def t17(s, d):
+    """The vegetation series of each span between floods, as rows."""
+    return T.rebuilt_series(A.index(s, d, "NDVI"), A.flood(s, d))
+
+
 @query("j13_level_over_terrain", "SELECT y, x, date, round(level - z, 9) AS depth FROM dem JOIN levels ON level > z")
 def j13(s, d):
     """The rows are the result: a depth for each wet cell and day."""
@@ -509,6 +546,16 @@ def w11(s, d):
     return T.peak_to_flood(A.index(s, d, "NDVI"), A.flood(s, d))
 
 
+@query("w11_matched_duration", """
+WITH p AS (SELECT y, x, year(date) AS year, first(date ORDER BY value DESC, date) AS d, max(value) AS v, first(date ORDER BY value DESC, date) FILTER (WHERE dayofyear(date) BETWEEN 90 AND 210) AS di, max(value) FILTER (WHERE dayofyear(date) BETWEEN 90 AND 210) AS vi FROM ndvi GROUP BY ALL),
+k AS (SELECT y, x, year, CASE WHEN dayofyear(d) BETWEEN 90 AND 210 THEN d WHEN vi >= 0.5 THEN di END AS peak FROM p), f AS (SELECT k.y, k.x, k.year, peak, datediff('day', peak, min(date) FILTER (WHERE date > peak)) AS days FROM k LEFT JOIN (SELECT * FROM flood WHERE cls = 2) w ON w.y = k.y AND w.x = k.x AND year(w.date) = k.year WHERE peak IS NOT NULL GROUP BY k.y, k.x, k.year, peak),
+m AS (SELECT a.y, a.x, a.year, a.peak AS p0, b.peak AS p1, least(coalesce(a.days, 365), coalesce(b.days, 365)) AS duration FROM f a JOIN f b ON b.y = a.y AND b.x = a.x AND b.year = a.year + 1 WHERE a.days IS NOT NULL OR b.days IS NOT NULL),
+u AS (SELECT m.y, m.x, m.year, any_value(duration) AS duration, avg(value) FILTER (WHERE year(date) = m.year) AS v0, avg(value) FILTER (WHERE year(date) > m.year) AS v1 FROM m JOIN ndvi n ON n.y = m.y AND n.x = m.x AND year(n.date) BETWEEN m.year AND m.year + 1 AND datediff('day', CASE WHEN year(n.date) = m.year THEN p0 ELSE p1 END, n.date) BETWEEN 0 AND duration - 1 GROUP BY m.y, m.x, m.year)
+SELECT y, x, year, CAST(duration AS INT) AS duration, round(v0, 11) AS mean_this, round(v1, 11) AS mean_next, round(v1 - v0, 11) AS change FROM u""")
+def w11m(s, d):
+    return T.matched_peak_to_flood(A.index(s, d, "NDVI"), A.flood(s, d))
+
+
 @query("w12_exceedance", """
 WITH m AS (SELECT y, x, date, min(abs(value)) OVER w AS low, count(value) OVER w AS m FROM mndwi WINDOW w AS (PARTITION BY y, x ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)) SELECT y, x, date, low FROM m WHERE low > 0.2 AND m = 6""")
 def w12(s, d):
@@ -552,3 +599,13 @@ WITH s AS (SELECT y, x, avg(green) FILTER (WHERE month(date) NOT BETWEEN 5 AND 1
 SELECT y, x, round((d - least(wmin, dmin)) / nullif(d + least(wmin, dmin), 0), 5) AS flood_index, round((wmax - d) / nullif(wmax + d, 0), 5) AS vegetated_index FROM s""")
 def t7(s, d):
     return FL.radar_flood_index(A.bands(s, d).withColumnRenamed("green", "value"))
+
+
+
+@query("t7_radar_maps", """
+WITH s AS (SELECT y, x, avg(green) FILTER (WHERE month(date) NOT BETWEEN 5 AND 10) AS d, min(green) FILTER (WHERE month(date) NOT BETWEEN 5 AND 10) AS dmin, min(green) FILTER (WHERE month(date) BETWEEN 5 AND 10) AS wmin, max(green) FILTER (WHERE month(date) BETWEEN 5 AND 10) AS wmax FROM bands GROUP BY y, x),
+r AS (SELECT y, x, round((d - least(wmin, dmin)) / nullif(d + least(wmin, dmin), 0), 5) AS fi, round((wmax - d) / nullif(wmax + d, 0), 5) AS vi FROM s)
+SELECT y, x, k AS step, CASE WHEN fi > CAST(0.9 AS DOUBLE) + k * CAST(0.01 AS DOUBLE) THEN 2 WHEN fi IS NOT NULL THEN 1 END AS flood, CASE WHEN vi > CAST(0.2 AS DOUBLE) + k * CAST(0.02 AS DOUBLE) THEN 2 WHEN vi IS NOT NULL THEN 1 END AS vegetated FROM r, range(8) t(k)""")
+def t7m(s, d):
+    """Open and vegetated flood at eight thresholds each."""
+    return FL.radar_flood_maps(FL.radar_flood_index(A.bands(s, d).withColumnRenamed("green", "value")), (0.9, 0.01), (0.2, 0.02), 8)

@@ -341,12 +341,14 @@ def n11(s, d):
 
 
 @query("n14_numbered_floods", """
-WITH RECURSIVE q AS (SELECT y, x, count(*) FILTER (WHERE cls = 2) / CAST(count(*) AS DOUBLE) AS f FROM flood GROUP BY y, x), w AS (SELECT y, x, y * 1048576 + x AS id FROM q WHERE round(f, 9) > 0.37), p AS (SELECT y, x FROM q WHERE round(f, 9) > 0.41),
+WITH RECURSIVE q AS (SELECT y, x, count(*) FILTER (WHERE cls = 2) / CAST(count(*) AS DOUBLE) AS f FROM flood GROUP BY y, x), w AS (SELECT y, x, y * 1048576 + x AS id FROM q WHERE round(f, 9) > 0.37), p AS (SELECT y, x, y * 1048576 + x AS id FROM q WHERE round(f, 9) > 0.40),
 r AS (SELECT y, x, id FROM w UNION SELECT w.y, w.x, r.id FROM r JOIN w ON abs(w.y - r.y) <= 1 AND abs(w.x - r.x) <= 1), g AS (SELECT y, x, min(id) AS region FROM r GROUP BY y, x),
-h AS (SELECT region, row_number() OVER (ORDER BY region) AS k FROM (SELECT DISTINCT region FROM g JOIN p USING (y, x))) SELECT y, x, CAST(coalesce(k, 0) AS INT) AS flood_id FROM g LEFT JOIN h USING (region)""")
+l AS (SELECT y, x, id FROM p UNION SELECT p.y, p.x, l.id FROM l JOIN p ON abs(p.y - l.y) <= 1 AND abs(p.x - l.x) <= 1), k AS (SELECT y, x, min(id) AS lake FROM l GROUP BY y, x), big AS (SELECT y, x FROM k WHERE lake IN (SELECT lake FROM k GROUP BY lake HAVING count(*) * 900 >= 1800)),
+h AS (SELECT region, row_number() OVER (ORDER BY region) AS k FROM (SELECT DISTINCT region FROM g JOIN big USING (y, x))) SELECT y, x, CAST(coalesce(k, 0) AS INT) AS flood_id FROM g LEFT JOIN h USING (region)""")
 def n14(s, d):
+    """Lakes of one cell (900) are too small, those of two are large enough."""
     wet = FL.frequency(A.flood(s, d))
-    return N.numbered_floods(N.regions(wet.filter("frequency > 0.37").select("y", "x")), wet.filter("frequency > 0.41").select("y", "x"), 900.0)
+    return N.numbered_floods(N.regions(wet.filter("frequency > 0.37").select("y", "x")), wet.filter("frequency > 0.40").select("y", "x"), 1800.0)
 
 
 # --- hydrology ------------------------------------------------------------------------------------------------------
@@ -390,7 +392,7 @@ def h5(s, d):
     return H.levels_between(j18(s, d), A.gauge(s, d))
 
 
-_SEG = """k AS (SELECT line, seq AS seg, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM thalweg WINDOW w AS (PARTITION BY line ORDER BY seq)),
+_LINE = """k AS (SELECT line, seq AS seg, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by_ FROM thalweg WINDOW w AS (PARTITION BY line ORDER BY seq)),
 sg AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS len, coalesce(sum(sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2))) OVER (PARTITION BY line ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM k WHERE bx IS NOT NULL)"""
 
 
@@ -402,7 +404,7 @@ def _located(name: str, key: str, points: str) -> str:
     return f"""{name} AS (SELECT {key}, line, seg, chainage, distance, side FROM (SELECT {key}, line, seg, round(at_ + {t} * len, 6) AS chainage, {d} AS distance, {side} AS side, row_number() OVER (PARTITION BY {key} ORDER BY {d}, line, seg) AS rk FROM {points}, sg) WHERE rk = 1)"""
 
 
-_PIX = f"{_SEG}, ce AS (SELECT y, x, x + CAST(0.5 AS DOUBLE) AS px, y + CAST(0.5 AS DOUBLE) AS py FROM grid), " + _located("pl", "y, x", "ce")
+_PIX = f"{_LINE}, ce AS (SELECT y, x, x + CAST(0.5 AS DOUBLE) AS px, y + CAST(0.5 AS DOUBLE) AS py FROM grid), " + _located("pl", "y, x", "ce")
 _RIV = f"""{_PIX}, {_located("gl", "station", "gauge_sites")}, gy AS (SELECT DISTINCT g.station, gl.chainage AS c, year(date) AS year FROM gauge g JOIN gl ON gl.station = g.station WHERE NOT (g.station = 2 AND year(date) = 1997)),
 ra AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY c) AS k, count(*) OVER (PARTITION BY year) AS m FROM gy), pk AS (SELECT y, x, chainage, year, greatest(1, least(count(*) FILTER (WHERE c <= chainage), max(m) - 1)) AS k FROM pl, ra GROUP BY y, x, chainage, year),
 br AS (SELECT y, x, chainage, pk.year, a.station AS lower, a.c AS lower_at, b.station AS upper, b.c AS upper_at FROM pk JOIN ra a ON a.year = pk.year AND a.k = pk.k JOIN ra b ON b.year = pk.year AND b.k = pk.k + 1),
@@ -427,7 +429,7 @@ def w14p(s, d):
     return pixel_places(s, d).select("y", "x", "line", "seg", "chainage", "distance", "side")
 
 
-@query("w14_distance_along", f"WITH {_SEG}, {_located('gl', 'station', 'gauge_sites')} SELECT p.station AS a, q.station AS b, round(abs(p.chainage - q.chainage), 6) AS distance FROM gl p JOIN gl q ON p.station < q.station")
+@query("w14_distance_along", f"WITH {_LINE}, {_located('gl', 'station', 'gauge_sites')} SELECT p.station AS a, q.station AS b, round(abs(p.chainage - q.chainage), 6) AS distance FROM gl p JOIN gl q ON p.station < q.station")
 def w14d(s, d):
     """Distance along the river between every two of the gauges."""
     at = L.locate(A.gauge_sites(s, d), L.segments(A.thalweg(s, d)))
@@ -436,7 +438,7 @@ def w14d(s, d):
     return L.along(pairs, at, "station")
 
 
-@query("w14_point_at", f"""WITH {_SEG}, e AS (SELECT line, max(at_ + len) AS total FROM sg GROUP BY line), pc AS (SELECT CAST(i AS INT) AS k, line, total * i / CAST(40 AS DOUBLE) AS chainage FROM e, range(41) t(i))
+@query("w14_point_at", f"""WITH {_LINE}, e AS (SELECT line, max(at_ + len) AS total FROM sg GROUP BY line), pc AS (SELECT CAST(i AS INT) AS k, line, total * i / CAST(40 AS DOUBLE) AS chainage FROM e, range(41) t(i))
 SELECT k, line, round(chainage, 6) AS chainage, px, py FROM (SELECT k, pc.line, chainage, round(ax + (bx - ax) * ((chainage - at_) / len), 6) AS px, round(ay + (by_ - ay) * ((chainage - at_) / len), 6) AS py, row_number() OVER (PARTITION BY k, pc.line ORDER BY seg) AS rk FROM pc JOIN sg ON sg.line = pc.line AND len > 0 AND chainage >= at_ AND chainage <= at_ + len) WHERE rk = 1""")
 def w14a(s, d):
     """Points at equal steps of chainage along the river."""
@@ -535,6 +537,14 @@ def h13(s, d):
     return H.attach_profiles(p.filter("cs < 12"), p.filter("cs > 8"))
 
 
+@query("h13_section_issues", f"WITH {_PR}, a AS (SELECT DISTINCT cs FROM pr WHERE cs < 12), b AS (SELECT cs, CAST(floor(d / 2) AS INT) AS pos FROM pr WHERE cs > 8 UNION ALL SELECT cs, CAST(d AS INT) * 1000 + 7 FROM pr WHERE cs BETWEEN 3 AND 4) SELECT cs, 'missing' AS issue FROM a WHERE cs NOT IN (SELECT cs FROM b) UNION ALL SELECT DISTINCT cs, 'redundant' FROM b WHERE cs NOT IN (SELECT cs FROM a) UNION ALL SELECT DISTINCT cs, 'duplicated' FROM (SELECT cs, pos FROM b GROUP BY cs, pos HAVING count(*) > 1)")
+def h13i(s, d):
+    """Sections missing in, redundant in or duplicated by a survey whose positions are half as fine."""
+    p = profiles(s, d)
+    surveyed = p.filter("cs > 8").select("cs", F.floor(c("d") / 2).cast("int").alias("pos")).unionByName(p.filter("cs between 3 and 4").select("cs", (c("d").cast("int") * 1000 + 7).alias("pos")))
+    return H.section_issues(p.filter("cs < 12"), surveyed)
+
+
 _SEG = """se AS (SELECT CAST(s_suppkey AS INT) AS cs, s_suppkey % 23 + CAST(0.31 AS DOUBLE) AS ax, s_nationkey % 7 + CAST(0.17 AS DOUBLE) AS ay, s_suppkey % 17 + CAST(0.77 AS DOUBLE) AS bx, s_nationkey % 19 + CAST(0.93 AS DOUBLE) AS by FROM supplier),
 sg AS (SELECT CAST(c_custkey AS INT) AS seg, c_custkey % 29 + CAST(0.05 AS DOUBLE) AS ax, c_nationkey + CAST(0.41 AS DOUBLE) AS ay, c_custkey % 29 + CAST(1.2 AS DOUBLE) AS bx, c_nationkey + CAST(1.53 AS DOUBLE) AS by FROM customer)"""
 
@@ -730,6 +740,20 @@ def t16(s, d):
     return curve_parameters(s, d).select("y", "x", F.round(PH.recovery_time(c("p1"), c("p0"), c("p6") + 0.01), 4).alias("days"))
 
 
+_RC = "rc AS (SELECT y, x, CAST(k * 12 AS DOUBLE) AS t, p1 - (p1 - p0) * exp(-(CAST(0.01 AS DOUBLE) + p6) * k * 12) AS v FROM cp, range(30) r(k))"
+
+
+@query("t16_recovery_fit", f"""WITH {_CP}, {_RC}, rs AS (SELECT y, x, max(v) FILTER (WHERE t < 60) AS a, min(v) FILTER (WHERE t < 60) AS b, max(v) FILTER (WHERE t >= 60) AS c, min(v) FILTER (WHERE t >= 60 AND t < 180) AS d, min(v) FILTER (WHERE t >= 180) AS e FROM rc GROUP BY y, x)
+SELECT y, x, round(p1, 4) AS ymax, round(p0, 4) AS y0, round(CAST(0.01 AS DOUBLE) + p6, 6) AS rate, round(-ln((1 - CAST(0.99 AS DOUBLE)) * p1 / (p1 - p0)) / (CAST(0.01 AS DOUBLE) + p6), 2) AS days, round((a - b) / a, 9) AS resistance1, round((c - d) / c, 9) AS resistance2, round((c - e) / c, 9) AS resistance3 FROM cp JOIN rs USING (y, x)""")
+def t16f(s, d):
+    """Recovery curves fitted again from values on known curves, with their resistance ratios."""
+    t = F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: (k * 12).cast("double")))
+    v = curve_parameters(s, d).withColumn("t", t).select("y", "x", "t", (c("p1") - (c("p1") - c("p0")) * F.exp(-(c("p6") + 0.01) * c("t"))).alias("value"))
+    fit = PH.fit_recovery(v, ["y", "x"]).join(PH.resistance(v, ["y", "x"], 60.0, 180.0), ["y", "x"])
+    days = PH.recovery_time(c("ymax"), c("y0"), c("rate"))
+    return fit.select("y", "x", F.round("ymax", 4).alias("ymax"), F.round("y0", 4).alias("y0"), F.round("rate", 6).alias("rate"), F.round(days, 2).alias("days"), "resistance1", "resistance2", "resistance3")
+
+
 # --- sinks and streams ----------------------------------------------------------------------------------------------
 
 
@@ -765,6 +789,27 @@ def x1(s, d):
     return w.groupBy("station").agg(F.max("ts").alias("ts"), F.max_by("value", "ts").alias("value"))
 
 
+@query("x1_stream_upsert", """
+WITH e AS (SELECT user_id AS station, ts, value, CAST(CAST(ts AS DATE) - CAST('2024-01-01' AS DATE) AS INT) + 1 AS dd, event_id % 7 = 0 AS slow FROM events)
+SELECT station, count(*) FILTER (WHERE NOT (slow AND dd <= 8)) AS n, max(ts) FILTER (WHERE NOT (slow AND dd <= 8)) AS latest, arg_max(value, ts) FILTER (WHERE NOT (slow AND dd <= 8)) AS value, count(*) FILTER (WHERE slow AND dd <= 8) AS late FROM e GROUP BY station""")
+def x1s(s, d):
+    """Readings of three files through a stream: the second repeats days of the first, and the third brings every seventh
+    reading of the first eight days, twelve days behind the others. Late ones are counted by station, not taken."""
+    from ..session import new_path
+    from ..streaming import streams
+
+    e = A.table(s, d, "events").select(c("user_id").alias("station"), c("ts").cast("timestamp").alias("ts"), "value", (c("event_id") % 7 == 0).alias("slow"))
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + 1
+    path = new_path(s, "stream")
+    files = [(day <= 10) & ~(c("slow") & (day <= 8)), day.between(9, 20), (day > 20) | (c("slow") & (day <= 8))]
+    for k, keep in enumerate(files):
+        e.filter(keep).select("station", "ts", "value").coalesce(1).write.parquet(f"{path}/in/file={k}")
+    state = streams.upserts(streams.by_file(s, f"{path}/in", "station bigint, ts timestamp, value double, file int"), f"{path}/state", f"{path}/cp")
+    got = state.readings.groupBy("station").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"), F.max_by("value", "ts").alias("value"))
+    late = state.late.groupBy("station").agg(F.sum("n").cast("long").alias("late"))
+    return got.join(late, "station", "full").select("station", F.coalesce("n", F.lit(0)).alias("n"), "latest", "value", F.coalesce("late", F.lit(0)).alias("late"))
+
+
 @query("x2_pending_items", "WITH l AS (SELECT user_id AS item, arg_max(CASE event_type WHEN 'purchase' THEN 'Downloaded' WHEN 'error' THEN 'Issued' WHEN 'signup' THEN 'NoData' ELSE 'Unknown' END, ts) AS state FROM events GROUP BY 1) SELECT item, state FROM l WHERE state NOT IN ('Downloaded', 'NoData')")
 def x2(s, d):
     from ..streaming.streams import pending

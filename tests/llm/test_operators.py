@@ -353,6 +353,42 @@ def test_pii_small_spaces(spark):
     assert digits.select(pii.render(pii.F.lit("phone"), pii.F.col("m"), pii.F.col("s"))).first()[0] == "+1 (123) 456-789077"
 
 
+def test_pii_names_and_forms(spark):
+    """Strings and what must and must not be left of them, found without the operator's own patterns."""
+    texts = [
+        "Mr. John Michael Smith called. Smith left.", 'secret = "x y"', "Mr. Will Young said so. Will you come? Young people. Then Young left.", "they will go with young people", "the secret: everyone knew it",
+        "password: hunter\nnext", "password: Tr0ub4dor and", "Dr. Anna Weber, Prof. Dr. Karl Braun and M. Dupont met. Weber left.", "030 1234567 or 0171/7654321 or +49 (0)30 1234567 or 1-212-555-1234", "+1 212 555 1234 and +44 212 555 1234 and (212) 555-1234",
+        "2001:0db8:85a3:0000:0000:8a2e:0370:7334 and fe80::1 at 12:30:45", "ghp_abcdefghij0123456789ABCDEFGHIJ sk-live-abcdefgh12345678", "Mr. J. F. Kennedy met Mr. Kennedy. Kennedy spoke", "API_KEY='a b' x", "Mr. Brown wrote (Brown).",
+    ]
+    new = [r["text"] for r in sorted(pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").collect())]
+    words = lambda t: re.findall(r"\w+", t)
+    assert not {"John", "Michael", "Smith"} & set(words(new[0])) and words(new[0])[-2] == words(new[0])[3] and new[0].endswith(" left.")
+    assert re.fullmatch(r'secret = "\w \w"', new[1]) and new[1] != texts[1]
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) said so\. Will you come\? Young people\. Then (\w+) left\.", new[2])
+    assert m and m[2] == m[3] and not {"Will", "Young"} & set(m.groups())
+    assert new[3:5] == texts[3:5] and "hunter" not in new[5] and new[5].endswith("\nnext") and "Tr0ub4dor" not in new[6]
+    assert not {"Anna", "Weber", "Karl", "Braun", "Dupont"} & set(words(new[7])) and words(new[7])[-2] == words(new[7])[2] and "Prof. Dr. " in new[7] and " M. " in new[7]
+    a, b, c, d = re.fullmatch(r"0(\d\d \d{7}) or (0\d{3}/\d{7}) or \+49 \(0\)(\d\d \d{7}) or (1-\d{3}-\d{3}-\d{4})", new[8]).groups()
+    assert a == c != "30 1234567" and b != "0171/7654321" and d != "1-212-555-1234"
+    a, b, c = re.fullmatch(r"\+1 ([\d ]+) and \+44 ([\d ]+) and (\(\d{3}\) \d{3}-\d{4})", new[9]).groups()
+    assert len({re.sub(r"\D", "", x) for x in (a, b, c, "2125551234")}) == 4 and re.sub(r"\D", "", a) == re.sub(r"\D", "", d)[1:]
+    assert re.fullmatch(r"([0-9a-f]{4}:){7}[0-9a-f]{4} and [0-9a-f]{4}::[0-9a-f] at 12:30:45", new[10]) and "85a3" not in new[10] and "fe80" not in new[10]
+    assert re.fullmatch(r"ghp_\w{30} sk-live-\w{16}", new[11]) and "abcdefgh" not in new[11]
+    a = re.fullmatch(r"Mr\. ([A-Z])\. ([A-Z])\. (\w+) met Mr\. (\w+)\. (\w+) spoke", new[12]).groups()
+    assert a[0] not in "JF" or a[0] != "J" and a[1] != "F" and a[0] != a[1]
+    assert a[2] == a[3] == a[4] != "Kennedy" and re.fullmatch(r"API_KEY='\w \w' x", new[13]) and new[13] != texts[13] and "Brown" not in new[14]
+
+
+def test_pii_key_of_the_session(spark):
+    frame = spark.createDataFrame([(1, "mail someone@mail.org")], "doc_id int, text string")
+    plain_key = pii.replace(frame).first()["text"]
+    spark.conf.set("spark.eocube.pii.key", "another")
+    try:
+        assert pii.replace(frame).first()["text"] == pii.replace(frame, "another").first()["text"] != plain_key
+    finally:
+        spark.conf.unset("spark.eocube.pii.key")
+
+
 def test_pii_secrets_of_any_length(spark):
     rng = random.Random(9)
     hexa = lambda n: "1a" + "".join(rng.choice("0123456789abcdef") for _ in range(n - 2))
@@ -629,6 +665,16 @@ def test_null_id_is_no_text(spark):
 # --- a twin of the PII operator -------------------------------------------------------------------------------------
 
 
+def phone_parts(value):
+    """Country (or nothing) and national number."""
+    digits, country = re.sub("[^0-9]", "", value), ""
+    if value[0] == "+":
+        country = re.match("(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})", digits)[1]
+    elif re.match("1[.-]", value):
+        country = "1"
+    return country, re.sub("^0+(?=.)", "", digits[len(country) :])
+
+
 def twin_entities(text):
     """Mentions of a text by hand: (place, mention, type, entities)."""
     import regex
@@ -646,11 +692,9 @@ def twin_entities(text):
             flat = value.replace(" ", "")
             kind = "iban" if int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1 else "secret" if named else None
         if kind == "phone":
-            national = re.sub("^(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})", "", digits) if value[0] == "+" else digits
-            canon = [re.sub("^0+(?=.)", "", national)]
+            canon = [phone_parts(value)[1]]
         elif kind == "name":
-            title, *words = value.split(" ")
-            canon = words
+            canon = [w for w in value.split(" ")[1:] if w != "Dr."]
         else:
             canon = [digits if kind in ("card", "ssn") else value.replace(" ", "") if kind == "iban" else value.lower() if kind == "email" or re.fullmatch("[0-9A-Fa-f]+", value) else value]
         if kind:
@@ -680,7 +724,12 @@ def test_pii_twin(spark, source):
     else:
         frame = spark.createDataFrame(list(enumerate(PEOPLE)), "doc_id int, text string")
     new = {r["doc_id"]: (r["text"], r["n"]) for r in pii.replace(frame, "k", count_col="n").collect()}
-    to, back = {}, {}
+    to, back, countries = {}, {}, {}
+    for r in frame.collect():
+        for _, m, kind, _ in twin_entities(r["text"]):
+            if kind == "phone":
+                country, number = phone_parts(m)
+                countries.setdefault(number, set()).update({country} - {""})
     for r in frame.collect():
         text, (got, n) = r["text"], new[r["doc_id"]]
         found = twin_entities(text)
@@ -709,6 +758,10 @@ def test_pii_twin(spark, source):
                 assert a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000"
             words = s.split(" ")[1:] if kind == "name" else [parts[0][3][0] if parts else s.lower() if kind == "secret" else s]
             entities = [(kind, w.lower() if kind in ("name", "secret") else w, i == len(canon) - 1) for i, w in enumerate(canon)]
+            if kind == "phone":
+                country, number = phone_parts(m)
+                country = country or (min(countries[number]) if len(countries[number]) == 1 else "")
+                entities = [(kind, f"{country}|{number}", True)]
             for e, w in zip(entities, words):
                 if kind == "secret" and not re.fullmatch("[0-9A-Fa-f]+", e[1]):
                     continue

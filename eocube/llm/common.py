@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,10 +51,6 @@ def batches(rows: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, text: int
                 yield b.slice(i, j - i)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def bounded(n: int, most: int, what: str) -> int:
     """Guard for what goes to the driver or is broadcast: its size is checked, and another way is named beyond it."""
     if n > most:

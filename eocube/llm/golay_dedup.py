@@ -260,103 +260,6 @@ def classes_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return stage(join_counted(named, least, "root", named.count(), "n").select("fp", "root", "component_id", "d"), "classes")
 
 
-# --- links by Jaccard -----------------------------------------------------------------------------------------------
-
-BANDS, BAND = 25, 5
-_RANDOM = np.random.default_rng(42).integers(0, 1 << 64, (3, BANDS * BAND), np.uint64)
-_XOR, _ODD, _MIX = _RANDOM[0], _RANDOM[1] | np.uint64(1), (_RANDOM[2] | np.uint64(1)).reshape(BANDS, BAND)
-
-
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """A signed key for each band of the MinHash values of a shingle set."""
-    low = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(h), 2048):
-        low = np.minimum(low, ((h[i : i + 2048, None] ^ _XOR) * _ODD).min(axis=0))
-    low = low.reshape(BANDS, BAND)
-    return ((low ^ low >> np.uint64(32)) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def _shingle_nodes(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(doc_id, fp, keys, _k1, _k2)``: ``fp`` names the shingle set (0 without words), ``keys`` are its bands."""
-    import xxhash
-
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(rows):
-        for b in batches(rows):
-            sets = [np.unique(shingles(t, size)) for t in b.column(1).to_pylist()]
-            fp = np.array([xxhash.xxh64_intdigest(h.tobytes()) if len(h) else 0 for h in sets], np.uint64).view(np.int64)
-            keys = [band_keys(h) if len(h) else np.empty(0, np.int64) for h in sets]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), lists, b.column(2), b.column(3)], ["doc_id", "fp", "keys", "_k1", "_k2"])
-
-    return docs.select(F.col(id_col), as_bytes(text_col), *row_key(id_col, text_col)).mapInArrow(run, f"doc_id {kind}, fp bigint, keys array<bigint>, _k1 string, _k2 bigint")
-
-
-def jaccard_stars(fp: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Edges (member, root) that connect what is connected by pairs of ``sets`` whose Jaccard reaches ``similarity``.
-
-    Each set is compared with those that nothing has reached yet, all at once: copies of one text are done in one step.
-    """
-    size = np.array([len(x) for x in sets])
-    words, tokens = np.unique(np.concatenate(sets), return_inverse=True)
-    start = np.cumsum(size) - size
-    mark = np.zeros(len(words), np.int64)
-    left, flat, found = np.arange(len(sets)), tokens, []
-    while len(left) > 1:
-        root, queue = left[0], [left[0]]
-        left, flat = left[1:], flat[size[left[0]] :]
-        while queue and len(left):
-            own = tokens[start[at := queue.pop()] :][: size[at]]
-            mark[own] = 1
-            both = np.add.reduceat(mark[flat], np.cumsum(size[left]) - size[left])
-            mark[own] = 0
-            hit = both >= similarity * (size[at] + size[left] - both) - 1e-9
-            if hit.any():
-                queue += left[hit].tolist()
-                found.append(np.stack([fp[left[hit]], np.full(hit.sum(), fp[root])], axis=1))
-                flat, left = flat[np.repeat(~hit, size[left])], left[~hit]
-    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
-
-
-def jaccard_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
-    """Edges ``(u, v)`` that connect the nodes ``(fp, keys, rep)`` of ``docs`` linked by ``similarity``; ``rep`` is a row of the node.
-
-    Buckets with the same members are one. Only their members' shingles are made again and sent to the buckets.
-    """
-    members = nodes.select("fp", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m")).filter("size(m) > 1").select("m").distinct()
-    buckets = stage(members.select(F.xxhash64("m").alias("bucket"), F.explode("m").alias("fp")), "buckets")
-
-    def sets(rows):
-        for b in batches(rows):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingles(t, size)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["fp", "shingles"])
-
-    def verify(rows):
-        """Rows come sorted by bucket; a bucket may go over batches."""
-        bucket, held = None, {}
-
-        def stars():
-            if len(held) > 1:
-                got = jaccard_stars(np.array(list(held), np.int64), list(held.values()), similarity)
-                if len(got):
-                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["u", "v"])
-
-        for b in rows:
-            for k, f, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if k != bucket:
-                    yield from stars()
-                    bucket, held = k, {}
-                held[f] = np.frombuffer(x.as_py(), np.uint64)
-        yield from stars()
-
-    chosen = nodes.join(buckets.select("fp").distinct(), "fp", "left_semi").select("fp", "rep._k1", "rep._k2")
-    texts = docs.select(*row_key(id_col, text_col), as_bytes(text_col).alias("_text")).join(chosen, ["_k1", "_k2"]).select("fp", "_text")
-    known = stage(texts.mapInArrow(sets, "fp bigint, shingles binary"), "shingles")
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = buckets.join(known, "fp").select("bucket", "fp", "shingles").repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(verify, "u bigint, v bigint")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, a row for each input row.
 
@@ -370,15 +273,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each class: the one of the smallest doc_id (ties by content); all columns are kept.
 
-    Classes are those of ``near_duplicates``; with a ``similarity``, of texts linked by that Jaccard of ``size``-word shingles.
+    Classes are those of ``near_duplicates``; with a ``similarity``, of texts linked by that Jaccard of ``size``-word
+    shingles, found as in ``minhash_join`` (texts without words are then one class).
     """
     if similarity is None:
         fps = stage(fingerprints(docs, id_col, text_col, size), "document-fingerprints")
         of = classes(fps)
     else:
-        fps = stage(_shingle_nodes(docs, id_col, text_col, size), "document-shingles")
-        nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("d"), F.min(F.struct("_k1", "_k2")).alias("rep"), F.first("keys").alias("keys")), "shingle-sets")
-        of = classes_of(nodes.select("fp", "least", "d"), jaccard_links(nodes, docs, id_col, text_col, size, similarity))
+        from . import minhash_join
+
+        fps = stage(minhash_join.described(docs, id_col, text_col, size), "document-sets")
+        nodes = stage(minhash_join.node_table(fps), "shingle-sets")
+        none = fps.filter("n_shingles = 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("d"))
+        of = classes_of(stage(nodes.select("fp", "least", "d").unionByName(none), "all-sets"), minhash_join.links(nodes, docs, id_col, text_col, size, similarity))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_k1", "_k2"))
     kept = join_counted(fps, of, "fp", fps.count()).groupBy("root").agg(best.alias("s")).select("s._k1", "s._k2").distinct()
     keyed = docs.select(whole_row(docs), *row_key(id_col, text_col))

@@ -546,13 +546,6 @@ def test_similar_texts_in_the_pipeline(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() < docs.count() and corpus_pipeline.dedup(spark, empty, "").count() == 0
 
 
-def test_jaccard_chain():
-    """A long chain: each set is linked with the next one only."""
-    sets = [np.arange(i, i + 10, dtype=np.uint64) for i in range(50)] + [np.arange(900, 910, dtype=np.uint64)]
-    got_edges = golay_dedup.jaccard_stars(np.arange(51), sets, 0.8)
-    assert sorted(got_edges[:, 0].tolist()) == list(range(1, 50)) and set(got_edges[:, 1].tolist()) == {0}
-
-
 # --- 10 -------------------------------------------------------------------------------------------------------------
 
 

@@ -19,9 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .grid import _SIDE, cell_id
+from .grid import _SIDE, TILE, cell_id, with_tiles
 
-TILE = 64
 ROOT, NONE = -1, -2  # what all sources hang on; no label
 _ROWS = "kind int, a bigint, b bigint, w double, head bigint, label bigint"
 
@@ -143,13 +142,8 @@ def bottleneck_levels(cells: DataFrame, sources: DataFrame, key: str | None = No
     keys = [] if key is None else [key]
     s = sources.groupBy(*keys, "y", "x").agg(F.min(F.struct("start", "label")).alias("_s"))
     c = cells.join(s, [*keys, "y", "x"], "left").withColumn("id", cell_id(k))
-    # A cell goes to its own tile and to those that it borders.
-    side = lambda v: F.array_compact(F.array(F.lit(0), F.when(F.col(v) % width == 0, -1), F.when(F.col(v) % width == width - 1, 1)))
-    at = c.withColumn("_oy", F.explode(side("y"))).withColumn("_ox", F.explode(side("x")))
-    own = (F.col("_oy") == 0) & (F.col("_ox") == 0)
-    t = at.select(
-        (F.lit(0) if k is None else k).cast("bigint").alias("_t"), (F.floor(F.col("y") / width) + F.col("_oy")).alias("_ty"), (F.floor(F.col("x") / width) + F.col("_ox")).alias("_tx"),
-        "id", F.col("z").cast("double").alias("z"), own.alias("mine"), F.col("_s.start").cast("double").alias("start"), F.coalesce("_s.label", F.lit(NONE)).cast("bigint").alias("label"),
+    t = with_tiles(c.withColumn("_k", F.lit(0) if k is None else k), F.col("_k"), width).select(
+        "_t", "_ty", "_tx", "id", F.col("z").cast("double").alias("z"), "mine", F.col("_s.start").cast("double").alias("start"), F.coalesce("_s.label", F.lit(NONE)).cast("bigint").alias("label")
     )
     rounds = [stage(t.groupBy("_t", "_ty", "_tx").applyInArrow(_first, _ROWS), "bottleneck")]
     while True:

@@ -5,9 +5,12 @@ Neighbours come by exploding the fixed offsets and one equality join; regions by
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .components import connected_components
 from .ranks import ranks
 
@@ -89,16 +92,65 @@ def cell_id(key: Column | None = None) -> Column:
     return c if key is None else key.cast("long") * (_SIDE * _SIDE) + c
 
 
-def regions(cells: DataFrame, key: str | None = None, eight: bool = True) -> DataFrame:
-    """``cells`` with ``region``: the smallest cell id of the 4- or 8-connected region, within each value of ``key`` (a whole number or date)."""
-    k = None if key is None else (F.unix_date(key) if dict(cells.dtypes)[key] == "date" else F.col(key))
-    c = cells.withColumn("_id", cell_id(k))
-    forward = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
-    o = F.array(*[F.lit(dy * _SIDE + dx) for dy, dx in forward])
-    edges = c.select(F.col("_id").alias("u"), F.explode(o).alias("_o")).select("u", (F.col("u") + F.col("_o")).alias("v"))
-    ids = c.select(F.col("_id").alias("v"))
-    found = connected_components(edges.join(ids, "v", "left_semi"))
-    return c.join(found, F.col("_id") == F.col("node"), "left").withColumn("region", F.coalesce("component", "_id")).drop("_id", "node", "component")
+TILE = 64  # cells along a tile's side
+KEYS = 16  # values of the key whose cells are held together; cells of different ones are never neighbours
+
+
+def with_tiles(cells: DataFrame, key: Column, width: int) -> DataFrame:
+    """``cells`` with their tile ``_t, _ty, _tx`` and ``mine``; a cell at a tile's border also goes to the tiles beside it (not ``mine``)."""
+    side = lambda v: F.array_compact(F.array(F.lit(0), F.when(F.col(v) % width == 0, -1), F.when(F.col(v) % width == width - 1, 1)))
+    at = cells.withColumn("_oy", F.explode(side("y"))).withColumn("_ox", F.explode(side("x")))
+    place = {"_t": F.floor(key / KEYS).cast("bigint"), "_ty": F.floor(F.col("y") / width) + F.col("_oy"), "_tx": F.floor(F.col("x") / width) + F.col("_ox"), "mine": (F.col("_oy") == 0) & (F.col("_ox") == 0)}
+    return at.withColumns(place).drop("_oy", "_ox")
+
+
+def _tile_regions(eight: bool):
+    """One tile of ``(id, mine)``: ``(0, cell, root)`` for its cells, and ``(1, root, cell)`` for cells that other tiles hold as well."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, first = np.unique(t.column("id").to_numpy(), return_index=True)
+        mine = t.column("mine").to_numpy(zero_copy_only=False)[first]
+        shared = t.column("shared").to_numpy(zero_copy_only=False)[first]
+        u, v = [], []
+        for o in [1, _SIDE] + ([_SIDE + 1, _SIDE - 1] if eight else []):
+            at = np.minimum(np.searchsorted(ids, ids + o), len(ids) - 1)
+            i = np.flatnonzero(ids[at] == ids + o)
+            u.append(i)
+            v.append(at[i])
+        u, v, root = np.concatenate(u), np.concatenate(v), np.arange(len(ids))
+        while True:  # the smaller label spreads over edges; jumping halves the way
+            new = root.copy()
+            np.minimum.at(new, u, root[v])
+            np.minimum.at(new, v, root[u])
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        own, far = np.flatnonzero(mine), np.flatnonzero((~mine | shared) & (ids != ids[root]))
+        kind = np.repeat(np.array([0, 1], np.int32), [len(own), len(far)])
+        return pa.table({"kind": pa.array(kind), "a": pa.array(np.concatenate([ids[own], ids[root[far]]])), "b": pa.array(np.concatenate([ids[root[own]], ids[far]]))})
+
+    return run
+
+
+def regions(cells: DataFrame, key: str | None = None, eight: bool = True, tile: int | None = None) -> DataFrame:
+    """``cells`` with ``region``: the smallest cell id of the 4- or 8-connected region, within each value of ``key`` (a whole number or date).
+
+    Tiles label their cells by themselves; only regions that lie in several tiles are joined by components, over one edge
+    for each cell at a tile's border.
+    """
+    width = tile or TILE
+    k = F.lit(0) if key is None else F.unix_date(key) if dict(cells.dtypes)[key] == "date" else F.col(key)
+    c = cells.withColumn("_id", cell_id(None if key is None else k))
+    border = (F.col("y") % width).isin(0, width - 1) | (F.col("x") % width).isin(0, width - 1)
+    t = with_tiles(c.select("y", "x", F.col("_id").alias("id"), k.alias("_k"), border.alias("shared")), F.col("_k"), width)
+    found = stage(t.groupBy("_t", "_ty", "_tx").applyInArrow(_tile_regions(eight), "kind int, a bigint, b bigint"), "tile-regions")
+    across, named = found.filter("kind = 1"), found.filter("kind = 0").select(F.col("a").alias("_id"), F.col("b").alias("_root"))
+    if across.isEmpty():
+        return c.join(named, "_id").withColumn("region", F.col("_root")).drop("_id", "_root")
+    joined = connected_components(across.select("a", "b"), "a", "b")
+    named = named.join(joined, F.col("_root") == F.col("node"), "left").select("_id", F.coalesce("component", "_root").alias("_root"))
+    return c.join(named, "_id").withColumn("region", F.col("_root")).drop("_id", "_root")
 
 
 def region_sizes(labelled: DataFrame, key: list[str], cell_area: float = 900.0) -> DataFrame:

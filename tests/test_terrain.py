@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eocube.operators import flood as FL
 from eocube.operators import inundation as I
 from eocube.operators.bottleneck import bottleneck_levels
+from eocube.operators.grid import regions
 
 NEAR = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 
@@ -57,6 +58,26 @@ def test_levels_of_random_ground(spark, side, tile, high):
         assert spread(ground, {c: sources[c]})[r.k, r.y, r.x] == r.level
 
 
+@pytest.mark.parametrize(("tile", "eight", "share"), [(3, True, 0.45), (3, False, 0.6), (64, True, 0.4), (5, True, 0.9)])
+def test_regions_over_tiles(spark, tile, eight, share):
+    """Regions that wind through many tiles, by key; repeated cells stay; the smallest id names a region."""
+    rnd = random.Random(tile)
+    cells = {(k, y, x) for k in (3, 4) for y in range(17) for x in range(17) if rnd.random() < share}
+    rows = sorted(cells) + [min(cells)]
+    got = regions(spark.createDataFrame(rows, "k int, y int, x int"), "k", eight, tile).collect()
+    near = NEAR if eight else [(0, 1), (1, 0), (0, -1), (-1, 0)]
+    want = {}
+    for c in sorted(cells):
+        stack = [c] if c not in want else []
+        while stack:
+            k, y, x = e = stack.pop()
+            if e not in want:
+                want[e] = c[0] << 40 | c[1] << 20 | c[2]
+                stack += [n for dy, dx in near if (n := (k, y + dy, x + dx)) in cells]
+    assert len(got) == len(rows) and {(r.k, r.y, r.x): r.region for r in got} == want
+    assert regions(spark.createDataFrame([], "y int, x int")).collect() == []
+
+
 def test_levels_of_nothing(spark):
     cells, water = spark.createDataFrame([], "y int, x int, z double"), spark.createDataFrame([], "y int, x int, start double, label long")
     assert bottleneck_levels(cells, water).collect() == []

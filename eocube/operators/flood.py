@@ -130,6 +130,13 @@ def dynamic_map(obs: DataFrame, thresholds: DataFrame, forced: float = 0.16) ->
     return j.select("y", "x", "date", F.when((F.col("value") > F.coalesce("threshold", F.lit(forced))) | (F.col("value") > forced), 2).otherwise(1).alias("cls"))
 
 
+def dynamic_flood(obs: DataFrame) -> DataFrame:
+    """The dynamic map in full: each pixel's own threshold, forced wet above 0.16, then isolated pixels take the other class."""
+    from .grid import flip_isolated
+
+    return flip_isolated(dynamic_map(obs, dynamic_threshold(obs)).select("date", "y", "x", "cls"))
+
+
 def surface_water_rule(bands: DataFrame) -> DataFrame:
     """Two-tier rule over MNDWI, NIR and SWIR2 (fixed limits): conservative, or lenient with dark infrared."""
     m = F.col("MNDWI")

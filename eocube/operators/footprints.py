@@ -135,6 +135,24 @@ def link_series(shots: DataFrame, obs: DataFrame, first: int, last: int) -> Data
     return now.join(season, "shot")
 
 
+def link_moments(shots: DataFrame, obs: DataFrame, seasons: DataFrame) -> DataFrame:
+    """By shot: the value of its cell at its date, at the year's peak and at the end of maturity, each within the year.
+
+    ``seasons(y, x, year, peak, eom)`` are days of the year; ``(shot, at_date, at_peak, at_eom)``. A value is exact, else
+    linear between the year's nearest earlier and later values; null at or beyond the ends of the year's series.
+    """
+    from .temporal import value_at
+
+    c = weighted_cells(shots.select("shot", "date", "px", "py"), "nearest").withColumn("year", F.year("date")).select("shot", "y", "x", "year", "date")
+    j = c.join(seasons, ["y", "x", "year"], "left")
+    day = lambda doy: F.date_add(F.make_date("year", F.lit(1), F.lit(1)), F.col(doy).cast("int") - 1)
+    moments = F.explode(F.array(*[F.struct(F.lit(n).alias("k"), d.alias("at")) for n, d in (("at_date", F.col("date")), ("at_peak", day("peak")), ("at_eom", day("eom")))]))
+    asked = j.withColumn("_m", moments).select("shot", "y", "x", "_m.k", "_m.at")
+    got = value_at(asked.filter("at is not null"), obs, 366, ["y", "x"], same_year=True)
+    of = lambda n: F.max(F.when(F.col("k") == n, F.col("value"))).alias(n)
+    return c.select("shot").join(got.groupBy("shot").agg(of("at_date"), of("at_peak"), of("at_eom")), "shot", "left")
+
+
 def feature_groups(columns: list[str], mode: int) -> list[str]:
     """Columns of a feature mode: 0 all, 1 spectral, 2 phenology, 3 climate, 4 flood, 5 terrain, 6 all but climate (by name)."""
     marks = {1: ("NDVI", "MNDWI", "OSAVI", "EVI"), 2: ("SOS", "EOS", "PEAK", "MAVI", "TSVI"), 3: ("TEM", "PRE", "RHU", "PRS", "WIN", "SSD", "PAR"), 4: ("INUN", "DUR", "DEPTH", "FLOOD"), 5: ("DEM", "SLOPE", "Z_")}

@@ -52,21 +52,22 @@ def fill_gaps(series: DataFrame, keys: list[str], longest: int = 60) -> DataFram
     return j.select(*keys, "date", F.round(v, 9).alias("value"), F.col("value").isNull().alias("filled"))
 
 
-def within_phases(env: DataFrame, phases: DataFrame, keys: list[str], how: str, base: bool = False) -> DataFrame:
+def within_phases(env: DataFrame, phases: DataFrame, keys: list[str], how: str, base: str | bool = False, digits: int = 9) -> DataFrame:
     """Environment from ``start`` (inclusive) to ``end`` (exclusive), days of the year, by key and year: acc, ave or max.
 
-    ``base`` takes off the mean of the ten days around the start.
+    ``base`` takes off the mean of the days around the start (True: up to five on both sides; "first": the first ten of the phase).
     """
     e = env.select(*keys, F.year("date").alias("year"), F.dayofyear("date").alias("_doy"), "value")
     j = e.join(phases.select(*keys, "year", "start", "end"), [*keys, "year"])
-    inside, early = (F.col("_doy") >= F.col("start")) & (F.col("_doy") < F.col("end")), F.abs(F.col("_doy") - F.col("start")) <= 5
+    inside, after = (F.col("_doy") >= F.col("start")) & (F.col("_doy") < F.col("end")), F.col("_doy") - F.col("start")
+    early = after.between(0, 9) if base == "first" else F.abs(after) <= 5
     v = F.when(inside, F.col("value"))
     if base:
         b = j.groupBy(*keys, "year").agg(F.avg(F.when(early, F.col("value"))).alias("_base"))
         j = j.join(b, [*keys, "year"])
         v = v - F.coalesce("_base", F.lit(0.0))
     agg = {"acc": F.sum(v), "ave": F.avg(v), "max": F.max(v)}[how]
-    return j.groupBy(*keys, "year").agg(F.round(agg, 9).alias("value"), F.count(v).alias("n"))
+    return j.groupBy(*keys, "year").agg(F.round(agg, digits).alias("value"), F.count(v).alias("n"))
 
 
 def growing_degrees(env: DataFrame, bounds: DataFrame, keys: list[str], base: float) -> DataFrame:

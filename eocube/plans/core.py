@@ -349,6 +349,13 @@ def a18b(s, d):
     return T.within_phases(A.index(s, d, "NDVI"), phases(s, d), ["y", "x"], "ave", base=True)
 
 
+@query("a18_mean_over_first_days", f"""WITH {_PH}, b AS (SELECT y, x, year, avg(value) FILTER (WHERE dayofyear(date) - start BETWEEN 0 AND 9) AS base FROM ndvi JOIN ph USING (y, x) WHERE year(date) = year GROUP BY y, x, year)
+SELECT y, x, year, round(avg(value - coalesce(base, 0)) FILTER (WHERE dayofyear(date) >= start AND dayofyear(date) < "end"), 11) AS value, count(value) FILTER (WHERE dayofyear(date) >= start AND dayofyear(date) < "end") AS n
+FROM ndvi JOIN ph USING (y, x) JOIN b USING (y, x, year) WHERE year(date) = year GROUP BY y, x, year""")
+def a18f(s, d):
+    return T.within_phases(A.index(s, d, "NDVI"), phases(s, d), ["y", "x"], "ave", base="first", digits=11)
+
+
 @query("a19_growing_degrees", """
 SELECT station, year(date) AS year, round(sum(greatest(level - 15, 0)) FILTER (WHERE dayofyear(date) <= 200), 4) AS to_peak, round(sum(greatest(level - 15, 0)) FILTER (WHERE dayofyear(date) <= 150), 4) AS to_date,
  round(sum(greatest(level - 15, 0)) FILTER (WHERE dayofyear(date) <= 150) / nullif(sum(greatest(level - 15, 0)) FILTER (WHERE dayofyear(date) <= 200), 0), 9) AS share FROM gauge GROUP BY ALL""")
@@ -582,6 +589,28 @@ def t3(s, d):
     return FL.dynamic_threshold(A.index(s, d, "MNDWI"))
 
 
+#: Thresholds by the record's values from outside of the flood season: the fixed point by at most 100 steps.
+_T3 = """bs AS (SELECT y, x, value FROM mndwi WHERE NOT dayofyear(date) BETWEEN 182 AND 300 AND value >= -0.7), nn AS (SELECT y, x, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s, count(*) FILTER (WHERE value < 0.123) AS dry FROM bs GROUP BY y, x),
+it(y, x, i, cut, done) AS (SELECT y, x, 0, CAST(0.1 AS DOUBLE), n < 5 FROM nn UNION ALL
+  SELECT q.y, q.x, q.i + 1, CASE WHEN c IS NULL THEN CAST(0.123 AS DOUBLE) ELSE c END, c IS NULL OR c = q.cut FROM (SELECT t.y, t.x, t.i, t.cut, (avg(b.value) FILTER (WHERE b.value < t.cut) + avg(b.value) FILTER (WHERE b.value >= t.cut)) / 2 AS c FROM it t JOIN bs b ON b.y = t.y AND b.x = t.x WHERE NOT t.done AND t.i < 100 GROUP BY t.y, t.x, t.i, t.cut) q),
+bt AS (SELECT nn.y, nn.x, CASE WHEN nn.n < 5 THEN CAST(0.123 AS DOUBLE) ELSE arg_max(cut, i) END AS b FROM nn JOIN it USING (y, x) GROUP BY nn.y, nn.x, nn.n),
+th AS (SELECT nn.y, nn.x, round(CASE WHEN n >= 5 AND dry >= 0.5 * n THEN least(round(b, 9), m + 2 * s) END, 7) AS threshold FROM nn JOIN bt USING (y, x))"""
+
+
+@query("t3_threshold_by_steps", f"WITH RECURSIVE {_T3} SELECT y, x, threshold FROM th")
+def t3s(s, d):
+    """Dynamic thresholds, rounded past the order of sums."""
+    return FL.dynamic_threshold(A.index(s, d, "MNDWI")).select("y", "x", F.round("threshold", 7).alias("threshold"))
+
+
+@query("t4_dynamic_flood", f"""WITH RECURSIVE {_T3}, dm AS (SELECT m.y, m.x, date, CASE WHEN value > coalesce(threshold, 0.16) OR value > 0.16 THEN 2 ELSE 1 END AS cls FROM mndwi m LEFT JOIN th USING (y, x)),
+nb AS (SELECT a.y, a.x, a.date, any_value(a.cls) AS cls, min(b.cls) AS lo, max(b.cls) AS hi FROM dm a LEFT JOIN dm b ON b.date = a.date AND abs(b.y - a.y) <= 2 AND abs(b.x - a.x) <= 2 AND (b.y <> a.y OR b.x <> a.x) GROUP BY a.y, a.x, a.date)
+SELECT y, x, date, CASE WHEN lo = hi AND lo <> cls THEN lo ELSE cls END AS cls FROM nb""")
+def t4(s, d):
+    """Own thresholds by pixel, forced wet above 0.16, isolated pixels flipped."""
+    return FL.dynamic_flood(A.index(s, d, "MNDWI")).select("y", "x", "date", "cls")
+
+
 @query("t5_surface_water", """
 WITH m AS (SELECT y, x, date, round((green - swir) / nullif(green + swir, 0), 6) AS m, nir, swir2 FROM bands) SELECT y, x, date, CASE WHEN m > 0.123 OR (m > -0.5 AND nir < 0.2 AND swir2 < 0.1) THEN 2 ELSE 1 END AS cls FROM m WHERE m IS NOT NULL""")
 def t5(s, d):

@@ -73,6 +73,20 @@ def m3(s, d):
     return FP.link_series(A.footprints(s, d), A.index(s, d, "NDVI"), 90, 240)
 
 
+@query("j9_m3_moments", """
+WITH f AS (SELECT shot, date, CAST(floor(py) AS INT) AS y, CAST(floor(px) AS INT) AS x, year(date) AS year FROM footprints WHERE date IS NOT NULL), pk AS (SELECT y, x, year(date) AS year, first(date ORDER BY value DESC, date) AS peak FROM ndvi GROUP BY ALL),
+a AS (SELECT shot, 'at_date' AS k, y, x, year, date AS at_ FROM f UNION ALL SELECT shot, 'at_peak', f.y, f.x, f.year, peak FROM f JOIN pk USING (y, x, year) UNION ALL SELECT shot, 'at_eom', f.y, f.x, f.year, make_date(CAST(f.year AS INT), 1, 1) + CAST(199 + f.x * 5 AS INT) FROM f JOIN pk USING (y, x, year)),
+b AS (SELECT shot, k, at_, any_value(a.y) AS y, any_value(a.x) AS x, max(n.date) FILTER (WHERE n.date <= at_) AS d0, min(n.date) FILTER (WHERE n.date >= at_) AS d1 FROM a LEFT JOIN ndvi n ON n.y = a.y AND n.x = a.x AND year(n.date) = a.year GROUP BY shot, k, at_),
+v AS (SELECT shot, k, round(CASE WHEN d0 = d1 THEN p.value ELSE p.value + (q.value - p.value) * datediff('day', d0, at_) / datediff('day', d0, d1) END, 9) AS value FROM b LEFT JOIN ndvi p ON p.y = b.y AND p.x = b.x AND p.date = d0 LEFT JOIN ndvi q ON q.y = b.y AND q.x = b.x AND q.date = d1)
+SELECT shot, max(value) FILTER (WHERE k = 'at_date') AS at_date, max(value) FILTER (WHERE k = 'at_peak') AS at_peak, max(value) FILTER (WHERE k = 'at_eom') AS at_eom FROM v GROUP BY shot""")
+def m3m(s, d):
+    """Values at the shot's date, at the year's peak and at the end of maturity (day 200 + 5 x of the year)."""
+    ndvi = A.index(s, d, "NDVI")
+    peak = ndvi.groupBy("y", "x", F.year("date").alias("year")).agg(F.max_by("date", F.struct("value", -F.unix_date("date"))).alias("at"))
+    seasons = peak.select("y", "x", "year", F.dayofyear("at").alias("peak"), (200 + c("x") * 5).alias("eom"))
+    return FP.link_moments(A.footprints(s, d).filter("date is not null"), ndvi, seasons)
+
+
 @query("m2_link_environment", """
 WITH f AS (SELECT shot, date AS at_, CAST(floor(py) AS INT) AS y, CAST(floor(px) AS INT) AS x FROM footprints)
 SELECT shot, count(value) AS n, round(sum(greatest(value - CAST(0.1 AS DOUBLE), 0)), 10) AS acc, round(max(value), 10) AS vmax, round(min(value), 10) AS vmin, round(avg(value) + 0, 12) AS vmean, round(stddev_pop(value), 8) AS vstd FROM f JOIN mndwi m ON m.y = f.y AND m.x = f.x AND m.date <= at_ AND year(m.date) = year(at_) GROUP BY shot""")

@@ -96,3 +96,20 @@ def test_waiting_times():
     for rows in (0, 0, 0, 5, 5, 5, 5, 5, 5):
         got.append(wait := streams.next_wait(wait, rows, 10, 300))
     assert got == [120, 240, 300, 150, 75, 37.5, 18.75, 10, 10]
+
+
+def test_values_at_moments_of_the_season(spark):
+    from eocube.operators import footprints as FP
+
+    obs = spark.createDataFrame([(0, 0, DAY(2001, n), v) for n, v in [(100, 0.2), (110, 0.4), (200, 1.0), (300, 0.5)]] + [(0, 0, DAY(2002, 5), 9.0)], "y int, x int, date date, value double")
+    shots = spark.createDataFrame([(1, DAY(2001, 105), 0.5, 0.5), (2, DAY(2001, 90), 0.5, 0.5), (3, DAY(2003, 9), 0.5, 0.5)], "shot long, date date, px double, py double")
+    seasons = spark.createDataFrame([(0, 0, 2001, 200, 250)], "y int, x int, year int, peak int, eom int")
+    got = {r.shot: (r.at_date, r.at_peak, r.at_eom) for r in FP.link_moments(shots, obs, seasons).collect()}
+    assert got == {1: (0.3, 1.0, 0.75), 2: (None, 1.0, 0.75), 3: (None, None, None)}
+
+
+def test_base_of_the_first_days(spark):
+    env = spark.createDataFrame([(0, 0, DAY(2001, n), v) for n, v in [(99, 50.0), (100, 1.0), (109, 3.0), (110, 6.0), (120, 10.0)]], "y int, x int, date date, value double")
+    phases = spark.createDataFrame([(0, 0, 2001, 100, 120)], "y int, x int, year int, start int, end int")
+    r = T.within_phases(env, phases, ["y", "x"], "acc", base="first").first()
+    assert (r.value, r.n) == (4.0, 3)

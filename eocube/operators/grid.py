@@ -27,17 +27,11 @@ def neighbours(cells: DataFrame, keys: list[str], half: int, columns: list[str],
 
 
 def flip_isolated(flood: DataFrame, half: int = 2) -> DataFrame:
-    """A pixel whose whole window (of valid cells) is of the other class takes that class.
-
-    Cells with one of their own class near them in their row or column stay; only the others look at their whole window.
-    """
-    along = lambda a, b: F.count(F.lit(1)).over(Window.partitionBy("date", a, "cls").orderBy(b).rangeBetween(-half, half))
-    alone = flood.withColumns({"_r": along("y", "x"), "_c": along("x", "y")}).filter("_r = 1 and _c = 1").select("date", "y", "x", F.col("cls").alias("_own"))
-    around = alone.select("*", F.explode(offsets(half)).alias("o")).select("date", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.struct("y", "x").alias("_at"), "_own")
-    met = around.join(flood.select("date", "y", "x", F.col("cls").alias("_near")), ["date", "y", "x"])
-    flips = met.groupBy("date", F.col("_at.y").alias("y"), F.col("_at.x").alias("x")).agg(F.max(F.col("_near") == F.col("_own")).alias("_same"), F.min("_near").alias("lo"), F.max("_near").alias("hi"))
-    flips = flips.filter("not _same and lo = hi").select("date", "y", "x", F.col("lo").alias("_new"))
-    return flood.join(flips, ["date", "y", "x"], "left").select("date", "y", "x", F.coalesce("_new", "cls").alias("cls"))
+    """A pixel whose whole window (of valid cells) is of the other class takes that class."""
+    wet = F.col("cls") == 2
+    w = window_sums(flood, ["date"], {"_n": F.lit(1), "_w": wet.cast("int")}, half)
+    near, near_wet = F.col("_n") - 1, F.col("_w") - wet.cast("int")
+    return w.select("date", "y", "x", F.when((near > 0) & wet & (near_wet == 0), 1).when((near > 0) & ~wet & (near_wet == near), 2).otherwise(F.col("cls")).alias("cls"))
 
 
 def neighbour_sum(cells: DataFrame, keys: list[str], value: str, half: int) -> DataFrame:
@@ -46,19 +40,25 @@ def neighbour_sum(cells: DataFrame, keys: list[str], value: str, half: int) -> D
     return cells.join(s, [*keys, "y", "x"], "left").select(*keys, "y", "x", value, F.round(F.coalesce("s", F.lit(0.0)), 9).alias("near_sum"), F.coalesce("n", F.lit(0)).alias("n_near"))
 
 
-def window_count(cells: DataFrame, keys: list[str], flag: str, half: int, name: str) -> DataFrame:
-    """``cells`` with the number of flagged cells in the window around each, without itself.
+def window_sums(cells: DataFrame, keys: list[str], sums: dict[str, Column], half: int, only: Column | None = None) -> DataFrame:
+    """``cells`` with sums over the square window around each, itself among them: added up along y, then along x.
 
-    Flagged cells are added up along y, then along x by running sums: two passes for any window. Only flagged cells are
-    copied, and only along one side of the window. ``cells`` has each (keys, y, x) once.
+    Running sums along x make any width one pass; along y a cell is copied to the window's height (where ``only`` holds).
+    ``cells`` has each (keys, y, x) once.
     """
-    spread = cells.filter(flag).withColumn("_d", F.explode(F.sequence(F.lit(-half), F.lit(half)))).select(*keys, (F.col("y") + F.col("_d")).alias("y"), "x", F.lit(1).alias("_n"))
-    sums = spread.groupBy(*keys, "y", "x").agg(F.sum("_n").alias("_n"))
-    row = F.struct(*[F.col(c) for c in cells.columns]).alias("_row")
-    both = cells.select(*keys, "y", "x", row, F.lit(0).cast("bigint").alias("_n")).unionByName(sums, allowMissingColumns=True)
+    added = cells if only is None else cells.filter(only)
+    spread = added.select(*keys, F.col("y").alias("_y"), "x", *[c.alias(n) for n, c in sums.items()], F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("_d"))
+    spread = spread.select(*keys, (F.col("_y") + F.col("_d")).alias("y"), "x", F.lit(None).cast(cells.select(F.struct(*cells.columns).alias("r")).schema["r"].dataType).alias("_row"), *[F.col(n).cast("bigint").alias(n) for n in sums])
+    own = cells.select(*keys, "y", "x", F.struct(*[F.col(c) for c in cells.columns]).alias("_row"), *[F.lit(0).cast("bigint").alias(n) for n in sums])
     along = Window.partitionBy(*keys, "y").orderBy("x").rangeBetween(-half, half)  # a row of the grid
-    got = both.withColumn("_s", F.sum("_n").over(along)).filter("_row is not null")
-    return got.select("_row.*", (F.col("_s") - F.col(f"_row.{flag}").cast("int")).alias(name))
+    both = own.unionByName(spread).withColumns({n: F.sum(n).over(along) for n in sums})
+    return both.filter("_row is not null").select("_row.*", *sums)
+
+
+def window_count(cells: DataFrame, keys: list[str], flag: str, half: int, name: str) -> DataFrame:
+    """``cells`` with the number of flagged cells in the window around each, without itself."""
+    own = F.col(flag).cast("int")
+    return window_sums(cells, keys, {name: own}, half, F.col(flag)).withColumn(name, F.col(name) - own)
 
 
 def drop_sole(cells: DataFrame, keys: list[str], half: int = 1) -> DataFrame:

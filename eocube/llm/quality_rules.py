@@ -129,7 +129,8 @@ def most_lost(n: int, alpha: float, level: float) -> int:
 
 def cutoffs(stats: DataFrame, labels: DataFrame, alpha: dict[str, float] | None = None, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """``(level, stratum, rule, cutoff, alpha, n_good, n_lost, p_value)``: a row for each stratum and rule that has a certified
-    cutoff, and for the pool (level "all", stratum null). ``n_lost`` counts the good documents beyond the cutoff."""
+    cutoff, and for the pool (level "all", stratum null). ``n_lost`` counts the good documents beyond the cutoff, and
+    ``p_value`` is of that count; where the cutoff is the rule's floor, both are of the floor."""
     alpha = alpha or ALPHA
     good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).alias("_id"))
     known = stats.filter(~base_failed()).join(good, F.col("doc_id") == F.col("_id"))
@@ -138,9 +139,10 @@ def cutoffs(stats: DataFrame, labels: DataFrame, alpha: dict[str, float] | None
     pool = cells.groupBy(F.lit("all").alias("level"), F.lit(None).cast("string").alias("stratum"), "rule", "step").agg(F.sum("n").alias("n"))
     both = cells.select(F.lit("stratum").alias("level"), "stratum", "rule", "step", "n").unionByName(pool)
     tests = F.broadcast(cells.select("stratum").distinct().agg((F.count(F.lit(1)) + 1).alias("m")))  # one row
+    by_rule = lambda d: F.element_at(F.create_map(*[F.lit(x) for r, v in d.items() for x in (r, float(v))]), F.col("rule"))
     group = Window.partitionBy("level", "stratum", "rule")  # STEPS + 1 rows at most
     beyond = group.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
-    counted = both.withColumns({"n_lost": F.coalesce(F.sum("n").over(beyond), F.lit(0)), "n_good": F.sum("n").over(group)})
+    counted = both.withColumns({"n_lost": F.coalesce(F.sum("n").over(beyond), F.lit(0)), "n_good": F.sum("n").over(group), "over_floor": F.coalesce(F.sum(F.when(F.col("step") > by_rule(FLOOR) * STEPS, F.col("n"))).over(group), F.lit(0))})
 
     @F.pandas_udf("long")
     def bound(n, a, m):
@@ -154,28 +156,32 @@ def cutoffs(stats: DataFrame, labels: DataFrame, alpha: dict[str, float] | None
 
         return pd.Series([binomial_cdf(int(x), int(y), float(z)) for x, y, z in zip(k, n, a)])
 
-    by_rule = lambda d: F.element_at(F.create_map(*[F.lit(x) for r, v in d.items() for x in (r, float(v))]), F.col("rule"))
     sizes = counted.select("level", "stratum", "rule", "n_good").distinct().crossJoin(tests).withColumn("alpha", by_rule(alpha))
     sizes = sizes.withColumn("k", bound("n_good", "alpha", "m")).filter("k >= 0").select(*[F.col(c).alias(f"_{c}") for c in ("level", "stratum", "rule", "alpha", "k")])
     same = (F.col("level") == F.col("_level")) & F.col("stratum").eqNullSafe(F.col("_stratum")) & (F.col("rule") == F.col("_rule"))
     sound = counted.join(sizes, same).filter("n_lost <= _k")
-    best = sound.groupBy("level", "stratum", "rule", F.col("_alpha").alias("alpha"), "n_good").agg(F.min(F.struct("step", "n_lost")).alias("s"))
+    best = sound.groupBy("level", "stratum", "rule", F.col("_alpha").alias("alpha"), "n_good").agg(F.min(F.struct("step", F.least("n_lost", "over_floor").alias("n_lost"))).alias("s"))
     out = best.select("level", "stratum", "rule", F.greatest(F.col("s.step") / STEPS, by_rule(FLOOR)).alias("cutoff"), "alpha", "n_good", F.col("s.n_lost").alias("n_lost"))
     return out.withColumn("p_value", p_value("n_lost", "n_good", "alpha"))
 
 
 def apply_rules(stats: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``stats`` with base_failed and kept: each document by its stratum's cutoff, or the pool's where that has none."""
+    """``stats`` with base_failed, kept and bounds: each document by its stratum's cutoff, or the pool's where that has none.
+
+    ``bounds`` says whose bound holds for the document, rule by rule: "stratum", or "all" (then the risk is limited for all
+    strata together, not for this one); a rule without any cutoff isn't named and rejects nothing.
+    """
     wide = lambda df, *by: df.groupBy(*by).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES])
     left, right = stats.alias("l"), wide(chosen.filter("level = 'stratum'"), "stratum").alias("r")
     pool = wide(chosen.filter("level = 'all'")).select(*[F.col(f"_{r}").alias(f"_all_{r}") for r in RULES])  # one row
     joined = left.join(right, F.col("l.stratum").eqNullSafe(F.col("r.stratum")), "left").crossJoin(F.broadcast(pool))
     cut = {r: F.coalesce(F.col(f"r._{r}"), F.col(f"_all_{r}")) for r in RULES}
     beyond = reduce(lambda a, b: a | b, [F.coalesce(F.ceil(F.expr(e) * STEPS) / STEPS > cut[r], F.lit(False)) for r, e in RULES.items()])
-    return joined.select("l.*", base_failed().alias("base_failed"), (~base_failed() & ~beyond).alias("kept"))
+    whose = [F.when(F.col(f"r._{r}").isNotNull(), F.lit(f"{r}:stratum")).when(F.col(f"_all_{r}").isNotNull(), F.lit(f"{r}:all")) for r in RULES]
+    return joined.select("l.*", base_failed().alias("base_failed"), (~base_failed() & ~beyond).alias("kept"), F.concat_ws(" ", *whose).alias("bounds"))
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     stats = stage(statistics(read(spark, sf_dir, "documents")), "rule-statistics")
     kept = apply_rules(stats, stage(cutoffs(stats, read(spark, sf_dir, "labels")), "cutoffs"))
-    return kept.select("doc_id", *COUNTS, "base_failed", "kept")
+    return kept.select("doc_id", *COUNTS, "base_failed", "kept", "bounds")

@@ -268,7 +268,15 @@ def assert_kept_as_by_hand(stats, labels, alpha, delta=0.05):
     for r in rows:
         c = {rule: cut.get((r["stratum"], rule), cut.get(("*", rule))) for rule in q.RULES}
         want[r["doc_id"]] = not failed(r) and not any(c[rule] is not None and step(r, rule) / q.STEPS > c[rule] for rule in q.RULES)
-    assert {r["doc_id"]: r["kept"] for r in q.apply_rules(stats, q.cutoffs(stats, labels, alpha, delta)).collect()} == want
+    out = q.apply_rules(stats, q.cutoffs(stats, labels, alpha, delta)).collect()
+    assert {r["doc_id"]: r["kept"] for r in out} == want
+    for r in out:  # whose bound each rule's cutoff has
+        level_of = {rule: "stratum" if (r["stratum"], rule) in cut else "all" for rule in q.RULES if (r["stratum"], rule) in cut or ("*", rule) in cut}
+        assert r["bounds"] == " ".join(f"{rule}:{v}" for rule, v in level_of.items())
+    for c in q.cutoffs(stats, labels, alpha, delta).collect():  # counts and p-values are of the stated cutoff
+        some = [r for r in good if c["level"] == "all" or r["stratum"] == c["stratum"]]
+        lost = sum(step(r, c["rule"]) / q.STEPS > c["cutoff"] for r in some)
+        assert (c["n_good"], c["n_lost"]) == (len(some), lost) and c["p_value"] == pytest.approx(q.binomial_cdf(lost, len(some), c["alpha"])) and c["p_value"] <= level
 
 
 def test_certified_cutoffs(spark):

@@ -579,16 +579,6 @@ def t1(s, d):
     return A.flood(s, d)
 
 
-@query("t2_bimodal_threshold")
-def t2(s, d):
-    return FL.bimodal_threshold(A.index(s, d, "MNDWI"))
-
-
-@query("t3_dynamic_threshold")
-def t3(s, d):
-    return FL.dynamic_threshold(A.index(s, d, "MNDWI"))
-
-
 #: Thresholds by the record's values from outside of the flood season: the fixed point by at most 100 steps.
 _T3 = """bs AS (SELECT y, x, value FROM mndwi WHERE NOT dayofyear(date) BETWEEN 182 AND 300 AND value >= -0.7), nn AS (SELECT y, x, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s, count(*) FILTER (WHERE value < 0.123) AS dry FROM bs GROUP BY y, x),
 it(y, x, i, cut, done) AS (SELECT y, x, 0, CAST(0.1 AS DOUBLE), n < 5 FROM nn UNION ALL
@@ -597,18 +587,18 @@ bt AS (SELECT nn.y, nn.x, CASE WHEN nn.n < 5 THEN CAST(0.123 AS DOUBLE) ELSE arg
 th AS (SELECT nn.y, nn.x, round(CASE WHEN n >= 5 AND dry >= 0.5 * n THEN least(round(b, 9), m + 2 * s) END, 7) AS threshold FROM nn JOIN bt USING (y, x))"""
 
 
-@query("t2_threshold_by_steps", """
+@query("t2_bimodal_threshold", """
 WITH RECURSIVE nn AS (SELECT y, x, count(*) AS n FROM mndwi GROUP BY y, x),
 it(y, x, i, cut, done) AS (SELECT y, x, 0, CAST(0.1 AS DOUBLE), n < 5 FROM nn UNION ALL
   SELECT q.y, q.x, q.i + 1, coalesce(c, CAST(0.123 AS DOUBLE)), c IS NULL OR c = q.cut FROM (SELECT t.y, t.x, t.i, t.cut, (avg(b.value) FILTER (WHERE b.value < t.cut) + avg(b.value) FILTER (WHERE b.value >= t.cut)) / 2 AS c FROM it t JOIN mndwi b ON b.y = t.y AND b.x = t.x WHERE NOT t.done AND t.i < 100 GROUP BY t.y, t.x, t.i, t.cut) q)
 SELECT nn.y, nn.x, nn.n, round(CASE WHEN nn.n < 5 THEN CAST(0.123 AS DOUBLE) ELSE arg_max(cut, i) END, 7) AS threshold FROM nn JOIN it USING (y, x) GROUP BY nn.y, nn.x, nn.n""")
-def t2s(s, d):
+def t2(s, d):
     """Bimodal thresholds, rounded past the order of sums."""
     return FL.bimodal_threshold(A.index(s, d, "MNDWI")).withColumn("threshold", F.round("threshold", 7))
 
 
-@query("t3_threshold_by_steps", f"WITH RECURSIVE {_T3} SELECT y, x, threshold FROM th")
-def t3s(s, d):
+@query("t3_dynamic_threshold", f"WITH RECURSIVE {_T3} SELECT y, x, threshold FROM th")
+def t3(s, d):
     """Dynamic thresholds, rounded past the order of sums."""
     return FL.dynamic_threshold(A.index(s, d, "MNDWI")).select("y", "x", F.round("threshold", 7).alias("threshold"))
 

@@ -89,7 +89,7 @@ def days_over(thresholds: DataFrame, levels: DataFrame, keys: list[str]) -> Data
     """Days with a level over each row's threshold, the highest level and the mean depth of these days."""
     o = over_levels(thresholds, levels)
     depth = F.sum(F.col("_sum") - F.col("_n") * F.col("threshold"))
-    return o.groupBy(*keys).agg(F.sum("_n").alias("days"), F.max("_top").alias("top"), F.round(depth / F.nullif(F.sum("_n"), F.lit(0)), 7).alias("mean_depth"))
+    return o.groupBy(*keys).agg(F.sum("_n").alias("days"), F.max("_top").alias("top"), F.round(depth / F.nullif(F.sum("_n"), F.lit(0)), 5).alias("mean_depth"))
 
 
 def inundation_indicators(flood: DataFrame, levels: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def bathtub(dem: DataFrame, levels: DataFrame) -> DataFrame:
 def year_depths(ground: DataFrame, levels: DataFrame) -> DataFrame:
     """``(y, x, year, duration, mean_depth, max_depth)`` over ``ground(y, x, z, threshold)`` on the days over ``threshold``."""
     o = over_levels(ground, levels.select(F.year("date").alias("year"), "level"), ["year"]).filter("_n > 0")
-    return o.select("y", "x", "year", F.col("_n").alias("duration"), F.round(F.col("_sum") / F.col("_n") - F.col("z"), 7).alias("mean_depth"), F.round(F.col("_top") - F.col("z"), 9).alias("max_depth"))
+    return o.select("y", "x", "year", F.col("_n").alias("duration"), F.round(F.col("_sum") / F.col("_n") - F.col("z"), 5).alias("mean_depth"), F.round(F.col("_top") - F.col("z"), 9).alias("max_depth"))
 
 
 def dynamic_map(obs: DataFrame, thresholds: DataFrame, forced: float = 0.16) -> DataFrame:

@@ -325,7 +325,7 @@ def a16(s, d):
     return FL.duration_by_fraction(A.dem(s).select("y", "x", c("z").alias("threshold"), F.lit(2.0).alias("height")), A.levels(s, d))
 
 
-@query("a17_bathtub_depths", "SELECT y, x, year(date) AS year, CAST(count(*) AS BIGINT) AS duration, round(avg(level - z), 7) AS mean_depth, round(max(level - z), 9) AS max_depth FROM dem JOIN levels ON level > z GROUP BY ALL")
+@query("a17_bathtub_depths", "SELECT y, x, year(date) AS year, CAST(count(*) AS BIGINT) AS duration, round(avg(level - z), 5) AS mean_depth, round(max(level - z), 9) AS max_depth FROM dem JOIN levels ON level > z GROUP BY ALL")
 def a17(s, d):
     return FL.bathtub(A.dem(s), A.levels(s, d))
 
@@ -487,7 +487,7 @@ def j13(s, d):
     return A.dem(s).join(A.levels(s, d), c("level") > c("z")).select("y", "x", "date", F.round(c("level") - c("z"), 9).alias("depth"))
 
 
-@query("j14_days_over_threshold", "SELECT y, x, CAST(count(level) AS BIGINT) AS days, max(level) AS top, round(avg(level - z), 7) AS mean_depth FROM dem LEFT JOIN levels ON level > z GROUP BY y, x")
+@query("j14_days_over_threshold", "SELECT y, x, CAST(count(level) AS BIGINT) AS days, max(level) AS top, round(avg(level - z), 5) AS mean_depth FROM dem LEFT JOIN levels ON level > z GROUP BY y, x")
 def j14(s, d):
     return FL.days_over(A.dem(s).withColumnRenamed("z", "threshold"), A.levels(s, d), ["y", "x"])
 

@@ -188,7 +188,7 @@ def h9(s, d):
 @query("h10_connected_inundation", """
 WITH RECURSIVE w AS (SELECT y, x, date, level - z AS depth FROM dem JOIN levels ON level > z),
 r AS (SELECT y, x, date FROM w WHERE y = 0 UNION SELECT w.y, w.x, w.date FROM r JOIN w ON w.date = r.date AND abs(w.y - r.y) <= 1 AND abs(w.x - r.x) <= 1)
-SELECT y, x, year(date) AS year, count(*) AS duration, round(avg(depth), 7) AS mean_depth, round(max(depth), 9) AS max_depth FROM r JOIN w USING (y, x, date) GROUP BY ALL""")
+SELECT y, x, year(date) AS year, count(*) AS duration, round(avg(depth), 5) AS mean_depth, round(max(depth), 9) AS max_depth FROM r JOIN w USING (y, x, date) GROUP BY ALL""")
 def h10(s, d):
     return I.connected_inundation(A.dem(s), A.levels(s, d), A.grid(s).filter("y = 0"))
 

@@ -14,8 +14,8 @@ from ..session import stage
 P = ["p0", "p1", "p2", "p3", "p4", "p5", "p6"]
 
 
-def curve(t: Column) -> Column:
-    p = [F.col(n) for n in P]
+def curve(t: Column, of=F.col) -> Column:
+    p = [of(n) for n in P]
     return p[0] + (p[1] - p[6] * t) * (1 / (1 + F.exp((p[2] - t) / p[3])) - 1 / (1 + F.exp((p[4] - t) / p[5])))
 
 
@@ -37,13 +37,43 @@ def metrics(params: DataFrame) -> DataFrame:
     return g.select("y", "x", "year", "peak_vi", "peak_doy", F.when(ok, F.round("p2", 4)).alias("sos"), F.when(ok, F.round("p4", 4)).alias("eos"), F.when(ok, F.round(F.col("p4") - 2 * F.col("p5"), 4)).alias("eom"), "mavi", "mavi_std", "tsvi", F.round("p0", 6).alias("trough_vi"), F.round("p3", 6).alias("gr"), F.round("p5", 6).alias("dr"), F.round("p6", 6).alias("dr2"))
 
 
+def years(params: DataFrame) -> DataFrame:
+    """``(y, x, year, p, days)``: a row for each pixel and year, with its parameters and the 365 days of the curve, each
+    ``(v, m, season)`` with ``m`` the negative day, so that the largest is the first day of the maximum.
+
+    Days stay inside of their row: nothing of 365 times the parameters is joined, sorted or sent. The curves take far
+    longer than their parameters take room: they are dealt by number, not by bytes.
+    """
+    n = int(params.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = params.repartition(n, "y", "x").groupBy("y", "x", "year").agg(F.collect_list(F.struct(*P)).alias("p"))
+    day = lambda p, t: F.struct(F.round(curve(t, lambda n: p[n]), 6).alias("v"), (-t).alias("m"), t.between(p["p2"], p["p4"]).alias("season"))
+    return g.withColumn("days", F.flatten(F.transform("p", lambda p: F.transform(F.sequence(F.lit(1), F.lit(365)), lambda t: day(p, t)))))
+
+
+def _values(days, where=None) -> Column:
+    """The known values of the days (that meet ``where``)."""
+    known = F.filter(days, lambda e: e["v"].isNotNull() if where is None else e["v"].isNotNull() & where(e))
+    return F.transform(known, lambda e: e["v"])
+
+
+def _total(values: Column) -> Column:
+    """Null for none."""
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda s, v: s + v))
+
+
+def _mean(values: Column) -> Column:
+    return _total(values) / F.nullif(F.size(values), F.lit(0))
+
+
 def curve_summary(params: DataFrame, bloom: float = 0.3) -> DataFrame:
     """Annual, flood-season (days 121-304) and off-season means, maximum and its day, days in bloom and the bloom mean after the peak."""
-    d = expand(params)
-    wet, b = F.col("t").between(121, 304), F.col("v") >= bloom
-    g = d.groupBy("y", "x", "year").agg(F.round(F.avg("v"), 6).alias("annual"), F.round(F.avg(F.when(wet, F.col("v"))), 6).alias("flood_season"), F.round(F.avg(F.when(~wet, F.col("v"))), 6).alias("off_season"), F.max("v").alias("vmax"), F.max_by("t", F.struct("v", -F.col("t"))).alias("day_max"), F.count_if(b).alias("bloom_days"))
-    after = d.join(g.select("y", "x", "year", "day_max"), ["y", "x", "year"]).filter(b & (F.col("t") > F.col("day_max"))).groupBy("y", "x", "year").agg(F.round(F.avg("v"), 6).alias("bloom_after"))
-    return g.join(after, ["y", "x", "year"], "left")
+    wet = lambda e: e["m"].between(-304, -121)
+    d = years(params).select("y", "x", "year", "days", F.array_max("days").alias("_top"))
+    d = d.withColumn("_bloom", F.filter("days", lambda e: e["v"] >= bloom))
+    return d.select(
+        "y", "x", "year", F.round(_mean(_values("days")), 6).alias("annual"), F.round(_mean(_values("days", wet)), 6).alias("flood_season"), F.round(_mean(_values("days", lambda e: ~wet(e))), 6).alias("off_season"),
+        F.col("_top.v").alias("vmax"), (-F.col("_top.m")).alias("day_max"), F.size("_bloom").cast("long").alias("bloom_days"), F.round(_mean(_values("_bloom", lambda e: e["m"] < F.col("_top.m"))), 6).alias("bloom_after"),
+    )
 
 
 def _model(t: np.ndarray, p: np.ndarray) -> np.ndarray:

@@ -24,19 +24,6 @@ def expand(params: DataFrame) -> DataFrame:
     return params.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(365)))).withColumn("v", F.round(curve(F.col("t")), 6))
 
 
-def metrics(params: DataFrame) -> DataFrame:
-    """SOS, EOS (half amplitude around p2 and p4 as fitted), peak and its day, end of maturity, mean over the season, TSVI and copies."""
-    days = expand(params)
-    season = F.col("t").between(F.col("p2"), F.col("p4"))
-    key = F.struct("v", -F.col("t"))
-    g = days.groupBy("y", "x", "year").agg(
-        F.max("v").alias("peak_vi"), F.max_by("t", key).alias("peak_doy"), F.min("v").alias("low"), F.round(F.avg(F.when(season, F.col("v"))), 6).alias("mavi"),
-        F.round(F.stddev_pop(F.when(season, F.col("v"))), 5).alias("mavi_std"), F.round(F.sum(F.when(season, F.col("v"))), 4).alias("tsvi"), *[F.first(c).alias(c) for c in ("p0", "p2", "p3", "p4", "p5", "p6")],
-    )
-    ok = (F.col("p2") < F.col("p4")) & F.col("peak_doy").between(F.col("p2"), F.col("p4") + 60)  # else over-fitted
-    return g.select("y", "x", "year", "peak_vi", "peak_doy", F.when(ok, F.round("p2", 4)).alias("sos"), F.when(ok, F.round("p4", 4)).alias("eos"), F.when(ok, F.round(F.col("p4") - 2 * F.col("p5"), 4)).alias("eom"), "mavi", "mavi_std", "tsvi", F.round("p0", 6).alias("trough_vi"), F.round("p3", 6).alias("gr"), F.round("p5", 6).alias("dr"), F.round("p6", 6).alias("dr2"))
-
-
 def years(params: DataFrame) -> DataFrame:
     """``(y, x, year, p, days)``: a row for each pixel and year, with its parameters and the 365 days of the curve, each
     ``(v, m, season)`` with ``m`` the negative day, so that the largest is the first day of the maximum.
@@ -65,6 +52,20 @@ def _mean(values: Column) -> Column:
     return _total(values) / F.nullif(F.size(values), F.lit(0))
 
 
+def metrics(params: DataFrame) -> DataFrame:
+    """SOS, EOS (half amplitude around p2 and p4 as fitted), peak and its day, end of maturity, mean over the season, TSVI and copies."""
+    least = [F.array_min(F.col(f"p.{n}")).alias(n) for n in ("p0", "p2", "p3", "p4", "p5", "p6")]
+    d = years(params).select("y", "x", "year", F.array_max("days").alias("_top"), _values("days", lambda e: e["season"]).alias("_s"), *least)
+    d = d.withColumn("_mean", _mean(F.col("_s")))
+    square = F.transform("_s", lambda v: (v - F.col("_mean")) * (v - F.col("_mean")))
+    g = d.withColumns({"peak_vi": F.col("_top.v"), "peak_doy": -F.col("_top.m")})
+    ok = (F.col("p2") < F.col("p4")) & F.col("peak_doy").between(F.col("p2"), F.col("p4") + 60)  # else over-fitted
+    return g.select(
+        "y", "x", "year", "peak_vi", "peak_doy", F.when(ok, F.round("p2", 4)).alias("sos"), F.when(ok, F.round("p4", 4)).alias("eos"), F.when(ok, F.round(F.col("p4") - 2 * F.col("p5"), 4)).alias("eom"),
+        F.round("_mean", 6).alias("mavi"), F.round(F.sqrt(_mean(square)), 5).alias("mavi_std"), F.round(_total(F.col("_s")), 4).alias("tsvi"), F.round("p0", 6).alias("trough_vi"), F.round("p3", 6).alias("gr"), F.round("p5", 6).alias("dr"), F.round("p6", 6).alias("dr2"),
+    )
+
+
 def curve_summary(params: DataFrame, bloom: float = 0.3) -> DataFrame:
     """Annual, flood-season (days 121-304) and off-season means, maximum and its day, days in bloom and the bloom mean after the peak."""
     wet = lambda e: e["m"].between(-304, -121)

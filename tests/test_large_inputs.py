@@ -74,3 +74,21 @@ def test_crossings_keep_no_pairs(spark):
         want[s[0]] = len(rows) * sum(crosses(r[1:], g[1:]) for r in rows for g in segments if None not in r)
     assert {r["cs"]: r["n_crossings"] for r in got.collect()} == want and max(want.values()) > 100
     assert not [k for k in plan(got).splitlines() if k.startswith("Keys") and "seg#" in k]
+
+
+def test_phenology_metrics_sort_no_days(spark):
+    """One task sorted 365 rows for each of all curves."""
+    params = curves(spark, 60).unionByName(curves(spark, 3).withColumn("p2", F.lit(100.0)))
+    got = PH.metrics(params)
+    text = plan(got)
+    assert "Generate" not in text and "SortAggregate" not in text
+    want = days(params)
+    assert got.count() == len(want) == 60
+    for r in got.collect():
+        d = want[r["y"], r["x"]]
+        top = max(v for _, v, _ in d)
+        assert (r["peak_vi"], r["peak_doy"]) == (top, min(t for t, v, _ in d if v == top))
+        s = [v for t, v, p in d if p["p2"] <= t <= p["p4"]]
+        assert r["mavi"] == pytest.approx(mean(s), abs=1e-6) and r["tsvi"] == pytest.approx(sum(s), abs=1e-4)
+        assert r["mavi_std"] == pytest.approx(mean([(v - mean(s)) ** 2 for v in s]) ** 0.5, abs=1e-5)
+        assert r["trough_vi"] == round(min(p["p0"] for _, _, p in d), 6) and r["sos"] in (None, round(min(p["p2"] for _, _, p in d), 4))

@@ -21,7 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class (five-word shingles, Jaccard 0.8) stays: the one of the smallest doc_id."""
+    """One document of each near-duplicate class (five-word shingles, Jaccard 0.8) stays: the one of the smallest doc_id.
+
+    SimHash and Golay keys give the links at up to 3 bits, MinHash those beyond; each is confirmed on full sets.
+    """
     return golay_dedup.keep_one(docs, size=5, similarity=0.8)
 
 

@@ -49,7 +49,10 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, size: int = 3) -> int:
     """SimHash over word shingles, repeats included: bit set if set in over half of their hashes."""
-    h = shingles(text, size)
+    return simhash(shingles(text, size))
+
+
+def simhash(h: np.ndarray) -> int:
     n = len(h)
     if not n:
         return 0
@@ -270,11 +273,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_counted(fps, classes(fps), "fp", fps.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_sets(nodes: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` to confirm among stored shingle sets ``(fp, simhash)``: sets of one fingerprint with the first of
+    them, and firsts along the links of their fingerprints at up to 3 bits."""
+    prints = stage(nodes.groupBy("simhash").agg(F.min("fp").alias("u"), F.count(F.lit(1)).alias("d")), "fingerprints")
+    same = join_counted(nodes.select("simhash", "fp"), prints, "simhash", nodes.count()).filter("fp <> u").select("u", F.col("fp").alias("v"))
+    near = stage(links(prints.select(F.col("simhash").alias("fp"))).distinct(), "fingerprint-links").withColumnsRenamed({"u": "member", "v": "simhash"})
+    roots = prints.select("simhash", "u").join(near.groupBy("simhash").agg(F.count(F.lit(1)).alias("d")), "simhash")
+    members = prints.select(F.col("simhash").alias("member"), F.col("u").alias("v"))
+    return same.unionByName(join_counted(near, roots, "simhash", near.count()).join(members, "member").select("u", "v"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each class: the one of the smallest doc_id (ties by content); all columns are kept.
 
     Classes are those of ``near_duplicates``; with a ``similarity``, of texts linked by that Jaccard of ``size``-word
-    shingles, found as in ``minhash_join`` (texts without words are then one class).
+    shingles (texts without words are then one class): SimHash and Golay keys link the near ones, ``minhash_join`` finds
+    those farther than 3 bits, and every link is confirmed on full sets.
     """
     if similarity is None:
         fps = stage(fingerprints(docs, id_col, text_col, size), "document-fingerprints")
@@ -282,10 +297,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     else:
         from . import minhash_join
 
-        fps = stage(minhash_join.described(docs, id_col, text_col, size), "document-sets")
+        fps = stage(minhash_join.described(docs, id_col, text_col, size, with_simhash=True), "document-sets")
         nodes = stage(minhash_join.node_table(fps), "shingle-sets")
         none = fps.filter("n_shingles = 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("d"))
-        of = classes_of(stage(nodes.select("fp", "least", "d").unionByName(none), "all-sets"), minhash_join.links(nodes, docs, id_col, text_col, size, similarity))
+        of = classes_of(stage(nodes.select("fp", "least", "d").unionByName(none), "all-sets"), minhash_join.links(nodes, docs, id_col, text_col, size, similarity, near_sets(nodes)))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_k1", "_k2"))
     kept = join_counted(fps, of, "fp", fps.count()).groupBy("root").agg(best.alias("s")).select("s._k1", "s._k2").distinct()
     keyed = docs.select(whole_row(docs), *row_key(id_col, text_col))

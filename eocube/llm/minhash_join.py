@@ -37,7 +37,7 @@ from ..operators.components import connected_components
 from ..operators.skew import join_counted
 from ..session import stage
 from .common import as_bytes, batches, read, row_key
-from .golay_dedup import classes_of, shingles
+from .golay_dedup import classes_of, shingles, simhash
 
 CHUNKS, WIDTH = 12, 7
 SYMBOLS = CHUNKS * WIDTH
@@ -67,8 +67,8 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return (whole - mixed + _SALT).view(np.int64)
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(doc_id, fp, n_shingles, sig, _k1, _k2)``: ``fp`` names the shingle set, 0 if it is empty."""
+def described(docs: DataFrame, id_col: str, text_col: str, size: int, with_simhash: bool = False) -> DataFrame:
+    """``(doc_id, fp, n_shingles, sig, _k1, _k2)``: ``fp`` names the shingle set, 0 if it is empty; on demand its ``simhash``."""
     import xxhash
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -78,9 +78,12 @@ def described(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
             sets = [np.unique(shingles(t, size)) for t in b.column(1).to_pylist()]
             fp = np.array([xxhash.xxh64_intdigest(h.tobytes()) or 1 if len(h) else 0 for h in sets], np.uint64).view(np.int64)
             sig = pa.array([signature(h) if len(h) else b"" for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(list(map(len, sets)), pa.int64()), sig, b.column(2), b.column(3)], ["doc_id", "fp", "n_shingles", "sig", "_k1", "_k2"])
+            columns = {"doc_id": b.column(0), "fp": pa.array(fp), "n_shingles": pa.array(list(map(len, sets)), pa.int64()), "sig": sig, "_k1": b.column(2), "_k2": b.column(3)}
+            if with_simhash:
+                columns["simhash"] = pa.array(np.array(list(map(simhash, sets)), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col(f"`{id_col}`"), as_bytes(text_col), *row_key(id_col, text_col)).mapInArrow(run, f"doc_id {kind}, fp bigint, n_shingles bigint, sig binary, _k1 string, _k2 bigint")
+    return docs.select(F.col(f"`{id_col}`"), as_bytes(text_col), *row_key(id_col, text_col)).mapInArrow(run, f"doc_id {kind}, fp bigint, n_shingles bigint, sig binary, _k1 string, _k2 bigint" + ", simhash bigint" * with_simhash)
 
 
 # --- candidates -------------------------------------------------------------------------------------------------------
@@ -322,14 +325,16 @@ def rest_of_large(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs:
     return stage(by_cell(full).mapInArrow(lambda rows: _cells(rows, least, True), "u bigint, v bigint"), "large-links")
 
 
-def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
+def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, near: DataFrame | None = None) -> DataFrame:
     """Edges ``(u, v)`` that connect what is linked by ``similarity`` among stored ``nodes`` ``(fp, sig, n_shingles, rep)``.
 
-    ``rep`` is the ``row_key`` of a row of the node in ``docs``.
+    ``rep`` is the ``row_key`` of a row of the node in ``docs``. Pairs ``near`` (u, v) that were found in another way are
+    confirmed with those of the signatures.
     """
     least = Fraction(str(similarity))
     pairs, members = candidates(nodes)
-    pairs = stage(_signed(stage(pairs, "pairs"), nodes, least), "near-pairs")
+    pairs = _signed(stage(pairs, "pairs"), nodes, least)
+    pairs = stage(pairs if near is None else pairs.unionByName(near).distinct(), "near-pairs")
     chosen = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     sets = stage(sets_of(chosen, nodes, docs, id_col, text_col, size), "shingles")
     found = stage(confirmed(pairs, sets, least), "links")
@@ -343,7 +348,8 @@ def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: i
 def node_table(described_docs: DataFrame) -> DataFrame:
     """``(fp, least, d, n_shingles, sig, rep)``, a row for each set that isn't empty, of a stored table of ``described``."""
     some = described_docs.filter("n_shingles > 0")
-    return some.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("d"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min(F.struct("_k1", "_k2")).alias("rep"))
+    more = [F.first(c).alias(c) for c in ("simhash",) if c in described_docs.columns]
+    return some.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("d"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.min(F.struct("_k1", "_k2")).alias("rep"), *more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, similarity: float = 0.8) -> DataFrame:

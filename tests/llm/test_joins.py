@@ -134,6 +134,23 @@ def test_keep_one_by_similarity(spark):
     assert kept == sorted(want.values())
 
 
+def test_keep_one_links_by_simhash(spark, monkeypatch):
+    """The stage is that of SimHash and Golay keys: copies at up to 3 bits go without any MinHash candidate."""
+    rnd = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(5000)]
+    base = [rnd.choice(words, 900).tolist() for _ in range(12)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(base)] + [(100 + k, " ".join([*b[:450], "other", *b[451:]])) for k, b in enumerate(base)]
+    near = {k for k, b in rows[12:] if bin(golay_dedup.fingerprint(b.encode(), 5) ^ golay_dedup.fingerprint(rows[k - 100][1].encode(), 5)).count("1") <= 3}
+    assert len(near) > 8
+    none = spark.createDataFrame([], "u bigint, v bigint"), spark.createDataFrame([], "key bigint, fp bigint")
+    monkeypatch.setattr(minhash_join, "candidates", lambda nodes: none)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in golay_dedup.keep_one(docs, size=5, similarity=0.8).collect()}
+    assert kept == {k for k, _ in rows} - near
+    # Near fingerprints alone don't do: links are confirmed on full sets.
+    assert {r.doc_id for r in golay_dedup.keep_one(docs, size=5, similarity=0.999).collect()} == {k for k, _ in rows}
+
+
 # --- 12 -------------------------------------------------------------------------------------------------------------
 
 

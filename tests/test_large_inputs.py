@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eocube.operators import hydro as H
 from eocube.operators import phenology as PH
+from eocube.operators import projection as P
 
 
 def plan(df) -> str:
@@ -109,3 +110,12 @@ def test_profile_difference_reads_no_frame_twice(spark):
     want = {(c, d): (at(a, c, d), at(b, c, d)) for c, d in {(c, d) for c, d, _ in a + b}}
     want = {k: v for k, v in want.items() if None not in v}
     assert {(r["cs"], r["d"]): (pytest.approx(r["za"]), pytest.approx(r["zb"])) for r in got.collect()} == want and len(want) > 60
+
+
+def test_band_simulation_is_no_join_by_wavelength(spark):
+    """All values of a wavelength, of which there are few, were sorted in one task."""
+    response = spark.createDataFrame([("wide", w, 1.0) for w in (1, 2, 3)] + [("narrow", 2, 0.5), ("none", 1, 0.0)], "band string, wavelength int, weight double")
+    spectra = spark.createDataFrame([(k, w, float(k + w)) for k in range(30) for w in range(1, 5)], "sample int, wavelength int, value double")
+    got = P.band_simulation(spectra, response)
+    assert "SortMergeJoin" not in plan(got) and "BroadcastHashJoin" in plan(got)
+    assert {(r["sample"], r["band"]): r["value"] for r in got.collect()} == {(k, b): v for k in range(30) for b, v in (("wide", k + 2.0), ("narrow", k + 2.0), ("none", None))}

@@ -213,20 +213,31 @@ def fit_recovery(series: DataFrame, keys: list[str], low: float = 1e-4, high: fl
 
     Variable projection: for a rate both linear parameters follow from sums, which Spark adds up; so only the rate is
     searched, between ``low`` and ``high``, ``rates`` at a time, each round between the neighbours of the best. Values are
-    summed by time first. ``series(keys, t, value)``; groups with fewer than three times have no curve.
+    summed by time first and stored by group; a round adds up the sums of all its rates side by side, without a row for
+    each rate. ``series(keys, t, value)``; groups with fewer than three times have no curve.
     """
-    at = series.filter("value is not null and t is not null").groupBy(*keys, F.col("t").cast("double").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    known = series.filter("value is not null and t is not null").select(*keys, F.col("t").cast("double").alias("t"), "value")
+    at = (known.repartition(*keys) if keys else known).groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     at = stage(at, "recovery")
-    e = F.exp(-F.col("rate") * F.col("t"))
     bounds = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter("_m > 2").select(*keys, F.lit(float(np.log(low))).alias("_lo"), F.lit(float(np.log(high))).alias("_hi"))
+
+    def rate(k: int | Column) -> Column:
+        return F.exp(F.col("_lo") + (F.col("_hi") - F.col("_lo")) / (rates - 1) * k)
+
+    def tried() -> Column:
+        """The best line for each rate from its sums."""
+        n, sy, q = F.col("n"), F.col("sy"), F.col("q")
+        rest = F.array(*[F.struct(F.lit(k).alias("_k"), F.col(f"_se{k}").alias("se"), F.col(f"_see{k}").alias("see"), F.col(f"_sye{k}").alias("sye")) for k in range(rates)])
+        lines = F.transform(rest, lambda e: F.struct(e["_k"].alias("_k"), e["se"].alias("se"), e["sye"].alias("sye"), ((n * e["sye"] - e["se"] * sy) / F.nullif(n * e["see"] - e["se"] * e["se"], F.lit(0.0))).alias("b")))
+        lines = F.transform(lines, lambda e: F.struct(e["_k"].alias("_k"), e["sye"].alias("sye"), e["b"].alias("b"), ((sy - e["b"] * e["se"]) / n).alias("ymax")))
+        of = lambda e: F.struct((q - e["ymax"] * sy - e["b"] * e["sye"]).alias("sse"), e["_k"].alias("_k"), rate(e["_k"]).alias("rate"), e["ymax"].alias("ymax"), e["b"].alias("_b"), n.alias("n"), F.col("_lo"), F.col("_hi"))
+        return F.array_min(F.filter(F.transform(lines, of), lambda m: m["sse"].isNotNull()))
+
     for _ in range(rounds):
-        step = (F.col("_hi") - F.col("_lo")) / (rates - 1)
-        tried = bounds.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(rates - 1)))).select(*keys, "_lo", "_hi", "_k", F.exp(F.col("_lo") + step * F.col("_k")).alias("rate"))
-        g = at.join(tried, keys).groupBy(*keys, "_lo", "_hi", "_k", "rate").agg(F.sum("n").alias("n"), F.sum(F.col("n") * e).alias("se"), F.sum(F.col("n") * e * e).alias("see"), F.sum("s").alias("sy"), F.sum(F.col("s") * e).alias("sye"), F.sum("q").alias("q"))
-        slope = (F.col("n") * F.col("sye") - F.col("se") * F.col("sy")) / F.nullif(F.col("n") * F.col("see") - F.col("se") * F.col("se"), F.lit(0.0))
-        g = g.withColumn("_b", slope).withColumn("ymax", (F.col("sy") - F.col("_b") * F.col("se")) / F.col("n"))
-        g = g.withColumn("sse", F.col("q") - F.col("ymax") * F.col("sy") - F.col("_b") * F.col("sye")).filter("sse is not null")
-        best = g.groupBy(*keys).agg(F.min(F.struct("sse", "_k", "rate", "ymax", "_b", "n", "_lo", "_hi")).alias("_m"))
+        j = (at.join(bounds, keys) if keys else at.crossJoin(bounds)).withColumns({f"_e{k}": F.exp(-rate(k) * F.col("t")) for k in range(rates)})
+        sums = [F.sum(c).alias(f"_{name}{k}") for k in range(rates) for e in [F.col(f"_e{k}")] for name, c in (("se", F.col("n") * e), ("see", F.col("n") * e * e), ("sye", F.col("s") * e))]
+        g = j.groupBy(*keys, "_lo", "_hi").agg(F.sum("n").alias("n"), F.sum("s").alias("sy"), F.sum("q").alias("q"), *sums)
+        best = g.select(*keys, tried().alias("_m")).filter("_m is not null")
         step = (F.col("_m._hi") - F.col("_m._lo")) / (rates - 1)
         near = lambda o: F.col("_m._lo") + step * F.least(F.greatest(F.col("_m._k") + o, F.lit(0)), F.lit(rates - 1))
         best = stage(best.select(*keys, "_m", near(-1).alias("_lo"), near(1).alias("_hi")), "recovery")

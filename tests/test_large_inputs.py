@@ -119,3 +119,16 @@ def test_band_simulation_is_no_join_by_wavelength(spark):
     got = P.band_simulation(spectra, response)
     assert "SortMergeJoin" not in plan(got) and "BroadcastHashJoin" in plan(got)
     assert {(r["sample"], r["band"]): r["value"] for r in got.collect()} == {(k, b): v for k in range(30) for b, v in (("wide", k + 2.0), ("narrow", k + 2.0), ("none", None))}
+
+
+def test_recovery_sends_no_row_for_each_rate(spark, monkeypatch):
+    """Each round sent, for each group, a row for each of its rates to the values, and made one of each value and rate."""
+    seen, store = [], PH.stage
+    monkeypatch.setattr(PH, "stage", lambda df, name: seen.append(plan(df)) or store(df, name))
+    rows = [(k, float(t), 2.0 - 1.5 * 2.718281828459045 ** (-0.01 * (k + 1) * t)) for k in range(4) for t in range(0, 300, 10)]
+    got = {r["k"]: r for r in PH.fit_recovery(spark.createDataFrame(rows, "k int, t double, value double"), ["k"], rounds=8).collect()}
+    assert len(seen) == 9 and not any("Generate" in p for p in seen)
+    for k in range(4):
+        assert got[k]["rate"] == pytest.approx(0.01 * (k + 1), rel=1e-4) and got[k]["ymax"] == pytest.approx(2.0, abs=1e-4) and got[k]["n"] == 30
+    one = PH.fit_recovery(spark.createDataFrame(rows[:30], "k int, t double, value double"), [], rounds=8).first()
+    assert one["rate"] == pytest.approx(0.01, rel=1e-4)

@@ -1,11 +1,13 @@
 """Steps that grew faster than their input, by what their plans and tasks show on small tables."""
 
 import contextlib
+import datetime as dt
 import io
 
 import pytest
 from pyspark.sql import functions as F
 
+from eocube.operators import footprints as FP
 from eocube.operators import hydro as H
 from eocube.operators import phenology as PH
 from eocube.operators import projection as P
@@ -132,3 +134,27 @@ def test_recovery_sends_no_row_for_each_rate(spark, monkeypatch):
         assert got[k]["rate"] == pytest.approx(0.01 * (k + 1), rel=1e-4) and got[k]["ymax"] == pytest.approx(2.0, abs=1e-4) and got[k]["n"] == 30
     one = PH.fit_recovery(spark.createDataFrame(rows[:30], "k int, t double, value double"), [], rounds=8).first()
     assert one["rate"] == pytest.approx(0.01, rel=1e-4)
+
+
+def test_environment_makes_no_row_for_each_day_of_a_shot(spark):
+    """Each shot was joined with all days of its year until its date."""
+    day = lambda k: dt.date(2001, 1, 1) + dt.timedelta(k)
+    env = [(k % 2, 0, day(k * 5), (k * 7 % 11) / 10) for k in range(160)]
+    shots = [(k, day(k * 13), 0.5, k % 2 + 0.5) for k in range(50)] + [(77, day(100), 0.5, 0.5), (77, day(101), 0.5, 1.5), (78, None, 0.5, 0.5), (79, day(9), 8.5, 8.5)]
+    got = FP.link_environment(spark.createDataFrame(shots, "shot int, date date, px double, py double"), spark.createDataFrame(env, "y int, x int, date date, value double"), base=0.1)
+    alone = FP.link_environment(spark.createDataFrame(shots[:50], "shot int, date date, px double, py double"), spark.createDataFrame(env, "y int, x int, date date, value double"), base=0.1)
+    assert "Window" in plan(got)
+    want = {}
+    for s in {s[0] for s in shots}:
+        met = {}
+        for _, at, px, py in (r for r in shots if r[0] == s and r[1]):
+            for y, x, d, v in env:
+                if (y, x) == (int(py), int(px)) and d <= at and d.year == at.year:
+                    met.setdefault(d, []).append(v)
+        v = [mean(x) for x in met.values()]
+        if v:
+            m = mean(v)
+            want[s] = (len(v), sum(max(x - 0.1, 0) for x in v), max(v), min(v), m, mean([(x - m) ** 2 for x in v]) ** 0.5)
+    rows = {r["shot"]: tuple(r)[1:] for r in got.collect()}
+    assert set(rows) == set(want) and 77 in rows and all(rows[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+    assert {r["shot"]: tuple(r)[1:] for r in alone.collect()} == {k: r for k, r in rows.items() if k < 50}

@@ -23,6 +23,7 @@ from heapq import merge
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,8 +114,10 @@ class LibraryIds:
     def _learn(self, new: set[bytes]) -> None:
         """Ids of pieces that the younger generation hasn't."""
         new = new - self._known(new)
-        parts = _WORD.findall(b"\n".join(new))  # (word, punctuation behind it)
-        alone = new.difference(map(b"".join, parts))
+        ascii_words = [(x, w) for x in new if (w := x.rstrip(_MARKS)).isalpha()]
+        rest = new.difference([x for x, _ in ascii_words])
+        parts = [(w, x[len(w) :]) for x, w in ascii_words] + _WORD.findall(b"\n".join(rest))  # (word, punctuation behind it)
+        alone = rest.difference(map(b"".join, parts[len(ascii_words) :]))
         alone.update(tail for _, tail in parts)
         words = {word for word, _ in parts}.difference(self.pieces)
         self._words(list(words - self._known(words)))
@@ -122,35 +125,37 @@ class LibraryIds:
         get = self.pieces.__getitem__
         self.pieces.update([(word + tail, get(word) + get(tail)) for word, tail in parts if tail])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, packed."""
-        out = [b""] * len(texts)
-        cut: dict[int, list[bytes]] = {}
-        held = 0
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not self.by_piece or any(s in t for s in self.special):
-                out[i] = self._pack(self.lib.encode(t, add_special_tokens=False).ids)
-                continue
-            cut[i] = t.encode().lower().split()
-            held += len(t)
-            if held > 1 << 21:
-                self._flush(cut, out)
-                cut, held = {}, 0
-        self._flush(cut, out)
-        return out
-
-    def _flush(self, cut: dict[int, list[bytes]], out: list[bytes]) -> None:
-        seen = set().union(*cut.values())
-        new = seen.difference(self.pieces)
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids of each text, packed. Texts are held together: a caller bounds their size.
+
+        Arrow splits the texts and numbers their distinct pieces; only these meet the pieces that are remembered, and
+        Arrow puts their ids in the places of the pieces.
+        """
+        col = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        whole = np.full(len(col), not self.by_piece)
+        for s in self.special:
+            whole |= pc.match_substring(col, s).to_numpy(zero_copy_only=False)
+        alone = {i: self._pack(self.lib.encode(col[i].as_py(), add_special_tokens=False).ids) for i in np.flatnonzero(whole).tolist()}
+        if len(alone) == len(col):
+            return list(alone.values())
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(whole, "", col) if alone else col))
+        pieces = cut.values.dictionary_encode()
+        seen = pieces.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array(self._ids(seen), pa.binary()).take(pieces.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids))])[cut.offsets].tolist()
+        packed = memoryview(ids.buffers()[2] or b"")
+        return [alone[i] if i in alone else bytes(packed[j:k]) for i, (j, k) in enumerate(zip(ends, ends[1:]))]
+
+    def _ids(self, seen: list[bytes]) -> list[bytes]:
+        new = {x for x in seen if x not in self.pieces}
         if len(self.pieces) + len(new) > self.keep // 2:
-            self.older, self.pieces, new = self.pieces, {}, seen
+            self.older, self.pieces, new = self.pieces, {}, set(seen)
         self._learn(new)
-        get = dict(zip(seen, map(self.pieces.__getitem__, seen))).__getitem__  # small, so it stays in the processor's cache
-        for i, p in cut.items():
-            out[i] = b"".join(map(get, p))
+        return list(map(self.pieces.__getitem__, seen))
+
 
+#: Punctuation of ASCII.
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: A word in lower-case letters of ASCII, Latin-1 or Cyrillic (composed, and letters in every version of Unicode) and ASCII punctuation.
 _WORD = re.compile(rb"^((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]|\xd0[\xb0-\xbf]|\xd1[\x80-\x9f])+)([!-/:-@\[-`{-~]*)$", re.M)
@@ -174,7 +179,7 @@ def library_ids(docs: DataFrame, path: str, end_id: int | None = None, id_col: s
             _LIBS[path, width] = LibraryIds(path, width)
         end = np.array([] if end_id is None else [end_id], f"<u{width}").tobytes()
         for b in batches(rows):
-            ids = [x + end for x in _LIBS[path, width].encode(b.column(1).to_pylist())]
+            ids = [x + end for x in _LIBS[path, width].encode(b.column(1))]
             total = np.bincount(np.frombuffer(b"".join(ids), f"<u{width}"))
             used = np.flatnonzero(total)
             counts = [np.stack([used, total[used]], axis=1).astype("<u4").tobytes(), *[None] * (len(ids) - 1)]

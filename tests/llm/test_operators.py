@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from eocube.llm import byte_bpe, decontaminate, golay_dedup, huffman, licenses, pii, quality_classifier, quality_rules, sharding, token_counts
@@ -186,6 +187,21 @@ def test_pieces_together():
     assert own.by_piece and [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pieces_of_arrow_columns():
+    """A column is split and numbered by Arrow: slices, nulls, texts without pieces, special tokens, files of other kinds."""
+    from tokenizers import Tokenizer
+
+    texts = ["cut off", None, "", " \t\n", "Über-all, Zürich! a\x1cb x_y\u3000z", "a <|endoftext|> B", " it's  (652) ***", "привет, МИР!!"] * 3
+    for path in (WORDS, public_tokenizers.path("byte_bpe_50k.json")):
+        lib, own = Tokenizer.from_file(path), huffman.LibraryIds(path)
+        for part in (pa.array(texts)[1:], pa.array(["", None]), pa.array([], pa.string()), pa.array(["<|startoftext|>x"])):
+            want = [e.ids for e in lib.encode_batch([t or "" for t in part.to_pylist()], add_special_tokens=False)]
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(part)] == want
+    own = huffman.LibraryIds(WORDS, keep=8)  # generations turn in each call
+    for k in range(len(texts)):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(pa.array(texts[k : k + 2]))] == [e.ids for e in Tokenizer.from_file(WORDS).encode_batch([t or "" for t in texts[k : k + 2]], add_special_tokens=False)]
+
+
 def test_code_lengths():
     rng = random.Random(1)
     for n, bits in ((1, 4), (2, 4), (16, 4), (9, 4), (500, 10), (500, 40)):

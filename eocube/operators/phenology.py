@@ -78,6 +78,8 @@ def curve_summary(params: DataFrame, bloom: float = 0.3) -> DataFrame:
 
 
 def _model(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The curve of one row of parameters at ``t``, or of each row at its own row of ``t``."""
+    p = [p[..., i, None] for i in range(7)]
     with np.errstate(over="ignore"):
         a, b = 1 / (1 + np.exp(np.clip((p[2] - t) / p[3], -60, 60))), 1 / (1 + np.exp(np.clip((p[4] - t) / p[5], -60, 60)))
     return p[0] + (p[1] - p[6] * t) * (a - b)
@@ -85,11 +87,12 @@ def _model(t: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def _slopes(t: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Derivatives of the curve by its parameters."""
+    p = [p[..., i, None] for i in range(7)]
     u, w = (t - p[2]) / p[3], (t - p[4]) / p[5]
     a, b = 1 / (1 + np.exp(-np.clip(u, -60, 60))), 1 / (1 + np.exp(-np.clip(w, -60, 60)))
     height = p[1] - p[6] * t
     up, down = height * a * (1 - a) / p[3], height * b * (1 - b) / p[5]
-    return np.stack([np.ones(len(t)), a - b, -up, -up * u, down, down * w, -t * (a - b)], axis=1)
+    return np.stack([np.ones_like(u), a - b, -up, -up * u, down, down * w, -t * (a - b)], axis=-1)
 
 
 LOW = np.array([-0.2, 0.05, 30.0, 3.0, 180.0, 3.0, 0.0])
@@ -98,65 +101,137 @@ HIGH = np.array([0.6, 1.2, 180.0, 40.0, 340.0, 40.0, 0.005])
 
 def fit_double_logistic(t: np.ndarray, v: np.ndarray, low=LOW, high=HIGH, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Bounded least squares by damped Gauss-Newton steps that are cut at the bounds; (parameters, R2)."""
-    best, least = None, np.inf
-    for start in (0.3, 0.5, 0.7):
-        p, damp = low + (high - low) * start, 1e-2
-        p[0], p[1] = np.clip([np.quantile(v, 0.1), np.ptp(v)], low[:2], high[:2])
-        r = v - _model(t, p)
-        for _ in range(rounds):
-            j = _slopes(t, p)
-            a = j.T @ j
-            free = ~(((p <= low) & (j.T @ r < 0)) | ((p >= high) & (j.T @ r > 0)))
-            if not free.any():
-                break
-            m = a[np.ix_(free, free)] + damp * np.diag(np.diag(a)[free] + 1e-9)
-            step = np.zeros(7)
-            step[free] = np.linalg.lstsq(m, (j.T @ r)[free], rcond=None)[0]
-            new = np.clip(p + step, low, high)
-            s = v - _model(t, new)
-            if s @ s < r @ r:
-                done = (r @ r - s @ s) < 1e-9 * max(1e-9, r @ r)
-                p, r, damp = new, s, max(damp / 4, 1e-9)
-                if done:
-                    break
-            else:
-                damp *= 4
-                if damp > 1e8:
-                    break
-        if r @ r < least:
-            best, least = p, r @ r
-    spread = ((v - v.mean()) ** 2).sum()
-    return best, float(1 - least / spread) if spread > 0 else 0.0
+    p, r2 = fit_double_logistics([(t, v)], low[None], high[None], rounds)
+    return p[0], float(r2[0])
 
 
-def fit_curves(obs: DataFrame, least: int = 7) -> DataFrame:
+def fit_double_logistics(series: list[tuple[np.ndarray, np.ndarray]], low: np.ndarray, high: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """``fit_double_logistic`` of many ``(t, v)``, each inside of its row of bounds; (rows of parameters, R2 of each).
+
+    Fits of about equal length take their steps together, some 16,000 values at a time; each has its own damping and end.
+    """
+    p, r2 = np.zeros((len(series), 7)), np.zeros(len(series))
+    n = np.array([len(t) for t, _ in series], np.int64)
+    order, i = np.argsort(-n, kind="stable"), 0
+    while i < len(order):
+        k = int(n[order[i]])
+        some = order[i : i + max(1, (1 << 14) // k)]
+        t, v = np.zeros((len(some), k)), np.zeros((len(some), k))
+        for j, at in enumerate(some.tolist()):
+            t[j, : n[at]], v[j, : n[at]] = series[at]
+        p[some], r2[some] = _fit_rows(t, v, n[some], low[some], high[some], rounds)
+        i += len(some)
+    return p, r2
+
+
+def _fit_rows(t: np.ndarray, v: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fits of the first ``n`` values of each row."""
+    known = np.arange(t.shape[1]) < n[:, None]
+    rows = np.arange(len(n))
+    v_sorted = np.sort(np.where(known, v, np.inf), axis=1)
+    at = 0.1 * (n - 1)
+    below = at.astype(np.int64)
+    a, b = v_sorted[rows, below], v_sorted[rows, np.minimum(below + 1, n - 1)]
+    tenth, width = a + (b - a) * (at - below), v_sorted[rows, n - 1] - v_sorted[:, 0]
+    best, least = np.zeros_like(low), np.full(len(n), np.inf)
+    for start in (0.3, 0.5, 0.7):
+        p = low + (high - low) * start
+        p[:, 0], p[:, 1] = np.clip(tenth, low[:, 0], high[:, 0]), np.clip(width, low[:, 1], high[:, 1])
+        r = np.where(known, v - _model(t, p), 0.0)
+        live = [rows, t, v, known, low, high, p, r, (r * r).sum(axis=1), np.full(len(n), 1e-2)]
+        for k in range(rounds + 1):
+            if k < rounds:
+                live, stop = _step(*live)
+            else:
+                stop = np.ones(len(live[0]), bool)
+            if stop.any():
+                at, cost = live[0][stop], live[8][stop]
+                better = cost < least[at]
+                best[at[better]], least[at[better]] = live[6][stop][better], cost[better]
+                live = [x[~stop] for x in live]
+            if not len(live[0]):
+                break
+    mean = np.where(known, v, 0.0).sum(axis=1) / n
+    spread = np.where(known, (v - mean[:, None]) ** 2, 0.0).sum(axis=1)
+    return best, np.where(spread > 0, 1 - least / np.where(spread > 0, spread, 1.0), 0.0)
+
+
+def _step(rows, t, v, known, low, high, p, r, cost, damp) -> tuple[list[np.ndarray], np.ndarray]:
+    """One step of each row: the same arrays after it, and which rows are at their end."""
+    j = np.where(known[:, :, None], _slopes(t, p), 0.0)
+    jt = j.swapaxes(1, 2)
+    a, g = jt @ j, (jt @ r[:, :, None])[:, :, 0]
+    free = ~(((p <= low) & (g < 0)) | ((p >= high) & (g > 0)))
+    # Least squares of least norm on the free parameters; those that are held have rows and columns of zeros.
+    m = np.where(free[:, :, None] & free[:, None, :], a, 0.0)
+    m[:, range(7), range(7)] += np.where(free, damp[:, None] * (a[:, range(7), range(7)] + 1e-9), 0.0)
+    e, q = np.linalg.eigh(m)
+    size = np.abs(e)
+    used = size > np.finfo(float).eps * free.sum(axis=1)[:, None] * size.max(axis=1, keepdims=True)
+    part = (q.swapaxes(1, 2) @ np.where(free, g, 0.0)[:, :, None])[:, :, 0] * used / np.where(used, e, 1.0)
+    new = np.clip(p + np.where(free, (q @ part[:, :, None])[:, :, 0], 0.0), low, high)
+    s = np.where(known, v - _model(t, new), 0.0)
+    less = (s * s).sum(axis=1)
+    held, better = ~free.any(axis=1), less < cost
+    better &= ~held
+    done = better & (cost - less < 1e-9 * np.maximum(1e-9, cost))
+    damp = np.where(better, np.maximum(damp / 4, 1e-9), damp * 4)
+    p, r, cost = np.where(better[:, None], new, p), np.where(better[:, None], s, r), np.where(better, less, cost)
+    return [rows, t, v, known, low, high, p, r, cost, damp], held | done | (~better & (damp > 1e8))
+
+
+def fit_curves(obs: DataFrame, least: int = 7, together: int = 1 << 16) -> DataFrame:
     """``(y, x, year, p0..p6, r2, n)``: pooled fit of each pixel, then a fit of each year inside of bounds around it.
 
-    A pixel's history is one group: a few thousand dates. Years with fewer than ``least`` values have no fit.
+    A pixel's history is a few thousand dates. A task takes its pixels in order, about ``together`` values at a time, and
+    fits these side by side. Years with fewer than ``least`` values have no fit.
     """
     import pyarrow as pa
-
-    names = ["y", "x", "year", *P, "r2", "n"]
-
-    def run(g: pa.Table) -> pa.Table:
-        t, v, year = g.column("doy").to_numpy().astype(float), g.column("value").to_numpy(), g.column("year").to_numpy()
-        rows = []
-        if len(v) >= least:
-            pooled, _ = fit_double_logistic(t, v)
+    import pyarrow.compute as pc
+
+    kinds = [pa.int32()] * 3 + [pa.float64()] * 8 + [pa.int64()]
+
+    def starts(b: pa.Table, names: list[str]) -> np.ndarray:
+        """Where rows differ from the row before."""
+        parts = [f(b.column(c)).to_numpy() for c in names for f in (pc.is_null, lambda x: pc.fill_null(x, 0))]
+        return np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in parts], axis=0)]))
+
+    def spans(b: pa.Table, names: list[str]) -> list[tuple[int, int]]:
+        """Groups with values enough."""
+        at = [*starts(b, names).tolist(), b.num_rows]
+        return [(i, j) for i, j in zip(at, at[1:]) if j - i >= least]
+
+    def fit(b: pa.Table):
+        t, v = b.column("doy").to_numpy().astype(float), b.column("value").to_numpy()
+        of = lambda at: [(t[i:j], v[i:j]) for i, j in at]
+        pixel, year = spans(b, ["y", "x"]), spans(b, ["y", "x", "year"])
+        if year:
+            pooled, _ = fit_double_logistics(of(pixel), np.tile(LOW, (len(pixel), 1)), np.tile(HIGH, (len(pixel), 1)))
+            pooled = pooled[np.searchsorted([i for i, _ in pixel], [i for i, _ in year], "right") - 1]
             room = np.array([0.15, 0.3, 25, 10, 30, 10, 0.002])
-            low, high = np.maximum(LOW, pooled - room), np.minimum(HIGH, pooled + room)
-            for k in np.unique(year):
-                m = year == k
-                if m.sum() >= least:
-                    p, r2 = fit_double_logistic(t[m], v[m], low, high)
-                    rows.append((g.column("y")[0].as_py(), g.column("x")[0].as_py(), int(k), *map(float, p), r2, int(m.sum())))
-        kinds = [pa.int32()] * 3 + [pa.float64()] * 8 + [pa.int64()]
-        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
-
-    o = obs.filter("value is not null").select("y", "x", F.year("date").alias("year"), F.dayofyear("date").alias("doy"), "value")
+            p, r2 = fit_double_logistics(of(year), np.maximum(LOW, pooled - room), np.minimum(HIGH, pooled + room))
+            keys = [c.combine_chunks() for c in b.select(["y", "x", "year"]).take([i for i, _ in year]).columns]
+            cols = [*keys, *p.T, r2, [j - i for i, j in year]]
+            yield pa.RecordBatch.from_arrays([c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], ["y", "x", "year", *P, "r2", "n"])
+
+    def run(rows):
+        held, n, most = [], 0, together
+        for b in rows:
+            held, n = [*held, b], n + b.num_rows
+            if n >= most:
+                all_held = pa.Table.from_batches(held)
+                last = int(starts(all_held, ["y", "x"])[-1])  # may go on in the next batch
+                yield from fit(all_held.slice(0, last)) if last else ()
+                held = all_held.slice(last).combine_chunks().to_batches()
+                n -= last
+                most = max(together, 2 * n)
+        if n:
+            yield from fit(pa.Table.from_batches(held))
+
+    o = obs.filter("value is not null").select("y", "x", F.year("date").alias("year"), F.dayofyear("date").alias("doy"), F.col("value").cast("double").alias("value"))
     # A fit takes far longer than its rows take room: pixels are dealt by number, not by bytes.
-    o = o.repartition(int(o.sparkSession.conf.get("spark.sql.shuffle.partitions")), "y", "x")
-    return o.groupBy("y", "x").applyInArrow(run, "y int, x int, year int, " + ", ".join(f"{p} double" for p in P) + ", r2 double, n bigint")
+    o = o.repartition(int(o.sparkSession.conf.get("spark.sql.shuffle.partitions")), "y", "x").sortWithinPartitions("y", "x", "year", "doy", "value")
+    return o.mapInArrow(run, "y int, x int, year int, " + ", ".join(f"{p} double" for p in P) + ", r2 double, n bigint")
 
 
 def fit_fourier(obs: DataFrame, frequencies=(0.015, 0.016, 0.017, 0.018, 0.019), by: list[str] | None = None) -> DataFrame:

@@ -158,3 +158,35 @@ def test_environment_makes_no_row_for_each_day_of_a_shot(spark):
     rows = {r["shot"]: tuple(r)[1:] for r in got.collect()}
     assert set(rows) == set(want) and 77 in rows and all(rows[k] == pytest.approx(want[k], abs=1e-8) for k in want)
     assert {r["shot"]: tuple(r)[1:] for r in alone.collect()} == {k: r for k, r in rows.items() if k < 50}
+
+
+def test_curves_are_fitted_side_by_side(spark):
+    """Each pixel was fitted by itself, in a group and call of its own. Lengths differ, keys are null, pixels are cut by batches."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    data, want = [], {}
+    for k in range(40):
+        p = np.array([0.1 + k % 9 / 50, 0.5 + k % 7 / 20, 110 + k % 30, 8 + k % 5, 260 + k % 40, 9 + k % 4, k % 10 / 20000])
+        key = (None if k == 3 else k % 5, None if k in (3, 4) else k // 5)
+        for year in (2001, 2002)[: 1 + k % 2]:
+            t = np.arange(3 + k % 4, 366, 9 + k % 11)[: 6 if k == 11 else 99]
+            v = PH._model(t.astype(float), p) + rng.normal(0, 0.004, len(t))
+            data += [(*key, dt.date(year, 1, 1) + dt.timedelta(int(d) - 1), float(x)) for d, x in zip(t, v)]
+            want.setdefault(key, {})[year] = t, v
+    rng.shuffle(data)
+    frame = spark.createDataFrame([(None if y is None else int(y), None if x is None else int(x), d, float(v)) for y, x, d, v in data], "y int, x int, date date, value double")
+    for together in (1 << 16, 30):
+        fits = PH.fit_curves(frame, together=together)
+        assert "FlatMapGroupsInArrow" not in plan(fits)
+        got = {((r["y"], r["x"]), r["year"]): r for r in fits.collect()}
+        assert set(got) == {(k, y) for k, of in want.items() for y, (t, _) in of.items() if len(t) >= 7}
+        for (key, year), r in got.items():
+            t, v = (np.concatenate(x).astype(float) for x in zip(*want[key].values()))
+            pooled, _ = PH.fit_double_logistic(t, v)
+            room = np.array([0.15, 0.3, 25, 10, 30, 10, 0.002])
+            t, v = want[key][year]
+            p, r2 = PH.fit_double_logistic(t.astype(float), v, np.maximum(PH.LOW, pooled - room), np.minimum(PH.HIGH, pooled + room))
+            assert r["n"] == len(t) and r["r2"] == pytest.approx(r2, abs=1e-7)
+            at = np.arange(1.0, 366)
+            assert np.abs(PH._model(at, np.array([r[c] for c in PH.P])) - PH._model(at, p)).max() < 1e-3

@@ -113,17 +113,17 @@ class LibraryIds:
 
     def _learn(self, new: set[bytes]) -> None:
         """Ids of pieces that the younger generation hasn't."""
-        new = new - self._known(new)
-        ascii_words = [(x, w) for x in new if (w := x.rstrip(_MARKS)).isalpha()]
-        rest = new.difference([x for x, _ in ascii_words])
-        parts = [(w, x[len(w) :]) for x, w in ascii_words] + _WORD.findall(b"\n".join(rest))  # (word, punctuation behind it)
-        alone = rest.difference(map(b"".join, parts[len(ascii_words) :]))
-        alone.update(tail for _, tail in parts)
-        words = {word for word, _ in parts}.difference(self.pieces)
-        self._words(list(words - self._known(words)))
+        pieces = list(new - self._known(new))
+        stems = [x.rstrip(_MARKS) for x in pieces]  # a word has only punctuation behind it
+        words = {w for w in stems if w.isalpha()}
+        words.update(_WORD.findall(b"\n".join([w for w in stems if not w.isascii()])))
+        alone = {x for x, w in zip(pieces, stems) if w not in words}
+        alone.update({x[len(w) :] for x, w in zip(pieces, stems) if w in words and len(w) < len(x)})
+        fresh = words.difference(self.pieces)
+        self._words(list(fresh - self._known(fresh)))
         self._alone(list(alone.difference(self.pieces)))
         get = self.pieces.__getitem__
-        self.pieces.update([(word + tail, get(word) + get(tail)) for word, tail in parts if tail])
+        self.pieces.update((x, get(w) + get(x[len(w) :])) for x, w in zip(pieces, stems) if w in words and len(w) < len(x))
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Ids of each text, packed. Texts are held together: a caller bounds their size.
@@ -157,8 +157,8 @@ class LibraryIds:
 #: Punctuation of ASCII.
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-#: A word in lower-case letters of ASCII, Latin-1 or Cyrillic (composed, and letters in every version of Unicode) and ASCII punctuation.
-_WORD = re.compile(rb"^((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]|\xd0[\xb0-\xbf]|\xd1[\x80-\x9f])+)([!-/:-@\[-`{-~]*)$", re.M)
+#: A word in lower-case letters of ASCII, Latin-1 or Cyrillic (composed, and letters in every version of Unicode).
+_WORD = re.compile(rb"^(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]|\xd0[\xb0-\xbf]|\xd1[\x80-\x9f])+$", re.M)
 
 _LIBS: dict[tuple[str, int], LibraryIds] = {}
 
